@@ -94,3 +94,27 @@ def query_param(query: Column, name: str) -> Column:
     first = F.element_at(vals, 1)
     raw = F.substring(first, len(prefix) + 1, 1 << 30)
     return F.coalesce(F.try_url_decode(raw), raw, F.lit(""))
+
+
+def with_url_parts(df, col: str = "url"):
+    """B1-B4 as staged columns: scheme, host, port (effective), bracketed,
+    bad_brackets, bad_port. Each regex runs once per row."""
+    u = F.col(col)
+    d = df.withColumns({"scheme": scheme(u), "_auth": authority(u)})
+    d = d.withColumn("_hi", F.regexp_extract("_auth", "([^@]*)$", 1))
+    hi = F.col("_hi")
+    d = d.withColumns({
+        "bracketed": hi.startswith("["),
+        "bad_brackets": F.col("_auth").contains("[") != F.col("_auth").contains("]"),
+        "host": F.lower(F.when(hi.startswith("["), F.regexp_extract(hi, "^\\[([^\\]]*)\\]", 1))
+                        .otherwise(F.regexp_extract(hi, "^([^:]*)", 1))),
+        "_pt": F.when(hi.startswith("["), F.regexp_extract(hi, "^\\[[^\\]]*\\][^:]*:(.*)$", 1))
+                .otherwise(F.regexp_extract(hi, "^[^:]*:(.*)$", 1))})
+    p = F.col("_pt")
+    explicit = F.when(p.rlike("^[0-9]{1,5}$"), p.cast("int"))
+    d = d.withColumns({
+        "bad_port": (p != "") & (~p.rlike("^[0-9]+$") | (F.length(p) > 5)
+                                 | F.coalesce(explicit > 65535, F.lit(False))),
+        "port": F.coalesce(F.nullif(explicit, F.lit(0)),
+                           F.when(F.col("scheme") == "https", F.lit(443)).otherwise(F.lit(80))).cast("long")})
+    return d.drop("_auth", "_hi", "_pt")

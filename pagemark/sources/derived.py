@@ -23,3 +23,95 @@ def region_table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("<html><body><article><h2>"), F.col("r_name"),
                  F.lit("</h2><table><tr><th>key</th><th>name</th></tr>"), F.col("trs"),
                  F.lit("</table></article></body></html>")).alias("html"))
+
+
+def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 work list: the page URLs, with every tenth page (page_id % 10 = 5)
+    replaced by a literal-address, bad-scheme, no-host or odd-port URL built
+    from its page_id. Options default to the reference's tool defaults."""
+    p = tables.pages(spark, sf_dir).select("page_id", "url")
+    pid = F.col("page_id")
+    k = (pid / 10).cast("long") % 10
+    octet = (pid % 256).cast("string")
+    synthetic = (
+        F.when(k == 0, F.concat(F.lit("http://127.0.0."), octet, F.lit("/")))
+        .when(k == 1, F.concat(F.lit("http://10."), octet, F.lit(".0.1/admin")))
+        .when(k == 2, F.concat(F.lit("http://8.8."), octet, F.lit(".8/")))
+        .when(k == 3, F.concat(F.lit("ftp://files"), pid.cast("string"), F.lit(".example/")))
+        .when(k == 4, F.concat(F.lit("http://"), (F.lit(2130706433) + pid % 256).cast("string"), F.lit("/")))
+        .when(k == 5, F.concat(F.lit("http://0x"), F.lower(F.hex(F.lit(167772160) + pid)), F.lit("/")))
+        .when(k == 6, F.concat(F.lit("http://[::ffff:192.168.0."), octet, F.lit("]/")))
+        .when(k == 7, F.concat(F.lit("http:///nohost"), pid.cast("string")))
+        .when(k == 8, F.concat(F.lit("https://user@169.254.169."), octet, F.lit(":8443/")))
+        .otherwise(F.concat(F.lit("http://[2606:4700:4700::"), (pid % 1000).cast("string"),
+                            F.lit("]:"), (pid * 37).cast("string"), F.lit("/"))))
+    return p.select(
+        "page_id",
+        F.when(pid % 10 == 5, synthetic).otherwise(F.col("url")).alias("url"),
+        F.lit("domcontentloaded").alias("wait_until"),
+        F.lit(60000).alias("timeout_ms"),
+        F.lit(True).alias("headless"),
+        F.lit(5000).alias("poll_budget_ms"),
+        F.lit(250).alias("poll_interval_ms"))
+
+
+def _quad(v: "F.Column") -> "F.Column":
+    return F.concat_ws(".", *[(F.floor(v / d) % 256).cast("string") for d in (16777216, 65536, 256, 1)])
+
+
+def resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name resolution captured as data: (host, pos, ip) per page host.
+
+    Rule on d = md5(host): 'f...' no row (lookup fails); 'e...' one row with
+    null ip (empty answer); otherwise pos 0 from md5(host || ':0') and pos 1
+    a 10.x address for '0'-'3', a link-local IPv6 for '4', else from
+    md5(host || ':1').
+    """
+    from pagemark.functions.urls import host as url_host
+    hosts = tables.pages(spark, sf_dir).select(url_host(F.col("url")).alias("host")).distinct()
+    d = F.md5("host")
+    first = F.substring(d, 1, 1)
+
+    def ip_from(tag):
+        return _quad(F.conv(F.substring(F.md5(F.concat("host", F.lit(tag))), 1, 8), 16, 10).cast("long"))
+
+    pos0 = F.struct(F.lit(0).alias("pos"), F.when(first == "e", F.lit(None).cast("string"))
+                    .otherwise(ip_from(":0")).alias("ip"))
+    pos1 = F.struct(F.lit(1).alias("pos"),
+                    F.when(first.isin("0", "1", "2", "3"),
+                           F.concat(F.lit("10."), (F.conv(F.substring(d, 2, 2), 16, 10)).cast("string"),
+                                    F.lit(".0.7")))
+                    .when(first == "4", F.concat(F.lit("fe80::"), F.substring(d, 5, 4)))
+                    .otherwise(ip_from(":1")).alias("ip"))
+    rows = F.when(first == "e", F.array(pos0)).otherwise(F.array(pos0, pos1))
+    return (hosts.where(first != "f")
+            .select("host", F.inline(rows)))
+
+
+def address_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B5-B9 inputs from events: per event one IPv4 text, one IPv6 text
+    (prefix chosen by event_id % 8) and one integer/hex form."""
+    ev = tables.table(spark, sf_dir, "events").select("event_id")
+    eid = F.col("event_id")
+    v4n = (eid * F.lit(2654435761)) % F.lit(4294967296)
+    d = F.md5(eid.cast("string"))
+    g = [F.substring(d, 1 + 4 * i, 4) for i in range(8)]
+    k = eid % 8
+    v6 = (F.when(k == 0, F.concat(F.lit("::ffff:"), _quad(v4n)))
+          .when(k == 1, F.concat(F.lit("2002:"), g[0], F.lit(":"), g[1], F.lit("::"), g[2]))
+          .when(k == 2, F.concat(F.lit("2001:0:"), g[0], F.lit(":"), g[1], F.lit("::"), g[2], F.lit(":"), g[3]))
+          .when(k == 3, F.concat(F.lit("fe80::"), g[0], F.lit(":"), g[1]))
+          .when(k == 4, F.concat(F.lit("fc00:"), g[0], F.lit("::"), g[1]))
+          .when(k == 5, F.concat(F.lit("ff02::"), g[0]))
+          .when(k == 6, F.concat(F.lit("::"), g[0], F.lit(":"), g[1]))
+          .otherwise(F.concat_ws(":", *g)))
+    j = eid % 4
+    num = (F.when(j == 0, v4n.cast("string"))
+           .when(j == 1, F.concat(F.lit("0x"), F.lower(F.hex(v4n))))
+           .when(j == 2, F.concat(F.conv(F.substring(d, 1, 15), 16, 10),
+                                  F.lpad(F.conv(F.substring(d, 16, 10), 16, 10), (eid % 23).cast("int"), "0")))
+           .otherwise(F.concat(F.lit("0x"), d.substr(F.lit(1), F.lit(8) + (eid % 25).cast("int")))))
+    forms = F.array(F.struct(F.lit("v4").alias("form"), _quad(v4n).alias("text")),
+                    F.struct(F.lit("v6").alias("form"), v6.alias("text")),
+                    F.struct(F.lit("int").alias("form"), num.alias("text")))
+    return ev.select("event_id", F.inline(forms))

@@ -115,3 +115,48 @@ def address_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.struct(F.lit("v6").alias("form"), v6.alias("text")),
                     F.struct(F.lit("int").alias("form"), num.alias("text")))
     return ev.select("event_id", F.inline(forms))
+
+
+WAIT_UNTIL = ("load", "domcontentloaded", "networkidle", "commit")
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 render captures per page URL: (url, capture_no, elapsed_ms,
+    capture_mode, md). Polls 0-7 every 250 ms; the extraction is null while
+    poll < page_id % 3, then the body text grows 400 characters a poll until
+    poll page_id % 6. Odd pages also have a finer capture 120 ms after each
+    poll; pages with page_id % 4 = 0 also have headed captures."""
+    p = tables.pages(spark, sf_dir).select(
+        "page_id", "url", F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", "").alias("body"))
+    pid = F.col("page_id")
+    polls = p.select("page_id", "url", "body", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("poll"))
+    md = F.when(F.col("poll") < pid % 3, F.lit(None).cast("string")).otherwise(
+        F.col("body").substr(F.lit(1), F.lit(400) * F.least(F.col("poll") + 1, pid % 6 + 1)))
+    base = polls.select("page_id", "url", "poll", (F.col("poll") * 250).cast("long").alias("elapsed_ms"),
+                        F.lit("headless").alias("capture_mode"), md.alias("md"))
+    fine = base.where(pid % 2 == 1).select(
+        "page_id", "url", "poll", (F.col("elapsed_ms") + 120).alias("elapsed_ms"), "capture_mode",
+        F.concat(F.lit("flicker "), F.col("poll").cast("string")).alias("md"))
+    headed = base.where(pid % 4 == 0).select(
+        "page_id", "url", "poll", "elapsed_ms", F.lit("headed").alias("capture_mode"),
+        F.concat(F.col("md"), F.lit(" (headed)")).alias("md"))
+    allc = base.unionByName(fine).unionByName(headed)
+    return allc.select("page_id", "url", "elapsed_ms", "capture_mode", "md")
+
+
+def render_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Render-tier options and navigation timings per page URL: wait_until by
+    page_id % 4, timeout 30000 ms, budget 250 * (2 + page_id % 7) ms, and the
+    captured ready time per wait_until (n, 2n, 4n, 8n; n = page_id*131 % 20000)."""
+    p = tables.pages(spark, sf_dir).select("page_id", "url")
+    pid = F.col("page_id")
+    n = (pid * 131) % 20000
+    return p.select(
+        "page_id", "url",
+        F.element_at(F.array(*[F.lit(w) for w in WAIT_UNTIL]), (pid % 4 + 1).cast("int")).alias("wait_until"),
+        F.lit(30000).cast("long").alias("timeout_ms"),
+        F.lit(True).alias("headless"),
+        (F.lit(250) * (pid % 7 + 2)).cast("long").alias("poll_budget_ms"),
+        F.lit(250).cast("long").alias("poll_interval_ms"),
+        F.create_map(F.lit("commit"), n, F.lit("domcontentloaded"), n * 2,
+                     F.lit("load"), n * 4, F.lit("networkidle"), n * 8).alias("nav_ms"))

@@ -145,28 +145,29 @@ def parts_cols(u: str) -> str:
     OR CASE WHEN regexp_full_match({port_t}, '[0-9]{{1,5}}') THEN ({port_t})::INT > 65535 END)) AS bad_port"""
 
 
-def admission_sql(src: str, col: str, key: str, res: str = "res") -> str:
-    """CTE list producing ``adm`` from ``src`` (must hold ``key`` and ``col``)."""
+def admission_sql(src: str, col: str, key: str, res: str = "res", p: str = "") -> str:
+    """CTE list producing ``{p}adm`` from ``src`` (must hold ``key`` and ``col``);
+    ``p`` prefixes every CTE name so the list can appear twice in a query."""
     return f"""
-a_parts AS (SELECT *, {parts_cols(col)} FROM {src}),
-a_lit AS (SELECT *, {literal_cols('host')} FROM a_parts),
-a_lit2 AS (SELECT *, (bad_brackets OR (bracketed AND h6 IS NULL)) AS malformed,
-                  (v4 IS NOT NULL OR h6 IS NOT NULL) AS is_lit FROM a_lit),
-a_lit_cls AS {classify_sql("(SELECT " + key + ", v4, h6 FROM a_lit2 WHERE is_lit)", key)},
-ip_cls AS {classify_sql("(SELECT DISTINCT ip, " + v4_sql('ip') + " AS v4, " + v6_sql('ip') + " AS h6 FROM " + res + " WHERE ip IS NOT NULL)", "ip")},
-res_cls AS (SELECT r.host, r.pos, r.ip, c.cls AS reason FROM {res} r LEFT JOIN ip_cls c ON r.ip = c.ip),
-res_agg AS (
+{p}a_parts AS (SELECT *, {parts_cols(col)} FROM {src}),
+{p}a_lit AS (SELECT *, {literal_cols('host')} FROM {p}a_parts),
+{p}a_lit2 AS (SELECT *, (bad_brackets OR (bracketed AND h6 IS NULL)) AS malformed,
+                  (v4 IS NOT NULL OR h6 IS NOT NULL) AS is_lit FROM {p}a_lit),
+{p}a_lit_cls AS {classify_sql("(SELECT " + key + ", v4, h6 FROM " + p + "a_lit2 WHERE is_lit)", key)},
+{p}ip_cls AS {classify_sql("(SELECT DISTINCT ip, " + v4_sql('ip') + " AS v4, " + v6_sql('ip') + " AS h6 FROM " + res + " WHERE ip IS NOT NULL)", "ip")},
+{p}res_cls AS (SELECT r.host, r.pos, r.ip, c.cls AS reason FROM {res} r LEFT JOIN {p}ip_cls c ON r.ip = c.ip),
+{p}res_agg AS (
   SELECT host, count(ip) AS n_addresses, arg_min(reason, pos) FILTER (WHERE reason IS NOT NULL) AS first_reason
-  FROM res_cls GROUP BY host),
-a_join AS (
+  FROM {p}res_cls GROUP BY host),
+{p}a_join AS (
   SELECT l.*, c.cls AS lit_reason, r.n_addresses, r.first_reason
-  FROM a_lit2 l LEFT JOIN a_lit_cls c ON l.{key} = c.{key} AND l.is_lit
-  LEFT JOIN res_agg r ON l.host = r.host AND NOT l.is_lit),
-a_stat AS (
+  FROM {p}a_lit2 l LEFT JOIN {p}a_lit_cls c ON l.{key} = c.{key} AND l.is_lit
+  LEFT JOIN {p}res_agg r ON l.host = r.host AND NOT l.is_lit),
+{p}a_stat AS (
   SELECT *,
     CASE WHEN is_lit THEN lit_reason WHEN n_addresses = 0 THEN 'unresolvable' ELSE first_reason END AS why,
-    scheme IN ('http', 'https') AS web FROM a_join),
-adm AS (
+    scheme IN ('http', 'https') AS web FROM {p}a_join),
+{p}adm AS (
   SELECT *,
     CASE WHEN malformed THEN 'invalid_url' WHEN NOT web THEN 'refused' WHEN host = '' THEN 'refused'
          WHEN bad_port THEN 'invalid_url' WHEN NOT is_lit AND n_addresses IS NULL THEN 'refused'
@@ -177,7 +178,7 @@ adm AS (
          WHEN bad_port THEN 'invalid port in URL ' || {col}
          WHEN NOT is_lit AND n_addresses IS NULL THEN 'cannot resolve ' || host
          WHEN why IS NOT NULL THEN host || ' maps to a ' || why || ' address' END AS message
-  FROM a_stat)"""
+  FROM {p}a_stat)"""
 
 
 RESOURCES = f"""

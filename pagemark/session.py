@@ -24,6 +24,8 @@ DEFAULTS = {
     # Duplicate header names in a request: the last one wins (L1).
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files of cut lineage are removed once unreferenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -77,3 +79,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def cut_lineage(df):
+    """Materialize ``df`` reliably in the shared checkpoint folder and return
+    a DataFrame reading it back.
+
+    Used for narrow verdict tables that later steps filter on and reuse
+    several times: the written copy survives executor loss, is computed
+    once, and keeps the optimizer from inlining the address-parsing
+    expressions into every filter pushed below them.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -160,3 +160,61 @@ def render_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(250).cast("long").alias("poll_interval_ms"),
         F.create_map(F.lit("commit"), n, F.lit("domcontentloaded"), n * 2,
                      F.lit("load"), n * 4, F.lit("networkidle"), n * 8).alias("nav_ms"))
+
+
+SHELL_STUB = ("<html><head><title>App</title></head><body><div id=\"root\">"
+              "<p>You need to enable JavaScript to run this app.</p></div></body></html>")
+SHELL_PAD = "<script src=\"/static/chunk.js\"></script>"
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 captured HTTP responses keyed by request URL.
+
+    Page p redirects to page p+1 (p % 50 = 49: back to p-2) unless p % 9 = 8;
+    the Location is absolute (p % 3 = 0), scheme-relative (1) or a same-host
+    `/moved/<p>` path (2) whose own response redirects on to the target.
+    p % 41 = 0 answers 302 without a Location. Final pages: 404 for p % 20 = 0,
+    500 for 1, else 200; native Markdown when p % 7 = 0 (empty when p % 14 = 0);
+    a JavaScript shell body when p % 11 = 0 (padded past 5,000 characters when
+    p % 22 = 0); connect error when p % 43 = 0; elapsed_ms = p * 37 % 11000.
+    """
+    p = tables.pages(spark, sf_dir).select("page_id", "url", "html")
+    pid = F.col("page_id")
+    tgt = p.select(F.col("page_id").alias("t_id"), F.col("url").alias("t_url"))
+    nxt = F.when(pid % 50 == 49, pid - 2).otherwise(pid + 1)
+    j = p.join(tgt, (nxt == F.col("t_id")) & (pid % 9 != 8), "left")
+    redirects = F.col("t_url").isNotNull() & (pid % 41 != 0)
+    origin = F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    moved = F.concat(F.lit("/moved/"), pid.cast("string"))
+    location = (F.when(pid % 3 == 0, F.col("t_url"))
+                .when(pid % 3 == 1, F.expr("substring(t_url, instr(t_url, ':') + 1)"))
+                .otherwise(moved))
+    md_body = F.when(pid % 14 == 0, F.lit("")).otherwise(
+        F.concat(F.lit("# Page "), pid.cast("string"), F.lit("\n\nServed as Markdown.")))
+    pad = F.expr(f"repeat('{SHELL_PAD}', 200)")
+    body = (F.when(pid % 7 == 0, md_body)
+            .when(pid % 22 == 0, F.concat(pad, F.lit(SHELL_STUB)))
+            .when(pid % 11 == 0, F.lit(SHELL_STUB))
+            .otherwise(F.col("html")))
+    status = (F.when(redirects, F.element_at(F.array(*[F.lit(s) for s in (301, 302, 303, 307, 308)]),
+                                             (pid % 5 + 1).cast("int")))
+              .when((pid % 41 == 0) & F.col("t_url").isNotNull(), F.lit(302))
+              .when(pid % 20 == 0, F.lit(404)).when(pid % 20 == 1, F.lit(500)).otherwise(F.lit(200)))
+    ctype = F.when(~redirects & (pid % 7 == 0), F.lit("text/markdown; charset=utf-8")).otherwise(F.lit("text/html"))
+    err = pid % 43 == 0
+    main = j.select(
+        "page_id", "url",
+        F.when(err, F.lit(None).cast("int")).otherwise(status).alias("status"),
+        F.when(err, F.lit(None).cast("map<string,string>")).otherwise(
+            F.create_map(F.lit("content-type"), ctype, F.lit("location"),
+                         F.when(redirects, location)))
+        .alias("headers"),
+        F.when(err | redirects, F.lit("")).otherwise(body).alias("body"),
+        ((pid * 37) % 11000).cast("long").alias("elapsed_ms"),
+        F.when(err, F.lit("connect error")).alias("error"))
+    second = j.where(redirects & (pid % 3 == 2)).select(
+        "page_id", F.concat(origin, moved).alias("url"), F.lit(308).alias("status"),
+        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("location"), F.col("t_url")).alias("headers"),
+        F.lit("").alias("body"), ((pid * 37 + 1) % 11000).cast("long").alias("elapsed_ms"),
+        F.lit(None).cast("string").alias("error"))
+    return main.unionByName(second)

@@ -105,7 +105,7 @@ QUAD_RE = "^" + "\\.".join([OCTET] * 4) + "$"
 
 def v4_from_quad(s: Column) -> Column:
     """Dotted quad without leading zeros, each part <= 255, else null."""
-    parts = [F.regexp_extract(s, QUAD_RE, i).cast("long") for i in range(1, 5)]
+    parts = [F.regexp_extract(s, QUAD_RE, i).try_cast("long") for i in range(1, 5)]
     ok = s.rlike(QUAD_RE)
     for p in parts:
         ok = ok & (p <= 255)

@@ -91,7 +91,7 @@ def query_param(query: Column, name: str) -> Column:
     items = F.split(query, "&")
     prefix = name + "="
     vals = F.filter(items, lambda x: x.startswith(prefix) & (F.length(x) > len(prefix)))
-    first = F.element_at(vals, 1)
+    first = F.try_element_at(vals, F.lit(1))
     raw = F.substring(first, len(prefix) + 1, 1 << 30)
     return F.coalesce(F.try_url_decode(raw), raw, F.lit(""))
 

@@ -218,3 +218,85 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("body"), ((pid * 37 + 1) % 11000).cast("long").alias("elapsed_ms"),
         F.lit(None).cast("string").alias("error"))
     return main.unionByName(second)
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 request log from events: (id, ts, scope_type, path, query_string,
+    headers ARRAY<STRUCT<name, value>>, client_ip).
+
+    Rules: websocket scope when event_id % 97 = 0; path `/.well-known/x` for
+    signups, `/.well-known` when event_id % 31 = 0, `/.well-knownx` when
+    event_id % 37 = 0, else `/mcp`; query `key=k<user_id % 9>&v=<event_id>`
+    (blank key first when event_id % 13 = 0, no key when % 17 = 0, an
+    encoded non-key when % 19 = 0); identity headers by user_id % 5; a Host
+    header (`evil.example` for user_id % 10 = 3); no peer when user_id % 50 = 7.
+    """
+    ev = events(spark, sf_dir)
+    eid, uid = F.col("event_id"), F.col("user_id")
+    key = F.concat(F.lit("key=k"), (uid % 9).cast("string"))
+    v = F.concat(F.lit("v="), eid.cast("string"))
+    query = (F.when(eid % 13 == 0, F.concat(F.lit("key=&"), key, F.lit("&"), v))
+             .when(eid % 17 == 0, v)
+             .when(eid % 19 == 0, F.concat(F.lit("key=a+b%20c&"), v))
+             .otherwise(F.concat(key, F.lit("&"), v)))
+    path = (F.when(F.col("event_type") == "signup", "/.well-known/x")
+            .when(eid % 31 == 0, "/.well-known").when(eid % 37 == 0, "/.well-knownx").otherwise("/mcp"))
+    octet = (uid % 256).cast("string")
+
+    def h(name, value):
+        return F.struct(F.lit(name).alias("name"), value.alias("value"))
+
+    host = h("Host", F.when(uid % 10 == 3, F.lit("evil.example")).otherwise(F.lit("localhost:8787")))
+    ident = (F.when(uid % 5 == 0, F.array(host, h("CF-Connecting-IP", F.concat(F.lit("203.0.113."), octet))))
+             .when(uid % 5 == 1, F.array(host, h("X-Forwarded-For",
+                                                 F.concat(F.lit("198.51.100."), octet, F.lit(", 10.0.0.1")))))
+             .when(uid % 5 == 2, F.array(host, h("x-forwarded-for", F.lit("")),
+                                         h("X-Forwarded-For", F.concat(F.lit(" 192.0.2."), octet))))
+             .otherwise(F.array(host)))
+    peer = F.when(uid % 50 == 7, F.lit(None).cast("string")).otherwise(
+        F.concat(F.lit("10.1."), octet, F.lit("."), ((uid / 256).cast("long") % 256).cast("string")))
+    return ev.select(
+        eid.alias("id"), "ts",
+        F.when(eid % 97 == 0, F.lit("websocket")).otherwise(F.lit("http")).alias("scope_type"),
+        path.alias("path"), query.alias("query_string"), ident.alias("headers"), peer.alias("client_ip"))
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.events(spark, sf_dir)
+
+
+# --- fixed values: key file versions (A4 lines, L7 load times) ---------------
+KEY_FILE_VERSIONS = (
+    ("2024-01-01 00:00:00", ["k0", " k1 ", "", "# retired", "k2", "  # k9", "k3", "k4", "k0"]),
+    ("2024-01-15 00:00:00", ["# rotated", "k3", "k4", "k5 ", "", "k6", "k7"]),
+)
+ALLOWED_HOSTS_OPTION = "127.0.0.1, localhost,,"
+
+
+def key_lines(spark: SparkSession) -> DataFrame:
+    """Raw key-file lines per version: (loaded_at TIMESTAMP, line_no, line)."""
+    rows = [(ts, i, line) for ts, lines in KEY_FILE_VERSIONS for i, line in enumerate(lines)]
+    df = spark.createDataFrame(rows, "loaded_at string, line_no int, line string")
+    return df.withColumn("loaded_at", F.to_timestamp("loaded_at"))
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L11 input: one access-log record per event, message plus arguments."""
+    ev = tables.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    eid, uid = F.col("event_id"), F.col("user_id")
+    msg = (F.when(eid % 5 == 0, F.concat(F.lit("key="), uid.cast("string"), F.lit(" at line start")))
+           .otherwise(F.concat(F.lit("GET /mcp?key="), uid.cast("string"), F.lit("&v="), eid.cast("string"))))
+    args = F.array(F.concat(F.lit("/mcp?v=1&key=s"), uid.cast("string")), F.col("event_type"),
+                   F.concat(F.lit("x?key="), eid.cast("string"), F.lit(" y")))
+    return ev.select(eid.alias("id"), msg.alias("msg"), args.alias("args"))
+
+
+def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B14 input: host+port lookups from events (host by user_id % 58, port
+    443 for purchases and signups, else 80)."""
+    ev = events(spark, sf_dir)
+    return ev.select(
+        F.col("event_id").alias("id"),
+        F.concat(F.lit("h"), (F.col("user_id") % 58).cast("string"), F.lit(".example")).alias("host"),
+        F.when(F.col("event_type").isin("purchase", "signup"), 443).otherwise(80).alias("port"),
+        "ts")

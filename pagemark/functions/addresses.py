@@ -176,9 +176,11 @@ def with_int_literal(df: DataFrame, host: str, v4_out: str, v6_out: str) -> Data
         "_a": F.when(F.length("_dec") > 1, F.col("_dec").substr(F.lit(1), F.length("_dec") - 1)
                      .cast(dec38)).otherwise(F.lit(0).cast(dec38)),
         "_d": F.col("_dec").substr(F.length("_dec"), F.lit(1)).cast(dec38)})
-    d = d.withColumn("_a_hi", F.floor(F.col("_a") / two64).cast(dec38))
+    # `div` is exact integral division (plain `/` on DECIMAL(38,0) rounds).
+    t64 = f"CAST('{TWO_64}' AS DECIMAL(38,0))"
+    d = d.withColumn("_a_hi", F.expr(f"_a div {t64}").cast(dec38))
     d = d.withColumn("_low", ((F.col("_a") - F.col("_a_hi") * two64) * 10 + F.col("_d")).cast(dec38))
-    d = d.withColumn("_carry", F.floor(F.col("_low") / two64).cast(dec38))
+    d = d.withColumn("_carry", F.expr(f"_low div {t64}").cast(dec38))
     d = d.withColumns({"_hi": (F.col("_a_hi") * 10 + F.col("_carry")).cast(dec38),
                        "_lo": (F.col("_low") - F.col("_carry") * two64).cast(dec38)})
     fits = F.col("_dec").isNotNull() & (F.col("_hi") <= F.lit(MAX_U64).cast(dec38))

@@ -115,7 +115,8 @@ def render_tokens(t: DataFrame) -> DataFrame:
                            F.concat(F.lit("["), inner, F.lit("]("), resolve(F.col("url"), href), F.lit(")"))))
     piece = piece.otherwise(txt)
     return t.select("*", piece.alias("piece"),
-                    F.when(F.col("link_depth") > 0, F.length(inner)).otherwise(0).alias("link_chars"))
+                    F.when(F.col("link_depth") > 0, F.length(inner)).otherwise(0).alias("link_chars"),
+                    F.length(F.when(F.col("pre_depth") > 0, raw).otherwise(txt)).alias("vis_chars"))
 
 
 def page_blocks(tokens: DataFrame) -> DataFrame:
@@ -136,52 +137,55 @@ def page_blocks(tokens: DataFrame) -> DataFrame:
         first("list_no").alias("list_no"),
         first("table_no").alias("table_no"),
         first("row_no").alias("row_no"),
-        F.sum("link_chars").alias("link_chars"))
+        F.sum("link_chars").alias("link_chars"),
+        F.sum("vis_chars").alias("vis_chars"))
     text = F.when(F.col("pre_depth") > 0, F.coalesce("raw", F.lit(""))).otherwise(
         F.trim(H.collapse_ws(F.coalesce("raw", F.lit("")))))
     return b.withColumn("text", text).drop("raw")
 
 
 def block_markdown(blocks: DataFrame) -> DataFrame:
-    """D8 + D9: Markdown of each block; table cells become one pipe row per
-    `tr` (header rule after the first row of each table)."""
+    """D8 + D9: Markdown of each block. Table cells fold into one pipe row per
+    `tr`, carried by the row's first cell (header rule after the first row of
+    each table); the other cells of the row become empty. All windows are on
+    the page partitioning, so this is one pass without a shuffle."""
     tag = F.col("tag")
-    is_cell = tag.isin("td", "th") & (F.col("tbl_depth") > 0)
-    cells = blocks.where(is_cell & (F.col("text") != ""))
-    rows = cells.groupBy("page_id", "url", "table_no", "row_no").agg(
-        F.min("block_no").alias("block_no"),
-        F.expr("listagg(text, ' | ') WITHIN GROUP (ORDER BY block_no)").alias("cells"),
-        F.count(F.lit(1)).alias("n_cells"),
-        F.min_by("chrome_depth", "block_no").alias("chrome_depth"),
-        F.min_by("main_depth", "block_no").alias("main_depth"),
-        F.min_by("ad_depth", "block_no").alias("ad_depth"),
-        F.sum("link_chars").alias("link_chars"))
-    first_row = F.min("row_no").over(Window.partitionBy("page_id", "table_no"))
-    row_md = F.concat(F.lit("| "), F.col("cells"), F.lit(" |"))
-    rows = rows.select(
-        "page_id", "url", "block_no", F.lit("tr").alias("tag"),
-        F.when(F.col("row_no") == first_row,
-               F.concat(row_md, F.lit("\n|"), F.expr("repeat(' --- |', n_cells)")))
-        .otherwise(row_md).alias("md"),
-        "chrome_depth", "main_depth", "ad_depth", "link_chars",
-        F.length(F.col("cells")).alias("chars"))
-
-    other = blocks.where(~is_cell)
+    text = F.col("text")
+    is_cell = tag.isin("td", "th") & (F.col("tbl_depth") > 0) & (text != "")
+    # Non-cells get a row key of their own (block_no), so row windows only
+    # ever span the cells of one table row.
+    b = blocks.withColumn("_cell", is_cell).withColumn(
+        "_row", F.when(F.col("_cell"), F.col("row_no")).otherwise(-F.col("block_no") - 1))
+    row_w = Window.partitionBy("page_id", "table_no", "_row").orderBy("block_no")
+    row_all = row_w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    b = b.withColumns({
+        "_cells": F.array_join(F.collect_list(F.when(F.col("_cell"), text)).over(row_all), " | "),
+        "_n_cells": F.count(F.lit(1)).over(row_all),
+        "_row_rank": F.row_number().over(row_w),
+        "_row_links": F.sum("link_chars").over(row_all),
+        "_row_vis": F.sum("vis_chars").over(row_all)})
+    b = b.withColumn("_first_row", F.min(F.when(F.col("_cell"), F.col("row_no"))).over(
+        Window.partitionBy("page_id", "table_no")))
+    row_md = F.concat(F.lit("| "), F.col("_cells"), F.lit(" |"))
+    row_md = F.when(F.col("row_no") == F.col("_first_row"),
+                    F.concat(row_md, F.lit("\n|"), F.expr("repeat(' --- |', int(_n_cells))"))).otherwise(row_md)
     level = F.when(tag.isin(*H.HEADINGS), F.substring(tag, 2, 1).cast("int"))
     li_ol = (tag == "li") & (F.col("list_kind") == "ol")
     num = F.row_number().over(Window.partitionBy("page_id", "list_no", li_ol).orderBy("block_no"))
-    text = F.col("text")
-    md = (F.when(text == "", F.lit(""))
+    md = (F.when(F.col("_cell"), F.when(F.col("_row_rank") == 1, row_md).otherwise(F.lit("")))
+          .when(text == "", F.lit(""))
           .when(level.isNotNull(), F.concat(F.expr("repeat('#', int(substring(tag, 2, 1)))"), F.lit(" "), text))
           .when(li_ol, F.concat(num.cast("string"), F.lit(". "), text))
           .when(tag == "li", F.concat(F.lit("- "), text))
           .when(F.col("pre_depth") > 0, F.concat(F.lit("```\n"), text, F.lit("\n```")))
           .otherwise(text))
-    md = F.when((F.col("quote_depth") > 0) & (md != ""), F.concat(F.lit("> "), md)).otherwise(md)
-    other = other.select("page_id", "url", "block_no", "tag", md.alias("md"),
-                         "chrome_depth", "main_depth", "ad_depth", "link_chars",
-                         F.length(text).alias("chars"))
-    return other.unionByName(rows)
+    md = F.when((F.col("quote_depth") > 0) & ~F.col("_cell") & (md != ""), F.concat(F.lit("> "), md)).otherwise(md)
+    first_cell = F.col("_cell") & (F.col("_row_rank") == 1)
+    return b.select(
+        "page_id", "url", "block_no", F.when(first_cell, F.lit("tr")).otherwise(tag).alias("tag"),
+        md.alias("md"), "chrome_depth", "main_depth", "ad_depth",
+        F.when(first_cell, F.col("_row_links")).otherwise(F.col("link_chars")).alias("link_chars"),
+        F.when(first_cell, F.col("_row_vis")).otherwise(F.col("vis_chars")).alias("chars"))
 
 
 def block_features(md_blocks: DataFrame) -> DataFrame:
@@ -207,12 +211,12 @@ def boilerplate_blocks(features: DataFrame, min_pages: int = H.BOILERPLATE_MIN_P
             .where(F.col("n_pages") >= min_pages))
 
 
-def kept_blocks(md_blocks: DataFrame, scope: str = "outside_main",
-                min_pages: int = H.BOILERPLATE_MIN_PAGES) -> DataFrame:
-    """Keep rule. Inside article/main when the page has one, else outside
-    chrome regions with link density <= 0.5 (or a heading); never inside an
-    ad-like div; repeated boilerplate drops per ``scope``
-    (``outside_main`` | ``all`` | ``none``).
+def keep_flags(md_blocks: DataFrame, scope: str = "outside_main",
+               min_pages: int = H.BOILERPLATE_MIN_PAGES) -> DataFrame:
+    """Every block with a ``keep`` flag. Inside article/main when the
+    page has one, else outside chrome regions with link density <= 0.5 (or a
+    heading); never inside an ad-like div; repeated boilerplate drops per
+    ``scope`` (``outside_main`` | ``all`` | ``none``).
 
     The boilerplate set is one row per repeated hash; the join back is a
     left join on the hash, which AQE turns into a broadcast when the
@@ -223,16 +227,21 @@ def kept_blocks(md_blocks: DataFrame, scope: str = "outside_main",
         raise ValueError(f"unknown boilerplate scope {scope}")
     f = block_features(md_blocks).withColumn(
         "has_main", F.max(F.col("in_main").cast("int")).over(Window.partitionBy("page_id")) > 0)
-    has_main = F.col("has_main")
     dense_ok = (2 * F.col("link_chars") <= F.col("chars")) | F.col("is_heading")
     keep = ((F.col("md") != "") & ~F.col("in_ad")
-            & F.when(has_main, F.col("in_main")).otherwise(~F.col("in_chrome") & dense_ok))
-    cand = f.where(keep)
+            & F.when(F.col("has_main"), F.col("in_main")).otherwise(~F.col("in_chrome") & dense_ok))
+    f = f.withColumn("keep", keep)
     if scope != "none":
         bp = boilerplate_blocks(f, min_pages).select("block_hash", F.lit(True).alias("is_bp"))
-        cand = cand.join(bp, "block_hash", "left")
+        f = f.join(bp, "block_hash", "left")
         drop = F.col("is_bp").isNotNull()
         if scope == "outside_main":
             drop = drop & ~F.col("in_main")
-        cand = cand.where(~drop)
-    return cand.select("page_id", "url", "block_no", "md")
+        f = f.withColumn("keep", F.col("keep") & ~drop).drop("is_bp")
+    return f
+
+
+def kept_blocks(md_blocks: DataFrame, scope: str = "outside_main",
+                min_pages: int = H.BOILERPLATE_MIN_PAGES) -> DataFrame:
+    """The kept blocks only."""
+    return keep_flags(md_blocks, scope, min_pages).where(F.col("keep")).select("page_id", "url", "block_no", "md")

@@ -5,21 +5,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemark.operators import blocks as B
+from pagemark.session import cut_lineage
 from pagemark.sources import tables
 
 
-def page_markdown(pages: DataFrame, scope: str = "outside_main") -> DataFrame:
+def page_markdown(pages: DataFrame, scope: str = "outside_main", materialize: bool = True) -> DataFrame:
     """Kept blocks joined by a blank line in block order; null when a
-    page keeps nothing. One row per input page."""
-    toks = B.page_tokens(pages)
-    mdb = B.block_markdown(B.page_blocks(toks))
-    kept = B.kept_blocks(mdb, scope)
-    md = kept.groupBy("page_id").agg(
-        F.expr("listagg(md, '\\n\\n') WITHIN GROUP (ORDER BY block_no)").alias("markdown"))
-    # Every page keeps its row (the token explode is outer, so pages without
-    # tags reach here too); the join is on the page key both sides share.
-    ids = toks.select("page_id", "url").distinct()
-    return ids.join(md, "page_id", "left")
+    page keeps nothing. One row per input page.
+
+    The block table feeds two branches (the corpus-wide boilerplate count
+    and the per-page assembly); with ``materialize`` it is written once to
+    the checkpoint folder instead of being recomputed from the tokens for
+    each branch.
+    """
+    mdb = B.block_markdown(B.page_blocks(B.page_tokens(pages)))
+    if materialize and scope != "none":
+        mdb = cut_lineage(mdb)
+    flagged = B.keep_flags(mdb, scope)
+    return flagged.groupBy("page_id", "url").agg(F.expr(
+        "listagg(md, '\\n\\n') WITHIN GROUP (ORDER BY block_no) FILTER (WHERE keep)").alias("markdown"))
 
 
 def size_saving(pages: DataFrame, md: DataFrame) -> DataFrame:

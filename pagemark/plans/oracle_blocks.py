@@ -133,7 +133,8 @@ rendered AS (
       WHEN tag = 'a' AND href <> '' AND nxt = '/a' THEN CASE WHEN inner_t = '' THEN ''
         ELSE '[' || inner_t || '](' || {resolve_sql('url', 'href')} || ')' END
       ELSE txt END AS piece,
-    CASE WHEN link_depth > 0 THEN length(inner_t) ELSE 0 END AS link_chars
+    CASE WHEN link_depth > 0 THEN length(inner_t) ELSE 0 END AS link_chars,
+    length(CASE WHEN pre_depth > 0 THEN raw_t ELSE txt END) AS vis_chars
   FROM (SELECT *, trim(txt) AS inner_t FROM texts)),
 blocks_raw AS (
   SELECT page_id, url, block_no,
@@ -149,7 +150,8 @@ blocks_raw AS (
     arg_min_null(list_no, pos) AS list_no,
     arg_min_null(table_no, pos) AS table_no,
     arg_min_null(row_no, pos) AS row_no,
-    sum(link_chars) AS link_chars
+    sum(link_chars) AS link_chars,
+    sum(vis_chars) AS vis_chars
   FROM rendered GROUP BY page_id, url, block_no),
 page_blocks AS (
   SELECT * EXCLUDE (raw),
@@ -163,18 +165,18 @@ row_agg AS (
     arg_min_null(chrome_depth, block_no) AS chrome_depth,
     arg_min_null(main_depth, block_no) AS main_depth,
     arg_min_null(ad_depth, block_no) AS ad_depth,
-    sum(link_chars) AS link_chars
+    sum(link_chars) AS link_chars, sum(vis_chars) AS vis_chars
   FROM cells GROUP BY page_id, url, table_no, row_no),
 table_rows AS (
   SELECT page_id, url, block_no, 'tr' AS tag,
     CASE WHEN row_no = min(row_no) OVER (PARTITION BY page_id, table_no)
          THEN '| ' || cells || ' |' || chr(10) || '|' || repeat(' --- |', n_cells::INT)
          ELSE '| ' || cells || ' |' END AS md,
-    chrome_depth, main_depth, ad_depth, link_chars, length(cells) AS chars
+    chrome_depth, main_depth, ad_depth, link_chars, vis_chars AS chars
   FROM row_agg),
 other_blocks AS (
   SELECT *, (tag = 'li' AND list_kind = 'ol') AS li_ol
-  FROM page_blocks WHERE NOT coalesce(tag IN ('td', 'th') AND tbl_depth > 0, false)),
+  FROM page_blocks WHERE NOT coalesce(tag IN ('td', 'th') AND tbl_depth > 0 AND text <> '', false)),
 other_md AS (
   SELECT page_id, url, block_no, tag,
     CASE WHEN text = '' THEN ''
@@ -183,7 +185,7 @@ other_md AS (
          WHEN tag = 'li' THEN '- ' || text
          WHEN pre_depth > 0 THEN '```' || chr(10) || text || chr(10) || '```'
          ELSE text END AS md0,
-    quote_depth, chrome_depth, main_depth, ad_depth, link_chars, length(text) AS chars
+    quote_depth, chrome_depth, main_depth, ad_depth, link_chars, vis_chars AS chars
   FROM other_blocks),
 block_markdown AS (
   SELECT page_id, url, block_no, tag,

@@ -36,13 +36,34 @@ def q_stream_static_gate(spark, sf_dir):
     return out.select("id", "presented", "key_ok")
 
 
+def q_stream_snapshots(spark, sf_dir):
+    """Snapshot stabilization as keyed streaming state, one micro-batch
+    per poll interval; each URL's captures end with an end-of-captures event."""
+    from pagemark.operators import snapshots as S
+    caps = S.select_mode(derived.snapshots(spark, sf_dir), derived.render_requests(spark, sf_dir))
+    base = F.lit(1704067200000)  # polls on one clock: 2024-01-01 + elapsed
+    caps = caps.select("url", "elapsed_ms", "md", "poll_budget_ms", "poll_interval_ms",
+                       F.lit(False).alias("is_end"))
+    ends = caps.groupBy("url", "poll_budget_ms", "poll_interval_ms").agg(
+        (F.max("elapsed_ms") + 1).alias("elapsed_ms")).select(
+        "url", "elapsed_ms", F.lit(None).cast("string").alias("md"), "poll_budget_ms", "poll_interval_ms",
+        F.lit(True).alias("is_end"))
+    src = caps.unionByName(ends).withColumn("ts", F.timestamp_millis(base + F.col("elapsed_ms")))
+    out = run_stream(spark, "snapshots", src, "ts", lambda s: W.snapshot_stream(s), chunk_s=0.25)
+    return out.select("url", "polls", "how", "md")
+
+
 QUERIES = {
+    "stream_snapshots": q_stream_snapshots,
     "stream_token_bucket": q_stream_token_bucket,
     "stream_lookup_reuse": q_stream_lookup_reuse,
     "stream_static_gate": q_stream_static_gate,
 }
 
+from pagemark.plans.snapshots_job import ORACLE as _SNAP_ORACLE  # noqa: E402
+
 ORACLE = {
+    "stream_snapshots": _SNAP_ORACLE["snapshot_stable"],
     "stream_token_bucket": PJ.ORACLE["token_bucket"],
     "stream_lookup_reuse": PJ.ORACLE["lookup_reuse"],
     "stream_static_gate": PJ.ORACLE["key_check"],

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -82,13 +83,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Materialize ``df`` reliably in the shared checkpoint folder and return
-    a DataFrame reading it back.
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and
+    return a DataFrame reading it back.
 
-    Used for narrow verdict tables that later steps filter on and reuse
-    several times: the written copy survives executor loss, is computed
-    once, and keeps the optimizer from inlining the address-parsing
-    expressions into every filter pushed below them.
+    Used for narrow intermediate tables that later steps branch from, filter
+    on and reuse: the written copy is computed once, survives executor loss
+    (the output committer makes the write atomic), prunes columns on read,
+    and keeps the optimizer from inlining the address-parsing expressions
+    into every filter pushed below them.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

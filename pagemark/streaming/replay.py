@@ -21,21 +21,22 @@ def _base(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def write_in_time_order(df: DataFrame, ts: str, path: str, chunk_s: int = WEEK_S) -> None:
+def write_in_time_order(df: DataFrame, ts: str, path: str, chunk_s: float = WEEK_S) -> None:
     """Append one file per time chunk, oldest first."""
-    chunk = F.floor(F.unix_seconds(F.col(ts)) / chunk_s)
+    chunk = F.floor(F.unix_millis(F.col(ts)) / int(chunk_s * 1000))
     keyed = df.withColumn("_chunk", chunk)
     chunks = sorted(r[0] for r in keyed.select("_chunk").distinct().collect())
     for c in chunks:
         keyed.where(F.col("_chunk") == c).drop("_chunk").coalesce(1).write.mode("append").parquet(path)
 
 
-def run_stream(spark: SparkSession, name: str, source: DataFrame, ts: str, build) -> DataFrame:
+def run_stream(spark: SparkSession, name: str, source: DataFrame, ts: str, build,
+               chunk_s: float = WEEK_S) -> DataFrame:
     """Replay ``source`` as a stream through ``build(stream_df)`` with an
     ``availableNow`` trigger into a Parquet sink; return the sink as a batch
     DataFrame."""
     base = _base(spark, name)
-    write_in_time_order(source, ts, f"{base}/in")
+    write_in_time_order(source, ts, f"{base}/in", chunk_s)
     stream = (spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1)
               .parquet(f"{base}/in"))
     q = (build(stream).writeStream.format("parquet").outputMode("append")

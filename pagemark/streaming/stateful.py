@@ -102,3 +102,51 @@ def static_gate_stream(requests: DataFrame, keys: DataFrame) -> DataFrame:
     """Stream-static joins of the request stream with the key versions
     (broadcast, size-checked inside ``key_asof``) and the key set."""
     return P.key_check(requests, keys).select("id", "presented", "key_ok")
+
+
+SNAP_OUT = "url string, polls long, how string, md string"
+SNAP_STATE = "last_md string, has_last boolean, last_slot long, n_polls long, done boolean"
+
+
+def _snapshot_state_fn():
+    def fn(key, pdfs, state):
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["elapsed_ms", "is_end", "md"],
+                                                                   kind="stable", na_position="first")
+        if state.exists:
+            last_md, has_last, last_slot, n, done = state.get
+        else:
+            last_md, has_last, last_slot, n, done = None, False, -1, 0, False
+        out = []
+        for row in pdf.itertuples(index=False):
+            if done:
+                break
+            if row.is_end:
+                out.append((key[0], n, "exhausted", last_md if has_last else None))
+                done = True
+                break
+            slot = int(row.elapsed_ms) // int(row.poll_interval_ms)
+            if slot == last_slot:
+                continue  # first capture of each interval only
+            last_slot, n = slot, n + 1
+            md = None if pd.isna(row.md) else row.md
+            stable = md is not None and md != "" and has_last and md == last_md
+            expired = int(row.elapsed_ms) >= int(row.poll_budget_ms)
+            if stable or expired:
+                out.append((key[0], n, "stable" if stable else "expired", md))
+                done = True
+                break
+            last_md, has_last = md, True
+        state.update((last_md, has_last, last_slot, n, done))
+        if out:
+            yield pd.DataFrame(out, columns=["url", "polls", "how", "md"])
+    return fn
+
+
+def snapshot_stream(captures: DataFrame, watermark: str = "10 seconds") -> DataFrame:
+    """W3 = F1-F4 on a capture stream (url, ts, elapsed_ms, md,
+    poll_budget_ms, poll_interval_ms, is_end): the result is emitted at the
+    first terminal poll; an end-of-captures event emits the last poll as
+    `exhausted` when none was terminal."""
+    return (captures.withWatermark("ts", watermark).groupBy("url")
+            .applyInPandasWithState(_snapshot_state_fn(), SNAP_OUT, SNAP_STATE, "append",
+                                    GroupStateTimeout.NoTimeout))

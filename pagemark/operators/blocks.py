@@ -41,16 +41,37 @@ def page_tokens(pages: DataFrame) -> DataFrame:
         F.expr("substring(tok, instr(tok, '>') + 1)").alias("text"))
 
 
+def _depths(w):
+    return [F.greatest(F.sum(H.depth_delta(F.col("tag"), fam)).over(w), F.lit(0)).alias(f"{name}_depth")
+            for name, fam in H.REGIONS.items()]
+
+
 def region_depth(tokens: DataFrame) -> DataFrame:
     """D3: running depth of each region family, floored at 0; the opener is
-    inside its region, the closer is not."""
-    w = _running("page_id")
-    out = tokens
-    for name, family in H.REGIONS.items():
-        out = out.withColumn(f"{name}_depth",
-                             F.greatest(F.sum(H.depth_delta(F.col("tag"), family)).over(w),
-                                        F.lit(0)))
-    return out
+    inside its region, the closer is not. One window operator for all."""
+    return tokens.select("*", *_depths(_running("page_id")))
+
+
+def _div_pairs(t: DataFrame) -> DataFrame:
+    """D4 core on a token table that has ``div_run``: level, ad flag, paired
+    closer and the +1/-1 ad interval deltas (one window over (page, level))."""
+    tag = F.col("tag")
+    t = t.withColumns({
+        "div_level": F.when(tag == "div", F.col("div_run")).when(tag == "/div", F.col("div_run") + 1),
+        "is_ad": (tag == "div") & F.col("head").rlike(H.AD_RE)})
+    wl = Window.partitionBy("page_id", "div_level").orderBy("pos")
+    return t.select(
+        "*",
+        F.when((tag == "div") & (F.lead("tag").over(wl) == "/div"), F.lead("pos").over(wl)).alias("close_pos"),
+        F.when(F.col("is_ad"), 1)
+        .when((tag == "/div") & (F.lag("tag").over(wl) == "div")
+              & F.coalesce(F.lag("is_ad").over(wl), F.lit(False)), -1)
+        .otherwise(0).alias("ad_delta")).drop("div_run")
+
+
+def _div_run(w):
+    tag = F.col("tag")
+    return F.sum(F.when(tag == "div", 1).when(tag == "/div", -1).otherwise(0)).over(w).alias("div_run")
 
 
 def tag_intervals(tokens: DataFrame) -> DataFrame:
@@ -61,47 +82,37 @@ def tag_intervals(tokens: DataFrame) -> DataFrame:
     ``ad_depth`` (running depth of ad-like div intervals).
     """
     w = _running("page_id")
-    tag = F.col("tag")
-    div_run = F.sum(F.when(tag == "div", 1).when(tag == "/div", -1).otherwise(0)).over(w)
-    t = tokens.withColumn("div_run", div_run).withColumn(
-        "div_level",
-        F.when(tag == "div", F.col("div_run")).when(tag == "/div", F.col("div_run") + 1))
-    wl = Window.partitionBy("page_id", "div_level").orderBy("pos")
-    is_ad = (tag == "div") & F.col("head").rlike(H.AD_RE)
-    t = t.withColumn("is_ad", is_ad)
-    t = (t.withColumn("close_pos",
-                      F.when((tag == "div") & (F.lead("tag").over(wl) == "/div"),
-                             F.lead("pos").over(wl)))
-         .withColumn("ad_delta",
-                     F.when(F.col("is_ad"), 1)
-                     .when((tag == "/div") & (F.lag("tag").over(wl) == "div")
-                           & F.coalesce(F.lag("is_ad").over(wl), F.lit(False)), -1)
-                     .otherwise(0)))
-    t = t.withColumn("ad_depth", F.greatest(F.sum("ad_delta").over(w), F.lit(0)))
-    return t.drop("div_run", "ad_delta")
+    t = _div_pairs(tokens.select("*", _div_run(w)))
+    return t.select("*", F.greatest(F.sum("ad_delta").over(w), F.lit(0)).alias("ad_depth")).drop("ad_delta")
 
 
 def annotate(tokens: DataFrame) -> DataFrame:
-    """Token table with regions, ad intervals, block numbers and list/table
-    counters (all windows on the page partitioning)."""
-    t = tag_intervals(region_depth(tokens))
+    """Token table with regions, ad intervals, block numbers, list/table
+    counters and the next tag. Three window operators in all: running sums
+    over (page, pos), the div pairing over (page, level, pos), then running
+    counters over (page, pos); all reuse the page partitioning."""
     w = _running("page_id")
+    t = _div_pairs(tokens.select("*", *_depths(w), _div_run(w)))
     tag = F.col("tag")
     is_start = tag.isin(*H.BLOCK_TAGS) | tag.isin(*H.closers(H.BLOCK_TAGS))
-    return (t.withColumn("block_no", F.sum(F.when(is_start, 1).otherwise(0)).over(w))
-            .withColumn("list_kind", F.last(F.when(tag.isin("ul", "ol"), tag), True).over(w))
-            .withColumn("list_no", F.sum(F.when(tag.isin("ul", "ol"), 1).otherwise(0)).over(w))
-            .withColumn("table_no", F.sum(F.when(tag == "table", 1).otherwise(0)).over(w))
-            .withColumn("row_no", F.sum(F.when(tag == "tr", 1).otherwise(0)).over(w)))
+    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).over(w)
+    return t.select(
+        "*",
+        F.greatest(F.sum("ad_delta").over(w), F.lit(0)).alias("ad_depth"),
+        count(is_start).alias("block_no"),
+        F.last(F.when(tag.isin("ul", "ol"), tag), True).over(w).alias("list_kind"),
+        count(tag.isin("ul", "ol")).alias("list_no"),
+        count(tag == "table").alias("table_no"),
+        count(tag == "tr").alias("row_no"),
+        F.lead("tag").over(Window.partitionBy("page_id").orderBy("pos")).alias("nxt")).drop("ad_delta")
 
 
 def render_tokens(t: DataFrame) -> DataFrame:
     """D6 + D7 + D10 at token level: decoded, collapsed text; a mark or link
     whose closer is the next token is wrapped (empty marks dropped); an
     unclosed mark stays plain text. Text inside `pre` is kept raw."""
-    w = Window.partitionBy("page_id").orderBy("pos")
     tag = F.col("tag")
-    nxt = F.lead("tag").over(w)
+    nxt = F.col("nxt")
     raw = H.decode_entities(F.coalesce(F.col("text"), F.lit("")))
     txt = H.collapse_ws(raw)
     inner = F.trim(txt)

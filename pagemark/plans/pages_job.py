@@ -8,6 +8,7 @@ from pagemark.operators import blocks as B
 from pagemark.operators import markdown as M
 from pagemark.functions.urls import resolve
 from pagemark.plans import oracle_blocks as O
+from pagemark.session import cut_lineage
 from pagemark.sources import tables
 from pagemark.sources.derived import region_table_pages
 
@@ -83,7 +84,8 @@ def q_boilerplate_blocks(spark, sf_dir):
 
 
 def q_kept_blocks(spark, sf_dir):
-    k = B.kept_blocks(_md_blocks(spark, sf_dir), scope="all")
+    # The block table feeds the boilerplate count and the keep rule: written once.
+    k = B.kept_blocks(cut_lineage(_md_blocks(spark, sf_dir)), scope="all")
     return k.select("page_id", F.col("block_no").cast("long").alias("block_no"), "md")
 
 

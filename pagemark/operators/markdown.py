@@ -33,7 +33,7 @@ def size_saving(pages: DataFrame, md: DataFrame) -> DataFrame:
     j = md.join(sizes, "page_id")
     md_chars = F.coalesce(F.length("markdown"), F.lit(0))
     return j.select(
-        "page_id", "url", F.col("html_chars").cast("long").alias("html_chars"),
+        "page_id", "url", "markdown", F.col("html_chars").cast("long").alias("html_chars"),
         md_chars.cast("long").alias("md_chars"),
         F.when(F.col("html_chars") > 0,
                F.lit(1000) - F.expr("(coalesce(length(markdown), 0) * 1000) div html_chars"))

@@ -105,8 +105,7 @@ def q_size_saving(spark, sf_dir):
 def flagship(spark, sf_dir):
     """entry(): Markdown and size saving per page."""
     pages = tables.pages(spark, sf_dir)
-    md = M.page_markdown(pages)
-    return M.size_saving(pages, md).join(md.select("page_id", "markdown"), "page_id").select(
+    return M.size_saving(pages, M.page_markdown(pages)).select(
         "page_id", "url", "markdown", "html_chars", "md_chars", "saving_pm")
 
 

@@ -32,21 +32,36 @@ def with_ip_reason(df: DataFrame, ip: str, out: str) -> DataFrame:
     return A.with_class(d, "_r4", "_r6", out).drop("_r4", "_r6")
 
 
+def resolution_summary(resolutions: DataFrame) -> DataFrame:
+    """Per host: number of addresses and the first blocked reason in list order."""
+    return (with_ip_reason(resolutions, "ip", "reason")
+            .groupBy("host").agg(
+                F.count("ip").alias("n_addresses"),
+                F.expr("min_by(reason, pos) FILTER (WHERE reason IS NOT NULL)").alias("first_reason")))
+
+
+def _verdict_cols(j: DataFrame) -> DataFrame:
+    return j.withColumns({
+        "resolved": F.col("n_addresses").isNotNull(),
+        "dns_reason": F.when(F.col("n_addresses") == 0, F.lit("unresolvable")).otherwise(F.col("first_reason"))})
+
+
 def host_verdicts(hosts: DataFrame, resolutions: DataFrame) -> DataFrame:
     """B10 + B11 for distinct hosts: refused if any address is blocked, the
     reason being the first blocked one in list order; an empty answer is
     `unresolvable`; a host with no resolution row failed to resolve."""
-    res = (with_ip_reason(resolutions, "ip", "reason")
-           .groupBy("host").agg(
-               F.count("ip").alias("n_addresses"),
-               F.expr("min_by(reason, pos) FILTER (WHERE reason IS NOT NULL)").alias("first_reason")))
-    j = hosts.join(res, "host", "left")
-    return j.select(
-        "host",
-        F.col("n_addresses").isNotNull().alias("resolved"),
-        F.coalesce(F.col("n_addresses"), F.lit(0)).cast("long").alias("n_addresses"),
-        F.when(F.col("n_addresses") == 0, F.lit("unresolvable"))
-        .otherwise(F.col("first_reason")).alias("reason"))
+    j = _verdict_cols(hosts.join(resolution_summary(resolutions), "host", "left"))
+    return j.select("host", "resolved",
+                    F.coalesce(F.col("n_addresses"), F.lit(0)).cast("long").alias("n_addresses"),
+                    F.col("dns_reason").alias("reason"))
+
+
+def host_table(hosts: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """Everything admission needs to know about a host, computed once per
+    distinct host (B5-B11, B15): literal form, its class, and the DNS verdict."""
+    h = A.with_class(A.with_literal(hosts, "host"), "lit_v4", "lit_v6", "lit_reason")
+    return _verdict_cols(h.join(resolution_summary(resolutions), "host", "left")).select(
+        "host", "lit_v4", "lit_v6", "lit_reason", "resolved", "dns_reason")
 
 
 def admission(df: DataFrame, resolutions: DataFrame, col: str = "url") -> DataFrame:
@@ -54,31 +69,35 @@ def admission(df: DataFrame, resolutions: DataFrame, col: str = "url") -> DataFr
 
     Adds scheme, host, port, status (`admitted`, `refused`, `invalid_url`),
     reason (address class) and message (the refusal text).
+
+    Only the cheap URL split runs per row; literal parsing, classification
+    and the resolution lookup run once per distinct host (B15) and join back
+    on the host. That join is many-to-one against one row per host: AQE
+    broadcasts the host table when its measured size allows, otherwise it
+    is a sort-merge join whose hot hosts the skew-join rule splits.
     """
-    p = url_parts(df, col)
+    p = U.with_url_parts(df, col)
+    hosts = host_table(p.select("host").distinct(), resolutions)
+    j = p.join(hosts, "host", "left")
     is_lit = F.col("lit_v4").isNotNull() | F.col("lit_v6").isNotNull()
-    web = F.col("scheme").isin("http", "https")
-    # One lookup per distinct host. Literal hosts are not filtered out
-    # here on purpose: a filter on the parsed-literal columns would be pushed
-    # below the parsing projection and inline it; they find no resolution
-    # row and take the literal verdict instead.
-    lookups = U.with_url_parts(df, col).select("host").distinct()
-    verdicts = host_verdicts(lookups, resolutions).withColumnRenamed("reason", "dns_reason")
-    j = A.with_class(p.join(verdicts, "host", "left"), "lit_v4", "lit_v6", "lit_reason")
-    j = j.withColumn("why", F.when(is_lit, F.col("lit_reason")).otherwise(F.col("dns_reason")))
+    j = j.withColumns({
+        "malformed": F.col("bad_brackets") | (F.col("bracketed") & F.col("lit_v6").isNull()),
+        "why": F.when(is_lit, F.col("lit_reason")).otherwise(F.col("dns_reason"))})
     reason = F.col("why")
+    web = F.col("scheme").isin("http", "https")
+    resolved = F.coalesce(F.col("resolved"), F.lit(False))
     status = (F.when(F.col("malformed"), "invalid_url")
               .when(~web, "refused")
               .when(F.col("host") == "", "refused")
               .when(F.col("bad_port"), "invalid_url")
-              .when(~is_lit & ~F.col("resolved"), "refused")
+              .when(~is_lit & ~resolved, "refused")
               .when(reason.isNotNull(), "refused")
               .otherwise("admitted"))
     message = (F.when(F.col("malformed"), F.concat(F.lit("invalid URL "), F.col(col)))
                .when(~web, F.format_string("scheme '%s' not allowed (http/https only)", F.col("scheme")))
                .when(F.col("host") == "", F.lit("no host in URL"))
                .when(F.col("bad_port"), F.concat(F.lit("invalid port in URL "), F.col(col)))
-               .when(~is_lit & ~F.col("resolved"), F.concat(F.lit("cannot resolve "), F.col("host")))
+               .when(~is_lit & ~resolved, F.concat(F.lit("cannot resolve "), F.col("host")))
                .when(reason.isNotNull(), F.format_string("%s maps to a %s address", F.col("host"), reason)))
     j = j.withColumn("status", status)
     return j.withColumns({"reason": F.when(F.col("status") == "refused", reason), "message": message})

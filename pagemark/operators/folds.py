@@ -3,7 +3,8 @@
 Both folds forget their past after a long enough gap: a bucket is full again
 after ``capacity / refill`` of idle time, and a cached verdict has expired
 after ``ttl``. So each key's events split into independent segments at such
-gaps (a lag window marks them), and the fold runs keyed by (key, segment):
+gaps (lag windows per key and time bucket mark them, see ``segments``), and
+the fold runs keyed by (key, segment):
 the shuffle spreads one busy key's segments over many tasks, each task
 streams its sorted rows through a small pandas loop with O(1) state, and
 no group is ever collected into one array or one row.
@@ -38,14 +39,37 @@ class Bucket:
         return self.capacity * self.period_us
 
 
-def segments(df: DataFrame, key: list[str], ts: str, id_col: str, gap_us: int) -> DataFrame:
-    """Adds ``seg``: running count of gaps >= ``gap_us`` per key, in (ts, id) order."""
-    w = Window.partitionBy(*key).orderBy(ts, id_col)
-    prev = F.lag(ts).over(w)
-    start = F.when(prev.isNull() | (F.col(ts) - prev >= gap_us), 1).otherwise(0)
-    return df.withColumn("_start", start).withColumn(
-        "seg", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ).drop("_start")
+def segments(df: DataFrame, key: list[str], ts: str, id_col: str, gap_us: int,
+             bucket_us: int = 3_600_000_000) -> DataFrame:
+    """Adds ``seg``: the timestamp of the segment's first row, where a segment
+    starts at a key's first row or after a gap of at least ``gap_us``.
+
+    Skew-safe: windows run per (key, time bucket), so a key with a third of
+    all rows still spreads over many tasks; what a bucket needs from earlier
+    buckets (last timestamp, last segment start) comes from a per-(key,
+    bucket) aggregate, a table of at most one row per key and bucket.
+    """
+    b = F.floor(F.col(ts) / max(bucket_us, gap_us, 1)).cast("long")
+    d = df.withColumn("_b", b)
+    wb = Window.partitionBy(*key, "_b").orderBy(ts, id_col)
+    d = d.withColumn("_prev", F.lag(ts).over(wb))
+    # Per (key, bucket): last timestamp; previous non-empty bucket's last one.
+    agg = d.groupBy(*key, "_b").agg(F.max(ts).alias("_bmax"))
+    wk = Window.partitionBy(*key).orderBy("_b")
+    agg = agg.withColumn("_carry_ts", F.lag("_bmax").over(wk))
+    d = d.join(agg.select(*key, "_b", "_carry_ts"), [*key, "_b"])
+    prev = F.coalesce(F.col("_prev"), F.col("_carry_ts"))
+    d = d.withColumn("_start", F.when(prev.isNull() | (F.col(ts) - prev >= gap_us), F.col(ts)))
+    # Last start inside the bucket so far; rows before a bucket's first start
+    # inherit the last start of the earlier buckets.
+    run = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_seg_in", F.last("_start", True).over(run))
+    starts = d.groupBy(*key, "_b").agg(F.max("_start").alias("_last_start"))
+    starts = starts.withColumn("_carry_seg", F.last("_last_start", True).over(
+        wk.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.join(starts.select(*key, "_b", "_carry_seg"), [*key, "_b"])
+    return d.withColumn("seg", F.coalesce(F.col("_seg_in"), F.col("_carry_seg"))).drop(
+        "_b", "_prev", "_carry_ts", "_start", "_seg_in", "_carry_seg")
 
 
 def _sorted_by_segment(df: DataFrame, key: list[str], ts: str, id_col: str) -> DataFrame:

@@ -72,30 +72,34 @@ def class_rows():
     return rows
 
 
-def _in_any(key: Column, ranges) -> Column:
-    cond = F.lit(False)
-    for lo, hi in ranges:
-        cond = cond | key.between(F.lit(lo), F.lit(hi))
-    return cond
-
-
-def _classify(key: Column, classes, exceptions) -> Column:
-    out = None
-    exc = _in_any(key, [cidr_range(c) for c in exceptions])
+def _classify_sql(key: str, classes, exceptions, quoted: bool) -> str:
+    """The class table compiled to one SQL CASE over column ``key`` (built as
+    text and parsed once: building it from Column objects costs hundreds of
+    driver round trips)."""
+    def lit(v):
+        return f"'{v}'" if quoted else str(v)
+
+    def in_any(cidrs):
+        parts = [f"({key} >= {lit(lo)} AND {key} <= {lit(hi)})" for lo, hi in map(cidr_range, cidrs)]
+        return "(" + " OR ".join(parts) + ")" if parts else "false"
+
+    arms = []
     for name in CLASS_ORDER:
-        cond = _in_any(key, [cidr_range(c) for c in classes[name]])
-        if name == "private":
-            cond = cond & ~exc
-        out = F.when(cond, F.lit(name)) if out is None else out.when(cond, F.lit(name))
-    return out
+        cond = in_any(classes[name])
+        if name == "private" and exceptions:
+            cond = f"({cond} AND NOT {in_any(exceptions)})"
+        arms.append(f"WHEN {cond} THEN '{name}'")
+    return "CASE " + " ".join(arms) + " END"
 
 
-def v4_class(v4: Column) -> Column:
-    return _classify(v4, V4_CLASSES, V4_PRIVATE_EXCEPTIONS)
+def v4_class(v4: str) -> Column:
+    """Class of an IPv4 address held in BIGINT column ``v4``."""
+    return F.expr(_classify_sql(f"`{v4}`", V4_CLASSES, V4_PRIVATE_EXCEPTIONS, quoted=False))
 
 
-def v6_class(hex32: Column) -> Column:
-    return _classify(hex32, V6_CLASSES, V6_PRIVATE_EXCEPTIONS)
+def v6_class(hex32: str) -> Column:
+    """Class of an IPv6 address held as 32 hex digits in column ``hex32``."""
+    return F.expr(_classify_sql(f"`{hex32}`", V6_CLASSES, V6_PRIVATE_EXCEPTIONS, quoted=True))
 
 
 # --- literal parsing -------------------------------------------------------
@@ -219,6 +223,6 @@ def embedded_v4(hex32: Column) -> Column:
 def with_class(df: DataFrame, v4: str, h6: str, out: str) -> DataFrame:
     """Class of a literal (embedded IPv4 unwrapped first); null = public."""
     d = df.withColumn("_inner", F.coalesce(F.col(v4), embedded_v4(F.col(h6))))
-    d = d.withColumn(out, F.when(F.col("_inner").isNotNull(), v4_class(F.col("_inner")))
-                     .otherwise(v6_class(F.col(h6))))
+    d = d.withColumn(out, F.when(F.col("_inner").isNotNull(), v4_class("_inner"))
+                     .otherwise(v6_class(h6)))
     return d.drop("_inner")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from pagemark.operators import blocks as B
 from pagemark.session import cut_lineage
-from pagemark.sources import tables
 
 
 def page_markdown(pages: DataFrame, scope: str = "outside_main", materialize: bool = True) -> DataFrame:
@@ -78,6 +77,3 @@ def saving_by_host(per_page: DataFrame) -> DataFrame:
         F.col("level").cast("long").alias("level"), "host", "pages", "mean_pm",
         "p25_pm", "p50_pm", "p75_pm", "min_pm", "max_pm")
 
-
-def load_pages(spark, sf_dir):
-    return tables.pages(spark, sf_dir)

@@ -3,22 +3,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagemark.api import convert
 from pagemark.operators import outcomes as T
-from pagemark.operators import snapshots as S
 from pagemark.plans import routing_job as RJ
 from pagemark.plans.snapshots_job import SNAPSHOTS_SQL
 from pagemark.sources import derived
 
 
 def outcomes(spark, sf_dir):
-    verdicts = RJ.admitted_urls(spark, sf_dir)
-    _, routed = RJ.routed(spark, sf_dir, verdicts)
-    req = derived.render_requests(spark, sf_dir)
-    caps = S.select_mode(derived.snapshots(spark, sf_dir), req)
-    settled = S.stabilize(S.cadence(caps))
-    captured = caps.select("url").distinct()
-    out = T.cascade(verdicts, routed, S.navigation(req), settled, captured)
-    return out.join(verdicts.select("page_id", "host"), "page_id")
+    return convert(derived.url_list(spark, sf_dir).select("page_id", "url"),
+                   derived.responses(spark, sf_dir), derived.resolutions(spark, sf_dir),
+                   derived.snapshots(spark, sf_dir), derived.render_requests(spark, sf_dir))
 
 
 def q_tier_cascade(spark, sf_dir):

@@ -117,11 +117,6 @@ def v4_from_quad(s: Column) -> Column:
     return F.when(ok, val)
 
 
-def quad_text(v4: Column) -> Column:
-    return F.concat_ws(".", *[(F.floor(v4 / d) % 256).cast("string")
-                             for d in (16777216, 65536, 256, 1)])
-
-
 def _hex8(v4: Column) -> Column:
     return F.lpad(F.lower(F.hex(v4)), 8, "0")
 

@@ -36,33 +36,6 @@ def host(url: Column) -> Column:
                    .otherwise(F.regexp_extract(hi, "^([^:]*)", 1)))
 
 
-def port_text(url: Column) -> Column:
-    hi = hostinfo(url)
-    return (F.when(hi.startswith("["), F.regexp_extract(hi, "^\\[[^\\]]*\\][^:]*:(.*)$", 1))
-            .otherwise(F.regexp_extract(hi, "^[^:]*:(.*)$", 1)))
-
-
-def bad_brackets(url: Column) -> Column:
-    """urlsplit raises on an unbalanced `[` / `]` in the authority."""
-    a = authority(url)
-    return a.contains("[") != a.contains("]")
-
-
-def bad_port(url: Column) -> Column:
-    """Port that is not all digits or above 65535 (raises in the reference)."""
-    p = port_text(url)
-    return (p != "") & (~p.rlike("^[0-9]+$") | (F.length(p) > 5)
-                        | (F.when(p.rlike("^[0-9]{1,5}$"), p.cast("int")) > 65535))
-
-
-def effective_port(url: Column) -> Column:
-    """Explicit port (0 counts as absent), else 443 for https, else 80."""
-    p = port_text(url)
-    explicit = F.when(p.rlike("^[0-9]{1,5}$"), p.cast("int"))
-    return F.coalesce(F.nullif(explicit, F.lit(0)),
-                      F.when(scheme(url) == "https", F.lit(443)).otherwise(F.lit(80)))
-
-
 def resolve(base: Column, ref: Column) -> Column:
     """Resolve a link or `Location` against a base URL."""
     origin = F.regexp_extract(base, ORIGIN_RE, 0)

@@ -11,6 +11,13 @@ from pagemark.operators import snapshots as S
 from pagemark.session import cut_lineage
 
 
+def verdict_table(urls: DataFrame, responses: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """One admission verdict per distinct URL that the cascade may request:
+    the work list and every captured redirect target, materialized once."""
+    wanted = urls.select("url").unionByName(R.hop_targets(responses)).distinct()
+    return cut_lineage(ADM.admission(wanted, resolutions).select("url", "host", "status", "reason", "message"))
+
+
 def convert(urls: DataFrame, responses: DataFrame, resolutions: DataFrame,
             captures: DataFrame, render_requests: DataFrame) -> DataFrame:
     """One typed outcome per URL (T1, T2): refuse, native Markdown, static
@@ -26,10 +33,10 @@ def convert(urls: DataFrame, responses: DataFrame, resolutions: DataFrame,
     Returns page_id, url, host, tier, status, markdown, message. Each tier
     only sees the URLs the cheaper tiers left.
     """
-    verdicts = cut_lineage(ADM.admission(urls, resolutions).select(
-        "page_id", "url", "host", "status", "reason", "message"))
+    table = verdict_table(urls, responses, resolutions)
+    verdicts = urls.select("page_id", "url").join(table, "url")
     starts = verdicts.where(F.col("status") == "admitted").select("page_id", "url")
-    walked = R.follow(starts, responses, resolutions)
+    walked = R.follow(starts, responses, resolutions, table)
     routed = R.route(starts, walked, responses)
     caps = S.select_mode(captures, render_requests)
     settled = S.stabilize(S.cadence(caps))

@@ -31,28 +31,49 @@ def media_type(headers: str = "headers"):
     return F.lower(F.trim(F.substring_index(ct, ";", 1)))
 
 
-def edges(responses: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """C1 + C2 + C4 per captured response: redirect flag, resolved next hop
-    and the admission verdict of that hop (computed once per response)."""
+def hops(responses: DataFrame) -> DataFrame:
+    """C1 + C2 + C7 per captured response, header columns only: redirect flag
+    and the resolved next hop."""
     r = responses.select(
         "url", F.col("status").alias("http_status"), "elapsed_ms", "error",
         media_type().alias("media_type"), F.col("headers")["location"].alias("location"))
     r = r.withColumn("is_redirect", F.coalesce(
         F.col("http_status").isin(*REDIRECT_CODES) & F.col("location").isNotNull(), F.lit(False)))
-    r = r.withColumn("next_url", F.when(F.col("is_redirect"), resolve(F.col("url"), F.col("location"))))
-    v = ADM.admission(r, resolutions, "next_url")
-    return cut_lineage(v.select(
-        "url", "http_status", "elapsed_ms", "error", "media_type", "is_redirect", "next_url",
-        F.col("status").alias("next_status"), F.col("message").alias("next_message")))
+    return r.withColumn("next_url", F.when(F.col("is_redirect"), resolve(F.col("url"), F.col("location")))
+                        ).drop("location")
 
 
-def follow(starts: DataFrame, responses: DataFrame, resolutions: DataFrame) -> DataFrame:
+def hop_targets(responses: DataFrame) -> DataFrame:
+    """Distinct next-hop URLs of all captured redirects (column ``url``)."""
+    return hops(responses).where(F.col("next_url").isNotNull()).select(F.col("next_url").alias("url")).distinct()
+
+
+def edges(responses: DataFrame, resolutions: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """C4 per captured response: the next hop with its admission verdict.
+
+    ``verdicts`` (url, status, message) may already hold the hop targets
+    (one materialized verdict table for start URLs and hops); otherwise the
+    distinct targets are vetted here and materialized once.
+    """
+    h = hops(responses)
+    if verdicts is None:
+        verdicts = cut_lineage(ADM.admission(hop_targets(responses), resolutions).select(
+            "url", "status", "message"))
+    v = verdicts.select(F.col("url").alias("next_url"), F.col("status").alias("next_status"),
+                        F.col("message").alias("next_message"))
+    # Materialized once: all six walk steps read it, and their filters would
+    # otherwise be pushed into the hop derivation.
+    return cut_lineage(h.join(v, "next_url", "left"))
+
+
+def follow(starts: DataFrame, responses: DataFrame, resolutions: DataFrame,
+           verdicts: DataFrame | None = None) -> DataFrame:
     """Walk at most five redirects from each start URL.
 
     Output per start: start_url, hops, final_url, path (`a -> b -> c`),
     outcome (`response` | `refused` | `fetch_failed`), http_status, message.
     """
-    e = edges(responses, resolutions).withColumnRenamed("url", "cur")
+    e = edges(responses, resolutions, verdicts).withColumnRenamed("url", "cur")
     front = starts.select(F.col("url").alias("start_url"), F.col("url").alias("cur"),
                           F.lit(0).alias("hop"), F.col("url").alias("path"))
     finished = []

@@ -3,29 +3,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemark.operators import admission as ADM
+from pagemark.api import verdict_table
 from pagemark.operators import responses as R
 from pagemark.plans import oracle_admission as OA
 from pagemark.plans import oracle_blocks as O
-from pagemark.session import cut_lineage
 from pagemark.sources import derived
 
 
-def admitted_urls(spark, sf_dir):
-    """Top-level verdict per work-list URL, materialized once (it is filtered
-    and reused by every later tier)."""
-    adm = ADM.admission(derived.url_list(spark, sf_dir), derived.resolutions(spark, sf_dir))
-    return cut_lineage(adm.select("page_id", "url", "host", "status", "reason", "message"))
+def verdicts(spark, sf_dir):
+    """Verdict table for work-list URLs and redirect targets (materialized
+    once) and the work list with its verdicts."""
+    urls = derived.url_list(spark, sf_dir).select("page_id", "url")
+    table = verdict_table(urls, derived.responses(spark, sf_dir), derived.resolutions(spark, sf_dir))
+    return table, urls.join(table, "url")
 
 
-def walk(spark, sf_dir, verdicts=None):
-    v = verdicts if verdicts is not None else admitted_urls(spark, sf_dir)
+def walk(spark, sf_dir):
+    table, v = verdicts(spark, sf_dir)
     starts = v.where(F.col("status") == "admitted").select("page_id", "url")
-    return starts, R.follow(starts, derived.responses(spark, sf_dir), derived.resolutions(spark, sf_dir))
+    return starts, R.follow(starts, derived.responses(spark, sf_dir), derived.resolutions(spark, sf_dir), table)
 
 
-def routed(spark, sf_dir, verdicts=None):
-    starts, w = walk(spark, sf_dir, verdicts)
+def routed(spark, sf_dir):
+    starts, w = walk(spark, sf_dir)
     return starts, R.route(starts, w, derived.responses(spark, sf_dir))
 
 

@@ -23,6 +23,8 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from pagemark.llm.common import narrow
+
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 PATCH = 28             # pixels of an image token's side
 AUDIO_TOKENS = 25      # a second
@@ -96,7 +98,7 @@ def conversations(turns: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct(
             "at", "segment", (F.col("offset") + F.col("loss_from")).alias("from"),
             (F.col("offset") + F.col("loss_to")).alias("to"), "attachments"))).alias("t"))
-    return rows.select(
+    return narrow(rows).select(
         "conv_id", "n_turns", F.array_join(F.col("t.segment"), "").alias("formatted"),
         F.transform(F.filter("t", lambda x: x["from"].isNotNull()),
                     lambda x: F.struct(x["from"].alias("start"), x["to"].alias("stop"))).alias("loss"),

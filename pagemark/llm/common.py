@@ -5,6 +5,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pagemark.session import cut_lineage
+
 # What separates words. The contracts' word classes are the complements; splitting
 # at a class of ASCII characters is several times faster than matching the
 # complement. A-Z are no separators: texts are lower-cased after the split.
@@ -34,3 +36,14 @@ def bind(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body`` (a one-element
     ``transform``), so the optimizer cannot copy it into an inner lambda."""
     return F.transform(F.array(value), body)[0]
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """``df`` in four partitions a core at most: for results of narrow rows that a
+    shuffle has left in many small partitions, so that they become few files."""
+    return df.coalesce(4 * max(2, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def store(df: DataFrame) -> DataFrame:
+    """A narrow table written to the shared checkpoint folder and read back."""
+    return cut_lineage(narrow(df))

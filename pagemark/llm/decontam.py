@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagemark.llm.common import WORD, bind, lower_az, union_all, words
+from pagemark.llm.common import WORD, bind, lower_az, narrow, store, union_all, words
 from pagemark.session import cut_lineage
 
 WINDOW = 13
@@ -56,7 +56,7 @@ def _exploded(docs: DataFrame) -> DataFrame:
 def occurrences(docs: DataFrame, windows: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Every place of every distinct phrase: ``doc_id, text_key, n_words, start, size, phrase``.
     ``docs``: ``doc_id, text_key, w`` (words, not lower-cased)."""
-    phrases = cut_lineage(windows.select("phrase", "size").distinct())
+    phrases = store(windows.select("phrase", "size").distinct())
     blocks = max(1, -(-phrases.count() // block_windows))
     found = []
     for block in range(blocks):
@@ -70,7 +70,7 @@ def occurrences(docs: DataFrame, windows: DataFrame, block_windows: int = BLOCK_
             F.min(F.struct("n", "word", "place")).alias("p")).select(
             "phrase", "size", F.col("p.n").alias("n"), F.col("p.word").alias("word"), F.col("p.place").alias("place"))
         # A window whose rarest word is in no document occurs nowhere.
-        prefix = cut_lineage(rarest.filter("n > 0").select("phrase", "size", "word", "place"))
+        prefix = store(rarest.filter("n > 0").select("phrase", "size", "word", "place"))
         hits = _exploded(docs).join(F.broadcast(prefix), "word")
         start = F.col("pos") - F.col("place")
         fits = (start >= 0) & (start + F.col("size") <= F.size("w"))
@@ -115,7 +115,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     ``, n_words, n_hit, spans`` (merged hit intervals) ``, items`` (ids as strings,
     sorted) ``, contaminated``. One row per distinct id and text."""
     classes, windows = item_windows(items, item_id_col, item_text_col, window)
-    windows = cut_lineage(windows)
+    windows = store(windows)
     hits = cut_lineage(occurrences(_source(docs, id_col, text_col), windows, block_windows))
     key = ["doc_id", "text_key"]
     # Places and items of one document meet in one aggregation; a place and a
@@ -141,7 +141,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     found = matches(docs, items, id_col, text_col, **options).select(
         F.col("doc_id").alias("m_doc"), F.col("text_key").alias("m_key"), "n_hit", "spans", "items", "contaminated")
     rows = _source(docs, id_col, text_col).select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"))
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("text_key") == F.col("m_key")), "left").select(
+    return narrow(rows.join(found, F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("text_key") == F.col("m_key")), "left")).select(
         "doc_id", "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("spans", F.expr(EMPTY_SPANS)).alias("spans"),
         F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),

@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from pagemark.llm import tokens
+from pagemark.llm.common import narrow
 from pagemark.session import checkpoint_dir
 
 KEYS = ("source", "lang", "tokenizer")
@@ -82,7 +83,7 @@ class Rollup:
                 .select("doc_id", *KEYS, "tokens", F.lit(-1).alias("sign")))
         come = new.filter("op IN ('insert', 'revise')").select("doc_id", *KEYS, "tokens", F.lit(1).alias("sign"))
         ledger = f"{self.path}/ledger/batch={batch}"
-        gone.unionByName(come).write.mode("overwrite").parquet(ledger)
+        narrow(gone.unionByName(come)).write.mode("overwrite").parquet(ledger)
         (self.spark.read.schema(SIGNED).parquet(ledger).groupBy(*KEYS)
          .agg(F.sum("sign").cast("long").alias("documents"), F.sum(F.col("tokens") * F.col("sign")).alias("tokens"))
          .coalesce(1).write.mode("overwrite").parquet(f"{self.path}/sums/batch={batch}"))

@@ -28,6 +28,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from pagemark.llm.common import narrow, store
 from pagemark.session import cut_lineage
 
 ROW_BYTES = 8
@@ -133,7 +134,7 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
     rows = cut_lineage(docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(F.coalesce(text, F.lit(""))) + F.lit(row_bytes)).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.xxhash64(text).alias("hash")))
-    groups = cut_lineage(rows.groupBy("hash").agg(F.sum("size").alias("bytes")))
+    groups = store(rows.groupBy("hash").agg(F.sum("size").alias("bytes")))
     # Groups beyond an even share: fewer than `shards` exist.
     largest = [(r["hash"], r["bytes"]) for r in groups.orderBy(F.desc("bytes"), "hash").limit(shards).collect()]
     left = groups.agg(F.sum("bytes")).first()[0] or 0
@@ -158,7 +159,7 @@ def assign(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
     before = W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     inside = W.partitionBy("shard", "cell").orderBy("doc_id", "hash")
-    return (placed.join(F.broadcast(offsets), ["shard", "cell"])
+    return narrow(placed.join(F.broadcast(offsets), ["shard", "cell"])
             .select("doc_id", "size", "text_crc32", "hash", "shard",
                     (F.col("offset") + F.row_number().over(inside) - 1).cast("long").alias("slot")))
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import LongType
 
-from pagemark.llm.common import union_all
+from pagemark.llm.common import narrow, store, union_all
 from pagemark.session import cut_lineage
 
 SHINGLE = 4
@@ -42,7 +42,7 @@ BLOCKS = 6
 CELL_LIMIT = 1 << 15
 _PRODUCT = 64       # node pairs of at most this many leaf pairs are compared directly
 _FRONT = 1 << 17    # node pairs expanded at once
-_PAIRS = 1 << 21    # leaf pairs compared at once
+_PAIRS = 1 << 19    # leaf pairs compared at once
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -252,7 +252,7 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(frame):
         return frame.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    current = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    current = store(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                           .filter("a != b").distinct())
     before = mark(current)
     while before[0]:
@@ -261,7 +261,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        current = cut_lineage(union_all([
+        current = store(union_all([
             small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")),
             least.select("a", F.col("m").alias("b"))]).distinct())
         after = mark(current)
@@ -276,11 +276,11 @@ def classes(prints: DataFrame, max_bits: int = MAX_BITS, cell_limit: int = CELL_
     """``doc_id, text_key, fingerprint, root`` (smallest linked fingerprint)
     ``, component_id`` for a stored table of fingerprints."""
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"))
-    roots = cut_lineage(components(links(distinct, max_bits, cell_limit=cell_limit)))
+    roots = store(components(links(distinct, max_bits, cell_limit=cell_limit)))
     linked = (distinct.join(roots, F.col("fingerprint") == F.col("node"), "left")
               .select("fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root")))
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return prints.join(linked.join(least, "root").select("fingerprint", "root", "component_id"), "fingerprint")
+    return narrow(prints.join(linked.join(least, "root").select("fingerprint", "root", "component_id"), "fingerprint"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,

@@ -22,6 +22,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from pagemark.llm.common import narrow
+
 BUCKET_SECONDS = 86_400
 # Header fields a 304 may not update: they describe the stored representation
 # or one connection.
@@ -89,7 +91,7 @@ def resolve(records: DataFrame, id_col: str = "record_id", url_col: str = "url",
             .otherwise(F.coalesce(F.col("headers")["last-modified"] == F.col("stored")["last-modified"], F.lit(False))))
     outcome = F.when(F.col("found").isNull(), "no_response").when(same, "resolved").otherwise("validator_mismatch")
     told = pair.withColumn("outcome", outcome)
-    return told.select(
+    return narrow(told).select(
         "record_id", "canonical_url", "ts",
         F.when(F.col("outcome") == "resolved", F.col("found.record_id")).alias("response_id"), "outcome",
         F.when(F.col("outcome") == "resolved", merge_headers(F.col("stored"), F.col("headers"))).otherwise(F.col("headers")).alias("headers"))

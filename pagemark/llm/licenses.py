@@ -45,27 +45,27 @@ FAMILIES = (
     ("lgpl", "lesser", ("gnu lesser general public", "lesser general public"), ("2.1", "3", "3.0")),
     ("agpl", "agpl", ("agpl", "gnu agpl"), ("1", "3", "1.0", "3.0")),
     ("agpl", "affero", ("gnu affero general public", "affero general public"), ("3", "3.0")),
-    ("gfdl", "free documentation", ("gnu free documentation", "free documentation"), ("1.1", "1.2", "1.3")),
+    ("gfdl", "documentation", ("gnu free documentation", "free documentation"), ("1.1", "1.2", "1.3")),
     ("mpl", "mozilla", ("mozilla public", "mozilla"), ("1.0", "1.1", "2.0")),
     ("mpl", "mpl", ("mpl",), ("1.0", "1.1", "2.0")),
     ("epl", "eclipse", ("eclipse public", "eclipse"), ("1.0", "2.0")),
-    ("cddl", "common development", ("common development and distribution",), ("1.0", "1.1")),
-    ("eupl", "european union", ("european union public",), ("1.0", "1.1", "1.2")),
+    ("cddl", "cddl", ("common development and distribution",), ("1.0", "1.1")),
+    ("eupl", "european", ("european union public",), ("1.0", "1.1", "1.2")),
     ("artistic", "artistic", ("artistic", "perl artistic"), ("1.0", "2.0")),
     ("isc", "isc", ("isc", "internet systems consortium isc"), ()),
     ("zlib", "zlib", ("zlib", "zlib libpng"), ()),
     ("unlicense", "unlicense", ("unlicense", "the unlicense"), ()),
     ("boost", "boost", ("boost software", "boost"), ("1.0",)),
-    ("psf", "python software", ("python software foundation",), ("2",)),
-    ("ofl", "open font", ("sil open font", "open font"), ("1.0", "1.1")),
-    ("odbl", "open database", ("open database", "open data commons open database"), ("1.0",)),
+    ("psf", "python", ("python software foundation",), ("2",)),
+    ("ofl", "font", ("sil open font", "open font"), ("1.0", "1.1")),
+    ("odbl", "database", ("open database", "open data commons open database"), ("1.0",)),
     ("wtfpl", "wtfpl", ("wtfpl",), ("2",)),
     ("cc0", "cc0", ("cc0", "creative commons cc0"), ("1.0",)),
 ) + tuple(
-    (f"cc-{kind}", f"cc{gap}by" if gap else "creative", (name,), ("1.0", "2.0", "2.5", "3.0", "4.0"))
+    (f"cc-{kind}", keyword, (name,), ("1.0", "2.0", "2.5", "3.0", "4.0"))
     for kind in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
-    for gap, name in ((" ", "cc " + kind.replace("-", " ")), ("-", "cc " + kind.replace("-", " ")),
-                      ("", "creative commons " + {"by": "attribution", "sa": "sharealike", "nd": "noderivs", "nc": "noncommercial"}["by"]
+    for keyword, name in (("cc", "cc " + kind.replace("-", " ")),
+                      ("creative", "creative commons " + {"by": "attribution", "sa": "sharealike", "nd": "noderivs", "nc": "noncommercial"}["by"]
                        + "".join(" " + {"sa": "sharealike", "nd": "noderivs", "nc": "noncommercial"}[x] for x in kind.split("-")[1:]))))
 
 
@@ -78,9 +78,10 @@ def rules() -> tuple[tuple, ...]:
     """(priority, confidence, label, keyword, regex), in order."""
     out = []
     add = lambda *r: out.append((*r[:4], re.compile(r[4])))
-    for label, keyword, names, versions in FAMILIES:
-        keyword = re.split(r"[^0-9a-z]+", keyword)[0]  # one word: whatever stands between words
+    for label, word, names, versions in FAMILIES:
         for name in names:
+            # One word of the name, since anything may stand between words.
+            keyword = word if word in name.split(" ") else name.split(" ")[0]
             for version in (*versions, ""):
                 exact = f"{label}-{version}" if version else label
                 tail = rf"{_GAP}(?:licen[cs]e{_GAP})?(?:version{_GAP}|v\.?[^{_IN}]*)?{_phrase(version)}{_R}" if version else _R

@@ -16,6 +16,12 @@ ORIGIN_RE = "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*"
 ABSOLUTE_RE = "^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
+def clean(url: Column) -> Column:
+    """What is parsed: no leading blanks or control characters, no tab or line
+    break anywhere."""
+    return F.regexp_replace(F.regexp_replace(url, "^[\\x00-\\x20]+", ""), "[\t\r\n]", "")
+
+
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, SCHEME_RE, 1))
 
@@ -36,44 +42,55 @@ def host(url: Column) -> Column:
                    .otherwise(F.regexp_extract(hi, "^([^:]*)", 1)))
 
 
+def _fold_dots(path: Column) -> Column:
+    """A path without its dot segments, however many: `..` drops the segment
+    before it, above the root it drops nothing."""
+    kept = F.aggregate(
+        F.split(F.substring(path, 2, 1 << 30), "/"), F.expr("cast(array() as array<string>)"),
+        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
+    folded = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    closed = F.when(path.rlike("/\\.\\.?$") & (folded != "/"), F.concat(folded, F.lit("/"))).otherwise(folded)
+    return F.when(path.contains("/."), closed).otherwise(path)
+
+
 def resolve(base: Column, ref: Column) -> Column:
-    """Resolve a link or `Location` against a base URL."""
+    """Resolve a link or `Location` against a base URL (RFC 3986, 5.2).
+    References with a scheme or an authority of their own stay as they are;
+    dot segments fold inside the merged path only."""
     origin = F.regexp_extract(base, ORIGIN_RE, 0)
-    no_frag = F.regexp_replace(base, "#.*$", "")
-    no_query = F.regexp_replace(base, "[?#].*$", "")
-    path = F.substring(no_query, F.length(origin) + 1, 1 << 30)
-    folder = F.concat(origin, F.when(path.contains("/"), F.regexp_extract(path, "^(.*/)", 1))
-                      .otherwise(F.lit("/")))
-    joined = (F.when(ref.rlike(ABSOLUTE_RE), ref)
-              .when(ref.startswith("//"), F.concat(scheme(base), F.lit(":"), ref))
-              .when(ref.startswith("/"), F.concat(origin, ref))
-              .when(ref == "", no_frag)
-              .when(ref.startswith("#"), F.concat(no_frag, ref))
-              .when(ref.startswith("?"), F.concat(no_query, ref))
-              .otherwise(F.concat(folder, ref)))
-    # Dot segments: `/./` and one `seg/../` level per pass, two passes.
-    for _ in range(2):
-        joined = F.regexp_replace(joined, "/\\./", "/")
-        joined = F.regexp_replace(joined, "/[^/?#.][^/?#]*/\\.\\./", "/")
-    return joined
+    after = F.substring(base, F.length(origin) + 1, 1 << 30)
+    base_path = F.regexp_extract(after, "^[^?#]*", 0)
+    base_query = F.regexp_extract(after, "^[^?#]*([?][^#]*)?", 1)
+    ref_path = F.regexp_extract(ref, "^[^?#]*", 0)
+    rest = F.substring(ref, F.length(ref_path) + 1, 1 << 30)
+    folder = F.when(base_path == "", F.lit("/")).otherwise(F.regexp_extract(base_path, "^(.*/)", 1))
+    return (F.when(ref.rlike(ABSOLUTE_RE), ref)
+            .when(ref.startswith("//"), F.concat(scheme(base), F.lit(":"), ref))
+            .when(ref_path == "", F.concat(origin, base_path, F.when(rest.startswith("?"), rest).otherwise(F.concat(base_query, rest))))
+            .when(ref_path.startswith("/"), F.concat(origin, _fold_dots(ref_path), rest))
+            .otherwise(F.concat(origin, _fold_dots(F.concat(folder, ref_path)), rest)))
+
+
+def _form_decode(text: Column) -> Column:
+    """`+` and `%XX` decoded as UTF-8; a `%` without two hex digits stays."""
+    return F.url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def query_param(query: Column, name: str) -> Column:
-    """First non-blank value of ``name`` in a query string, `+` and `%XX`
-    decoded (``parse_qs`` drops blank values); '' when there is none."""
-    items = F.split(query, "&")
-    prefix = name + "="
-    vals = F.filter(items, lambda x: x.startswith(prefix) & (F.length(x) > len(prefix)))
+    """First non-blank value of ``name`` in a query string; names and values
+    are decoded alike, items without `=` count as blank; '' when there is none."""
+    vals = F.filter(F.split(query, "&"), lambda x: x.contains("=") & (F.length(x) > F.instr(x, "="))
+                    & (_form_decode(F.substring_index(x, "=", 1)) == name))
     first = F.try_element_at(vals, F.lit(1))
-    raw = F.substring(first, len(prefix) + 1, 1 << 30)
-    return F.coalesce(F.try_url_decode(raw), raw, F.lit(""))
+    return F.coalesce(_form_decode(first.substr(F.instr(first, "=") + 1, F.lit(1 << 30))), F.lit(""))
 
 
 def with_url_parts(df, col: str = "url"):
     """B1-B4 as staged columns: scheme, host, port (effective), bracketed,
     bad_brackets, bad_port. Each regex runs once per row."""
-    u = F.col(col)
-    d = df.withColumns({"scheme": scheme(u), "_auth": authority(u)})
+    u = F.col("_url")
+    d = df.withColumn("_url", clean(F.col(col))).withColumns({"scheme": scheme(u), "_auth": authority(u)})
     d = d.withColumn("_hi", F.regexp_extract("_auth", "([^@]*)$", 1))
     hi = F.col("_hi")
     d = d.withColumns({
@@ -83,11 +100,12 @@ def with_url_parts(df, col: str = "url"):
                         .otherwise(F.regexp_extract(hi, "^([^:]*)", 1))),
         "_pt": F.when(hi.startswith("["), F.regexp_extract(hi, "^\\[[^\\]]*\\][^:]*:(.*)$", 1))
                 .otherwise(F.regexp_extract(hi, "^[^:]*:(.*)$", 1))})
-    p = F.col("_pt")
-    explicit = F.when(p.rlike("^[0-9]{1,5}$"), p.cast("int"))
+    # The value counts, not the number of digits.
+    value = F.coalesce(F.nullif(F.ltrim(F.col("_pt"), F.lit("0")), F.lit("")), F.lit("0"))
+    digits = F.col("_pt").rlike("^[0-9]+$")
+    explicit = F.when(digits & (F.length(value) <= 5), value.cast("int"))
     d = d.withColumns({
-        "bad_port": (p != "") & (~p.rlike("^[0-9]+$") | (F.length(p) > 5)
-                                 | F.coalesce(explicit > 65535, F.lit(False))),
+        "bad_port": (F.col("_pt") != "") & F.coalesce(explicit > 65535, F.lit(True)),
         "port": F.coalesce(F.nullif(explicit, F.lit(0)),
                            F.when(F.col("scheme") == "https", F.lit(443)).otherwise(F.lit(80))).cast("long")})
-    return d.drop("_auth", "_hi", "_pt")
+    return d.drop("_url", "_auth", "_hi", "_pt")

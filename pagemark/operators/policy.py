@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pagemark.functions.urls import query_param
 from pagemark.operators import folds
 
+# --- fixed values: the discovery path and the redacted parameter -------------
 WELL_KNOWN = "/.well-known"
 KEY_RE = "([?&]key=)[^&\\s]+"
 WS_TRIM_RE = "^[ \t\r\n]+|[ \t\r\n]+$"
@@ -34,7 +35,7 @@ def client_identity(requests: DataFrame) -> DataFrame:
     return d.withColumn("identity", F.coalesce(
         F.nullif(h["cf-connecting-ip"], F.lit("")), F.nullif(xff, F.lit("")),
         F.col("client_ip"), F.lit("unknown"))).withColumn(
-        "host_header", F.regexp_extract(F.coalesce(h["host"], F.lit("")), "^([^:]*)", 1)).drop("_h")
+        "host_header", F.regexp_extract(F.coalesce(h["host"], F.lit("")), "^(\\[[^\\]]*\\]|[^:]*)", 1)).drop("_h")
 
 
 def key_set(lines: DataFrame) -> DataFrame:
@@ -52,30 +53,26 @@ def allowed_hosts(option: str, spark) -> DataFrame:
                                         lambda x: x != "")).alias("host")).distinct()
 
 
-def key_asof(requests: DataFrame, keys: DataFrame, max_broadcast_versions: int = 10_000) -> DataFrame:
+def key_asof(requests: DataFrame, keys: DataFrame) -> DataFrame:
     """``loaded_at`` of the key-file version in force at each request
     (the latest load at or before it; null before the first).
 
-    Versions are one row per reload of one file. Their count is checked: up
-    to ``max_broadcast_versions`` they are broadcast and matched by range in
-    place (no shuffle of the requests); above that the intervals are cut
-    into day buckets and matched by an equi-join on the day plus the range.
+    One plan for any number of versions: the newest, open version is one
+    aggregated row; the closed intervals are cut into days and matched by an
+    equi-join on the day plus the range, which a stream can do as well.
     """
     versions = keys.select("loaded_at").distinct()
-    iv = versions.withColumn("until", F.lead("loaded_at").over(Window.orderBy("loaded_at")))
-    inside = (F.col("ts") >= F.col("loaded_at")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))
-    if versions.count() <= max_broadcast_versions:
-        return requests.join(F.broadcast(iv), inside, "left").drop("until")
-    day = F.floor(F.unix_seconds("ts") / 86400).cast("long")
-    r = requests.withColumn("_day", day)
-    last_day = r.agg(F.max("_day")).first()[0] or 0
+    newest = versions.agg(F.max("loaded_at").alias("_newest"))
     to_day = lambda c: F.floor(F.unix_seconds(c) / 86400).cast("long")
-    b = iv.select("loaded_at", "until", F.explode(F.sequence(
-        to_day(F.col("loaded_at")),
-        F.greatest(to_day(F.col("loaded_at")), F.coalesce(to_day(F.col("until")), F.lit(last_day))))).alias("_day"))
-    cond = (r["_day"] == b["_day"]) & (r["ts"] >= b["loaded_at"]) & (
-        b["until"].isNull() | (r["ts"] < b["until"]))
-    return r.join(b, cond, "left").drop(b["_day"]).drop("_day", "until")
+    closed = (versions.withColumn("_until", F.lead("loaded_at").over(Window.orderBy("loaded_at")))
+              .where(F.col("_until").isNotNull())
+              .select(F.col("loaded_at").alias("_from"), "_until", F.explode(F.sequence(
+                  to_day(F.col("loaded_at")), to_day(F.col("_until")))).alias("_vday")))
+    inside = (F.col("_day") == F.col("_vday")) & (F.col("ts") >= F.col("_from")) & (F.col("ts") < F.col("_until"))
+    r = requests.withColumn("_day", to_day(F.col("ts"))).join(closed, inside, "left")
+    return (r.crossJoin(F.broadcast(newest))  # one row
+            .withColumn("loaded_at", F.when(F.col("ts") >= F.col("_newest"), F.col("_newest")).otherwise(F.col("_from")))
+            .drop("_day", "_vday", "_from", "_until", "_newest"))
 
 
 def key_check(requests: DataFrame, keys: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pagemark.functions import addresses as A
 from pagemark.operators.admission import RESOURCE_RE
-from pagemark.plans.oracle_blocks import host_sql, hostinfo_sql, q, resolve_sql, scheme_sql
+from pagemark.plans.oracle_blocks import clean_sql, host_sql, hostinfo_sql, q, resolve_sql, scheme_sql
 
 QUAD = "^(0|[1-9][0-9]{0,2})\\.(0|[1-9][0-9]{0,2})\\.(0|[1-9][0-9]{0,2})\\.(0|[1-9][0-9]{0,2})$"
 
@@ -96,21 +96,22 @@ def literal_cols(h: str) -> str:
 
 
 URL_LIST = """
-SELECT page_id,
+WITH listed AS (SELECT page_id,
   CASE WHEN page_id % 10 = 5 THEN
     CASE (page_id // 10) % 10
       WHEN 0 THEN 'http://127.0.0.' || (page_id % 256) || '/'
       WHEN 1 THEN 'http://10.' || (page_id % 256) || '.0.1/admin'
-      WHEN 2 THEN 'http://8.8.' || (page_id % 256) || '.8/'
+      WHEN 2 THEN ' http://8.8.' || (page_id % 256) || chr(9) || '.8/'
       WHEN 3 THEN 'ftp://files' || page_id || '.example/'
       WHEN 4 THEN 'http://' || (2130706433 + page_id % 256) || '/'
       WHEN 5 THEN 'http://0x' || lower(to_hex(167772160 + page_id)) || '/'
       WHEN 6 THEN 'http://[::ffff:192.168.0.' || (page_id % 256) || ']/'
       WHEN 7 THEN 'http:///nohost' || page_id
-      WHEN 8 THEN 'https://user@169.254.169.' || (page_id % 256) || ':8443/'
+      WHEN 8 THEN 'https://user@169.254.169.' || (page_id % 256) || ':000' || (8443 + page_id % 3) || '/'
       ELSE 'http://[2606:4700:4700::' || (page_id % 1000) || ']:' || (page_id * 37) || '/' END
   ELSE url END AS url
-FROM pages"""
+FROM pages)
+SELECT * FROM listed UNION ALL SELECT page_id + 100000000, url FROM listed WHERE page_id % 25 IN (3, 5)"""
 
 
 def resolutions_sql() -> str:
@@ -132,24 +133,25 @@ FROM (SELECT DISTINCT {host_sql('url')} AS host FROM pages) WHERE substring({d},
 
 
 def parts_cols(u: str) -> str:
+    u = clean_sql(u)
     hi = hostinfo_sql(u)
     auth = f"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
     port_t = (f"CASE WHEN starts_with({hi}, '[') THEN regexp_extract({hi}, '^\\[[^\\]]*\\][^:]*:(.*)$', 1)"
               f" ELSE regexp_extract({hi}, '^[^:]*:(.*)$', 1) END")
     return f"""{scheme_sql(u)} AS scheme, {host_sql(u)} AS host,
-  coalesce(nullif(CASE WHEN regexp_full_match({port_t}, '[0-9]{{1,5}}') THEN ({port_t})::INT END, 0),
-           CASE WHEN {scheme_sql(u)} = 'https' THEN 443 ELSE 80 END)::BIGINT AS port,
+  coalesce(nullif(CASE WHEN regexp_full_match({port_t}, '[0-9]+') THEN try_cast({port_t} AS BIGINT) END, 0),
+           CASE WHEN {scheme_sql(u)} = 'https' THEN 443 ELSE 80 END)::BIGINT AS port0,
   starts_with({hi}, '[') AS bracketed,
   (contains({auth}, '[') <> contains({auth}, ']')) AS bad_brackets,
-  ({port_t} <> '' AND (NOT regexp_full_match({port_t}, '[0-9]+') OR length({port_t}) > 5
-    OR CASE WHEN regexp_full_match({port_t}, '[0-9]{{1,5}}') THEN ({port_t})::INT > 65535 END)) AS bad_port"""
+  ({port_t} <> '' AND (NOT regexp_full_match({port_t}, '[0-9]+') OR coalesce(try_cast({port_t} AS BIGINT) > 65535, true))) AS bad_port"""
 
 
 def admission_sql(src: str, col: str, key: str, res: str = "res", p: str = "") -> str:
     """CTE list producing ``{p}adm`` from ``src`` (must hold ``key`` and ``col``);
     ``p`` prefixes every CTE name so the list can appear twice in a query."""
     return f"""
-{p}a_parts AS (SELECT *, {parts_cols(col)} FROM {src}),
+{p}a_parts AS (SELECT * EXCLUDE (port0), CASE WHEN port0 > 99999 THEN CASE scheme WHEN 'https' THEN 443 ELSE 80 END ELSE port0 END::BIGINT AS port
+  FROM (SELECT *, {parts_cols(col)} FROM {src})),
 {p}a_lit AS (SELECT *, {literal_cols('host')} FROM {p}a_parts),
 {p}a_lit2 AS (SELECT *, (bad_brackets OR (bracketed AND h6 IS NULL)) AS malformed,
                   (v4 IS NOT NULL OR h6 IS NOT NULL) AS is_lit FROM {p}a_lit),

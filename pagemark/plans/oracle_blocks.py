@@ -42,24 +42,29 @@ def host_sql(u: str) -> str:
             f" ELSE regexp_extract({hi}, '^([^:]*)', 1) END)")
 
 
+def clean_sql(u: str) -> str:
+    return f"regexp_replace(regexp_replace({u}, '^[\\x00-\\x20]+', ''), '[\t\r\n]', '', 'g')"
+
+
 def resolve_sql(base: str, ref: str) -> str:
-    origin = f"regexp_extract({base}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0)"
-    no_frag = f"regexp_replace({base}, '#.*$', '')"
-    no_query = f"regexp_replace({base}, '[?#].*$', '')"
-    path = f"substring({no_query}, length({origin}) + 1)"
-    folder = (f"({origin} || CASE WHEN contains({path}, '/') THEN regexp_extract({path}, '^(.*/)', 1)"
-              f" ELSE '/' END)")
-    j = (f"(CASE WHEN regexp_matches({ref}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {ref}"
-         f" WHEN starts_with({ref}, '//') THEN {scheme_sql(base)} || ':' || {ref}"
-         f" WHEN starts_with({ref}, '/') THEN {origin} || {ref}"
-         f" WHEN {ref} = '' THEN {no_frag}"
-         f" WHEN starts_with({ref}, '#') THEN {no_frag} || {ref}"
-         f" WHEN starts_with({ref}, '?') THEN {no_query} || {ref}"
-         f" ELSE {folder} || {ref} END)")
-    for _ in range(2):
-        j = f"regexp_replace({j}, '/\\./', '/', 'g')"
-        j = f"regexp_replace({j}, '/[^/?#.][^/?#]*/\\.\\./', '/', 'g')"
-    return j
+    """RFC 3986, 5.2.2 to 5.2.4: merge, then remove dot segments by appending
+    segment after segment to an output string."""
+    auth = f"regexp_extract({base}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0)"
+    tail = f"substring({base}, length({auth}) + 1)"
+    path, query = f"regexp_extract({tail}, '^([^?#]*)', 1)", f"regexp_extract({tail}, '^[^?#]*([?][^#]*)', 1)"
+    r_path = f"regexp_extract({ref}, '^([^?#]*)', 1)"
+    r_rest = f"substring({ref}, length({r_path}) + 1)"
+    merged = (f"CASE WHEN starts_with({r_path}, '/') THEN {r_path} WHEN {path} = '' THEN '/' || {r_path}"
+              f" ELSE regexp_replace({path}, '[^/]*$', '') || {r_path} END")
+    out = (f"(SELECT CASE WHEN o = '' THEN '/' WHEN regexp_matches(m, '/[.][.]?$') AND o <> '/' THEN o || '/' ELSE o END FROM ("
+           f"SELECT m, list_reduce(list_prepend('', string_split(substring(m, 2), '/')), lambda acc, s:"
+           f" CASE s WHEN '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN '.' THEN acc ELSE acc || '/' || s END) AS o"
+           f" FROM (SELECT {merged} AS m)))")
+    return (f"(CASE WHEN regexp_matches({ref}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {ref}"
+            f" WHEN starts_with({ref}, '//') THEN {scheme_sql(base)} || ':' || {ref}"
+            f" WHEN {r_path} = '' THEN {auth} || {path} ||"
+            f" CASE WHEN starts_with({r_rest}, '?') THEN {r_rest} ELSE coalesce({query}, '') || {r_rest} END"
+            f" ELSE {auth} || {out} || {r_rest} END)")
 
 
 def _delta(fam) -> str:

@@ -105,8 +105,10 @@ reqs0 AS (
     CASE WHEN event_id % 13 = 0 THEN 'key=&key=k' || (user_id % 9) || '&v=' || event_id
          WHEN event_id % 17 = 0 THEN 'v=' || event_id
          WHEN event_id % 19 = 0 THEN 'key=a+b%20c&v=' || event_id
+         WHEN event_id % 23 = 0 THEN 'k%65y=k' || (user_id % 9) || '&v=' || event_id
+         WHEN event_id % 29 = 0 THEN 'key=a+b%zz&v=' || event_id
          ELSE 'key=k' || (user_id % 9) || '&v=' || event_id END AS query_string,
-    {{'name': 'Host', 'value': CASE WHEN user_id % 10 = 3 THEN 'evil.example' ELSE 'localhost:8787' END}} AS hh,
+    {{'name': 'Host', 'value': CASE WHEN user_id % 10 = 3 THEN 'evil.example' WHEN user_id % 10 = 4 THEN '[::1]:8787' ELSE 'localhost:8787' END}} AS hh,
     CASE WHEN user_id % 50 = 7 THEN NULL
          ELSE '10.1.' || (user_id % 256) || '.' || ((user_id // 256) % 256) END AS client_ip
   FROM events),
@@ -129,10 +131,10 @@ ident AS (
   SELECT *,
     coalesce(nullif(cf, ''), nullif(regexp_replace(split_part(coalesce(xff, ''), ',', 1), {_WS}, '', 'g'), ''),
              client_ip, 'unknown') AS identity,
-    regexp_extract(coalesce(hostv, ''), '^([^:]*)', 1) AS host_header,
-    coalesce(url_decode(replace(substring(
-      list_filter(string_split(query_string, '&'), lambda x: starts_with(x, 'key=') AND length(x) > 4)[1], 5),
-      '+', ' ')), '') AS presented
+    regexp_extract(coalesce(hostv, ''), '^(\\[[^\\]]*\\]|[^:]*)', 1) AS host_header,
+    coalesce(url_decode(replace(list_extract(list_transform(list_filter(string_split(query_string, '&'),
+      lambda x: url_decode(replace(split_part(x, '=', 1), '+', ' ')) = 'key' AND contains(x, '=') AND length(x) > instr(x, '=')),
+      lambda x: substring(x, instr(x, '=') + 1)), 1), '+', ' ')), '') AS presented
   FROM hdr),
 klines AS (SELECT * FROM (VALUES {_lines}) t(loaded_at, line)),
 keyset AS (

@@ -40,7 +40,7 @@ SNAPSHOTS_SQL = """
 caps_base AS (
   SELECT page_id, url, poll, poll * 250 AS elapsed_ms, 'headless' AS capture_mode,
     CASE WHEN poll < page_id % 3 THEN NULL
-         ELSE substring(body, 1, 400 * least(poll + 1, page_id % 6 + 1)) END AS md
+         ELSE substring(body, 1, ceil(length(body) * least(poll + 1, page_id % 6 + 1) / (page_id % 6 + 1))::INT) END AS md
   FROM (SELECT page_id, url, regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g') AS body FROM pages),
        range(0, 8) r(poll)),
 captures AS (

@@ -28,7 +28,8 @@ def region_table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 work list: the page URLs, with every tenth page (page_id % 10 = 5)
     replaced by a literal-address, bad-scheme, no-host or odd-port URL built
-    from its page_id. Options default to the reference's tool defaults."""
+    from its page_id, and some URLs listed twice (page_id + 100,000,000 for
+    page_id % 25 in 3 and 5). Options default to the reference's tool defaults."""
     p = tables.pages(spark, sf_dir).select("page_id", "url")
     pid = F.col("page_id")
     k = (pid / 10).cast("long") % 10
@@ -36,18 +37,19 @@ def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     synthetic = (
         F.when(k == 0, F.concat(F.lit("http://127.0.0."), octet, F.lit("/")))
         .when(k == 1, F.concat(F.lit("http://10."), octet, F.lit(".0.1/admin")))
-        .when(k == 2, F.concat(F.lit("http://8.8."), octet, F.lit(".8/")))
+        .when(k == 2, F.concat(F.lit(" http://8.8."), octet, F.lit("\t.8/")))
         .when(k == 3, F.concat(F.lit("ftp://files"), pid.cast("string"), F.lit(".example/")))
         .when(k == 4, F.concat(F.lit("http://"), (F.lit(2130706433) + pid % 256).cast("string"), F.lit("/")))
         .when(k == 5, F.concat(F.lit("http://0x"), F.lower(F.hex(F.lit(167772160) + pid)), F.lit("/")))
         .when(k == 6, F.concat(F.lit("http://[::ffff:192.168.0."), octet, F.lit("]/")))
         .when(k == 7, F.concat(F.lit("http:///nohost"), pid.cast("string")))
-        .when(k == 8, F.concat(F.lit("https://user@169.254.169."), octet, F.lit(":8443/")))
+        .when(k == 8, F.concat(F.lit("https://user@169.254.169."), octet, F.lit(":000"), (F.lit(8443) + pid % 3).cast("string"), F.lit("/")))
         .otherwise(F.concat(F.lit("http://[2606:4700:4700::"), (pid % 1000).cast("string"),
                             F.lit("]:"), (pid * 37).cast("string"), F.lit("/"))))
-    return p.select(
-        "page_id",
-        F.when(pid % 10 == 5, synthetic).otherwise(F.col("url")).alias("url"),
+    listed = p.select("page_id", F.when(pid % 10 == 5, synthetic).otherwise(F.col("url")).alias("url"))
+    again = listed.where((pid % 25).isin(3, 5)).select((pid + 100_000_000).alias("page_id"), "url")
+    return listed.unionByName(again).select(
+        "page_id", "url",
         F.lit("domcontentloaded").alias("wait_until"),
         F.lit(60000).alias("timeout_ms"),
         F.lit(True).alias("headless"),
@@ -123,15 +125,16 @@ WAIT_UNTIL = ("load", "domcontentloaded", "networkidle", "commit")
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3 render captures per page URL: (url, capture_no, elapsed_ms,
     capture_mode, md). Polls 0-7 every 250 ms; the extraction is null while
-    poll < page_id % 3, then the body text grows 400 characters a poll until
-    poll page_id % 6. Odd pages also have a finer capture 120 ms after each
+    poll < page_id % 3, then the body text grows by equal parts a poll until it
+    is whole at poll page_id % 6. Odd pages also have a finer capture 120 ms after each
     poll; pages with page_id % 4 = 0 also have headed captures."""
     p = tables.pages(spark, sf_dir).select(
         "page_id", "url", F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", "").alias("body"))
     pid = F.col("page_id")
     polls = p.select("page_id", "url", "body", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("poll"))
     md = F.when(F.col("poll") < pid % 3, F.lit(None).cast("string")).otherwise(
-        F.col("body").substr(F.lit(1), F.lit(400) * F.least(F.col("poll") + 1, pid % 6 + 1)))
+        F.col("body").substr(F.lit(1), F.ceil(
+            F.length("body") * F.least(F.col("poll") + 1, pid % 6 + 1) / (pid % 6 + 1)).cast("int")))
     base = polls.select("page_id", "url", "poll", (F.col("poll") * 250).cast("long").alias("elapsed_ms"),
                         F.lit("headless").alias("capture_mode"), md.alias("md"))
     fine = base.where(pid % 2 == 1).select(
@@ -206,8 +209,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "url",
         F.when(err, F.lit(None).cast("int")).otherwise(status).alias("status"),
         F.when(err, F.lit(None).cast("map<string,string>")).otherwise(
-            F.create_map(F.lit("content-type"), ctype, F.lit("location"),
-                         F.when(redirects, location)))
+            F.when(pid % 2 == 0, F.create_map(F.lit("content-type"), ctype, F.lit("location"), F.when(redirects, location)))
+            .otherwise(F.create_map(F.lit("Content-Type"), ctype, F.lit("LOCATION"), F.when(redirects, location))))
         .alias("headers"),
         F.when(err | redirects, F.lit("")).otherwise(body).alias("body"),
         ((pid * 37) % 11000).cast("long").alias("elapsed_ms"),
@@ -238,6 +241,8 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = (F.when(eid % 13 == 0, F.concat(F.lit("key=&"), key, F.lit("&"), v))
              .when(eid % 17 == 0, v)
              .when(eid % 19 == 0, F.concat(F.lit("key=a+b%20c&"), v))
+             .when(eid % 23 == 0, F.concat(F.lit("k%65y=k"), (uid % 9).cast("string"), F.lit("&"), v))
+             .when(eid % 29 == 0, F.concat(F.lit("key=a+b%zz&"), v))
              .otherwise(F.concat(key, F.lit("&"), v)))
     path = (F.when(F.col("event_type") == "signup", "/.well-known/x")
             .when(eid % 31 == 0, "/.well-known").when(eid % 37 == 0, "/.well-knownx").otherwise("/mcp"))
@@ -246,7 +251,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     def h(name, value):
         return F.struct(F.lit(name).alias("name"), value.alias("value"))
 
-    host = h("Host", F.when(uid % 10 == 3, F.lit("evil.example")).otherwise(F.lit("localhost:8787")))
+    host = h("Host", F.when(uid % 10 == 3, F.lit("evil.example")).when(uid % 10 == 4, F.lit("[::1]:8787")).otherwise(F.lit("localhost:8787")))
     ident = (F.when(uid % 5 == 0, F.array(host, h("CF-Connecting-IP", F.concat(F.lit("203.0.113."), octet))))
              .when(uid % 5 == 1, F.array(host, h("X-Forwarded-For",
                                                  F.concat(F.lit("198.51.100."), octet, F.lit(", 10.0.0.1")))))
@@ -270,7 +275,7 @@ KEY_FILE_VERSIONS = (
     ("2024-01-01 00:00:00", ["k0", " k1 ", "", "# retired", "k2", "  # k9", "k3", "k4", "k0"]),
     ("2024-01-15 00:00:00", ["# rotated", "k3", "k4", "k5 ", "", "k6", "k7"]),
 )
-ALLOWED_HOSTS_OPTION = "127.0.0.1, localhost,,"
+ALLOWED_HOSTS_OPTION = "127.0.0.1, localhost,,[::1]"
 
 
 def key_lines(spark: SparkSession) -> DataFrame:

@@ -5,6 +5,7 @@ the readers a deployment points at its own captures.
 """
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +50,9 @@ def read_key_file(spark: SparkSession, path: str) -> DataFrame:
     try:
         lines = spark.read.text(path)
         lines.schema  # resolves the path now
-    except Exception:  # noqa: BLE001 - missing path: fail closed
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise  # only a missing file means no keys
         return empty
     key = F.regexp_replace(F.col("value"), "^[ \t\r\n]+|[ \t\r\n]+$", "")
     return lines.select(key.alias("key")).where((F.col("key") != "") & ~F.col("key").startswith("#")).distinct()

@@ -30,16 +30,22 @@ def convert(urls: DataFrame, responses: DataFrame, resolutions: DataFrame,
     render_requests: page_id, url, wait_until, timeout_ms, headless,
                      poll_budget_ms, poll_interval_ms, nav_ms map (F5, F6)
 
-    Returns page_id, url, host, tier, status, markdown, message. Each tier
-    only sees the URLs the cheaper tiers left.
+    Returns page_id, url, host, tier, status, markdown, message: one row per row
+    of ``urls``. Work is done once per distinct URL; of several render requests
+    for one URL that with the smallest page_id holds. Captures are read for
+    the URLs that the cheaper tiers leave to rendering.
     """
     table = verdict_table(urls, responses, resolutions)
-    verdicts = urls.select("page_id", "url").join(table, "url")
-    starts = verdicts.where(F.col("status") == "admitted").select("page_id", "url")
-    walked = R.follow(starts, responses, resolutions, table)
-    routed = R.route(starts, walked, responses)
-    caps = S.select_mode(captures, render_requests)
-    settled = S.stabilize(S.cadence(caps))
-    captured = caps.select("url").distinct()
-    out = T.cascade(verdicts, routed, S.navigation(render_requests), settled, captured)
-    return out.join(verdicts.select("page_id", "host"), "page_id")
+    verdicts = urls.select("url").distinct().join(table, "url")
+    starts = verdicts.where(F.col("status") == "admitted").select("url")
+    walked = cut_lineage(R.follow(starts, responses, resolutions, table))
+    # Read by three branches: written once.
+    routed = cut_lineage(R.route(walked, responses))
+    queue = routed.where(F.col("route") == "render").select("url")
+    names = [c for c in render_requests.columns if c != "url"]
+    requests = (render_requests.join(queue, "url", "left_semi")
+                .groupBy("url").agg(F.min_by(F.struct(*names), "page_id").alias("r")).select("url", "r.*"))
+    settled = S.stabilize(S.cadence(S.select_mode(captures.join(queue, "url", "left_semi"), requests)))
+    out = T.cascade(verdicts, routed, S.navigation(requests), settled)
+    return (urls.select("page_id", "url").join(out, "url")
+            .join(table.select("url", "host"), "url"))

@@ -12,33 +12,31 @@ from pyspark.sql import functions as F
 RETRY_BUDGET_MS = {"empty": 10000, "nav_timeout": 15000}
 
 
-def cascade(verdicts: DataFrame, routed: DataFrame, nav: DataFrame, settled: DataFrame,
-            captured: DataFrame) -> DataFrame:
-    """T1 + T2: one typed outcome per URL of ``verdicts``.
+def cascade(verdicts: DataFrame, routed: DataFrame, nav: DataFrame, settled: DataFrame) -> DataFrame:
+    """T1 + T2: one typed outcome per URL of ``verdicts``; every input has one row
+    per URL.
 
-    verdicts: page_id, url, status, message (top-level admission)
-    routed:   page_id, url, route, tier, markdown, reason (tiers 1-2)
-    nav:      page_id, nav_status, timeout_ms (render navigation)
-    settled:  url, md (render snapshots, F1-F3)
-    captured: url (URLs with any render capture)
+    verdicts: url, status, message (top-level admission)
+    routed:   url, route, tier, markdown, reason (tiers 1-2)
+    nav:      url, nav_status, timeout_ms (render navigation)
+    settled:  url, md (render snapshots, F1-F3; a row for every URL with captures)
     """
+    none = F.lit(None).cast("string")
+    refused_text = lambda why: F.concat(F.lit("refused to fetch "), F.col("url"), F.lit(": "), why)
     refused = verdicts.where(F.col("status") != "admitted").select(
-        "page_id", "url", F.lit(0).alias("tier"),
+        "url", F.lit(0).alias("tier"),
         F.when(F.col("status") == "invalid_url", "invalid_url").otherwise("refused").alias("status"),
-        F.lit(None).cast("string").alias("markdown"),
-        F.concat(F.lit("refused to fetch "), F.col("url"), F.lit(": "), F.col("message")).alias("message"))
-    r = routed.select("page_id", "url", "route", "tier", "markdown", "reason")
-    hop_refused = r.where(F.col("route") == "refused").select(
-        "page_id", "url", F.lit(0).alias("tier"), F.lit("refused").alias("status"),
-        F.lit(None).cast("string").alias("markdown"),
-        F.concat(F.lit("refused to fetch "), F.col("url"), F.lit(": "), F.col("reason")).alias("message"))
-    http_ok = r.where(F.col("route").isin("native", "extract")).select(
-        "page_id", "url", "tier", F.lit("ok").alias("status"), "markdown",
-        F.lit(None).cast("string").alias("message"))
-    render = (r.where(F.col("route") == "render").select("page_id", "url")
-              .join(nav.select("page_id", "nav_status", "timeout_ms"), "page_id", "left")
-              .join(captured.select("url", F.lit(True).alias("has_captures")), "url", "left")
-              .join(settled.select("url", F.col("md").alias("rendered")), "url", "left"))
+        none.alias("markdown"), refused_text(F.col("message")).alias("message"))
+    # Tiers 1 and 2 and refused hops: one projection of the routed rows.
+    hop = F.col("route") == "refused"
+    fetched = routed.where(F.col("route") != "render").select(
+        "url", F.when(hop, 0).otherwise(F.col("tier")).cast("int").alias("tier"),
+        F.when(hop, "refused").otherwise("ok").alias("status"),
+        F.when(~hop, F.col("markdown")).alias("markdown"),
+        F.when(hop, refused_text(F.col("reason"))).alias("message"))
+    render = (routed.where(F.col("route") == "render").select("url")
+              .join(nav.select("url", "nav_status", "timeout_ms"), "url", "left")
+              .join(settled.select("url", F.col("md").alias("rendered"), F.lit(True).alias("has_captures")), "url", "left"))
     status = (F.when(F.col("nav_status") == "nav_timeout", "nav_timeout")
               .when(F.col("has_captures").isNull(), "failed")
               .when(F.coalesce(F.col("rendered"), F.lit("")) == "", "empty")
@@ -50,11 +48,11 @@ def cascade(verdicts: DataFrame, routed: DataFrame, nav: DataFrame, settled: Dat
                      F.concat(F.lit("failed to fetch "), F.col("url"), F.lit(": no render captures")))
                .when(F.col("status") == "empty",
                      F.concat(F.lit("no extractable content found at "), F.col("url"))))
-    render = render.select("page_id", "url", F.lit(3).alias("tier"), "status",
+    render = render.select("url", F.lit(3).alias("tier"), "status",
                            F.when(F.col("status") == "ok", F.col("rendered")).alias("markdown"),
                            message.alias("message"))
-    out = refused.unionByName(hop_refused).unionByName(http_ok).unionByName(render)
-    return out.withColumn("tier", F.col("tier").cast("long"))
+    return (refused.unionByName(fetched).unionByName(render)
+            .withColumn("tier", F.col("tier").cast("long")))
 
 
 def retry_list(outcomes: DataFrame) -> DataFrame:

@@ -46,9 +46,9 @@ QUERIES = {
 }
 
 OUTCOMES_SQL = RJ.CHAIN + ",\n" + SNAPSHOTS_SQL.strip() + """,
-verd AS (SELECT page_id, url, host, status, message FROM u_adm),
+verd AS (SELECT min(page_id) AS page_id, url, any_value(status) AS status, any_value(message) AS message FROM u_adm GROUP BY url),
 navs AS (
-  SELECT page_id, timeout_ms,
+  SELECT url, timeout_ms,
     CASE wait_until WHEN 'commit' THEN n WHEN 'domcontentloaded' THEN 2 * n WHEN 'load' THEN 4 * n ELSE 8 * n END
       > timeout_ms AS late FROM req),
 marked AS (
@@ -64,7 +64,7 @@ rend AS (
   SELECT r.page_id, r.url, n.timeout_ms, s.md AS rendered,
     CASE WHEN n.late THEN 'nav_timeout' WHEN c.url IS NULL THEN 'failed'
          WHEN coalesce(s.md, '') = '' THEN 'empty' ELSE 'ok' END AS status
-  FROM routed r LEFT JOIN navs n ON n.page_id = r.page_id LEFT JOIN capd c ON c.url = r.url
+  FROM routed r LEFT JOIN navs n ON n.url = r.url LEFT JOIN capd c ON c.url = r.url
   LEFT JOIN settled s ON s.url = r.url
   WHERE r.route = 'render'),
 outc AS (
@@ -83,7 +83,7 @@ outc AS (
                 WHEN 'failed' THEN 'failed to fetch ' || url || ': no render captures'
                 WHEN 'empty' THEN 'no extractable content found at ' || url END
   FROM rend),
-outh AS (SELECT o.*, v.host FROM outc o JOIN verd v ON v.page_id = o.page_id)"""
+outh AS (SELECT o.* EXCLUDE (page_id), v.page_id, v.host FROM u_adm v JOIN outc o ON v.url = o.url)"""
 
 ORACLE = {
     "tier_cascade": OUTCOMES_SQL + """

@@ -7,6 +7,7 @@ from pagemark.api import verdict_table
 from pagemark.operators import responses as R
 from pagemark.plans import oracle_admission as OA
 from pagemark.plans import oracle_blocks as O
+from pagemark.session import cut_lineage
 from pagemark.sources import derived
 
 
@@ -25,8 +26,9 @@ def walk(spark, sf_dir):
 
 
 def routed(spark, sf_dir):
+    """Work-list rows that were admitted, and the tier of each distinct URL."""
     starts, w = walk(spark, sf_dir)
-    return starts, R.route(starts, w, derived.responses(spark, sf_dir))
+    return starts, R.route(cut_lineage(w), derived.responses(spark, sf_dir))
 
 
 def q_redirect_chain(spark, sf_dir):
@@ -53,8 +55,7 @@ def q_shell_pages(spark, sf_dir):
 def q_render_queue(spark, sf_dir):
     """Admitted URLs with neither a tier-1/2 result nor a refusal."""
     starts, r = routed(spark, sf_dir)
-    answered = r.where(F.col("route") != "render").select("url")
-    return starts.join(answered, "url", "left_anti").select("page_id", "url")
+    return starts.join(r.where(F.col("route") == "render").select("url"), "url").select("page_id", "url")
 
 
 QUERIES = {
@@ -111,7 +112,7 @@ src0 AS ({OA.URL_LIST}),
 {OA.admission_sql('e1', 'next_url', 'url', p='e_').strip()},
 edges AS (SELECT url, http_status, elapsed_ms, error, media_type, is_redirect, next_url,
             status AS next_status, message AS next_message FROM e_adm),
-starts AS (SELECT page_id, url FROM u_adm WHERE status = 'admitted'),
+starts AS (SELECT min(page_id) AS page_id, url FROM u_adm WHERE status = 'admitted' GROUP BY url),
 walk AS (
   SELECT url AS start_url, url AS cur, 0 AS hop, url AS path FROM starts
   UNION ALL
@@ -172,5 +173,5 @@ FROM routed""",
     "shell_pages": CHAIN + """
 SELECT url, md_chars, raw_chars, js_stub, sparse, accepted FROM routed WHERE kind = 'extract'""",
     "render_queue": CHAIN + """
-SELECT page_id, url FROM starts WHERE url NOT IN (SELECT url FROM routed WHERE route <> 'render')""",
+SELECT page_id, url FROM u_adm WHERE status = 'admitted' AND url IN (SELECT url FROM routed WHERE route = 'render')""",
 }

@@ -6,20 +6,24 @@ no back-references, explicit white-space classes) so the DuckDB twin in
 """
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values of the block contract ------------------------------------
 # Regions removed before tokenizing (comments, script, style, noscript,
 # template, head; `head` must be followed by a non-letter so `header` stays).
-DROP_RE = ("(?is)<!--.*?-->"
-           "|<script[^>]*>.*?</script[^>]*>"
-           "|<style[^>]*>.*?</style[^>]*>"
-           "|<noscript[^>]*>.*?</noscript[^>]*>"
-           "|<template[^>]*>.*?</template[^>]*>"
+# A region still open at the end of the page runs to the end.
+DROP_RE = ("(?is)<!--.*?(-->|\\z)"
+           "|<script[^>]*>.*?(</script[^>]*>|\\z)"
+           "|<style[^>]*>.*?(</style[^>]*>|\\z)"
+           "|<noscript[^>]*>.*?(</noscript[^>]*>|\\z)"
+           "|<template[^>]*>.*?(</template[^>]*>|\\z)"
            "|<head([ \t\r\n/][^>]*)?>.*?</head[ \t\r\n]*>")
-# One token = one tag plus the text that follows it up to the next `<`.
-TOKEN_RE = "<[^>]*>[^<]*"
+# One token = one tag plus the text that follows it up to the next `<`; text
+# before the first tag is a token without a tag.
+TOKEN_RE = "^[^<]+|<[^>]*>[^<]*"
 TAG_RE = "^<(/?[A-Za-z][A-Za-z0-9]*)"
 HEAD_RE = "^<[^>]*>"
 HREF_RE = "(?i)^<a[ \t\r\n][^>]*href=[\"']([^\"']*)[\"']"
@@ -42,10 +46,11 @@ REGIONS = {
 }
 # Inline marks.
 MARKS = (("b", "**"), ("strong", "**"), ("i", "*"), ("em", "*"), ("code", "`"))
-# Named entities decoded once, `&amp;` last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", "\""), ("&#39;", "'"),
-            ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
-            ("&middot;", "·"), ("&amp;", "&"))
+# Inside an assembled block: follows an opening and precedes a closing mark.
+OPEN, CLOSE = "\x01", "\x02"
+# Character references by name (the HTML 4 set, with `apos`) and by number.
+ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'", "nbsp": " "}
+ENTITY_RE = "^([A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 # R7 defaults: a block text seen on at least this many distinct pages is chrome.
 BOILERPLATE_MIN_PAGES = 5
@@ -56,9 +61,20 @@ def closers(tags) -> list[str]:
 
 
 def decode_entities(c: Column) -> Column:
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    """Character references decoded once, left to right; unknown ones stay."""
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def after(p: Column) -> Column:
+        name = F.regexp_extract(p, ENTITY_RE, 1)
+        code = (F.when(F.lower(name).startswith("#x"), F.conv(F.substring(name, 3, 6), 16, 10))
+                .when(name.startswith("#"), F.substring(name, 2, 7)).cast("int"))
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.try_element_at(named, name))
+        return F.coalesce(F.concat(char, F.substring(p, F.length(name) + 2, 1 << 30)), F.concat(F.lit("&"), p))
+
+    parts = F.split(c, "&")
+    return F.when(c.contains("&"), F.concat(parts[0], F.array_join(
+        F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), after), ""))).otherwise(c)
 
 
 def collapse_ws(c: Column) -> Column:

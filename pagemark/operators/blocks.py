@@ -15,6 +15,15 @@ from pagemark.functions import html as H
 from pagemark.functions.urls import resolve
 
 
+# Tags of inline marks, links among them.
+INLINE = tuple(name for name, _ in H.MARKS) + ("a",)
+
+
+def _solid(text):
+    """Text without white space: what decides whether a mark has content."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), H.WS_RE, "")
+
+
 def _running(*keys):
     return (Window.partitionBy(*keys).orderBy("pos")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -25,7 +34,8 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
     Output: page_id, url, pos (0-based), tag (lower-case, `/` for closers),
     head (the tag text), text (text after the tag up to the next `<`).
-    A page with no tag still yields one row (pos null) so it keeps a place.
+    Text before the first tag is a token without a tag. An empty page still
+    yields one row (pos null) so it keeps a place.
     """
     cleaned = (pages.select("page_id", "url",
                             F.regexp_replace(F.coalesce("html", F.lit("")), H.DROP_RE, "")
@@ -38,7 +48,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
         "page_id", "url", "pos",
         F.lower(F.regexp_extract("tok", H.TAG_RE, 1)).alias("tag"),
         F.regexp_extract("tok", H.HEAD_RE, 0).alias("head"),
-        F.expr("substring(tok, instr(tok, '>') + 1)").alias("text"))
+        F.substring("tok", F.length(F.regexp_extract("tok", H.HEAD_RE, 0)) + 1, 1 << 30).alias("text"))
 
 
 def _depths(w):
@@ -87,10 +97,10 @@ def tag_intervals(tokens: DataFrame) -> DataFrame:
 
 
 def annotate(tokens: DataFrame) -> DataFrame:
-    """Token table with regions, ad intervals, block numbers, list/table
-    counters and the next tag. Three window operators in all: running sums
-    over (page, pos), the div pairing over (page, level, pos), then running
-    counters over (page, pos); all reuse the page partitioning."""
+    """Token table with regions, ad intervals, block numbers, table counters and
+    the nesting level of inline marks. Three window operators in all: running
+    sums over (page, pos), the div pairing over (page, level, pos), then
+    running counters over (page, pos); all reuse the page partitioning."""
     w = _running("page_id")
     t = _div_pairs(tokens.select("*", *_depths(w), _div_run(w)))
     tag = F.col("tag")
@@ -100,34 +110,62 @@ def annotate(tokens: DataFrame) -> DataFrame:
         "*",
         F.greatest(F.sum("ad_delta").over(w), F.lit(0)).alias("ad_depth"),
         count(is_start).alias("block_no"),
-        F.last(F.when(tag.isin("ul", "ol"), tag), True).over(w).alias("list_kind"),
-        count(tag.isin("ul", "ol")).alias("list_no"),
         count(tag == "table").alias("table_no"),
         count(tag == "tr").alias("row_no"),
-        F.lead("tag").over(Window.partitionBy("page_id").orderBy("pos")).alias("nxt")).drop("ad_delta")
+        # An opener and its closer share the level of their tag.
+        F.coalesce(*[F.when(tag.isin(name, "/" + name), F.sum(
+            F.when(tag == name, 1).when(tag == "/" + name, -1).otherwise(0)).over(w) + (tag == "/" + name).cast("int"))
+            for name in INLINE]).alias("mark_level"),
+        F.sum(F.length(_solid(F.col("text")))).over(w).alias("solid")).drop("ad_delta")
 
 
 def render_tokens(t: DataFrame) -> DataFrame:
-    """D6 + D7 + D10 at token level: decoded, collapsed text; a mark or link
-    whose closer is the next token is wrapped (empty marks dropped); an
-    unclosed mark stays plain text. Text inside `pre` is kept raw."""
+    """D6 + D7 + D10 at token level: decoded, collapsed text; an inline opener
+    or closer puts its mark before the text that follows it. Pairs are found
+    by tag and level inside a block; a pair without text is dropped, an
+    opener without closer (``tail`` set) ends with its block. Text inside
+    `pre` is kept raw."""
     tag = F.col("tag")
-    nxt = F.col("nxt")
     raw = H.decode_entities(F.coalesce(F.col("text"), F.lit("")))
-    txt = H.collapse_ws(raw)
+    t = t.select("*", raw.alias("raw"), F.regexp_extract("head", H.HREF_RE, 1).alias("href"),
+                 F.regexp_replace("tag", "^/", "").alias("mark_tag"),
+                 (F.col("solid") - F.length(_solid(F.col("text")))).alias("solid_before"))
+    pair = Window.partitionBy("page_id", "block_no", "mark_tag", "mark_level").orderBy("pos")
+    opens, closes = tag.isin(*INLINE), tag.isin(*H.closers(INLINE))
+    t = t.select(
+        "*", (opens & (F.lead("tag").over(pair) == F.concat(F.lit("/"), tag))).alias("paired"),
+        F.lead("solid_before").over(pair).alias("solid_at_close"),
+        (closes & (F.lag("tag").over(pair) == F.col("mark_tag")) & (F.lag("solid_before").over(pair) < F.col("solid_before"))).alias("ends"),
+        F.lag("href").over(pair).alias("opened_href"))
+    txt = H.collapse_ws(F.col("raw"))
     inner = F.trim(txt)
-    href = F.regexp_extract("head", H.HREF_RE, 1)
-    piece = F.when(F.col("pre_depth") > 0, raw)
-    for name, mark in H.MARKS:
-        piece = piece.when((tag == name) & (nxt == "/" + name),
-                           F.when(inner == "", F.lit("")).otherwise(F.concat(F.lit(mark), inner, F.lit(mark))))
-    piece = piece.when((tag == "a") & (href != "") & (nxt == "/a"),
-                       F.when(inner == "", F.lit("")).otherwise(
-                           F.concat(F.lit("["), inner, F.lit("]("), resolve(F.col("url"), href), F.lit(")"))))
-    piece = piece.otherwise(txt)
-    return t.select("*", piece.alias("piece"),
-                    F.when(F.col("link_depth") > 0, F.length(inner)).otherwise(0).alias("link_chars"),
-                    F.length(F.when(F.col("pre_depth") > 0, raw).otherwise(txt)).alias("vis_chars"))
+    mark = F.col("mark_tag")
+    sign = F.coalesce(*[F.when(mark == name, sign) for name, sign in H.MARKS])
+    link = lambda href: F.concat(F.lit("]("), resolve(F.col("url"), href), F.lit(")"))
+    inline = (F.col("pre_depth") == 0) & ((mark != "a") | (F.coalesce(F.when(closes, F.col("opened_href")), F.col("href")) != ""))
+    loose = inline & opens & ~F.coalesce("paired", F.lit(False))
+    starts = inline & opens & F.coalesce(F.when(F.col("paired"), F.col("solid_at_close") > F.col("solid_before")), F.lit(True))
+    ends = inline & F.coalesce("ends", F.lit(False))
+    before = (F.when(starts, F.concat(F.when(mark == "a", "[").otherwise(sign), F.lit(H.OPEN)))
+              .when(ends, F.concat(F.lit(H.CLOSE), F.when(mark == "a", link(F.col("opened_href"))).otherwise(sign)))
+              .otherwise(F.lit("")))
+    return t.select(
+        "*", F.when(F.col("pre_depth") > 0, F.col("raw")).otherwise(F.concat(before, txt)).alias("piece"),
+        F.when(loose, F.struct((-F.col("pos")).alias("order"), "solid_before", F.concat(
+            F.lit(H.CLOSE), F.when(mark == "a", link(F.col("href"))).otherwise(sign)).alias("mark"))).alias("tail"),
+        F.when(F.col("link_depth") > 0, F.length(inner)).otherwise(0).alias("link_chars"),
+        F.length(F.when(F.col("pre_depth") > 0, F.col("raw")).otherwise(txt)).alias("vis_chars"))
+
+
+def _block_text(raw, tails, solid):
+    """R4 at block level: loose marks closed (those without text removed), no
+    white space inside marks, then white space collapsed and trimmed."""
+    ws = H.WS_RE
+    closed = F.concat(
+        F.regexp_replace(raw, f"([*`\\[]+{H.OPEN}[ \t\r\n]*)+$", ""),
+        F.array_join(F.transform(F.filter(F.array_sort(tails), lambda x: x["solid_before"] < solid), lambda x: x["mark"]), ""))
+    marked = F.translate(F.regexp_replace(F.regexp_replace(closed, H.OPEN + ws, H.OPEN), ws + H.CLOSE, H.CLOSE), H.OPEN + H.CLOSE, "")
+    return F.trim(H.collapse_ws(F.when(raw.contains(H.OPEN), marked).otherwise(raw)))
 
 
 def page_blocks(tokens: DataFrame) -> DataFrame:
@@ -144,15 +182,30 @@ def page_blocks(tokens: DataFrame) -> DataFrame:
         first("tbl_depth").alias("tbl_depth"),
         first("quote_depth").alias("quote_depth"),
         first("ad_depth").alias("ad_depth"),
-        first("list_kind").alias("list_kind"),
-        first("list_no").alias("list_no"),
         first("table_no").alias("table_no"),
         first("row_no").alias("row_no"),
+        F.collect_list("tail").alias("tails"),
+        F.max("solid").alias("solid"),
         F.sum("link_chars").alias("link_chars"),
         F.sum("vis_chars").alias("vis_chars"))
-    text = F.when(F.col("pre_depth") > 0, F.coalesce("raw", F.lit(""))).otherwise(
-        F.trim(H.collapse_ws(F.coalesce("raw", F.lit("")))))
-    return b.withColumn("text", text).drop("raw")
+    raw = F.coalesce("raw", F.lit(""))
+    text = F.when(F.col("pre_depth") > 0, raw).otherwise(_block_text(raw, F.col("tails"), F.col("solid")))
+    return b.withColumn("text", text).drop("raw", "tails", "solid")
+
+
+def list_state(blocks: DataFrame) -> DataFrame:
+    """Innermost open list of each block: ``list_level``, ``list_kind`` (`ul` | `ol`)
+    and ``list_no`` (its number at that level). List tags start blocks, so the
+    block table holds them all."""
+    tag = F.col("tag")
+    order = Window.partitionBy("page_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    level = F.sum(F.when(tag.isin("ul", "ol"), 1).when(tag.isin("/ul", "/ol"), -1).otherwise(0)).over(order)
+    at = (Window.partitionBy("page_id", "list_level").orderBy("block_no")
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    b = blocks.withColumn("list_level", F.greatest(level, F.lit(0)))
+    return b.withColumns({
+        "list_kind": F.last(F.when(tag.isin("ul", "ol"), tag), True).over(at),
+        "list_no": F.sum(F.when(tag.isin("ul", "ol"), 1).otherwise(0)).over(at)})
 
 
 def block_markdown(blocks: DataFrame) -> DataFrame:
@@ -165,7 +218,7 @@ def block_markdown(blocks: DataFrame) -> DataFrame:
     is_cell = tag.isin("td", "th") & (F.col("tbl_depth") > 0) & (text != "")
     # Non-cells get a row key of their own (block_no), so row windows only
     # ever span the cells of one table row.
-    b = blocks.withColumn("_cell", is_cell).withColumn(
+    b = list_state(blocks).withColumn("_cell", is_cell).withColumn(
         "_row", F.when(F.col("_cell"), F.col("row_no")).otherwise(-F.col("block_no") - 1))
     row_w = Window.partitionBy("page_id", "table_no", "_row").orderBy("block_no")
     row_all = row_w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -182,7 +235,7 @@ def block_markdown(blocks: DataFrame) -> DataFrame:
                     F.concat(row_md, F.lit("\n|"), F.expr("repeat(' --- |', int(_n_cells))"))).otherwise(row_md)
     level = F.when(tag.isin(*H.HEADINGS), F.substring(tag, 2, 1).cast("int"))
     li_ol = (tag == "li") & (F.col("list_kind") == "ol")
-    num = F.row_number().over(Window.partitionBy("page_id", "list_no", li_ol).orderBy("block_no"))
+    num = F.row_number().over(Window.partitionBy("page_id", "list_level", "list_no", li_ol).orderBy("block_no"))
     md = (F.when(F.col("_cell"), F.when(F.col("_row_rank") == 1, row_md).otherwise(F.lit("")))
           .when(text == "", F.lit(""))
           .when(level.isNotNull(), F.concat(F.expr("repeat('#', int(substring(tag, 2, 1)))"), F.lit(" "), text))
@@ -222,37 +275,36 @@ def boilerplate_blocks(features: DataFrame, min_pages: int = H.BOILERPLATE_MIN_P
             .where(F.col("n_pages") >= min_pages))
 
 
-def keep_flags(md_blocks: DataFrame, scope: str = "outside_main",
-               min_pages: int = H.BOILERPLATE_MIN_PAGES) -> DataFrame:
-    """Every block with a ``keep`` flag. Inside article/main when the
-    page has one, else outside chrome regions with link density <= 0.5 (or a
-    heading); never inside an ad-like div; repeated boilerplate drops per
-    ``scope`` (``outside_main`` | ``all`` | ``none``).
-
-    The boilerplate set is one row per repeated hash; the join back is a
-    left join on the hash, which AQE turns into a broadcast when the
-    measured set is under the broadcast threshold and otherwise runs as a
-    sort-merge join whose hot hashes the skew-join rule splits.
-    """
-    if scope not in ("outside_main", "all", "none"):
-        raise ValueError(f"unknown boilerplate scope {scope}")
+def keep_flags(md_blocks: DataFrame) -> DataFrame:
+    """D13 but for boilerplate: every block with a ``keep`` flag. Inside
+    article/main when the page has one, else outside chrome regions with link
+    density <= 0.5 (or a heading); never inside an ad-like div; never empty."""
     f = block_features(md_blocks).withColumn(
         "has_main", F.max(F.col("in_main").cast("int")).over(Window.partitionBy("page_id")) > 0)
     dense_ok = (2 * F.col("link_chars") <= F.col("chars")) | F.col("is_heading")
     keep = ((F.col("md") != "") & ~F.col("in_ad")
             & F.when(F.col("has_main"), F.col("in_main")).otherwise(~F.col("in_chrome") & dense_ok))
     f = f.withColumn("keep", keep)
-    if scope != "none":
-        bp = boilerplate_blocks(f, min_pages).select("block_hash", F.lit(True).alias("is_bp"))
-        f = f.join(bp, "block_hash", "left")
-        drop = F.col("is_bp").isNotNull()
-        if scope == "outside_main":
-            drop = drop & ~F.col("in_main")
-        f = f.withColumn("keep", F.col("keep") & ~drop).drop("is_bp")
     return f
 
 
 def kept_blocks(md_blocks: DataFrame, scope: str = "outside_main",
                 min_pages: int = H.BOILERPLATE_MIN_PAGES) -> DataFrame:
-    """The kept blocks only."""
-    return keep_flags(md_blocks, scope, min_pages).where(F.col("keep")).select("page_id", "url", "block_no", "md")
+    """The kept blocks. Repeated boilerplate drops per ``scope``
+    (``outside_main`` | ``all`` | ``none``).
+
+    Only blocks kept so far, none of them empty, meet the boilerplate set (one
+    row per repeated hash). AQE broadcasts that set when its measured size is
+    under the threshold, otherwise the join is sort-merge and the skew-join
+    rule splits hot hashes.
+    """
+    if scope not in ("outside_main", "all", "none"):
+        raise ValueError(f"unknown boilerplate scope {scope}")
+    flagged = keep_flags(md_blocks)
+    kept = flagged.where(F.col("keep"))
+    if scope != "none":
+        bp = boilerplate_blocks(block_features(md_blocks), min_pages).select("block_hash", F.lit(True).alias("is_bp"))
+        hit = F.col("is_bp").isNotNull()
+        drop = hit & ~F.col("in_main") if scope == "outside_main" else hit
+        kept = kept.join(bp, "block_hash", "left").where(~drop)
+    return kept.select("page_id", "url", "block_no", "md")

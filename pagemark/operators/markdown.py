@@ -20,9 +20,9 @@ def page_markdown(pages: DataFrame, scope: str = "outside_main", materialize: bo
     mdb = B.block_markdown(B.page_blocks(B.page_tokens(pages)))
     if materialize and scope != "none":
         mdb = cut_lineage(mdb)
-    flagged = B.keep_flags(mdb, scope)
-    return flagged.groupBy("page_id", "url").agg(F.expr(
-        "listagg(md, '\\n\\n') WITHIN GROUP (ORDER BY block_no) FILTER (WHERE keep)").alias("markdown"))
+    md = B.kept_blocks(mdb, scope).groupBy("page_id").agg(F.expr(
+        "listagg(md, '\\n\\n') WITHIN GROUP (ORDER BY block_no)").alias("markdown"))
+    return pages.select("page_id", "url").join(md, "page_id", "left")
 
 
 def size_saving(pages: DataFrame, md: DataFrame) -> DataFrame:

@@ -18,9 +18,13 @@ def inlist(tags) -> str:
 
 
 def decode_sql(x: str) -> str:
-    for ent, ch in H.ENTITIES:
-        x = f"replace({x}, {q(ent)}, {q(ch)})"
-    return x
+    named = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in H.ENTITIES.items())
+    code = "CASE WHEN n[:2] IN ('#x', '#X') THEN ('0x' || n[3:])::BIGINT WHEN n[:1] = '#' THEN n[2:]::BIGINT END"
+    char = f"CASE WHEN n[:1] = '#' THEN chr(nullif(CASE WHEN c < 55296 OR c BETWEEN 57344 AND 1114111 THEN c END, 0)::INT) ELSE CASE n {named} END END"
+    return (f"(CASE WHEN contains({x}, '&') THEN (SELECT string_agg(CASE WHEN i = 1 THEN p"
+            f" ELSE coalesce({char} || substring(p, length(n) + 2), '&' || p) END, '' ORDER BY i)"
+            f" FROM (SELECT *, {code} AS c FROM (SELECT i, p, regexp_extract(p, '{H.ENTITY_RE}', 1) AS n"
+            f" FROM (SELECT unnest(string_split({x}, '&')) AS p, generate_subscripts(string_split({x}, '&'), 1) AS i)))) ELSE {x} END)")
 
 
 def collapse_sql(x: str) -> str:
@@ -78,9 +82,13 @@ def chain(src: str, scope: str = "outside_main", min_pages: int = H.BOILERPLATE_
         f"greatest(sum({_delta(f)}) OVER {w}, 0) AS {n}_depth" for n, f in H.REGIONS.items())
     starts = inlist(H.BLOCK_TAGS + tuple(H.closers(H.BLOCK_TAGS)))
     raw = decode_sql("coalesce(text, '')")
-    marks = "\n".join(
-        f"      WHEN tag = {q(n)} AND nxt = {q('/' + n)} THEN CASE WHEN inner_t = '' THEN '' "
-        f"ELSE {q(m)} || inner_t || {q(m)} END" for n, m in H.MARKS)
+    inline = [*H.MARKS, ("a", None)]
+    names = inlist(n for n, _ in inline)
+    level = " ".join(
+        f"WHEN tag IN ({q(n)}, {q('/' + n)}) THEN sum(CASE tag WHEN {q(n)} THEN 1 WHEN {q('/' + n)} THEN -1 ELSE 0 END) OVER {w}"
+        f" + (tag = {q('/' + n)})::INT" for n, _ in inline)
+    sign = "CASE mtag " + " ".join(f"WHEN {q(n)} THEN {q(m)}" for n, m in H.MARKS) + " END"
+    link = lambda href: f"'](' || {resolve_sql('url', href)} || ')'"
     drop_bp = {"all": "is_bp IS NOT NULL",
                "outside_main": "is_bp IS NOT NULL AND NOT in_main",
                "none": "false"}[scope]
@@ -96,7 +104,7 @@ page_tokens AS (
   SELECT page_id, url, pos,
     lower(regexp_extract(tok, {q(H.TAG_RE)}, 1)) AS tag,
     regexp_extract(tok, {q(H.HEAD_RE)}, 0) AS head,
-    substring(tok, instr(tok, '>') + 1) AS text
+    regexp_replace(tok, {q(H.HEAD_RE)}, '') AS text
   FROM tok_raw),
 region_depth AS (
   SELECT *,
@@ -121,26 +129,40 @@ annotated AS (
   SELECT *,
     greatest(sum(ad_delta) OVER {w}, 0) AS ad_depth,
     sum(CASE WHEN tag IN {starts} THEN 1 ELSE 0 END) OVER {w} AS block_no,
-    last_value(CASE WHEN tag IN ('ul', 'ol') THEN tag END IGNORE NULLS) OVER {w} AS list_kind,
-    sum(CASE WHEN tag IN ('ul', 'ol') THEN 1 ELSE 0 END) OVER {w} AS list_no,
     sum(CASE WHEN tag = 'table' THEN 1 ELSE 0 END) OVER {w} AS table_no,
     sum(CASE WHEN tag = 'tr' THEN 1 ELSE 0 END) OVER {w} AS row_no,
-    lead(tag) OVER (PARTITION BY page_id ORDER BY pos) AS nxt,
+    CASE {level} END AS mlevel,
+    ltrim(tag, '/') AS mtag,
+    length(regexp_replace(coalesce(text, ''), {q(H.WS_RE)}, '', 'g')) AS own,
     {raw} AS raw_t,
     regexp_extract(head, {q(H.HREF_RE)}, 1) AS href
   FROM tag_intervals),
 texts AS (
   SELECT *, {collapse_sql('raw_t')} AS txt FROM annotated),
+counted AS (SELECT *, trim(txt) AS inner_t, coalesce(sum(own) OVER (PARTITION BY page_id ORDER BY pos
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sb FROM texts),
+paired AS (
+  SELECT *, tag IN {names} AND lead(tag) OVER p = '/' || tag AS closed, lead(sb) OVER p AS sb_close,
+    starts_with(tag, '/') AND mtag IN {names} AND lag(tag) OVER p = mtag AND lag(sb) OVER p < sb AS ends, lag(href) OVER p AS href0
+  FROM counted WINDOW p AS (PARTITION BY page_id, block_no, mtag, mlevel ORDER BY pos)),
+judged AS (
+  SELECT *, tag IN {names} AND pre_depth = 0 AND (mtag <> 'a' OR href <> '') AS opener,
+    coalesce(ends, false) AND pre_depth = 0 AND (mtag <> 'a' OR href0 <> '') AS closer FROM paired),
 rendered AS (
   SELECT *,
     CASE WHEN pre_depth > 0 THEN raw_t
-{marks}
-      WHEN tag = 'a' AND href <> '' AND nxt = '/a' THEN CASE WHEN inner_t = '' THEN ''
-        ELSE '[' || inner_t || '](' || {resolve_sql('url', 'href')} || ')' END
+      WHEN opener AND NOT (coalesce(closed, false) AND sb_close <= sb) THEN CASE mtag WHEN 'a' THEN '[' ELSE {sign} END || chr(1) || txt
+      WHEN closer THEN chr(2) || CASE mtag WHEN 'a' THEN {link('href0')} ELSE {sign} END || txt
       ELSE txt END AS piece,
+    CASE WHEN opener AND NOT coalesce(closed, false) THEN chr(2) || CASE mtag WHEN 'a' THEN {link('href')} ELSE {sign} END END AS tail,
     CASE WHEN link_depth > 0 THEN length(inner_t) ELSE 0 END AS link_chars,
     length(CASE WHEN pre_depth > 0 THEN raw_t ELSE txt END) AS vis_chars
-  FROM (SELECT *, trim(txt) AS inner_t FROM texts)),
+  FROM judged),
+loose AS (
+  SELECT r.page_id, r.block_no, string_agg(tail, '' ORDER BY pos DESC) AS tails
+  FROM rendered r JOIN (SELECT page_id, block_no, max(sb + own) AS s FROM rendered GROUP BY ALL) b
+    ON r.page_id = b.page_id AND r.block_no = b.block_no AND r.sb < b.s
+  WHERE tail IS NOT NULL GROUP BY ALL),
 blocks_raw AS (
   SELECT page_id, url, block_no,
     string_agg(piece, '' ORDER BY pos) AS raw,
@@ -151,17 +173,27 @@ blocks_raw AS (
     arg_min_null(tbl_depth, pos) AS tbl_depth,
     arg_min_null(quote_depth, pos) AS quote_depth,
     arg_min_null(ad_depth, pos) AS ad_depth,
-    arg_min_null(list_kind, pos) AS list_kind,
-    arg_min_null(list_no, pos) AS list_no,
     arg_min_null(table_no, pos) AS table_no,
     arg_min_null(row_no, pos) AS row_no,
     sum(link_chars) AS link_chars,
     sum(vis_chars) AS vis_chars
   FROM rendered GROUP BY page_id, url, block_no),
+marked AS (
+  SELECT b.*, regexp_replace(regexp_replace(
+    regexp_replace(coalesce(raw, ''), '([*`\\[]+\\x01[ \\t\\r\\n]*)+$', '') || coalesce(tails, ''),
+    '\\x01[ \\t\\r\\n]+', chr(1), 'g'), '[ \\t\\r\\n]+\\x02', chr(2), 'g') AS m
+  FROM blocks_raw b LEFT JOIN loose l ON l.page_id = b.page_id AND l.block_no = b.block_no),
+block_texts AS (
+  SELECT * EXCLUDE (raw, m),
+    CASE WHEN pre_depth > 0 THEN coalesce(raw, '') ELSE trim({collapse_sql("replace(replace(m, chr(1), ''), chr(2), '')")}) END AS text
+  FROM marked),
+list_levels AS (
+  SELECT *, greatest(sum(CASE WHEN tag IN ('ul', 'ol') THEN 1 WHEN tag IN ('/ul', '/ol') THEN -1 ELSE 0 END)
+    OVER (PARTITION BY page_id ORDER BY block_no), 0) AS list_level FROM block_texts),
 page_blocks AS (
-  SELECT * EXCLUDE (raw),
-    CASE WHEN pre_depth > 0 THEN coalesce(raw, '') ELSE trim({collapse_sql("coalesce(raw, '')")}) END AS text
-  FROM blocks_raw),
+  SELECT *, last_value(CASE WHEN tag IN ('ul', 'ol') THEN tag END IGNORE NULLS) OVER l AS list_kind,
+    sum(CASE WHEN tag IN ('ul', 'ol') THEN 1 ELSE 0 END) OVER l AS list_no
+  FROM list_levels WINDOW l AS (PARTITION BY page_id, list_level ORDER BY block_no)),
 cells AS (
   SELECT * FROM page_blocks WHERE tag IN ('td', 'th') AND tbl_depth > 0 AND text <> ''),
 row_agg AS (
@@ -186,7 +218,7 @@ other_md AS (
   SELECT page_id, url, block_no, tag,
     CASE WHEN text = '' THEN ''
          WHEN tag IN {inlist(H.HEADINGS)} THEN repeat('#', substring(tag, 2, 1)::INT) || ' ' || text
-         WHEN li_ol THEN (row_number() OVER (PARTITION BY page_id, list_no, li_ol ORDER BY block_no))::VARCHAR || '. ' || text
+         WHEN li_ol THEN (row_number() OVER (PARTITION BY page_id, list_level, list_no, li_ol ORDER BY block_no))::VARCHAR || '. ' || text
          WHEN tag = 'li' THEN '- ' || text
          WHEN pre_depth > 0 THEN '```' || chr(10) || text || chr(10) || '```'
          ELSE text END AS md0,

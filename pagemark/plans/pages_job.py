@@ -10,7 +10,7 @@ from pagemark.functions.urls import resolve
 from pagemark.plans import oracle_blocks as O
 from pagemark.session import cut_lineage
 from pagemark.sources import tables
-from pagemark.sources.derived import region_table_pages
+from pagemark.sources.derived import nested_pages, region_table_pages
 
 PAGES_SQL = "SELECT page_id, url, html FROM pages"
 
@@ -70,6 +70,12 @@ def q_table_markdown(spark, sf_dir):
     return M.page_markdown(pages, scope="none").select("page_id", "url", "markdown")
 
 
+def q_nested_markdown(spark, sf_dir):
+    """D1, D2, D6-D8, D10 on pages with nested, loose and empty forms."""
+    blocks = B.block_markdown(B.page_blocks(B.page_tokens(nested_pages(spark, sf_dir))))
+    return blocks.where(F.col("md") != "").select("page_id", F.col("block_no").cast("long").alias("block_no"), "tag", "md")
+
+
 def q_block_features(spark, sf_dir):
     f = B.block_features(_md_blocks(spark, sf_dir))
     return f.select("page_id", F.col("block_no").cast("long").alias("block_no"), "tag",
@@ -117,6 +123,7 @@ QUERIES = {
     "page_links": q_page_links,
     "block_markdown": q_block_markdown,
     "table_markdown": q_table_markdown,
+    "nested_markdown": q_nested_markdown,
     "block_features": q_block_features,
     "boilerplate_blocks": q_boilerplate_blocks,
     "kept_blocks": q_kept_blocks,
@@ -139,6 +146,15 @@ SELECT r.r_regionkey::BIGINT AS page_id,
 FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey
 GROUP BY r.r_regionkey, r.r_name"""
 
+NESTED_PAGES_SQL = """
+SELECT page_id, url, 'Lead it&#8217;s &mdash; caf&eacute; &#xE9;&unknown;&#0; ' || page_id
+  || '<p><a href="../n/./' || page_id || '/../m?x=1"><b>bold</b> link ' || page_id
+  || '</a> and <b>a <i> b </i></b>, <i>open ' || page_id
+  || '</p><ol><li>one<ul><li>in</li><li>out</li></ul></li><li>two <code>x < y</code></li></ol>'
+  || '<p><a href="/e"><img src="i.png"></a>x<b> </b><b><i></i></b> y <em></p>' || coalesce(html, '')
+  || CASE WHEN page_id % 3 = 0 THEN '<p>end</p><script>var x = ''<p>no</p>'';' ELSE '' END AS html
+FROM pages"""
+
 ORACLE = {
     "page_tokens": _w("SELECT page_id, pos::BIGINT AS pos, tag, text FROM page_tokens"),
     "region_depth": _w("SELECT page_id, pos::BIGINT AS pos, tag, chrome_depth::BIGINT AS chrome_depth,"
@@ -156,6 +172,7 @@ ORACLE = {
                          " WHERE md <> ''"),
     "table_markdown": _w("SELECT page_id, url, markdown FROM page_markdown", scope="none",
                          src=REGION_PAGES_SQL),
+    "nested_markdown": _w("SELECT page_id, block_no::BIGINT AS block_no, tag, md FROM block_markdown WHERE md <> ''", src=NESTED_PAGES_SQL),
     "block_features": _w("SELECT page_id, block_no::BIGINT AS block_no, tag, chars::BIGINT AS chars,"
                          " link_chars::BIGINT AS link_chars, in_main, in_chrome, in_ad, is_heading,"
                          " block_hash FROM block_features"),

@@ -25,6 +25,22 @@ def region_table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit("</table></article></body></html>")).alias("html"))
 
 
+def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with a fixed set of awkward forms put before its own HTML: text
+    before the first tag, character references, marks and links with markup
+    inside, loose and empty marks, nested lists, and for page_id % 3 = 0 a
+    script that never ends."""
+    p = tables.pages(spark, sf_dir)
+    pid = F.col("page_id").cast("string")
+    head = F.concat(
+        F.lit("Lead it&#8217;s &mdash; caf&eacute; &#xE9;&unknown;&#0; "), pid,
+        F.lit("<p><a href=\"../n/./"), pid, F.lit("/../m?x=1\"><b>bold</b> link "), pid, F.lit("</a> and <b>a <i> b </i></b>, <i>open "), pid,
+        F.lit("</p><ol><li>one<ul><li>in</li><li>out</li></ul></li><li>two <code>x < y</code></li></ol>"
+              "<p><a href=\"/e\"><img src=\"i.png\"></a>x<b> </b><b><i></i></b> y <em></p>"))
+    tail = F.when(F.col("page_id") % 3 == 0, F.lit("<p>end</p><script>var x = '<p>no</p>';")).otherwise(F.lit(""))
+    return p.select("page_id", "url", F.concat(head, F.coalesce("html", F.lit("")), tail).alias("html"))
+
+
 def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 work list: the page URLs, with every tenth page (page_id % 10 = 5)
     replaced by a literal-address, bad-scheme, no-host or odd-port URL built

@@ -14,6 +14,12 @@ PAGES = {
     2: ("http://n.example/", "<body><p>No article here, plain paragraph text that is long enough.</p>"
                             "<nav><p>menu</p></nav><p><a href=\"/x\">all link text here</a></p></body>"),
     3: ("http://e.example/", "<html><body><script>only()</script></body></html>"),
+    4: ("http://t.example/", "no tag at all"),
+    5: ("http://t.example/d/", "Before <p>after &#8217; &#x2014; caf&eacute; &nope; &#0;<script>var x = '<p>never</p>'"),
+    6: ("http://t.example/d/", "<p>see, among much plain text around them, <a href=\"x\"><b>bold link</b></a>, <a href=\"/y\"> <span>plain</span> </a>.</p>"
+                               "<p><b>a <i>b</i></b> <b> c <i> d</p><p>next <a href=\"/z\"><img src=\"i\"></a><b><i> </i></b>done<em></p>"),
+    7: ("http://t.example/", "<ol><li>one<ul><li>in</li><li>out</li></ul></li><li>two</li></ol><ol><li>new</li></ol>"),
+    8: ("http://t.example/", None), 9: ("http://t.example/", ""),
 }
 
 
@@ -27,7 +33,13 @@ def test_page_markdown(spark):
         "- one", "- two", "1. first", "2. second", "> quoted",
         "```\nline 1\n  line 2\n```",
         "| k | v |\n| --- | --- |", "| 1 | a |",
-        "unclosed mark",
+        "unclosed **mark**",
     ]
     assert got[2] == "No article here, plain paragraph text that is long enough."
-    assert got[3] is None
+    assert got[3] is None and got[8] is None and got[9] is None
+    assert got[4] == "no tag at all"
+    assert got[5] == "Before\n\nafter ’ — café &nope; &#0;"
+    assert got[6].split("\n\n") == [
+        "see, among much plain text around them, [**bold link**](http://t.example/d/x), [plain](http://t.example/y).",
+        "**a *b*** **c *d***", "next done"]
+    assert got[7].split("\n\n") == ["1. one", "- in", "- out", "2. two", "1. new"]

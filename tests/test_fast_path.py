@@ -1,75 +1,92 @@
-"""HTTP tiers (C1-C9, E1-E3): the reference's response cases as rows."""
-from pyspark.sql import functions as F
+"""HTTP tiers (C1-C9, E1-E3) at their thresholds."""
+import pytest
 
+from pagemark import api
 from pagemark.operators import responses as R
 
-SHELL = "<div id=\"root\"><p>You need to enable JavaScript to run this app.</p></div>"
+SCHEMA = "url string, status int, headers map<string,string>, body string, elapsed_ms long, error string"
+NO_NAMES = "host string, pos int, ip string"
+
+
+def page(md_chars, raw_chars, word=""):
+    """HTML of ``raw_chars`` characters whose extraction has ``md_chars``."""
+    text = word + "w" * (md_chars - len(word))
+    body = f"<p>{text}</p>"
+    return body + "<!--" + "-" * (raw_chars - len(body) - 7) + "-->"
+
+
+# name: (status, headers, body, elapsed_ms, error), route, reason
 CASES = {
-    # url: (status, content-type, body, elapsed_ms, error) -> expected route
-    "http://a.example/native": (200, "text/markdown", "# Hello", 10, None, "native"),
-    "http://a.example/charset": (200, "text/markdown; charset=utf-8", "# Hello", 10, None, "native"),
-    "http://a.example/empty-native": (200, "text/markdown", "", 10, None, "native"),
-    "http://a.example/article": (200, "text/html",
-                                 "<html><body><article><p>Hello world, this is real content.</p></article></body></html>",
-                                 10, None, "extract"),
-    "http://a.example/script-only": (200, "text/html", "<html><body><script>var x=1;</script></body></html>",
-                                     10, None, "render"),
-    "http://a.example/large-shell": (200, "text/html", "<script src=\"/a.js\"></script>" * 200 + SHELL,
-                                     10, None, "render"),
-    "http://a.example/small-shell": (200, "text/html", SHELL, 10, None, "render"),
-    "http://a.example/short": (200, "text/html", "<p>" + "Real content. " * 5 + "</p>", 10, None, "extract"),
-    "http://a.example/404": (404, "text/html", "nope", 10, None, "render"),
-    "http://a.example/500": (500, "text/html", "oops", 10, None, "render"),
-    "http://a.example/connect": (None, None, "", 10, "connect error", "render"),
-    "http://a.example/timeout": (200, "text/html", "<p>late</p>", 10001, None, "render"),
-    "http://a.example/sparse": (200, "text/html", "<p>" + "x" * 150 + "</p>" + "<!-- pad -->" * 500,
-                                10, None, "render"),
-    "http://a.example/not-sparse-5000": (200, "text/html", "<p>" + "y" * 150 + "</p>", 10, None, "extract"),
+    "md": ((200, {"Content-Type": "text/markdown"}, "*m*", 9, None), "native", None),
+    "md-params": ((206, {"content-TYPE": " Text/Markdown ; v=1"}, "*m*", 9, None), "native", None),
+    "md-empty": ((200, {"content-type": "text/markdown"}, "", 9, None), "native", None),
+    "md-404": ((404, {"content-type": "text/markdown"}, "*m*", 9, None), "render", "status 404"),
+    "no-type": ((200, {}, page(20, 40), 9, None), "extract", None),
+    "stub-199": ((200, None, page(199, 400, "needs JavaScript "), 9, None), "render", "javascript stub"),
+    "stub-200": ((200, None, page(200, 400, "needs JavaScript "), 9, None), "extract", None),
+    "sparse-5001": ((200, None, page(199, 5001), 9, None), "render", "sparse extraction"),
+    "sparse-5000": ((200, None, page(199, 5000), 9, None), "extract", None),
+    "long-5001": ((200, None, page(200, 5001), 9, None), "extract", None),
+    "nothing": ((200, None, "<script>f()</script>", 9, None), "render", "no content"),
+    "late": ((200, None, page(20, 40), 10001, None), "render", "fetch failed"),
+    "in-time": ((200, None, page(20, 40), 10000, None), "extract", None),
+    "error": ((None, None, "", 9, "reset"), "render", "fetch failed"),
+    "302-without-location": ((302, {}, "", 9, None), "render", "status 302"),
+    "503": ((503, None, page(300, 400), 9, None), "render", "status 503"),
 }
 
 
-def _responses(spark, extra=()):
-    rows = [(u, s, {"content-type": ct} if ct else None, b, e, err) for u, (s, ct, b, e, err, _) in CASES.items()]
-    rows += list(extra)
-    return spark.createDataFrame(rows, "url string, status int, headers map<string,string>, body string, "
-                                       "elapsed_ms long, error string")
+def test_tiers(spark):
+    urls = {f"http://9.9.9.9/{name}": case for name, case in CASES.items()}
+    resp = spark.createDataFrame([(u, *case[0]) for u, case in urls.items()], SCHEMA)
+    starts = spark.createDataFrame([(u,) for u in urls], "url string")
+    walked = R.follow(starts, resp, spark.createDataFrame([], NO_NAMES))
+    got = {r["url"]: r for r in R.route(walked, resp).collect()}
+    assert len(got) == len(urls)
+    for u, (response, route, reason) in urls.items():
+        assert (got[u]["route"], got[u]["reason"]) == (route, reason), u
+        if route == "native":
+            assert got[u]["markdown"] == response[2] and got[u]["tier"] == 1
 
 
-def test_tiers(spark):
-    resp = _responses(spark)
-    starts = spark.createDataFrame([(i, u) for i, u in enumerate(CASES)], "page_id long, url string")
-    res = spark.createDataFrame([], "host string, pos int, ip string")
-    walked = R.follow(starts, resp, res)
-    got = {r["url"]: r for r in R.route(starts, walked, resp).collect()}
-    for u, case in CASES.items():
-        assert got[u]["route"] == case[-1], u
-    assert got["http://a.example/native"]["markdown"] == "# Hello"
-    assert got["http://a.example/empty-native"]["markdown"] == ""
-    assert "Hello world" in got["http://a.example/article"]["markdown"]
-    assert got["http://a.example/small-shell"]["reason"] == "javascript stub"
-    assert got["http://a.example/sparse"]["reason"] == "sparse extraction"
+@pytest.mark.parametrize("length, outcome, hops", [(0, "response", 0), (4, "response", 4), (5, "response", 5), (6, "refused", 5), (9, "refused", 5)])
+def test_redirect_limit(spark, length, outcome, hops):
+    url = lambda k: f"http://9.9.9.{length}/s{k}"
+    rows = [(url(k), 307, {"LOCATION": f"../s{k + 1}"}, "", 1, None) for k in range(length)]
+    resp = spark.createDataFrame(rows + [(url(length), 200, None, "<p>end</p>", 1, None)], SCHEMA)
+    starts = spark.createDataFrame([(url(0),), (url(0),)], "url string")
+    rows = R.follow(starts, resp, spark.createDataFrame([], NO_NAMES)).collect()
+    assert [(r["outcome"], r["hops"]) for r in rows] == [(outcome, hops)]
+    assert rows[0]["path"] == " -> ".join(url(k) for k in range(hops + 1))
+    if outcome == "refused":
+        assert rows[0]["message"] == f"too many redirects following {url(0)}"
+
+
+def test_hops_are_vetted(spark):
+    rows = [("http://9.9.9.9/in", 301, {"location": "http://172.20.1.1/"}, "", 1, None),
+            ("http://9.9.9.9/up", 301, {"location": "/../172.20.1.1/"}, "", 1, None),
+            ("http://9.9.9.9/172.20.1.1/", 200, None, "<p>x</p>", 1, None),
+            ("http://9.9.9.9/bad", 301, {"location": "http://[1::2/"}, "", 1, None)]
+    starts = spark.createDataFrame([(r[0],) for r in rows], "url string")
+    resp = spark.createDataFrame(rows, SCHEMA)
+    got = {r["start_url"]: r for r in R.follow(starts, resp, spark.createDataFrame([], NO_NAMES)).collect()}
+    assert got["http://9.9.9.9/in"]["message"] == "172.20.1.1 maps to a private address"
+    assert got["http://9.9.9.9/up"]["outcome"] == "response" and got["http://9.9.9.9/up"]["hops"] == 1
+    assert got["http://9.9.9.9/bad"]["outcome"] == "fetch_failed"
 
 
-def test_redirect_limit_and_refused_hop(spark):
-    rows = []
-    for i in range(7):  # r0 -> r1 -> ... -> r6 (final)
-        loc = f"/r{i + 1}" if i < 6 else None
-        rows.append((f"http://pub.example/r{i}", 302 if loc else 200,
-                     {"content-type": "text/html", **({"location": loc} if loc else {})},
-                     "" if loc else "<p>done</p>", 5, None))
-    rows.append(("http://pub.example/bad", 301, {"location": "http://10.0.0.1/"}, "", 5, None))
-    rows.append(("http://pub.example/two", 301, {"location": "//pub.example/r5"}, "", 5, None))
-    resp = spark.createDataFrame(rows, "url string, status int, headers map<string,string>, body string, "
-                                       "elapsed_ms long, error string")
-    res = spark.createDataFrame([("pub.example", 0, "8.8.8.8")], "host string, pos int, ip string")
-    starts = spark.createDataFrame([(0, "http://pub.example/r0"), (1, "http://pub.example/r1"),
-                                    (2, "http://pub.example/bad"), (3, "http://pub.example/two")],
-                                   "page_id long, url string")
-    got = {r["start_url"]: r for r in R.follow(starts, resp, res).collect()}
-    assert got["http://pub.example/r0"]["outcome"] == "refused"
-    assert got["http://pub.example/r0"]["message"] == "too many redirects following http://pub.example/r0"
-    assert got["http://pub.example/r1"]["outcome"] == "response"
-    assert got["http://pub.example/r1"]["hops"] == 5
-    assert got["http://pub.example/bad"]["message"] == "10.0.0.1 maps to a private address"
-    assert got["http://pub.example/two"]["final_url"] == "http://pub.example/r6"
-    assert got["http://pub.example/two"]["hops"] == 2
+def test_one_outcome_per_work_list_row(spark):
+    urls = spark.createDataFrame([(1, "http://9.9.9.9/a"), (2, "http://9.9.9.9/a"), (3, "http://9.9.9.9/b"), (4, "http://10.1.1.1/"),
+                                  (5, "http://10.1.1.1/"), (6, "http://9.9.9.9/r"), (7, "http://9.9.9.9/r")], "page_id long, url string")
+    resp = spark.createDataFrame([("http://9.9.9.9/a", 200, None, "<p>text</p>", 1, None), ("http://9.9.9.9/b", 404, None, "", 1, None),
+                                  ("http://9.9.9.9/r", 500, None, "", 1, None)], SCHEMA)
+    caps = spark.createDataFrame([("http://9.9.9.9/r", 0, "headless", "m"), ("http://9.9.9.9/r", 250, "headless", "m")],
+                                 "url string, elapsed_ms long, capture_mode string, md string")
+    req = spark.createDataFrame([(p, u, "load", 30000, True, 5000, 250, {"load": 1}) for p, u in
+                                 ((3, "http://9.9.9.9/b"), (6, "http://9.9.9.9/r"), (7, "http://9.9.9.9/r"))],
+                                "page_id long, url string, wait_until string, timeout_ms long, headless boolean, "
+                                "poll_budget_ms long, poll_interval_ms long, nav_ms map<string,long>")
+    got = api.convert(urls, resp, spark.createDataFrame([], NO_NAMES), caps, req).collect()
+    assert sorted((r["page_id"], r["tier"], r["status"], r["markdown"]) for r in got) == [
+        (1, 2, "ok", "text"), (2, 2, "ok", "text"), (3, 3, "failed", None), (4, 0, "refused", None), (5, 0, "refused", None),
+        (6, 3, "ok", "m"), (7, 3, "ok", "m")]

@@ -117,4 +117,4 @@ def test_key_lines_and_hosts(spark):
                  .collect())
     assert got == ["k1", "k2"]
     hosts = sorted(r.host for r in P.allowed_hosts(derived.ALLOWED_HOSTS_OPTION, spark).collect())
-    assert hosts == ["127.0.0.1", "localhost"]
+    assert hosts == ["127.0.0.1", "[::1]", "localhost"]

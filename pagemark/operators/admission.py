@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pagemark.functions import addresses as A
 from pagemark.functions import urls as U
+from pagemark.session import cut_lineage
 
 RESOURCE_RE = "(?i)[ \t\r\n](href|src)=[\"']([^\"']*)[\"']"
 
@@ -114,12 +115,11 @@ def resources(pages: DataFrame) -> DataFrame:
 def resource_admission(pages: DataFrame, resolutions: DataFrame) -> DataFrame:
     """http(s) resources are vetted like URLs (blocked -> abort); other
     schemes (data:, blob:, about:, ...) continue unvetted."""
-    res = resources(pages)
-    web = U.scheme(F.col("target")).isin("http", "https")
-    vetted = admission(res.where(web), resolutions, "target")
-    vetted = vetted.select("page_id", "pos", "target",
-                           F.when(F.col("status") == "admitted", "continue").otherwise("abort").alias("action"),
-                           F.col("message"))
-    other = res.where(~web).select("page_id", "pos", "target", F.lit("continue").alias("action"),
-                                   F.lit(None).cast("string").alias("message"))
-    return vetted.unionByName(other)
+    # Found once: the vetting reads the narrow table twice (rows, distinct hosts).
+    res = cut_lineage(resources(pages))
+    vetted = admission(res, resolutions, "target")
+    web = F.col("scheme").isin("http", "https")
+    return vetted.select(
+        "page_id", "pos", "target",
+        F.when(~web | (F.col("status") == "admitted"), "continue").otherwise("abort").alias("action"),
+        F.when(web, F.col("message")).alias("message"))

@@ -130,15 +130,16 @@ def _reuse_fn(key: list[str], ttl: int):
                 else:
                     hit[i] = False
                     expiry = int(ts[i]) + ttl
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "hit": hit})
+            yield pdf[["id", *key]].assign(hit=hit)
     return run
 
 
 def decision_reuse(df: DataFrame, key: list[str], ts_us: str = "ts_us", id_col: str = "id",
                    ttl_us: int = DEFAULT_TTL_US) -> DataFrame:
     """A verdict made by a miss is reused while ``expiry > now`` (strict,
-    so TTL 0 never hits), never renewed by a hit. Returns (id, hit)."""
+    so TTL 0 never hits), never renewed by a hit. Returns (id, key columns, hit)."""
     d = df.select(F.col(id_col).alias("id"), *[F.col(k) for k in key], F.col(ts_us).alias("ts_us"))
     d = segments(d, key, "ts_us", "id", max(ttl_us, 1))
     d = _sorted_by_segment(d, key, "ts_us", "id")
-    return d.mapInPandas(_reuse_fn(key, ttl_us), "id long, hit boolean")
+    schema = T.StructType([d.schema["id"], *[d.schema[k] for k in key], T.StructField("hit", T.BooleanType())])
+    return d.mapInPandas(_reuse_fn(key, ttl_us), schema)

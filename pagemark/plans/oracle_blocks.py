@@ -178,7 +178,7 @@ blocks_raw AS (
     sum(link_chars) AS link_chars,
     sum(vis_chars) AS vis_chars
   FROM rendered GROUP BY page_id, url, block_no),
-marked AS (
+mark_texts AS (
   SELECT b.*, regexp_replace(regexp_replace(
     regexp_replace(coalesce(raw, ''), '([*`\\[]+\\x01[ \\t\\r\\n]*)+$', '') || coalesce(tails, ''),
     '\\x01[ \\t\\r\\n]+', chr(1), 'g'), '[ \\t\\r\\n]+\\x02', chr(2), 'g') AS m
@@ -186,7 +186,7 @@ marked AS (
 block_texts AS (
   SELECT * EXCLUDE (raw, m),
     CASE WHEN pre_depth > 0 THEN coalesce(raw, '') ELSE trim({collapse_sql("replace(replace(m, chr(1), ''), chr(2), '')")}) END AS text
-  FROM marked),
+  FROM mark_texts),
 list_levels AS (
   SELECT *, greatest(sum(CASE WHEN tag IN ('ul', 'ol') THEN 1 WHEN tag IN ('/ul', '/ol') THEN -1 ELSE 0 END)
     OVER (PARTITION BY page_id ORDER BY block_no), 0) AS list_level FROM block_texts),

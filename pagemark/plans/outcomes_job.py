@@ -1,13 +1,17 @@
 """Registered queries of J8 (conversion cascade and outcomes)."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagemark.api import convert
 from pagemark.operators import outcomes as T
 from pagemark.plans import routing_job as RJ
 from pagemark.plans.snapshots_job import SNAPSHOTS_SQL
+from pagemark.session import checkpoint_dir
 from pagemark.sources import derived
+from pagemark.sources.files import write_outcomes
 
 
 def outcomes(spark, sf_dir):
@@ -28,6 +32,13 @@ def q_outcomes(spark, sf_dir):
     return outcomes(spark, sf_dir).select("url", "status", "tier", "markdown", "message")
 
 
+def q_outcome_sink(spark, sf_dir):
+    """The outcome sink (one folder per status) written and read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    write_outcomes(outcomes(spark, sf_dir), path)
+    return spark.read.parquet(path).select("page_id", "url", "host", "status", F.col("tier").cast("long").alias("tier"), "message")
+
+
 def q_retry_list(spark, sf_dir):
     """T4: headed retries for empty results and navigation timeouts."""
     return T.retry_list(outcomes(spark, sf_dir)).select("url", "status", "headless", "poll_budget_ms")
@@ -41,6 +52,7 @@ def q_outcome_rollup(spark, sf_dir):
 QUERIES = {
     "tier_cascade": q_tier_cascade,
     "outcomes": q_outcomes,
+    "outcome_sink": q_outcome_sink,
     "retry_list": q_retry_list,
     "outcome_rollup": q_outcome_rollup,
 }
@@ -91,6 +103,8 @@ SELECT url, tier::BIGINT AS tier,
   CASE tier WHEN 0 THEN 'refused' WHEN 1 THEN 'native' WHEN 2 THEN 'extract' ELSE 'render' END AS branch FROM outh""",
     "outcomes": OUTCOMES_SQL + """
 SELECT url, status, tier::BIGINT AS tier, markdown, message FROM outh""",
+    "outcome_sink": OUTCOMES_SQL + """
+SELECT page_id, url, host, status, tier::BIGINT AS tier, message FROM outh""",
     "retry_list": OUTCOMES_SQL + """
 SELECT url, status, false AS headless, CASE WHEN status = 'empty' THEN 10000 ELSE 15000 END::BIGINT AS poll_budget_ms
 FROM outh WHERE status IN ('empty', 'nav_timeout')""",

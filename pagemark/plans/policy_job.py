@@ -78,7 +78,7 @@ def q_lookup_reuse(spark, sf_dir):
     """Hit or miss of each host+port lookup under the verdict TTL."""
     lk = derived.lookups(spark, sf_dir).withColumn("ts_us", F.unix_micros("ts"))
     hits = folds.decision_reuse(lk, ["host", "port"], "ts_us", "id", EVENTS_TTL_US)
-    return lk.select("id", "host", F.col("port").cast("long").alias("port")).join(hits, "id")
+    return hits.select("id", "host", F.col("port").cast("long").alias("port"), "hit")
 
 
 QUERIES = {

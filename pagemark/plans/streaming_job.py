@@ -37,8 +37,8 @@ def q_stream_static_gate(spark, sf_dir):
 
 
 def q_stream_snapshots(spark, sf_dir):
-    """Snapshot stabilization as keyed streaming state, one micro-batch
-    per poll interval; each URL's captures end with an end-of-captures event."""
+    """Snapshot stabilization as keyed streaming state; each URL's captures
+    end with an end-of-captures event."""
     from pagemark.operators import snapshots as S
     caps = S.select_mode(derived.snapshots(spark, sf_dir), derived.render_requests(spark, sf_dir))
     base = F.lit(1704067200000)  # polls on one clock: 2024-01-01 + elapsed
@@ -49,7 +49,7 @@ def q_stream_snapshots(spark, sf_dir):
         "url", "elapsed_ms", F.lit(None).cast("string").alias("md"), "poll_budget_ms", "poll_interval_ms",
         F.lit(True).alias("is_end"))
     src = caps.unionByName(ends).withColumn("ts", F.timestamp_millis(base + F.col("elapsed_ms")))
-    out = run_stream(spark, "snapshots", src, "ts", lambda s: W.snapshot_stream(s), chunk_s=0.25)
+    out = run_stream(spark, "snapshots", src, "ts", lambda s: W.snapshot_stream(s))
     return out.select("url", "polls", "how", "md")
 
 

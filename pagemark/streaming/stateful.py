@@ -100,24 +100,33 @@ def decision_reuse_stream(lookups: DataFrame, ttl_us: int, watermark: str = "1 h
 
 def static_gate_stream(requests: DataFrame, keys: DataFrame) -> DataFrame:
     """Stream-static joins of the request stream with the key versions
-    (broadcast, size-checked inside ``key_asof``) and the key set."""
+    (an equi-join on days, one row for the newest) and the key set."""
     return P.key_check(requests, keys).select("id", "presented", "key_ok")
 
 
 SNAP_OUT = "url string, polls long, how string, md string"
-SNAP_STATE = "last_md string, has_last boolean, last_slot long, n_polls long, done boolean"
+SNAP_STATE = "last_md string, has_last boolean, last_slot long, n_polls long, done boolean, deadline_ms long"
 
 
-def _snapshot_state_fn():
+def _snapshot_state_fn(grace_ms: int):
     def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            # The budget is over and no further poll came: the last one counts.
+            last_md, has_last, _, n, done, _ = state.get
+            state.remove()
+            if not done and n:
+                yield pd.DataFrame([(key[0], n, "exhausted", last_md if has_last else None)],
+                                   columns=["url", "polls", "how", "md"])
+            return
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["elapsed_ms", "is_end", "md"],
                                                                    kind="stable", na_position="first")
         if state.exists:
-            last_md, has_last, last_slot, n, done = state.get
+            last_md, has_last, last_slot, n, done, deadline = state.get
         else:
-            last_md, has_last, last_slot, n, done = None, False, -1, 0, False
+            last_md, has_last, last_slot, n, done, deadline = None, False, -1, 0, False, 0
         out = []
         for row in pdf.itertuples(index=False):
+            deadline = max(deadline, int(row.ts_ms) - int(row.elapsed_ms) + int(row.poll_budget_ms))
             if done:
                 break
             if row.is_end:
@@ -136,17 +145,23 @@ def _snapshot_state_fn():
                 done = True
                 break
             last_md, has_last = md, True
-        state.update((last_md, has_last, last_slot, n, done))
+        # A settled URL keeps no text, only the mark that swallows what still
+        # belongs to this render; all state ends with the budget.
+        state.update((None if done else last_md, has_last and not done, last_slot, n, done, deadline))
+        state.setTimeoutTimestamp(max(deadline + grace_ms, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["url", "polls", "how", "md"])
     return fn
 
 
-def snapshot_stream(captures: DataFrame, watermark: str = "10 seconds") -> DataFrame:
+def snapshot_stream(captures: DataFrame, watermark: str = "10 seconds", grace_ms: int = 10_000) -> DataFrame:
     """W3 = F1-F4 on a capture stream (url, ts, elapsed_ms, md,
     poll_budget_ms, poll_interval_ms, is_end): the result is emitted at the
-    first terminal poll; an end-of-captures event emits the last poll as
-    `exhausted` when none was terminal."""
-    return (captures.withWatermark("ts", watermark).groupBy("url")
-            .applyInPandasWithState(_snapshot_state_fn(), SNAP_OUT, SNAP_STATE, "append",
-                                    GroupStateTimeout.NoTimeout))
+    first terminal poll; an end-of-captures event, or the event-time timer
+    ``grace_ms`` after the budget, emits the last poll as `exhausted` when none
+    was terminal. The timer also removes the state, so a later render of the
+    same URL starts afresh."""
+    rows = captures.withColumn("ts_ms", F.unix_millis("ts"))
+    return (rows.withWatermark("ts", watermark).groupBy("url")
+            .applyInPandasWithState(_snapshot_state_fn(grace_ms), SNAP_OUT, SNAP_STATE, "append",
+                                    GroupStateTimeout.EventTimeTimeout))

@@ -26,7 +26,7 @@ def test_token_bucket_stream_equals_batch(spark):
     src = _rows(spark, rows)
     batch = folds.token_bucket(src.withColumn("ts_us", F.unix_micros("ts")), "identity", "ts_us", "id", BUCKET)
     want = {r.id: (r.allowed, r.tokens_after) for r in batch.collect()}
-    out = run_stream(spark, "t_bucket", src, "ts", lambda s: W.token_bucket_stream(s, BUCKET), chunk_s=60)
+    out = run_stream(spark, "t_bucket", src, "ts", lambda s: W.token_bucket_stream(s, BUCKET))
     got = {r.id: (r.allowed, r.tokens_after) for r in out.collect()}
     assert got == want
     assert sum(not a for a, _ in want.values()) == 2 * 6 * 2  # 3 of each burst of 5 pass
@@ -45,6 +45,37 @@ def test_late_row_gets_no_refill(spark):
     out = run_stream(spark, "t_late", src.drop("ts").withColumnRenamed("ts2", "arrival").withColumn(
         "ts", F.when(F.col("id") == 4, F.lit(T0 + dt.timedelta(seconds=5)))
         .when(F.col("id") == 5, F.lit(T0 + dt.timedelta(seconds=30))).otherwise(F.col("arrival"))),
-        "arrival", lambda s: W.token_bucket_stream(s.drop("arrival"), BUCKET), chunk_s=60)
+        "arrival", lambda s: W.token_bucket_stream(s.drop("arrival"), BUCKET))
     got = {r.id: r.allowed for r in out.collect()}
     assert got == {1: True, 2: True, 3: True, 4: False, 5: True}
+
+
+SNAPS = "url string, ts timestamp, elapsed_ms long, md string, poll_budget_ms long, poll_interval_ms long, is_end boolean"
+
+
+def test_snapshot_timer_ends_state(spark):
+    """No further poll arrives: the timer reports the last one and removes the
+    state; a later render of the same URL starts afresh."""
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [("u", at(0), 0, "a", 1000, 250, False), ("u", at(0.25), 250, "b", 1000, 250, False),
+            ("other", at(100), 0, "x", 1000, 250, False), ("other", at(100.25), 250, "x", 1000, 250, False),
+            ("other", at(100.5), 500, "y", 1000, 250, False),  # after the result: ignored
+            ("tick", at(200), 0, None, 1000, 250, True), ("tick2", at(300), 0, None, 1000, 250, True),
+            ("u", at(400), 0, "c", 1000, 250, False), ("u", at(400.25), 250, "c", 1000, 250, False)]
+    src = spark.createDataFrame(rows, SNAPS)
+    out = run_stream(spark, "t_snap", src, "ts", lambda s: W.snapshot_stream(s), phases=4)
+    got = sorted((r.url, r.polls, r.how, r.md) for r in out.collect() if not r.url.startswith("tick"))
+    assert got == [("other", 2, "stable", "x"), ("u", 2, "exhausted", "b"), ("u", 2, "stable", "c")]
+
+
+def test_static_gate_streams_with_many_versions(spark):
+    """The as-of join of key versions is one plan that a stream can run."""
+    from pagemark.operators import policy as P
+    keys = spark.createDataFrame([(T0 + dt.timedelta(hours=5 * k), f"k{k % 3}") for k in range(40)], "loaded_at timestamp, key string")
+    rows = [(i, T0 + dt.timedelta(minutes=37 * i), f"key=k{i % 3}") for i in range(-3, 400)]
+    src = spark.createDataFrame(rows, "id long, ts timestamp, query_string string")
+    want = {i: 0 <= 37 * i and (min(37 * i // 300, 39)) % 3 == i % 3 for i, _, _ in rows}
+    batch = {r.id: r.key_ok for r in P.key_check(src, keys).collect()}
+    assert batch == want
+    out = run_stream(spark, "t_gate", src, "ts", lambda s: W.static_gate_stream(s, keys))
+    assert {r.id: r.key_ok for r in out.collect()} == want

@@ -14,7 +14,8 @@ from pagemark.session import cut_lineage
 def verdict_table(urls: DataFrame, responses: DataFrame, resolutions: DataFrame) -> DataFrame:
     """One admission verdict per distinct URL that the cascade may request:
     the work list and every captured redirect target, materialized once."""
-    wanted = urls.select("url").unionByName(R.hop_targets(responses)).distinct()
+    # Read twice (rows and their distinct hosts): written once, a narrow table.
+    wanted = cut_lineage(urls.select("url").unionByName(R.hop_targets(responses)).distinct())
     return cut_lineage(ADM.admission(wanted, resolutions).select("url", "host", "status", "reason", "message"))
 
 

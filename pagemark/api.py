@@ -27,14 +27,14 @@ def convert(urls: DataFrame, responses: DataFrame, resolutions: DataFrame,
     urls:            page_id, url
     responses:       url, status, headers map, body, elapsed_ms, error (A2)
     resolutions:     host, pos, ip (name resolution as data)
-    captures:        url, elapsed_ms, capture_mode, md (A3)
+    captures:        url, elapsed_ms, capture_mode, html (A3)
     render_requests: page_id, url, wait_until, timeout_ms, headless,
                      poll_budget_ms, poll_interval_ms, nav_ms map (F5, F6)
 
     Returns page_id, url, host, tier, status, markdown, message: one row per row
     of ``urls``. Work is done once per distinct URL; of several render requests
-    for one URL that with the smallest page_id holds. Captures are read for
-    the URLs that the cheaper tiers leave to rendering.
+    for one URL that with the smallest page_id holds. Only captures of URLs
+    that the cheaper tiers leave to rendering are extracted.
     """
     table = verdict_table(urls, responses, resolutions)
     verdicts = urls.select("url").distinct().join(table, "url")
@@ -46,7 +46,8 @@ def convert(urls: DataFrame, responses: DataFrame, resolutions: DataFrame,
     names = [c for c in render_requests.columns if c != "url"]
     requests = (render_requests.join(queue, "url", "left_semi")
                 .groupBy("url").agg(F.min_by(F.struct(*names), "page_id").alias("r")).select("url", "r.*"))
-    settled = S.stabilize(S.cadence(S.select_mode(captures.join(queue, "url", "left_semi"), requests)))
+    queued = S.select_mode(captures.join(queue, "url", "left_semi"), requests)
+    settled = S.stabilize(S.extract(S.cadence(queued, "html")))
     out = T.cascade(verdicts, routed, S.navigation(requests), settled)
     return (urls.select("page_id", "url").join(out, "url")
             .join(table.select("url", "host"), "url"))

@@ -9,6 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemark.operators import markdown as M
+
+
+def extract(captures: DataFrame) -> DataFrame:
+    """Captures with ``html`` get the Markdown of each distinct page state: ``md``
+    (null: nothing to extract, or no HTML)."""
+    keyed = captures.withColumn("_state", F.concat_ws("\n", "url", F.md5("html")))
+    states = keyed.where(F.col("html").isNotNull()).groupBy("_state", "url").agg(F.first("html").alias("html"))
+    md = M.page_markdown(states.withColumnRenamed("_state", "page_id"), scope="none").select(
+        F.col("page_id").alias("_state"), F.col("markdown").alias("md"))
+    return keyed.drop("html").join(md, "_state", "left").drop("_state")
+
 
 def select_mode(captures: DataFrame, requests: DataFrame) -> DataFrame:
     """captures of the mode each request asks for (headless or headed)."""
@@ -17,11 +29,12 @@ def select_mode(captures: DataFrame, requests: DataFrame) -> DataFrame:
     return captures.join(want, ["url", "capture_mode"])
 
 
-def cadence(captures: DataFrame) -> DataFrame:
+def cadence(captures: DataFrame, content: str = "md") -> DataFrame:
     """with captures finer than the poll interval, keep the first of each
-    interval; polls are numbered from 0 in time order."""
+    interval (of equal times the smallest ``content``); polls are numbered from
+    0 in time order."""
     slot = F.floor(F.col("elapsed_ms") / F.col("poll_interval_ms"))
-    w = Window.partitionBy("url", slot).orderBy("elapsed_ms", "md")
+    w = Window.partitionBy("url", slot).orderBy("elapsed_ms", content)
     first = captures.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
     return first.withColumn("poll_no", F.row_number().over(
         Window.partitionBy("url").orderBy("elapsed_ms")) - 1)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pagemark.api import convert
 from pagemark.operators import outcomes as T
 from pagemark.plans import routing_job as RJ
-from pagemark.plans.snapshots_job import SNAPSHOTS_SQL
+from pagemark.plans import oracle_blocks as O
+from pagemark.plans.snapshots_job import snapshots_sql
 from pagemark.session import checkpoint_dir
 from pagemark.sources import derived
 from pagemark.sources.files import write_outcomes
@@ -17,7 +18,7 @@ from pagemark.sources.files import write_outcomes
 def outcomes(spark, sf_dir):
     return convert(derived.url_list(spark, sf_dir).select("page_id", "url"),
                    derived.responses(spark, sf_dir), derived.resolutions(spark, sf_dir),
-                   derived.snapshots(spark, sf_dir), derived.render_requests(spark, sf_dir))
+                   derived.snapshot_pages(spark, sf_dir), derived.render_requests(spark, sf_dir))
 
 
 def q_tier_cascade(spark, sf_dir):
@@ -57,7 +58,15 @@ QUERIES = {
     "outcome_rollup": q_outcome_rollup,
 }
 
-OUTCOMES_SQL = RJ.CHAIN + ",\n" + SNAPSHOTS_SQL.strip() + """,
+OUTCOMES_SQL = RJ.CHAIN + ",\n" + snapshots_sql("coalesce(html, '')", "'<p>flicker ' || poll || '</p>'", "'<p>headed</p>'").strip() + f""",
+queued AS (SELECT p.* FROM polls p JOIN (SELECT url FROM routed WHERE route = 'render') USING (url)),
+states AS (SELECT row_number() OVER () AS sid, url, md AS html FROM (SELECT DISTINCT url, md FROM queued WHERE md IS NOT NULL)),
+state_md AS (WITH {O.chain('SELECT sid AS page_id, url, html FROM states', 'none').strip()}
+  SELECT page_id AS sid, markdown FROM page_markdown),
+extracted_polls AS (
+  SELECT q.* EXCLUDE (md), m.markdown AS md FROM queued q
+  LEFT JOIN states s ON s.url = q.url AND s.html = q.md LEFT JOIN state_md m ON m.sid = s.sid),
+""" + """
 verd AS (SELECT min(page_id) AS page_id, url, any_value(status) AS status, any_value(message) AS message FROM u_adm GROUP BY url),
 navs AS (
   SELECT url, timeout_ms,
@@ -66,7 +75,7 @@ navs AS (
 marked AS (
   SELECT *, coalesce(md <> '' AND md = lag(md) OVER w, false) AS stable, elapsed_ms >= poll_budget_ms AS expired,
     lead(poll_no) OVER w IS NULL AS last
-  FROM polls WINDOW w AS (PARTITION BY url ORDER BY poll_no)),
+  FROM extracted_polls WINDOW w AS (PARTITION BY url ORDER BY poll_no)),
 settled AS (
   SELECT url, md FROM (
     SELECT *, row_number() OVER (PARTITION BY url ORDER BY poll_no) AS k FROM marked WHERE stable OR expired OR last)

@@ -36,17 +36,19 @@ QUERIES = {
     "render_eligibility": q_render_eligibility,
 }
 
-SNAPSHOTS_SQL = """
+def snapshots_sql(body: str, flicker: str, headed: str) -> str:
+    """CTEs down to ``polls``; ``md`` is what a capture holds."""
+    return f"""
 caps_base AS (
   SELECT page_id, url, poll, poll * 250 AS elapsed_ms, 'headless' AS capture_mode,
     CASE WHEN poll < page_id % 3 THEN NULL
          ELSE substring(body, 1, ceil(length(body) * least(poll + 1, page_id % 6 + 1) / (page_id % 6 + 1))::INT) END AS md
-  FROM (SELECT page_id, url, regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g') AS body FROM pages),
+  FROM (SELECT page_id, url, {body} AS body FROM pages),
        range(0, 8) r(poll)),
 captures AS (
   SELECT page_id, url, elapsed_ms, capture_mode, md FROM caps_base
-  UNION ALL SELECT page_id, url, elapsed_ms + 120, capture_mode, 'flicker ' || poll FROM caps_base WHERE page_id % 2 = 1
-  UNION ALL SELECT page_id, url, elapsed_ms, 'headed', md || ' (headed)' FROM caps_base WHERE page_id % 4 = 0),
+  UNION ALL SELECT page_id, url, elapsed_ms + 120, capture_mode, {flicker} FROM caps_base WHERE page_id % 2 = 1
+  UNION ALL SELECT page_id, url, elapsed_ms, 'headed', md || {headed} FROM caps_base WHERE page_id % 4 = 0),
 req AS (
   SELECT page_id, url,
     ['load', 'domcontentloaded', 'networkidle', 'commit'][(page_id % 4 + 1)::INT] AS wait_until,
@@ -60,6 +62,9 @@ polls AS (
     SELECT *, row_number() OVER (PARTITION BY url, elapsed_ms // poll_interval_ms ORDER BY elapsed_ms, md) AS rn
     FROM moded) WHERE rn = 1)"""
 
+
+SNAPSHOTS_SQL = snapshots_sql("regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g')", "'flicker ' || poll", "' (headed)'")
+
 ORACLE = {
     "snapshot_cadence": "WITH " + SNAPSHOTS_SQL.strip() + """
 SELECT url, poll_no::BIGINT AS poll_no, elapsed_ms::BIGINT AS elapsed_ms, md FROM polls""",

@@ -138,29 +138,39 @@ def address_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 WAIT_UNTIL = ("load", "domcontentloaded", "networkidle", "commit")
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3 render captures per page URL: (url, capture_no, elapsed_ms,
-    capture_mode, md). Polls 0-7 every 250 ms; the extraction is null while
-    poll < page_id % 3, then the body text grows by equal parts a poll until it
-    is whole at poll page_id % 6. Odd pages also have a finer capture 120 ms after each
-    poll; pages with page_id % 4 = 0 also have headed captures."""
-    p = tables.pages(spark, sf_dir).select(
-        "page_id", "url", F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", "").alias("body"))
+def _captures(pages: DataFrame, flicker, headed: str) -> DataFrame:
+    """Render captures of (page_id, url, body): polls 0-7 every 250 ms; nothing
+    while poll < page_id % 3, then the body grows by equal parts a poll until it
+    is whole at poll page_id % 6. Odd pages also have a finer capture 120 ms
+    after each poll; pages with page_id % 4 = 0 also have headed captures."""
     pid = F.col("page_id")
-    polls = p.select("page_id", "url", "body", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("poll"))
-    md = F.when(F.col("poll") < pid % 3, F.lit(None).cast("string")).otherwise(
+    polls = pages.select("page_id", "url", "body", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("poll"))
+    shown = F.when(F.col("poll") < pid % 3, F.lit(None).cast("string")).otherwise(
         F.col("body").substr(F.lit(1), F.ceil(
             F.length("body") * F.least(F.col("poll") + 1, pid % 6 + 1) / (pid % 6 + 1)).cast("int")))
     base = polls.select("page_id", "url", "poll", (F.col("poll") * 250).cast("long").alias("elapsed_ms"),
-                        F.lit("headless").alias("capture_mode"), md.alias("md"))
+                        F.lit("headless").alias("capture_mode"), shown.alias("shown"))
     fine = base.where(pid % 2 == 1).select(
         "page_id", "url", "poll", (F.col("elapsed_ms") + 120).alias("elapsed_ms"), "capture_mode",
-        F.concat(F.lit("flicker "), F.col("poll").cast("string")).alias("md"))
-    headed = base.where(pid % 4 == 0).select(
+        flicker(F.col("poll").cast("string")).alias("shown"))
+    other = base.where(pid % 4 == 0).select(
         "page_id", "url", "poll", "elapsed_ms", F.lit("headed").alias("capture_mode"),
-        F.concat(F.col("md"), F.lit(" (headed)")).alias("md"))
-    allc = base.unionByName(fine).unionByName(headed)
-    return allc.select("page_id", "url", "elapsed_ms", "capture_mode", "md")
+        F.concat(F.col("shown"), F.lit(headed)).alias("shown"))
+    return base.unionByName(fine).unionByName(other).select("page_id", "url", "elapsed_ms", "capture_mode", "shown")
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 render captures whose content is extracted already: (url, elapsed_ms,
+    capture_mode, md), the growing body text of each page."""
+    p = tables.pages(spark, sf_dir).select(
+        "page_id", "url", F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", "").alias("body"))
+    return _captures(p, lambda k: F.concat(F.lit("flicker "), k), " (headed)").withColumnRenamed("shown", "md")
+
+
+def snapshot_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 render captures as HTML: (url, elapsed_ms, capture_mode, html)."""
+    p = tables.pages(spark, sf_dir).select("page_id", "url", F.coalesce("html", F.lit("")).alias("body"))
+    return _captures(p, lambda k: F.concat(F.lit("<p>flicker "), k, F.lit("</p>")), "<p>headed</p>").withColumnRenamed("shown", "html")
 
 
 def render_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

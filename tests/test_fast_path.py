@@ -80,8 +80,9 @@ def test_one_outcome_per_work_list_row(spark):
                                   (5, "http://10.1.1.1/"), (6, "http://9.9.9.9/r"), (7, "http://9.9.9.9/r")], "page_id long, url string")
     resp = spark.createDataFrame([("http://9.9.9.9/a", 200, None, "<p>text</p>", 1, None), ("http://9.9.9.9/b", 404, None, "", 1, None),
                                   ("http://9.9.9.9/r", 500, None, "", 1, None)], SCHEMA)
-    caps = spark.createDataFrame([("http://9.9.9.9/r", 0, "headless", "m"), ("http://9.9.9.9/r", 250, "headless", "m")],
-                                 "url string, elapsed_ms long, capture_mode string, md string")
+    caps = spark.createDataFrame([("http://9.9.9.9/r", 0, "headless", "<p>m</p>"), ("http://9.9.9.9/r", 250, "headless", "<div><p><b>m</b></p>"),
+                                  ("http://9.9.9.9/r", 500, "headless", "<p><b>m</b></p>"), ("http://9.9.9.9/a", 0, "headless", "<p>unused</p>")],
+                                 "url string, elapsed_ms long, capture_mode string, html string")
     req = spark.createDataFrame([(p, u, "load", 30000, True, 5000, 250, {"load": 1}) for p, u in
                                  ((3, "http://9.9.9.9/b"), (6, "http://9.9.9.9/r"), (7, "http://9.9.9.9/r"))],
                                 "page_id long, url string, wait_until string, timeout_ms long, headless boolean, "
@@ -89,4 +90,4 @@ def test_one_outcome_per_work_list_row(spark):
     got = api.convert(urls, resp, spark.createDataFrame([], NO_NAMES), caps, req).collect()
     assert sorted((r["page_id"], r["tier"], r["status"], r["markdown"]) for r in got) == [
         (1, 2, "ok", "text"), (2, 2, "ok", "text"), (3, 3, "failed", None), (4, 0, "refused", None), (5, 0, "refused", None),
-        (6, 3, "ok", "m"), (7, 3, "ok", "m")]
+        (6, 3, "ok", "**m**"), (7, 3, "ok", "**m**")]

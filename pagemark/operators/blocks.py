@@ -32,20 +32,20 @@ def _running(*keys):
 def page_tokens(pages: DataFrame) -> DataFrame:
     """D1 + D2: drop non-content regions, then one row per tag token.
 
-    Output: page_id, url, pos (0-based), tag (lower-case, `/` for closers),
+    Output: page_id, url, html_chars, pos (0-based), tag (lower-case, `/` for closers),
     head (the tag text), text (text after the tag up to the next `<`).
     Text before the first tag is a token without a tag. An empty page still
     yields one row (pos null) so it keeps a place.
     """
-    cleaned = (pages.select("page_id", "url",
+    cleaned = (pages.select("page_id", "url", F.length(F.coalesce("html", F.lit(""))).alias("html_chars"),
                             F.regexp_replace(F.coalesce("html", F.lit("")), H.DROP_RE, "")
                             .alias("html"))
                .repartition("page_id"))
     toks = cleaned.select(
-        "page_id", "url",
+        "page_id", "url", "html_chars",
         F.posexplode_outer(F.regexp_extract_all("html", F.lit(H.TOKEN_RE), 0)).alias("pos", "tok"))
     return toks.select(
-        "page_id", "url", "pos",
+        "page_id", "url", "html_chars", "pos",
         F.lower(F.regexp_extract("tok", H.TAG_RE, 1)).alias("tag"),
         F.regexp_extract("tok", H.HEAD_RE, 0).alias("head"),
         F.substring("tok", F.length(F.regexp_extract("tok", H.HEAD_RE, 0)) + 1, 1 << 30).alias("text"))
@@ -185,6 +185,7 @@ def page_blocks(tokens: DataFrame) -> DataFrame:
         first("table_no").alias("table_no"),
         first("row_no").alias("row_no"),
         F.collect_list("tail").alias("tails"),
+        F.max("html_chars").alias("html_chars"),
         F.max("solid").alias("solid"),
         F.sum("link_chars").alias("link_chars"),
         F.sum("vis_chars").alias("vis_chars"))
@@ -246,7 +247,7 @@ def block_markdown(blocks: DataFrame) -> DataFrame:
     md = F.when((F.col("quote_depth") > 0) & ~F.col("_cell") & (md != ""), F.concat(F.lit("> "), md)).otherwise(md)
     first_cell = F.col("_cell") & (F.col("_row_rank") == 1)
     return b.select(
-        "page_id", "url", "block_no", F.when(first_cell, F.lit("tr")).otherwise(tag).alias("tag"),
+        "page_id", "url", "html_chars", "block_no", F.when(first_cell, F.lit("tr")).otherwise(tag).alias("tag"),
         md.alias("md"), "chrome_depth", "main_depth", "ad_depth",
         F.when(first_cell, F.col("_row_links")).otherwise(F.col("link_chars")).alias("link_chars"),
         F.when(first_cell, F.col("_row_vis")).otherwise(F.col("vis_chars")).alias("chars"))
@@ -255,7 +256,7 @@ def block_markdown(blocks: DataFrame) -> DataFrame:
 def block_features(md_blocks: DataFrame) -> DataFrame:
     """Per-block features used by the keep rule (narrow projection)."""
     return md_blocks.select(
-        "page_id", "url", "block_no", "tag", "md", "chars", "link_chars",
+        "page_id", "url", "html_chars", "block_no", "tag", "md", "chars", "link_chars",
         (F.col("main_depth") > 0).alias("in_main"),
         (F.col("chrome_depth") > 0).alias("in_chrome"),
         (F.col("ad_depth") > 0).alias("in_ad"),

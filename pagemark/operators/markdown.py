@@ -10,7 +10,7 @@ from pagemark.session import cut_lineage
 
 def page_markdown(pages: DataFrame, scope: str = "outside_main", materialize: bool = True) -> DataFrame:
     """Kept blocks joined by a blank line in block order; null when a
-    page keeps nothing. One row per input page.
+    page keeps nothing. One row per input page, with ``html_chars``.
 
     The block table feeds two branches (the corpus-wide boilerplate count
     and the per-page assembly); with ``materialize`` it is written once to
@@ -18,20 +18,21 @@ def page_markdown(pages: DataFrame, scope: str = "outside_main", materialize: bo
     each branch.
     """
     mdb = B.block_markdown(B.page_blocks(B.page_tokens(pages)))
-    if materialize and scope != "none":
+    joined = "listagg(md, '\\n\\n') WITHIN GROUP (ORDER BY block_no)"
+    chars = F.max("html_chars").alias("html_chars")
+    if scope == "none":  # nothing to look up: one pass
+        return B.keep_flags(mdb).groupBy("page_id", "url").agg(F.expr(joined + " FILTER (WHERE keep)").alias("markdown"), chars)
+    if materialize:
         mdb = cut_lineage(mdb)
-    md = B.kept_blocks(mdb, scope).groupBy("page_id").agg(F.expr(
-        "listagg(md, '\\n\\n') WITHIN GROUP (ORDER BY block_no)").alias("markdown"))
-    return pages.select("page_id", "url").join(md, "page_id", "left")
+    md = B.kept_blocks(mdb, scope).groupBy("page_id").agg(F.expr(joined).alias("markdown"))
+    return mdb.groupBy("page_id", "url").agg(chars).join(md, "page_id", "left")
 
 
-def size_saving(pages: DataFrame, md: DataFrame) -> DataFrame:
-    """D15 per page: characters of HTML and Markdown and the saving in per
-    mille, ``1000 - floor(1000 * md / html)``."""
-    sizes = pages.select("page_id", F.length(F.coalesce("html", F.lit(""))).alias("html_chars"))
-    j = md.join(sizes, "page_id")
+def size_saving(md: DataFrame) -> DataFrame:
+    """D15 per page of ``page_markdown``: characters of HTML and Markdown and the
+    saving in per mille, ``1000 - floor(1000 * md / html)``."""
     md_chars = F.coalesce(F.length("markdown"), F.lit(0))
-    return j.select(
+    return md.select(
         "page_id", "url", "markdown", F.col("html_chars").cast("long").alias("html_chars"),
         md_chars.cast("long").alias("md_chars"),
         F.when(F.col("html_chars") > 0,

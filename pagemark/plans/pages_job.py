@@ -100,8 +100,7 @@ def q_page_markdown(spark, sf_dir):
 
 
 def per_page_saving(spark, sf_dir):
-    pages = tables.pages(spark, sf_dir)
-    return M.size_saving(pages, M.page_markdown(pages))
+    return M.size_saving(M.page_markdown(tables.pages(spark, sf_dir)))
 
 
 def q_size_saving(spark, sf_dir):
@@ -110,8 +109,7 @@ def q_size_saving(spark, sf_dir):
 
 def flagship(spark, sf_dir):
     """entry(): Markdown and size saving per page."""
-    pages = tables.pages(spark, sf_dir)
-    return M.size_saving(pages, M.page_markdown(pages)).select(
+    return M.size_saving(M.page_markdown(tables.pages(spark, sf_dir))).select(
         "page_id", "url", "markdown", "html_chars", "md_chars", "saving_pm")
 
 

@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pagemark.plans import registry  # noqa: E402
-from pagemark.session import local_session  # noqa: E402
+from pagemark.session import local_session, remove_tables  # noqa: E402
 
 HEADLINE = (
     "page_markdown", "size_saving", "kept_blocks", "url_admission", "resource_admission",
@@ -48,6 +48,7 @@ def main():
         sf = sf_name
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": sf, "cpus": int(cpus)}))
+    remove_tables(spark)
     spark.stop()
 
 

@@ -10,7 +10,7 @@ from pagemark.operators import outcomes as T
 from pagemark.plans import routing_job as RJ
 from pagemark.plans import oracle_blocks as O
 from pagemark.plans.snapshots_job import snapshots_sql
-from pagemark.session import checkpoint_dir
+from pagemark.session import tables_dir
 from pagemark.sources import derived
 from pagemark.sources.files import write_outcomes
 
@@ -35,7 +35,7 @@ def q_outcomes(spark, sf_dir):
 
 def q_outcome_sink(spark, sf_dir):
     """The outcome sink (one folder per status) written and read back."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
     write_outcomes(outcomes(spark, sf_dir), path)
     return spark.read.parquet(path).select("page_id", "url", "host", "status", F.col("tier").cast("long").alias("tier"), "message")
 

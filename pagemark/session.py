@@ -84,6 +84,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; to be called when no
+    DataFrame built on them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df):
     """Write ``df`` as a Parquet table in the shared checkpoint folder and
     return a DataFrame reading it back.
@@ -95,6 +107,6 @@ def cut_lineage(df):
     into every filter pushed below them.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -35,7 +35,7 @@ ROW_BYTES = 8
 FIRST = 12       # bits of the first summary
 STEP = 8         # bits that opening a node adds
 OPEN = 2048      # nodes opened at once
-CELLS = 4096     # numbering cells per shard
+CELLS = 512      # numbering cells per shard
 
 
 @dataclass(frozen=True)

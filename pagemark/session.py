@@ -34,7 +34,11 @@ DEFAULTS = {
 
 def configure(spark: SparkSession) -> SparkSession:
     conf = spark.conf
+    # A broadcast bound chosen by the launcher holds at run time too.
+    chosen = spark.sparkContext.getConf().get("spark.sql.autoBroadcastJoinThreshold", None)
     for key, value in DEFAULTS.items():
+        if chosen and key == "spark.sql.adaptive.autoBroadcastJoinThreshold":
+            value = chosen
         try:
             if conf.get(key, None) in (None, ""):
                 conf.set(key, value)

@@ -62,10 +62,10 @@ def occurrences(docs: DataFrame, windows: DataFrame, block_windows: int = BLOCK_
     for block in range(blocks):
         mine = phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == block) if blocks > 1 else phrases
         parts = mine.select("phrase", "size", F.posexplode(F.split("phrase", " ")).alias("place", "word"))
-        # At most block_windows * window rows: the bound of both broadcasts.
+        # At most block_windows * window words: the bound of this block's broadcasts.
         counts = (_exploded(docs.select("w")).join(F.broadcast(parts.select("word").distinct()), "word")
                   .groupBy("word").agg(F.count("*").alias("n")))
-        ranked = parts.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        ranked = parts.join(F.broadcast(counts), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         rarest = ranked.groupBy("phrase", "size").agg(
             F.min(F.struct("n", "word", "place")).alias("p")).select(
             "phrase", "size", F.col("p.n").alias("n"), F.col("p.word").alias("word"), F.col("p.place").alias("place"))

@@ -8,7 +8,8 @@ code points over the assistants' texts.
 
 The template marks turns with ``<|im_start|>`` and ``<|im_end|>``. Inside texts
 a backslash is doubled and ``<|`` becomes ``<\\|``, so no text can hold a control
-string and ``read_back`` restores every text exactly; in roles a line break
+string and ``read_back`` restores every text exactly. A later part's leading
+``|`` becomes ``\\|``, so adjacent parts cannot form one either; in roles a line break
 becomes ``\\n``.
 
 Null texts and null parts are empty; null roles are empty. Rows with equal
@@ -57,9 +58,10 @@ def _tokens(part: Column) -> Column:
             .otherwise(F.coalesce(part["pages"], F.lit(0)) * PAGE_TOKENS)).cast("long")
 
 
-def _visit(part: Column) -> Column:
+def _visit(part: Column, at: Column) -> Column:
     kind = F.lower(F.coalesce(part["type"], F.lit("text")))
-    return F.when(kind.isin("image", "audio", "document"), F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(escape(part["text"]))
+    later = F.when((at > 0) & F.coalesce(part["text"], F.lit("")).startswith("|"), F.lit("\\")).otherwise(F.lit(""))
+    return F.when(kind.isin("image", "audio", "document"), F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(F.concat(later, escape(part["text"])))
 
 
 def format_turns(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",

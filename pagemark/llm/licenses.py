@@ -133,7 +133,8 @@ class Scanner:
         there = {word for _, word in self.keywords.iter(plain)}
         if not there:
             return n_words, [], []
-        index = lambda at: int(np.count_nonzero(starts[:at]))
+        places = np.flatnonzero(starts)
+        index = lambda at: int(np.searchsorted(places, at))
         base = [(label, index(m.start())) for label, word, regex in self.base if word in there for m in regex.finditer(plain)]
         found = sorted((self.rules[k][0], m.start() - m.end(), m.start(), k, m.end())
                        for word in there for k in self.by_keyword.get(word, ()) for m in self.rules[k][4].finditer(plain))

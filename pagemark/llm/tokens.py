@@ -3,8 +3,9 @@
 The ids are those of the ``tokenizers`` library. The same vocabulary as a rank
 file gives the same ids several times faster, and is used for texts made only
 of characters on which both libraries' pre-tokenizers agree (Latin, Greek and
-Cyrillic letters, ASCII and general punctuation, no special-token string);
-every other text goes through ``tokenizers`` itself.
+Cyrillic letters, ASCII and general punctuation, no special-token string, no
+run of ``LONG_RUN`` white-space characters, on which the rank file's pattern
+would exhaust its stack); every other text goes through ``tokenizers`` itself.
 """
 from __future__ import annotations
 
@@ -17,6 +18,8 @@ import numpy as np
 
 _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏͰ-ͳΆ-ώЀ-џ‐-‧]")
 _SPECIAL = re.compile(r"<\|endoftext\|>")
+LONG_RUN = 100_000
+_RUN = re.compile(r"\s+")
 
 
 @lru_cache(maxsize=4)
@@ -42,6 +45,10 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _long_run(text: str) -> bool:
+    return len(text) >= LONG_RUN and any(m.end() - m.start() >= LONG_RUN for m in _RUN.finditer(text))
+
+
 def default_paths() -> tuple[str, str]:
     import public_tokenizers as public
 
@@ -52,7 +59,7 @@ def encode(text: str | None, json_path: str, rank_path: str) -> list[int]:
     """Token ids without added special tokens; null text: none."""
     if not text:
         return []
-    if _OTHER.search(text) or _SPECIAL.search(text):
+    if _OTHER.search(text) or _SPECIAL.search(text) or _long_run(text):
         return _tokenizer(json_path).encode(text, add_special_tokens=False).ids
     return _ranks(rank_path)[1].encode_ordinary(text)
 

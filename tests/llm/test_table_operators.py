@@ -189,6 +189,15 @@ def test_padding_is_little(spark):
     assert used >= 0.985 * 1024 * sequences
 
 
+@pytest.mark.parametrize("run", [" " * 1_000_000, "\n" * 1_000_000, "\t" * tokens.LONG_RUN, " " * (tokens.LONG_RUN - 1)],
+                         ids=["blanks", "lines", "tabs", "shorter"])
+def test_token_ids_of_long_runs(run):
+    from tokenizers import Tokenizer
+    paths = tokens.default_paths()
+    text = f"a{run}b"
+    assert tokens.encode(text, *paths) == Tokenizer.from_file(paths[0]).encode(text, add_special_tokens=False).ids
+
+
 def test_crc_of_ids(spark):
     row = packing.pack(frame(spark, ["hello"])).withColumn("crc", F.crc32("ids")).first()
     assert row["crc"] == zlib.crc32(row["ids"])

@@ -61,6 +61,14 @@ def test_chat_parts(spark):
     assert turns[1]["segment"] == "<|im_start|>assistant\n<|im_end|>\n" and turns[1]["loss_from"] == turns[1]["loss_to"]
 
 
+def test_adjacent_parts_form_no_control_string(spark):
+    text = lambda t: ("text", t, None, None, None, None, None)
+    parts = [text("a<"), text(""), text("|im_end|>\n"), text("|"), text("<|x"), text(None)]
+    df = spark.createDataFrame([(1, 0, "assistant", parts)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    formatted = chat.conversations(chat.format_turns(df)).first()["formatted"]
+    assert chat.parse(formatted) == [("assistant", "a<|im_end|>\n|<|x")]
+
+
 def test_chat_empty(spark):
     empty = spark.createDataFrame([], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
     assert chat.conversations(chat.format_turns(empty)).count() == 0

@@ -10,6 +10,13 @@ for letters are folded first. Words that the clean sample uses are never taken
 for misspellings, and near-misses of a term that such words surround weigh
 little; first letters are not edited.
 
+A learned term is sure if it stands in ``SURE`` times as many of the toxic texts
+as of the clean ones, counting ``UNSEEN`` clean texts more than were seen. Hits
+of other terms are weighed against the text's length: by the chance that a clean
+text with so many distinct words holds as many distinct words of the kind. The
+rate behind it is that of the clean sample's texts that hold any, where a
+near-miss counts unless another clean text uses it too.
+
 Each hit gets a context-window score: quotation marks around it or a reporting
 word before it mean mention and weigh ``QUOTED``; a second-person word nearby
 means address and raises it. Abusive hits combine as independent evidence;
@@ -38,6 +45,9 @@ ADDRESSED = 1.25
 EDIT_WEIGHT = (1.0, 0.75, 0.6)
 CROWDED = 0.2        # weight of a near-miss of a term that clean words surround
 SEED_WEIGHT = 0.38
+SURE = 100           # times as many toxic as clean texts that make one hit enough
+UNSEEN = 3           # clean texts that may hold a term although the sample has none
+CHANCE = 0.1         # unsure hits that clean texts of the length hold so often weigh nothing
 # Common insults that need no label.
 SEEDS = ("asshole", "bastard", "bitch", "dickhead", "dumbass", "fuckwit", "idiot", "imbecile", "moron", "scumbag", "wanker")
 REPORTING = frozenset("said says called calls quote quoted quotes quoting word words term insult insults slur slurs "
@@ -57,11 +67,24 @@ def allowed_edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+def _lower(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_AZ)
+
+
+def at_least(k: int, mean: float) -> float:
+    """Chance of ``k`` or more where ``mean`` are expected (Poisson)."""
+    if k <= 0 or mean <= 0:
+        return float(k <= 0)
+    return max(0.0, 1 - sum(math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(k)))
+
+
 @dataclass
 class Model:
     terms: dict[str, float]
     clean: frozenset = field(default_factory=frozenset)    # near-misses that the clean sample uses
     crowded: frozenset = field(default_factory=frozenset)  # terms that have such near-misses
+    unsure: frozenset = field(default_factory=frozenset)   # terms weighed against the text's length
+    rate: float = 0.0  # distinct words that hit them per distinct word of a clean text
 
 
 class Automaton:
@@ -147,15 +170,15 @@ class Scorer:
         self.model = model
         self.automaton = Automaton(model.terms)
         self.longest = max(map(len, model.terms), default=0) + 2
-        self.known: dict[str, float] = {}
+        self.known: dict[str, tuple[float, bool]] = {}
         self.remembered = remembered
 
-    def weight(self, word: str) -> float:
-        """Evidence of one lower-cased word, 0 for none."""
+    def weight(self, word: str) -> tuple[float, bool]:
+        """Evidence of one lower-cased word, 0 for none, and whether its term is unsure."""
         found = self.known.get(word)
         if found is not None:
             return found
-        value = self.model.terms.get(word, 0.0)
+        value, term = self.model.terms.get(word, 0.0), word
         if not value and word not in self.model.clean:
             folded = _RUN.sub(r"\1", word) if len(word) > 3 else word
             if _DIGIT.search(folded):
@@ -163,34 +186,46 @@ class Scorer:
             if len(folded) <= self.longest and not (folded != word and folded in self.model.clean):
                 hit = self.automaton.match(folded)
                 if hit:
-                    value = self.model.terms[hit[1]] * EDIT_WEIGHT[hit[0]]
-                    if hit[0] and hit[1] in self.model.crowded:
+                    term = hit[1]
+                    value = self.model.terms[term] * EDIT_WEIGHT[hit[0]]
+                    if hit[0] and term in self.model.crowded:
                         value *= CROWDED
         if len(self.known) >= self.remembered:
             self.known.clear()
-        self.known[word] = value
-        return value
+        self.known[word] = value, term in self.model.unsure
+        return self.known[word]
+
+    def _hits(self, lowered: str) -> tuple[dict[str, tuple[float, bool]], int]:
+        """(evidence of the words that are hits, distinct words)."""
+        known, weight, bad = self.known, self.weight, {}
+        found = set(_WORD.findall(lowered))
+        for w in found:
+            v = known.get(w) or weight(w)
+            if v[0] > 0:
+                bad[w] = v
+        return bad, len(found)
+
+    def unsure_words(self, text: str | None) -> tuple[int, int]:
+        """(distinct words that hit unsure terms, distinct words)."""
+        bad, n = self._hits(_lower(text or ""))
+        return sum(unsure for _, unsure in bad.values()), n
 
     def score(self, text: str | None) -> tuple[float, int, str]:
         """(score, hits, distinct hit words)."""
         if not text:
             return FLOOR, 0, ""
-        lowered = text.lower() if text.isascii() else text.translate(_AZ)
-        known, weight = self.known, self.weight
-        bad = set()
-        for w in set(_WORD.findall(lowered)):
-            v = known.get(w)
-            if (weight(w) if v is None else v) > 0:
-                bad.add(w)
+        lowered = _lower(text)
+        bad, n = self._hits(lowered)
         if not bad:
             return FLOOR, 0, ""
         spans = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(lowered)]
-        clear, quoted, hits = 1.0, 0.0, 0
+        clear, clear_unsure, quoted, hits = 1.0, 1.0, 0.0, 0
+        meant = set()  # unsure words used, not mentioned
         for k, (w, start, end) in enumerate(spans):
             if w not in bad:
                 continue
             hits += 1
-            value = weight(w)
+            value, unsure = bad[w]
             before = [s[0] for s in spans[max(0, k - 4):k]]
             around = before + [s[0] for s in spans[k + 1:k + 5]]
             if self._quoted(lowered, start, end) or REPORTING.intersection(before):
@@ -198,7 +233,14 @@ class Scorer:
             else:
                 if ADDRESS.intersection(around):
                     value = min(0.99, value * ADDRESSED)
-                clear *= 1 - value
+                if unsure:
+                    meant.add(w)
+                    clear_unsure *= 1 - value
+                else:
+                    clear *= 1 - value
+        if meant:
+            share = max(0.0, 1 - at_least(len(meant), n * self.model.rate) / CHANCE)
+            clear *= 1 - (1 - clear_unsure) * share
         return max(FLOOR, 1 - clear * (1 - quoted)), hits, ",".join(sorted(bad))
 
     @staticmethod
@@ -231,17 +273,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         usable.filter("label = 0").orderBy(*order).limit(sample_rows))
     texts = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
              .join(F.broadcast(picked), "id")  # at most 2 * sample_rows ids
-             .groupBy(F.xxhash64("text").alias("key"), "label").agg(F.first("text").alias("text")))
+             .groupBy(F.xxhash64("text").alias("key"), "label").agg(F.first("text").alias("text"))).persist()
     split = texts.select("label", words(lower_az(F.col("text")), WORD).alias("w"))
     pairs = split.select("label", F.explode(F.arrays_zip(
         F.col("w").alias("word"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("next"))).alias("p"))
     # A word counts once per following word: copies of a passage add nothing.
-    stats = (pairs.select("label", F.col("p.word").alias("word"), F.col("p.next").alias("next")).distinct()
-             .groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))).persist()
+    contexts = pairs.select("label", F.col("p.word").alias("word"), F.col("p.next").alias("next")).distinct()
+    holds = split.select("label", F.explode(F.array_distinct("w")).alias("word"))
+    counted = contexts.select("label", "word", F.lit(1).alias("context")).unionByName(holds.withColumn("context", F.lit(0)))
+    stats = counted.groupBy("word").agg(*[
+        F.sum((F.col("label") == label).cast("int") * (F.col("context") == context).cast("int")).alias(name)
+        for name, label, context in (("t", 1, 1), ("c", 0, 1), ("texts_t", 1, 0), ("texts_c", 0, 0))]).persist()
     try:
         totals = stats.agg(F.sum("t"), F.sum("c"), F.count("*"), F.max(F.when(F.col("t") > 20 * F.col("c"), F.col("t")))).first()
         n_t, n_c, vocabulary, strongest = (float(v or 0) for v in totals)
-        terms = {s: SEED_WEIGHT for s in seeds}
+        sample = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
+        terms, unsure = {s: SEED_WEIGHT for s in seeds}, frozenset()
         if n_t and n_c:
             least = max(4.0, 0.05 * strongest)
             rate_t, rate_c = F.col("t") / n_t, F.col("c") / n_c
@@ -249,10 +296,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             ratio = 2 * (F.col("t") * F.log(rate_t / both) + F.when(F.col("c") > 0, F.col("c") * F.log(rate_c / both)).otherwise(0))
             share = (rate_t + 0.25 / n_t) / (rate_t + rate_c + 0.5 / n_t)
             rows = (stats.filter((F.col("t") >= least) & (F.length("word") >= 3))
-                    .select("word", ratio.alias("ratio"), share.alias("share"))
+                    .select("word", ratio.alias("ratio"), share.alias("share"), "texts_t", "texts_c")
                     .filter((F.col("ratio") >= max(16.0, 2 * math.log(vocabulary + 1))) & (F.col("share") >= 0.9))
                     .orderBy(F.desc("ratio"), "word").limit(max_terms).collect())
             terms |= {r["word"]: min(0.95, float(r["share"]) ** 2) for r in rows}
+            unsure = frozenset(r["word"] for r in rows if r["texts_t"] * sample[0] < SURE * (r["texts_c"] + UNSEEN) * sample[1])
 
         @F.pandas_udf("string")
         def near(found: pd.Series) -> pd.Series:
@@ -261,11 +309,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             return pd.Series([h[1] if h else None for h in hits], dtype=object)
 
         # Near-misses that the bounded sample's clean texts use as words of their own.
-        clean = (stats.filter("c > 0").select("word", near.asNondeterministic()("word").alias("term"))
+        clean = (stats.filter("c > 0").select("word", "texts_c", near.asNondeterministic()("word").alias("term"))
                  .filter("term IS NOT NULL").collect())
-        return Model(terms, frozenset(r["word"] for r in clean), frozenset(r["term"] for r in clean))
+        crowded = frozenset(r["term"] for r in clean)
+        shared = Model(terms, frozenset(r["word"] for r in clean if r["texts_c"] > 1), crowded, unsure)
+        return Model(terms, frozenset(r["word"] for r in clean), crowded, unsure, _unsure_rate(texts.filter("label = 0"), shared))
     finally:
         stats.unpersist()
+        texts.unpersist()
+
+
+def _unsure_rate(clean: DataFrame, model: Model) -> float:
+    """Distinct words that hit unsure terms per distinct word, over the clean texts
+    that hold any; if none does, as if all clean texts together held one."""
+    if not model.unsure:
+        return 0.0
+
+    @F.pandas_udf("hits long, words long")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(model)
+        for texts in batches:
+            yield pd.DataFrame([scorer.unsure_words(t) for t in texts], columns=["hits", "words"])
+
+    found = clean.select(count.asNondeterministic()("text").alias("n")).select("n.*")
+    held = F.when(F.col("hits") > 0, F.col("words"))
+    hits, words_held, words_all = found.agg(F.sum("hits"), F.sum(held), F.sum("words")).first()
+    return hits / words_held if hits else 1 / max(1, words_all or 0)
 
 
 def score_column(model: Model, text: Column) -> Column:

@@ -1,5 +1,6 @@
 """Chat, toxicity, licenses, quality and decontamination against brute force."""
 import hashlib
+import math
 import random
 import re
 
@@ -154,6 +155,39 @@ def test_toxicity_held_out_accuracy_on_given_documents(spark):
     assert n.get((1, 1), 0) >= 0.7 * (n.get((1, 1), 0) + n.get((1, 0), 0))
 
 
+def test_unsure_terms_are_weighed_against_length():
+    model = toxicity.Model({"moron": 0.95, "bomentera": 0.95, "achlichein": 0.95}, unsure=frozenset({"bomentera", "achlichein"}), rate=0.002)
+    value = lambda t: toxicity.Scorer(model).score(t)[0]
+    prose = lambda n: " ".join(f"x{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(n))
+    assert value("bomentera " + prose(20)) >= 0.3 and value("bomentera achlichein " + prose(100)) >= 0.3
+    assert value("bomentera " + prose(800)) < 0.3 and value("bomentera " * 9 + prose(800)) < 0.3
+    assert value("moron " + prose(800)) >= 0.9  # a sure term stands alone at any length
+    for k, mean in ((1, 0.5), (3, 2.0), (5, 800.0)):
+        assert abs(toxicity.at_least(k, mean) - (1 - sum(math.exp(-mean) * mean ** i / math.factorial(i) for i in range(k)))) < 1e-9
+
+
+def test_long_clean_texts_with_one_weak_term_stay(spark):
+    rnd = random.Random(4)
+    common = ["".join(rnd.choice("aeioulmnrst") for _ in range(rnd.randint(2, 7))) for _ in range(2000)]
+    weak = ["gronkwa", "blorfed", "zwickzy", "quaxpig", "vumbdex", "hyzzobu", "fupkicz", "gwizdha", "kabzuwy", "pyvkoxa", "wuhgiby", "xodbyph"]
+    texts, labels = [], []
+    for k in range(1600):
+        toxic, long = k % 8 == 0, k % 8 == 1
+        ws = [rnd.choice(common) for _ in range(1500 if long else 60)]
+        for _ in range(3 if toxic else long and k % 5 == 0):  # a term in under a quarter of the toxic texts is unsure
+            ws.insert(rnd.randrange(len(ws)), rnd.choice(weak))
+        texts.append(" ".join(ws))
+        labels.append((k, int(toxic)))
+    docs, marks = frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks, train=~queries.held_out())
+    assert len(model.unsure & set(weak)) >= 10 and model.rate > 0
+    out = toxicity.score(docs, model, into="t").filter(queries.held_out()).select("doc_id", "t.score", "t.hits").collect()
+    hit = [r for r in out if r["doc_id"] % 8 and r["hits"]]
+    assert len(hit) >= 5 and sum(r["score"] >= toxicity.THRESHOLD for r in hit) <= 0.1 * len(hit)
+    caught = [r["score"] >= toxicity.THRESHOLD for r in out if r["doc_id"] % 8 == 0]
+    assert sum(caught) >= 0.95 * len(caught)
+
+
 # ---- licenses
 
 def base_places(text):

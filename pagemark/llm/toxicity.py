@@ -8,7 +8,7 @@ lexicon trie with the Levenshtein automata of its terms, determinised lazily,
 so most words die after a few characters. Runs of a letter and digits written
 for letters are folded first. Words that the clean sample uses are never taken
 for misspellings, and near-misses of a term that such words surround weigh
-little; first letters are not edited.
+little. All letters of a word can be edited, the first one too.
 
 A learned term is sure if it stands in ``SURE`` times as many of the toxic texts
 as of the clean ones, counting ``UNSEEN`` clean texts more than were seen. Hits
@@ -89,9 +89,12 @@ class Model:
 
 class Automaton:
     """Product of the term trie and Levenshtein automata, determinised lazily.
-    A state maps trie nodes to the fewest edits that reach them."""
+    A state maps trie nodes to the fewest edits that reach them. ``edit_first``:
+    first letters are edited like the others, else they must be equal. When the
+    states hold more than ``remembered`` entries, they are built anew."""
 
-    def __init__(self, terms):
+    def __init__(self, terms, edit_first: bool = False, remembered: int = 1 << 18):
+        self.edit_first, self.remembered = edit_first, remembered
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.budget = [0]  # most edits allowed to any term below the node
@@ -108,14 +111,18 @@ class Automaton:
                 self.budget[node] = max(self.budget[node], edits)
             self.term[node] = term
         self.alphabet = {c for kids in self.children for c in kids}
+        self._forget()
+
+    def _forget(self) -> None:
         self.states: dict[tuple, int] = {}
         self.content: list[dict[int, int]] = []
         self.moves: list[dict[str, int]] = []
         self.accepts: list[tuple[int, str] | None] = []
+        self.entries = 0
         self.start = self._intern({0: 0})
 
     def _intern(self, nodes: dict[int, int]) -> int:
-        todo = [x for x in nodes.items() if x[0]]  # the first letter is kept
+        todo = [x for x in nodes.items() if x[0] or self.edit_first]
         while todo:  # a term letter left out of the word costs one edit
             node, edits = todo.pop()
             if nodes[node] < edits:
@@ -130,6 +137,7 @@ class Automaton:
         if key not in self.states:
             self.states[key] = len(self.content)
             self.content.append(nodes)
+            self.entries += len(nodes)
             self.moves.append({})
             ends = [(e, self.term[n]) for n, e in nodes.items() if self.term[n] and e <= allowed_edits(self.term[n])]
             self.accepts.append(min(ends) if ends else None)
@@ -138,10 +146,10 @@ class Automaton:
     def _step(self, state: int, c: str) -> int:
         nxt: dict[int, int] = {}
         for node, edits in self.content[state].items():
-            if node and edits + 1 <= self.budget[node] and edits + 1 < nxt.get(node, 9):
+            if (node or self.edit_first) and edits + 1 <= self.budget[node] and edits + 1 < nxt.get(node, 9):
                 nxt[node] = edits + 1  # a letter too many
             for letter, child in self.children[node].items():
-                if not node and letter != c:
+                if not node and letter != c and not self.edit_first:
                     continue
                 cost = edits + (letter != c)
                 if cost <= self.budget[child] and cost < nxt.get(child, 9):
@@ -150,6 +158,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[int, str] | None:
         """(edits, term) of the nearest term within its allowed edits."""
+        if self.entries > self.remembered:
+            self._forget()
         state = self.start
         for c in word:
             if c not in self.alphabet:
@@ -168,7 +178,7 @@ class Scorer:
 
     def __init__(self, model: Model, remembered: int = 1 << 18):
         self.model = model
-        self.automaton = Automaton(model.terms)
+        self.automaton = Automaton(model.terms, edit_first=True)
         self.longest = max(map(len, model.terms), default=0) + 2
         self.known: dict[str, tuple[float, bool]] = {}
         self.remembered = remembered
@@ -304,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         @F.pandas_udf("string")
         def near(found: pd.Series) -> pd.Series:
-            automaton = Automaton(terms)
+            automaton = Automaton(terms, edit_first=True)
             hits = (None if w in terms else automaton.match(w) for w in found)
             return pd.Series([h[1] if h else None for h in hits], dtype=object)
 

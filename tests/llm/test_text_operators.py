@@ -109,6 +109,27 @@ def test_automaton_equals_edit_distance():
         assert machine.match(word) == want, word
 
 
+def test_automaton_edits_every_letter():
+    rnd = random.Random(6)
+    terms = ["abcab", "abcba", "bacabac", "abcabcabca", "cabbage", "bb", "acacacacac", "cab", "stupid", "idiot"]
+    machines = [toxicity.Automaton(terms, edit_first=True), toxicity.Automaton(terms, edit_first=True, remembered=50)]
+    for _ in range(4000):
+        word = list(rnd.choice(terms))
+        for _ in range(rnd.randrange(4)):
+            at, kind = rnd.choice([0, rnd.randrange(len(word) + 1)]), rnd.randrange(3)
+            word[at:at + (kind > 0)] = [] if kind == 1 else [rnd.choice("abcdx")]
+        word = "".join(word)
+        want = min(((levenshtein(word, t), t) for t in terms if levenshtein(word, t) <= toxicity.allowed_edits(t)), default=None)
+        assert [m.match(word) for m in machines] == [want, want], word
+
+
+def test_misspelt_first_letters_are_hits():
+    scorer = toxicity.Scorer(toxicity.Model({"idiot": 0.95, "stupid": 0.95}))
+    for word in ("ediot", "diot", "xstupid", "1diot", "tupid"):
+        assert scorer.score(f"what a {word} he is")[0] >= toxicity.THRESHOLD, word
+    assert scorer.score("what a patriot he is")[0] == toxicity.FLOOR
+
+
 def test_toxic_contexts():
     scorer = toxicity.Scorer(toxicity.Model({"moron": 0.95, "worthless": 0.95, "idiot": 0.95}, frozenset({"morton"})))
     value = lambda t: scorer.score(t)[0]

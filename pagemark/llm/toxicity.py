@@ -6,9 +6,9 @@ the lexicon by its log-likelihood ratio between the classes. ``score`` runs
 every word of every whole text through one automaton: the product of the
 lexicon trie with the Levenshtein automata of its terms, determinised lazily,
 so most words die after a few characters. Runs of a letter and digits written
-for letters are folded first. Words that the clean sample uses are never taken
-for misspellings, and near-misses of a term that such words surround weigh
-little. All letters of a word can be edited, the first one too.
+for letters are folded first. All letters of a word can be edited, the first one
+too. A near-miss that the clean sample uses is judged by its own class counts: it
+is taken for a misspelling only if the toxic share of its rates reaches ``SHARE``.
 
 A learned term is sure if it stands in ``SURE`` times as many of the toxic texts
 as of the clean ones, counting ``UNSEEN`` clean texts more than were seen. Hits
@@ -43,7 +43,7 @@ FLOOR = 0.01
 QUOTED = 0.2
 ADDRESSED = 1.25
 EDIT_WEIGHT = (1.0, 0.75, 0.6)
-CROWDED = 0.2        # weight of a near-miss of a term that clean words surround
+SHARE = 0.9          # toxic share of a word's rates that a term or a near-miss in clean texts needs
 SEED_WEIGHT = 0.38
 SURE = 100           # times as many toxic as clean texts that make one hit enough
 UNSEEN = 3           # clean texts that may hold a term although the sample has none
@@ -81,8 +81,7 @@ def at_least(k: int, mean: float) -> float:
 @dataclass
 class Model:
     terms: dict[str, float]
-    clean: frozenset = field(default_factory=frozenset)    # near-misses that the clean sample uses
-    crowded: frozenset = field(default_factory=frozenset)  # terms that have such near-misses
+    clean: frozenset = field(default_factory=frozenset)    # near-misses that are words of clean texts
     unsure: frozenset = field(default_factory=frozenset)   # terms weighed against the text's length
     rate: float = 0.0  # distinct words that hit them per distinct word of a clean text
 
@@ -198,8 +197,6 @@ class Scorer:
                 if hit:
                     term = hit[1]
                     value = self.model.terms[term] * EDIT_WEIGHT[hit[0]]
-                    if hit[0] and term in self.model.crowded:
-                        value *= CROWDED
         if len(self.known) >= self.remembered:
             self.known.clear()
         self.known[word] = value, term in self.model.unsure
@@ -298,16 +295,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         totals = stats.agg(F.sum("t"), F.sum("c"), F.count("*"), F.max(F.when(F.col("t") > 20 * F.col("c"), F.col("t")))).first()
         n_t, n_c, vocabulary, strongest = (float(v or 0) for v in totals)
         sample = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
-        terms, unsure = {s: SEED_WEIGHT for s in seeds}, frozenset()
+        terms, unsure, own = {s: SEED_WEIGHT for s in seeds}, frozenset(), F.lit(0.0)
         if n_t and n_c:
             least = max(4.0, 0.05 * strongest)
             rate_t, rate_c = F.col("t") / n_t, F.col("c") / n_c
             both = (F.col("t") + F.col("c")) / (n_t + n_c)
             ratio = 2 * (F.col("t") * F.log(rate_t / both) + F.when(F.col("c") > 0, F.col("c") * F.log(rate_c / both)).otherwise(0))
             share = (rate_t + 0.25 / n_t) / (rate_t + rate_c + 0.5 / n_t)
+            own = share
             rows = (stats.filter((F.col("t") >= least) & (F.length("word") >= 3))
                     .select("word", ratio.alias("ratio"), share.alias("share"), "texts_t", "texts_c")
-                    .filter((F.col("ratio") >= max(16.0, 2 * math.log(vocabulary + 1))) & (F.col("share") >= 0.9))
+                    .filter((F.col("ratio") >= max(16.0, 2 * math.log(vocabulary + 1))) & (F.col("share") >= SHARE))
                     .orderBy(F.desc("ratio"), "word").limit(max_terms).collect())
             terms |= {r["word"]: min(0.95, float(r["share"]) ** 2) for r in rows}
             unsure = frozenset(r["word"] for r in rows if r["texts_t"] * sample[0] < SURE * (r["texts_c"] + UNSEEN) * sample[1])
@@ -319,11 +317,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             return pd.Series([h[1] if h else None for h in hits], dtype=object)
 
         # Near-misses that the bounded sample's clean texts use as words of their own.
-        clean = (stats.filter("c > 0").select("word", "texts_c", near.asNondeterministic()("word").alias("term"))
+        clean = (stats.filter((F.col("c") > 0) & (own < SHARE)).select("word", "texts_c", near.asNondeterministic()("word").alias("term"))
                  .filter("term IS NOT NULL").collect())
-        crowded = frozenset(r["term"] for r in clean)
-        shared = Model(terms, frozenset(r["word"] for r in clean if r["texts_c"] > 1), crowded, unsure)
-        return Model(terms, frozenset(r["word"] for r in clean), crowded, unsure, _unsure_rate(texts.filter("label = 0"), shared))
+        shared = Model(terms, frozenset(r["word"] for r in clean if r["texts_c"] > 1), unsure)
+        return Model(terms, frozenset(r["word"] for r in clean), unsure, _unsure_rate(texts.filter("label = 0"), shared))
     finally:
         stats.unpersist()
         texts.unpersist()

@@ -130,6 +130,25 @@ def test_misspelt_first_letters_are_hits():
     assert scorer.score("what a patriot he is")[0] == toxicity.FLOOR
 
 
+def test_near_words_are_judged_one_by_one(spark):
+    rnd = random.Random(8)
+    common = ["".join(rnd.choice("aeioulmnrst") for _ in range(rnd.randint(2, 7))) for _ in range(400)]
+    texts, labels = [], []
+    for k in range(800):
+        ws = [rnd.choice(common) for _ in range(50)]
+        toxic = k % 5 == 0
+        # gronkel: insult; grenkel: a clean word; gronkol: misspelt insult, quoted in one clean text
+        for w in ["gronkel"] * 3 * toxic + ["gronkol"] * (k % 100 == 0) + ["grenkel"] * (k % 5 == 1) + ["gronkol"] * (k == 2):
+            ws.insert(rnd.randrange(50), w)
+        texts.append(" ".join(ws))
+        labels.append((k, int(toxic)))
+    model = toxicity.fit(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "gronkel" in model.terms and "gronkel" not in model.unsure and "grenkel" in model.clean
+    value = lambda t: toxicity.Scorer(model).score(t)[0]
+    assert value("an grenkel spoke") == toxicity.FLOOR
+    assert value("a gronkil spoke") >= 0.3 and value("a gronkol spoke") >= 0.3
+
+
 def test_toxic_contexts():
     scorer = toxicity.Scorer(toxicity.Model({"moron": 0.95, "worthless": 0.95, "idiot": 0.95}, frozenset({"morton"})))
     value = lambda t: scorer.score(t)[0]

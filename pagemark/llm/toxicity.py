@@ -45,6 +45,7 @@ ADDRESSED = 1.25
 EDIT_WEIGHT = (1.0, 0.75, 0.6)
 SHARE = 0.9          # toxic share of a word's rates that a term or a near-miss in clean texts needs
 SEED_WEIGHT = 0.38
+LEAST = 4            # following words and toxic texts that a term needs, whatever the sample's size
 SURE = 100           # times as many toxic as clean texts that make one hit enough
 UNSEEN = 3           # clean texts that may hold a term although the sample has none
 CHANCE = 0.1         # unsure hits that clean texts of the length hold so often weigh nothing
@@ -292,18 +293,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         F.sum((F.col("label") == label).cast("int") * (F.col("context") == context).cast("int")).alias(name)
         for name, label, context in (("t", 1, 1), ("c", 0, 1), ("texts_t", 1, 0), ("texts_c", 0, 0))]).persist()
     try:
-        totals = stats.agg(F.sum("t"), F.sum("c"), F.count("*"), F.max(F.when(F.col("t") > 20 * F.col("c"), F.col("t")))).first()
-        n_t, n_c, vocabulary, strongest = (float(v or 0) for v in totals)
+        n_t, n_c, vocabulary = (float(v or 0) for v in stats.agg(F.sum("t"), F.sum("c"), F.count("*")).first())
         sample = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
         terms, unsure, own = {s: SEED_WEIGHT for s in seeds}, frozenset(), F.lit(0.0)
         if n_t and n_c:
-            least = max(4.0, 0.05 * strongest)
             rate_t, rate_c = F.col("t") / n_t, F.col("c") / n_c
             both = (F.col("t") + F.col("c")) / (n_t + n_c)
             ratio = 2 * (F.col("t") * F.log(rate_t / both) + F.when(F.col("c") > 0, F.col("c") * F.log(rate_c / both)).otherwise(0))
             share = (rate_t + 0.25 / n_t) / (rate_t + rate_c + 0.5 / n_t)
             own = share
-            rows = (stats.filter((F.col("t") >= least) & (F.length("word") >= 3))
+            rows = (stats.filter((F.col("t") >= LEAST) & (F.col("texts_t") >= LEAST) & (F.length("word") >= 3))
                     .select("word", ratio.alias("ratio"), share.alias("share"), "texts_t", "texts_c")
                     .filter((F.col("ratio") >= max(16.0, 2 * math.log(vocabulary + 1))) & (F.col("share") >= SHARE))
                     .orderBy(F.desc("ratio"), "word").limit(max_terms).collect())

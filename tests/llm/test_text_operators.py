@@ -149,6 +149,22 @@ def test_near_words_are_judged_one_by_one(spark):
     assert value("a gronkil spoke") >= 0.3 and value("a gronkol spoke") >= 0.3
 
 
+def test_significant_terms_stay_beside_a_strong_one(spark):
+    rnd = random.Random(9)
+    common = ["".join(rnd.choice("aeioulmnrst") for _ in range(rnd.randint(2, 7))) for _ in range(3000)]
+    texts, labels = [], []
+    for k in range(800):
+        toxic = k % 2 == 0
+        ws = [rnd.choice(common) for _ in range(60)]
+        for w in ["gronkel"] * 8 * toxic + ["blorfed"] * (k % 20 == 0) + (["vumbdexa"] * 30 if k == 4 else []):
+            ws.insert(rnd.randrange(len(ws)), w)
+        texts.append(" ".join(ws))
+        labels.append((k, int(toxic)))
+    model = toxicity.fit(frame(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    # blorfed has under 5 % of the contexts of gronkel; vumbdexa stands in one text alone
+    assert {"gronkel", "blorfed"} <= set(model.terms) and "vumbdexa" not in model.terms
+
+
 def test_toxic_contexts():
     scorer = toxicity.Scorer(toxicity.Model({"moron": 0.95, "worthless": 0.95, "idiot": 0.95}, frozenset({"morton"})))
     value = lambda t: scorer.score(t)[0]

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pagemark.llm import (chat, decontam, licenses, packing, quality, rollup, sharding,
-                          simhash, toxicity, warc)
+from pagemark.llm import (chat, decontam, licenses, packing, quality, repair, rollup, sharding,
+                          simhash, toxicity, urlrules, warc, whitening)
+from pagemark.llm.common import store
 from pagemark.session import cut_lineage
 from pagemark.sources.tables import table
 
@@ -133,6 +134,45 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.usable(table(spark, sf_dir, "embeddings"))
+    model = whitening.fit(rows)
+    error = whitening.identity_error(rows, model) if model and len(model.eigenvalues) else 0.0
+    return whitening.whiten(rows, model).withColumn("identity_error", F.lit(error))
+
+
+# --- fixed values: the rule list of the contract ---
+URL_RULES = [
+    urlrules.Rule("allow", "org", "/"),
+    urlrules.Rule("block", "example.org", "/es/"),
+    urlrules.Rule("block", "example.org", "/en/1"),
+    urlrules.Rule("allow", "com", "/fr/"),
+    urlrules.Rule("block", "com", "/de/"),
+]
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules are mined from the URLs that the rule list judges, for those it leaves open."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    verdict = urlrules.listed(urlrules.host_of(F.col("url")), urlrules.path_of(F.col("url")), URL_RULES)["verdict"]
+    rules = urlrules.fit(pages.select("url", verdict.alias("label")))
+    return urlrules.judge(pages, URL_RULES, rules).select(
+        "page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict",
+        F.array_join("judged.antecedent", " ").alias("antecedent"), "judged.confidence")
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    broken = repair.damaged(rows)
+    summary = store(repair.repair(broken))
+    texts = repair.digests(repair.repaired_turns(broken, summary)).withColumnRenamed("conv_id", "of")
+    ids = rows.select(F.col("conv_id").alias("id")).distinct()
+    found = ids.join(summary, F.col("id").eqNullSafe(F.col("conv_id")), "left").join(texts, F.col("id").eqNullSafe(F.col("of")), "left")
+    count = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
+    return found.select(F.col("id").alias("conv_id"), *[count(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+                        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -141,7 +181,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_toxicity, op3_token_rollup, op4_decontaminate, op5_license_scan, op6_minimax_shards,
-    op7_revisits, op8_quality_rules, op9_pack, op10_simhash, pipeline)}
+    op7_revisits, op8_quality_rules, op9_pack, op10_simhash, op11_whitening, op12_url_rules,
+    op13_structure_repair, pipeline)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -18,7 +18,8 @@ bounds the combinations of one URL by ``2**ITEMS`` and the number of rules by
 ``2**(ITEMS+1) / MIN_SUPPORT``, whatever the number of URLs. Labels come from all
 labelled rows.
 
-URLs are judged per distinct token set, and verdicts join back by the set's hash.
+URLs are judged per distinct token set, and verdicts join back by the set's hash, in
+``SALTS`` copies each, as one set may hold a third of all rows.
 Null URLs and URLs without ``://`` have empty host and path and no tokens: no rule
 fits, the verdict is allow. Repeated rows stay. Without labelled URLs there are no
 mined rules. Empty tables give no rows; columns of the input are carried along, the
@@ -36,6 +37,7 @@ from pagemark.llm.common import bind, lower_az, store, words
 ITEMS = 12
 MIN_SUPPORT = 0.002     # of the labelled URLs, two URLs at least
 MIN_CONFIDENCE = 0.8
+SALTS = 16
 LABEL = "label="        # no token starts with it
 
 ALLOW, BLOCK = "allow", "block"
@@ -183,8 +185,9 @@ def judge(pages: DataFrame, listing: list[Rule], rules: DataFrame, url_col: str
                          tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
     parts = parts.withColumn("id", F.when(F.col("hit").isNull(), F.sha2(F.array_join("tokens", "\n"), 256)))
     sets = parts.filter(F.col("hit").isNull()).groupBy("id").agg(F.first("tokens").alias("tokens"))
-    best = match(sets, rules)
-    found = parts.join(best, "id", "left").select("row", F.struct(
+    best = match(sets, rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # Rows with a listed rule have no id and meet nothing; the row's hash spreads them too.
+    found = parts.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(best, ["id", "salt"], "left").select("row", F.struct(
         "host", "path", F.col("hit.rule").alias("rule"),
         F.coalesce("hit.verdict", "mined.verdict", F.lit(ALLOW)).alias("verdict"),
         F.col("mined.antecedent").alias("antecedent"), F.col("mined.confidence").alias("confidence")).alias("found"))

@@ -22,6 +22,12 @@ def clean(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, "^[\\x00-\\x20]+", ""), "[\t\r\n]", "")
 
 
+def trimmed(ref: Column) -> Column:
+    """A reference as a page means it: blanks and control characters around it and
+    tabs and line breaks inside it do not count."""
+    return F.regexp_replace(F.regexp_replace(ref, "^[\\x00-\\x20]+|[\\x00-\\x20]+\\z", ""), "[\t\r\n]", "")
+
+
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, SCHEME_RE, 1))
 
@@ -54,17 +60,28 @@ def _fold_dots(path: Column) -> Column:
     return F.when(path.contains("/."), closed).otherwise(path)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def resolve(base: Column, ref: Column) -> Column:
     """Resolve a link or `Location` against a base URL (RFC 3986, 5.2).
     References with a scheme or an authority of their own stay as they are;
-    dot segments fold inside the merged path only."""
+    dot segments fold inside the merged path only. Both are cleaned first, as
+    ``urljoin`` does."""
+    both = F.named_struct(F.lit("base"), clean(base), F.lit("ref"), clean(ref))
+    return _let(both, lambda x: _resolved(x["base"], x["ref"]))
+
+
+def _resolved(base: Column, ref: Column) -> Column:
     origin = F.regexp_extract(base, ORIGIN_RE, 0)
     after = F.substring(base, F.length(origin) + 1, 1 << 30)
     base_path = F.regexp_extract(after, "^[^?#]*", 0)
     base_query = F.regexp_extract(after, "^[^?#]*([?][^#]*)?", 1)
     ref_path = F.regexp_extract(ref, "^[^?#]*", 0)
     rest = F.substring(ref, F.length(ref_path) + 1, 1 << 30)
-    folder = F.when(base_path == "", F.lit("/")).otherwise(F.regexp_extract(base_path, "^(.*/)", 1))
+    folder = F.when(base_path == "", F.lit("/")).otherwise(F.regexp_extract(base_path, "(?s)^(.*/)", 1))
     return (F.when(ref.rlike(ABSOLUTE_RE), ref)
             .when(ref.startswith("//"), F.concat(scheme(base), F.lit(":"), ref))
             .when(ref_path == "", F.concat(origin, base_path, F.when(rest.startswith("?"), rest).otherwise(F.concat(base_query, rest))))
@@ -72,6 +89,29 @@ def resolve(base: Column, ref: Column) -> Column:
             .otherwise(F.concat(origin, _fold_dots(F.concat(folder, ref_path)), rest)))
 
 
+def requested(base: Column, ref: Column) -> Column:
+    """What a browser requests for a reference (B13): it trims the reference, reads
+    backslashes as slashes up to the query, and after http, https, ws, wss or ftp takes
+    any number of slashes (none too, unless the scheme is the page's) as the start of
+    an authority."""
+    def read(p: Column) -> Column:
+        own, base_scheme = p["scheme"], scheme(base)
+        special = own.isin("http", "https", "ws", "wss", "ftp")
+        slashed = F.when(special | (own == ""), F.translate(p["head"], "\\", "/")).otherwise(p["head"])
+        after = F.substring(slashed, F.length(own) + 2, 1 << 30)      # behind `scheme:`
+        relative = (own == base_scheme) & ~after.startswith("//")
+        return F.concat(F.when(special & relative, after)
+                        .when(special, F.concat(own, F.lit("://"), F.ltrim(after, F.lit("/"))))
+                        .when((own == "") & slashed.startswith("//"), F.concat(base_scheme, F.lit("://"), F.ltrim(slashed, F.lit("/"))))
+                        .otherwise(slashed), p["rest"])
+
+    def parts(r: Column) -> Column:
+        return F.named_struct(F.lit("scheme"), scheme(r), F.lit("head"), F.regexp_extract(r, "^[^?#]*", 0),
+                              F.lit("rest"), F.regexp_extract(r, "(?s)^[^?#]*(.*)", 1))
+
+    return resolve(base, _let(_let(trimmed(ref), parts), read))
+
+
 def _form_decode(text: Column) -> Column:
     """`+` and `%XX` decoded as UTF-8; a `%` without two hex digits stays."""
     return F.url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))

@@ -14,10 +14,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemark.functions import addresses as A
+from pagemark.functions import html as H
 from pagemark.functions import urls as U
 from pagemark.session import cut_lineage
 
-RESOURCE_RE = "(?i)[ \t\r\n](href|src)=[\"']([^\"']*)[\"']"
+# What a page requests: attributes with one reference, and elements whose content is text, not tags.
+REFERENCE_ATTRIBUTES = ("href", "src", "poster", "data", "action", "formaction", "background", "manifest", "xlink:href")
+CANDIDATE_ATTRIBUTES = ("srcset", "imagesrcset")
+RAW_TEXT = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
+# Comments and raw texts are matched whole, so that tags inside them are none.
+PIECE_RE = ("(?is)" + H.COMMENT + "".join(f"|<{t}{H.NAME_END}{H.IN_TAG}.*?(?:</{t}{H.NAME_END}|\\z)" for t in RAW_TEXT)
+            + f"|<[a-z]{H.IN_TAG}|<[a-z][^>]*>")
+CANDIDATE_RE = f"([^{H.WS},](?:[^{H.WS}]*[^{H.WS},])?)(?:,|[{H.WS}][^,]*|\\z)"
+CSS_URL_RE = f"(?i)url\\([{H.WS}]*[\"']?([^\"')]*)"
+REFRESH_RE = f"(?i)url[{H.WS}]*=[{H.WS}]*[\"']?([^\"']*)"
 
 
 def url_parts(df: DataFrame, col: str = "url") -> DataFrame:
@@ -105,11 +115,32 @@ def admission(df: DataFrame, resolutions: DataFrame, col: str = "url") -> DataFr
 
 
 def resources(pages: DataFrame) -> DataFrame:
-    """B13 input: every href/src of every page, resolved against the page
-    URL (C2), with its position."""
-    r = pages.select("page_id", "url", F.posexplode(
-        F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(RESOURCE_RE), 2)).alias("pos", "ref"))
-    return r.select("page_id", "pos", "ref", U.resolve(F.col("url"), F.col("ref")).alias("target"))
+    """B13 input: every reference of every page that a browser would request, resolved
+    as it would (C2) against the page's base: ``page_id, pos`` (of the tag among the
+    page's tags) ``, attr, ref, target``.
+
+    References stand in the attributes above, in candidate lists, in ``url(...)`` of a
+    style attribute and in a refresh. Attributes may be unquoted, with blanks round
+    ``=``, with references decoded. The first ``base`` with a ``href`` sets the base.
+    """
+    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(PIECE_RE), 0)
+    tags = F.transform(F.filter(found, lambda t: ~t.startswith("<!--")), lambda t: F.regexp_extract(t, H.TAG_TEXT_RE, 0))
+    bases = F.filter("tags", lambda t: t.rlike(f"(?i)^<base{H.NAME_END}") & H.attribute(t, "href").isNotNull())
+    p = pages.select("page_id", "url", tags.alias("tags")).select("*", F.try_element_at(bases, F.lit(1)).alias("base"))
+    t = p.select("page_id", F.when(F.col("base").isNotNull(), U.requested(F.col("url"), H.attribute(F.col("base"), "href")))
+                 .otherwise(F.col("url")).alias("base"), F.posexplode("tags").alias("pos", "head"))
+    t = t.where(F.col("head").contains("=") & F.col("head").rlike("(?i)href|src|poster|data|action|background|manifest|url"))
+    t = t.withColumn("attrs", H.attributes(F.col("head")))
+    own = lambda name: F.try_element_at("attrs", F.lit(name))
+    ref = lambda name, value: F.struct(F.lit(name).alias("attr"), value.alias("ref"))
+    many = lambda name, pattern: F.transform(
+        F.coalesce(F.regexp_extract_all(own(name), F.lit(pattern), 1), F.expr("cast(array() as array<string>)")), lambda v: ref(name, v))
+    next_page = F.when(F.col("head").rlike(f"(?i)^<meta{H.NAME_END}") & (F.lower(F.trim(own("http-equiv"))) == "refresh"),
+                       F.nullif(F.regexp_extract(own("content"), REFRESH_RE, 1), F.lit("")))
+    refs = F.concat(F.array(*[ref(n, own(n)) for n in REFERENCE_ATTRIBUTES], ref("content", next_page)),
+                    *[many(n, CANDIDATE_RE) for n in CANDIDATE_ATTRIBUTES], many("style", CSS_URL_RE))
+    r = t.select("page_id", "pos", "base", F.inline(F.filter(refs, lambda x: x["ref"].isNotNull())))
+    return r.select("page_id", "pos", "attr", "ref", U.requested(F.col("base"), F.col("ref")).alias("target"))
 
 
 def resource_admission(pages: DataFrame, resolutions: DataFrame) -> DataFrame:
@@ -120,6 +151,6 @@ def resource_admission(pages: DataFrame, resolutions: DataFrame) -> DataFrame:
     vetted = admission(res, resolutions, "target")
     web = F.col("scheme").isin("http", "https")
     return vetted.select(
-        "page_id", "pos", "target",
+        "page_id", "pos", "attr", "target",
         F.when(~web | (F.col("status") == "admitted"), "continue").otherwise("abort").alias("action"),
         F.when(web, F.col("message")).alias("message"))

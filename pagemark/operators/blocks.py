@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemark.functions import html as H
-from pagemark.functions.urls import resolve
+from pagemark.functions.urls import resolve, trimmed
 
 
 # Tags of inline marks, links among them.
@@ -32,83 +32,83 @@ def _running(*keys):
 def page_tokens(pages: DataFrame) -> DataFrame:
     """D1 + D2: drop non-content regions, then one row per tag token.
 
-    Output: page_id, url, html_chars, pos (0-based), tag (lower-case, `/` for closers),
-    head (the tag text), text (text after the tag up to the next `<`).
-    Text before the first tag is a token without a tag. An empty page still
-    yields one row (pos null) so it keeps a place.
+    Output: page_id, url, html_chars, pos (0-based), tag (lower-case whole name, `/`
+    for closers), head (the tag text), attrs (map of an opener's attributes), text
+    (text after the tag up to the next `<`). Text before the first tag is a token
+    without a tag. An empty page still yields one row (pos null) so it keeps a place.
     """
     cleaned = (pages.select("page_id", "url", F.length(F.coalesce("html", F.lit(""))).alias("html_chars"),
-                            F.regexp_replace(F.coalesce("html", F.lit("")), H.DROP_RE, "")
-                            .alias("html"))
+                            H.content(F.col("html")).alias("html"))
                .repartition("page_id"))
     toks = cleaned.select(
         "page_id", "url", "html_chars",
         F.posexplode_outer(F.regexp_extract_all("html", F.lit(H.TOKEN_RE), 0)).alias("pos", "tok"))
+    head = F.regexp_extract("tok", H.TAG_TEXT_RE, 0)
     return toks.select(
         "page_id", "url", "html_chars", "pos",
-        F.lower(F.regexp_extract("tok", H.TAG_RE, 1)).alias("tag"),
-        F.regexp_extract("tok", H.HEAD_RE, 0).alias("head"),
-        F.substring("tok", F.length(F.regexp_extract("tok", H.HEAD_RE, 0)) + 1, 1 << 30).alias("text"))
+        F.lower(F.regexp_extract("tok", H.TAG_RE, 1)).alias("tag"), head.alias("head"), H.attributes(head).alias("attrs"),
+        F.substring("tok", F.length(head) + 1, 1 << 30).alias("text"))
 
 
-def _depths(w):
-    return [F.greatest(F.sum(H.depth_delta(F.col("tag"), fam)).over(w), F.lit(0)).alias(f"{name}_depth")
-            for name, fam in H.REGIONS.items()]
+def _sums(w):
+    """Opens less closes up to here, for each region family."""
+    return [F.sum(H.depth_delta(F.col("tag"), fam)).over(w).alias(f"{name}_sum") for name, fam in H.REGIONS.items()]
 
 
-def region_depth(tokens: DataFrame) -> DataFrame:
-    """D3: running depth of each region family, floored at 0; the opener is
-    inside its region, the closer is not. One window operator for all."""
-    return tokens.select("*", *_depths(_running("page_id")))
+def _reflected(total: str, w):
+    """Depth from a running sum: a closer without opener costs nothing, which is the sum
+    less its least value so far (0 at most)."""
+    return F.col(total) - F.least(F.min(total).over(w), F.lit(0))
 
 
-def _div_pairs(t: DataFrame) -> DataFrame:
-    """D4 core on a token table that has ``div_run``: level, ad flag, paired
-    closer and the +1/-1 ad interval deltas (one window over (page, level))."""
-    tag = F.col("tag")
-    t = t.withColumns({
-        "div_level": F.when(tag == "div", F.col("div_run")).when(tag == "/div", F.col("div_run") + 1),
-        "is_ad": (tag == "div") & F.col("head").rlike(H.AD_RE)})
-    wl = Window.partitionBy("page_id", "div_level").orderBy("pos")
-    return t.select(
-        "*",
-        F.when((tag == "div") & (F.lead("tag").over(wl) == "/div"), F.lead("pos").over(wl)).alias("close_pos"),
-        F.when(F.col("is_ad"), 1)
-        .when((tag == "/div") & (F.lag("tag").over(wl) == "div")
-              & F.coalesce(F.lag("is_ad").over(wl), F.lit(False)), -1)
-        .otherwise(0).alias("ad_delta")).drop("div_run")
+def _depths(w):
+    return [_reflected(f"{name}_sum", w).alias(f"{name}_depth") for name in H.REGIONS]
 
 
-def _div_run(w):
-    tag = F.col("tag")
-    return F.sum(F.when(tag == "div", 1).when(tag == "/div", -1).otherwise(0)).over(w).alias("div_run")
+def region_depth(tokens: DataFrame) -> DataFrame:
+    """D3: running depth of each region family; the opener is inside its region, the
+    closer is not, a closer without opener changes nothing."""
+    w = _running("page_id")
+    return tokens.select("*", *_sums(w)).select(*tokens.columns, *_depths(w))
 
 
 def tag_intervals(tokens: DataFrame) -> DataFrame:
-    """Pair each `div` opener with the closer at the same nesting level.
+    """Pair each opener with the closer of its tag at the same nesting level.
 
-    Adds ``div_level`` (level of div tokens, null for others), ``close_pos``
-    (paired closer of an opener), ``is_ad`` (opener has an ad-like class) and
-    ``ad_depth`` (running depth of ad-like div intervals).
+    Adds ``level`` (nesting among tags of that name; null for tags that have no closer,
+    text and closers without opener), ``close_pos`` (paired closer of an opener;
+    null when it never closes) and ``is_ad`` (a container with an advertising class).
     """
-    w = _running("page_id")
-    t = _div_pairs(tokens.select("*", _div_run(w)))
-    return t.select("*", F.greatest(F.sum("ad_delta").over(w), F.lit(0)).alias("ad_depth")).drop("ad_delta")
+    tag = F.col("tag")
+    name = F.regexp_replace("tag", "^/", "")
+    own = _running("page_id", "_name")
+    closer = tag.startswith("/")
+    paired = (tag != "") & ~name.isin(*H.VOID_TAGS)
+    t = tokens.select("*", name.alias("_name"), F.when(paired, F.when(closer, -1).otherwise(1)).otherwise(0).alias("_step"))
+    t = t.withColumn("_sum", F.sum("_step").over(own)).withColumn("_depth", _reflected("_sum", own))
+    # A closer without opener is where the sum reaches a new least value below 0.
+    before = F.lag("_depth").over(Window.partitionBy("page_id", "_name").orderBy("pos"))
+    level = F.when(paired, F.when(~closer, F.col("_depth")).when(F.coalesce(before, F.lit(0)) > 0, F.col("_depth") + 1))
+    t = t.withColumn("level", level)
+    mate = Window.partitionBy("page_id", "_name", "level").orderBy("pos")
+    return t.select(
+        *tokens.columns, "level",
+        F.when(F.col("level").isNotNull() & ~closer & F.lead("tag").over(mate).startswith("/"), F.lead("pos").over(mate)).alias("close_pos"),
+        H.is_ad(tag, F.col("head")).alias("is_ad"))
 
 
 def annotate(tokens: DataFrame) -> DataFrame:
-    """Token table with regions, ad intervals, block numbers, table counters and
-    the nesting level of inline marks. Three window operators in all: running
-    sums over (page, pos), the div pairing over (page, level, pos), then
-    running counters over (page, pos); all reuse the page partitioning."""
+    """Token table with regions, ad intervals, block numbers, table counters and the
+    nesting level of inline marks: running sums over (page, pos), their least values
+    in the same order, the pairing of ad containers over (page, tag, level, pos),
+    then the ad depth over (page, pos); all reuse the page partitioning."""
     w = _running("page_id")
-    t = _div_pairs(tokens.select("*", *_depths(w), _div_run(w)))
     tag = F.col("tag")
     is_start = tag.isin(*H.BLOCK_TAGS) | tag.isin(*H.closers(H.BLOCK_TAGS))
     count = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).over(w)
-    return t.select(
-        "*",
-        F.greatest(F.sum("ad_delta").over(w), F.lit(0)).alias("ad_depth"),
+    held = [c for c in tokens.columns if c != "attrs"]
+    t = tokens.select(
+        *held, *_sums(w), *[F.sum(H.depth_delta(tag, (name,))).over(w).alias(f"{name}_sum") for name in H.AD_TAGS],
         count(is_start).alias("block_no"),
         count(tag == "table").alias("table_no"),
         count(tag == "tr").alias("row_no"),
@@ -116,7 +116,22 @@ def annotate(tokens: DataFrame) -> DataFrame:
         F.coalesce(*[F.when(tag.isin(name, "/" + name), F.sum(
             F.when(tag == name, 1).when(tag == "/" + name, -1).otherwise(0)).over(w) + (tag == "/" + name).cast("int"))
             for name in INLINE]).alias("mark_level"),
-        F.sum(F.length(_solid(F.col("text")))).over(w).alias("solid")).drop("ad_delta")
+        F.length(_solid(F.col("text"))).alias("solid_own"))
+    at = lambda name: _reflected(f"{name}_sum", w) + (tag == "/" + name).cast("int")
+    kept = [c for c in t.columns if not c.endswith("_sum")]
+    t = t.select(*kept, *_depths(w), F.sum("solid_own").over(w).alias("solid"),
+                 F.coalesce(*[F.when(tag.isin(name, "/" + name), F.concat_ws("#", F.lit(name), at(name))) for name in H.AD_TAGS]).alias("box"),
+                 H.is_ad(tag, F.col("head")).alias("is_ad"))
+    mate = Window.partitionBy("page_id", "box").orderBy("pos")
+    ends = tag.startswith("/") & F.coalesce(F.lag("is_ad").over(mate), F.lit(False))
+    t = t.withColumn("ad_delta", F.when(F.col("box").isNull(), 0).when(F.col("is_ad"), 1).when(ends, -1).otherwise(0))
+    return t.withColumn("ad_depth", F.sum("ad_delta").over(w)).drop("ad_delta", "box", "is_ad")
+
+
+def link_ref(tag, head):
+    """What an `a` opener refers to, '' when nothing: references decoded, no blanks
+    around it."""
+    return F.coalesce(F.when(tag == "a", trimmed(H.attribute(head, "href"))), F.lit(""))
 
 
 def render_tokens(t: DataFrame) -> DataFrame:
@@ -127,9 +142,9 @@ def render_tokens(t: DataFrame) -> DataFrame:
     `pre` is kept raw."""
     tag = F.col("tag")
     raw = H.decode_entities(F.coalesce(F.col("text"), F.lit("")))
-    t = t.select("*", raw.alias("raw"), F.regexp_extract("head", H.HREF_RE, 1).alias("href"),
+    t = t.select("*", raw.alias("raw"), link_ref(tag, F.col("head")).alias("href"),
                  F.regexp_replace("tag", "^/", "").alias("mark_tag"),
-                 (F.col("solid") - F.length(_solid(F.col("text")))).alias("solid_before"))
+                 (F.col("solid") - F.col("solid_own")).alias("solid_before"))
     pair = Window.partitionBy("page_id", "block_no", "mark_tag", "mark_level").orderBy("pos")
     opens, closes = tag.isin(*INLINE), tag.isin(*H.closers(INLINE))
     t = t.select(
@@ -200,10 +215,10 @@ def list_state(blocks: DataFrame) -> DataFrame:
     block table holds them all."""
     tag = F.col("tag")
     order = Window.partitionBy("page_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    level = F.sum(F.when(tag.isin("ul", "ol"), 1).when(tag.isin("/ul", "/ol"), -1).otherwise(0)).over(order)
+    level = F.sum(H.depth_delta(tag, ("ul", "ol"))).over(order)
     at = (Window.partitionBy("page_id", "list_level").orderBy("block_no")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    b = blocks.withColumn("list_level", F.greatest(level, F.lit(0)))
+    b = blocks.withColumn("_list_sum", level).withColumn("list_level", _reflected("_list_sum", order)).drop("_list_sum")
     return b.withColumns({
         "list_kind": F.last(F.when(tag.isin("ul", "ol"), tag), True).over(at),
         "list_no": F.sum(F.when(tag.isin("ul", "ol"), 1).otherwise(0)).over(at)})

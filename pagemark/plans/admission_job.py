@@ -43,9 +43,10 @@ def q_unique_lookups(spark, sf_dir):
 
 
 def q_resource_admission(spark, sf_dir):
-    """Every resource a page would request, with its verdict."""
-    r = ADM.resource_admission(tables.pages(spark, sf_dir), derived.resolutions(spark, sf_dir))
-    return r.select("page_id", F.col("pos").cast("long").alias("pos"), "target", "action", "message")
+    """Every resource a page would request, with its verdict, on pages that
+    also refer to private hosts in many spellings."""
+    r = ADM.resource_admission(derived.resource_pages(spark, sf_dir), derived.resolutions(spark, sf_dir))
+    return r.select("page_id", F.col("pos").cast("long").alias("pos"), "attr", "target", "action", "message")
 
 
 QUERIES = {
@@ -105,12 +106,12 @@ FROM (SELECT host, bool_or(is_lit) AS is_literal FROM a_lit2 GROUP BY host) h LE
 SELECT host, port, (scheme IN ('http', 'https') AND host <> '' AND NOT malformed AND NOT bad_port) AS vetted,
   count(*)::BIGINT AS n_urls FROM a_lit2
 GROUP BY ALL""",
-    "resource_admission": f"""WITH {_RES}, r AS ({OA.RESOURCES}),
-web AS (SELECT page_id || ':' || pos AS rk, * FROM r WHERE {OA.scheme_sql('target')} IN ('http', 'https')),
+    "resource_admission": f"""WITH {_RES}, {OA.RESOURCES.strip()},
+web AS (SELECT row_number() OVER () AS rk, * FROM r WHERE {OA.scheme_sql('target')} IN ('http', 'https')),
 {OA.admission_sql('web', 'target', 'rk').strip()}
-SELECT page_id, pos::BIGINT AS pos, target, CASE WHEN status = 'admitted' THEN 'continue' ELSE 'abort' END AS action,
+SELECT page_id, pos::BIGINT AS pos, attr, target, CASE WHEN status = 'admitted' THEN 'continue' ELSE 'abort' END AS action,
   message FROM adm
 UNION ALL
-SELECT page_id, pos::BIGINT, target, 'continue', NULL FROM r
+SELECT page_id, pos::BIGINT, attr, target, 'continue', NULL FROM r
 WHERE {OA.scheme_sql('target')} NOT IN ('http', 'https')""",
 }

@@ -3,8 +3,9 @@ range join, resolution table, verdicts."""
 from __future__ import annotations
 
 from pagemark.functions import addresses as A
-from pagemark.operators.admission import RESOURCE_RE
-from pagemark.plans.oracle_blocks import clean_sql, host_sql, hostinfo_sql, q, resolve_sql, scheme_sql
+from pagemark.plans import oracle_blocks as O
+from pagemark.plans.oracle_blocks import clean_sql, host_sql, hostinfo_sql, q, resolve_sql, scheme_sql, trimmed_sql
+from pagemark.sources.derived import REFERENCES
 
 QUAD = "^(0|[1-9][0-9]{0,2})\\.(0|[1-9][0-9]{0,2})\\.(0|[1-9][0-9]{0,2})\\.(0|[1-9][0-9]{0,2})$"
 
@@ -183,8 +184,48 @@ def admission_sql(src: str, col: str, key: str, res: str = "res", p: str = "") -
   FROM {p}a_stat)"""
 
 
+PIECES = "(?is)" + "|".join([O.NOTE, *(f"<{t}{O.REST}.*?(?:</{t}[{O.SP}/>]|\\z)" for t in (
+    "script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")), f"<[a-z]{O.BODY}>", "<[a-z][^>]*>"])
+CANDIDATE = f"([^{O.SP},](?:[^{O.SP}]*[^{O.SP},])?)(?:,|[{O.SP}][^,]*|\\z)"
+
+
+def requested_sql(base: str, ref: str, rel: str, keep: str, out: str) -> str:
+    """Rows of ``rel`` with ``out``, the URL that a browser asks for: blanks and backslashes,
+    missing or surplus slashes after a scheme as it reads them."""
+    special = "('http', 'https', 'ws', 'wss', 'ftp')"
+    return f"""(SELECT {keep}, CASE
+    WHEN sch IN {special} AND sch = {scheme_sql(base)} AND NOT starts_with(aft, '//') THEN {resolve_sql(base, "(aft || tail)")}
+    WHEN sch IN {special} THEN sch || '://' || ltrim(aft, '/') || tail
+    WHEN sch = '' AND starts_with(front, '//') THEN {scheme_sql(base)} || '://' || ltrim(front, '/') || tail
+    ELSE {resolve_sql(base, "(front || tail)")} END AS {out}
+  FROM (SELECT *, substring(front, length(sch) + 2) AS aft FROM (
+    SELECT *, CASE WHEN sch = '' OR sch IN {special} THEN replace(lead_in, '\\', '/') ELSE lead_in END AS front,
+      substring(r, length(lead_in) + 1) AS tail FROM (
+      SELECT *, {scheme_sql('r')} AS sch, regexp_extract(r, '^[^?#]*', 0) AS lead_in FROM (
+        SELECT *, {trimmed_sql(ref)} AS r FROM {rel})))))"""
+
+
+_REFERENCES_SQL = f"replace(replace({q(REFERENCES)}, '{{p}}', page_id::VARCHAR), '{{o}}', (page_id % 256)::VARCHAR)"
+_REFRESH = f"(?i)url[{O.SP}]*=[{O.SP}]*[\"']?([^\"']*)"
 RESOURCES = f"""
-SELECT page_id, pos, ref, {resolve_sql('url', 'ref')} AS target FROM (
-  SELECT page_id, url, generate_subscripts(refs, 1) - 1 AS pos, unnest(refs) AS ref FROM (
-    SELECT page_id, url, regexp_extract_all(coalesce(html, ''), {q(RESOURCE_RE)}, 2) AS refs
-    FROM pages))"""
+rp_html AS (
+  SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN '<BASE target=_top><base href=''/base/' || page_id || '/?q''><base href=//later.test/>' ELSE '' END
+    || {_REFERENCES_SQL} || coalesce(html, '') AS html FROM pages),
+rp_lists AS (
+  SELECT page_id, url, list_transform(list_filter(regexp_extract_all(html, {q(PIECES)}, 0), lambda t: NOT starts_with(t, '<!--')),
+    lambda t: regexp_extract(t, {q(O.TAG_TEXT)}, 0)) AS tags FROM rp_html),
+rp_tags AS (SELECT page_id, url, unnest(tags) AS head, generate_subscripts(tags, 1) - 1 AS pos FROM rp_lists),
+rp_open AS (SELECT * FROM rp_tags WHERE contains(head, '=')),
+rp_attrs AS (SELECT *, lower(regexp_extract(head, {q(O.NAME)}, 1)) AS tag FROM {O.attr_rows_sql('rp_open', 'page_id, url, pos, head')}),
+rp_first AS (SELECT page_id, url, arg_min(v, pos) AS v FROM rp_attrs WHERE tag = 'base' AND n = 'href' GROUP BY ALL),
+rp_base AS {requested_sql('url', 'v', 'rp_first', 'page_id', 'b')},
+rp_refs AS (
+  SELECT page_id, url, pos, n AS attr, v AS ref FROM rp_attrs
+  WHERE n IN ('href', 'src', 'poster', 'data', 'action', 'formaction', 'background', 'manifest', 'xlink:href')
+  UNION ALL SELECT page_id, url, pos, n, unnest(regexp_extract_all(v, {q(CANDIDATE)}, 1)) FROM rp_attrs WHERE n IN ('srcset', 'imagesrcset')
+  UNION ALL SELECT page_id, url, pos, n, unnest(regexp_extract_all(v, {q(f"(?i)url[(][{O.SP}]*[{chr(34)}']?([^{chr(34)}')]*)")}, 1)) FROM rp_attrs WHERE n = 'style'
+  UNION ALL SELECT a.page_id, a.url, a.pos, 'content', regexp_extract(a.v, {q(_REFRESH)}, 1)
+    FROM rp_attrs a JOIN rp_attrs e ON e.page_id = a.page_id AND e.pos = a.pos AND e.n = 'http-equiv' AND lower(trim(e.v)) = 'refresh'
+    WHERE a.tag = 'meta' AND a.n = 'content' AND regexp_extract(a.v, {q(_REFRESH)}, 1) <> ''),
+rp_based AS (SELECT r.*, coalesce(b.b, r.url) AS base FROM rp_refs r LEFT JOIN rp_base b USING (page_id)),
+r AS {requested_sql('base', 'ref', 'rp_based', 'page_id, pos, attr, ref', 'target')}"""

@@ -5,7 +5,7 @@
 """
 from __future__ import annotations
 
-from pagemark.functions import html as H
+from html import entities
 
 
 def q(s: str) -> str:
@@ -17,18 +17,79 @@ def inlist(tags) -> str:
     return "(" + ", ".join(q(t) for t in tags) + ")"
 
 
+# --- the block contract, written for RE2 (no look-around, no possessive loops) ---
+SP = " \t\r\n\f"
+BODY = f"(?:[^>=]|=[{SP}]*(?:\"[^\"]*\"|'[^']*'|[^\"'>{SP}][^>{SP}]*)|=)*"
+REST = f"(?:[{SP}/]{BODY})?>"          # of an opener, after its name
+SHUT = f"(?:[{SP}/][^>]*)?>"           # of a closer, after its name
+NOTE = "<!--(?:>|->|.*?(?:-->|--!>|\\z))"
+SILENT = "(?is)" + "|".join([NOTE, *(f"<{t}{REST}.*?(?:</{t}{SHUT}|\\z)" for t in ("script", "style", "noscript", "template", "title"))])
+TOP = f"(?is)<head{REST}(?:[{SP}]*<(?:meta|link|base|basefont|bgsound){REST})*(?:[^<]*</head{SHUT})?"
+TOKENS = f"^[^<]+|<{BODY}>[^<]*|<[^>]*>[^<]*"
+TAG_TEXT = f"^(?:<{BODY}>|<[^>]*>)"
+NAME = f"^<(/?[A-Za-z][^{SP}/>]*)"
+INNER = f"(?s)^<[A-Za-z][^{SP}/>]*(.*)>\\z"
+ATTR = f"[^{SP}/>][^{SP}/>=]*(?:[{SP}]*=[{SP}]*(?:\"[^\"]*\"|'[^']*'|[^\"'>{SP}][^>{SP}]*)?)?"
+ATTR_NAME = f"^[^{SP}/>][^{SP}/>=]*"
+ATTR_VALUE = f"(?s)^[^{SP}/>][^{SP}/>=]*[{SP}]*=[{SP}]*(.*)\\z"
+BLANK = "[ \t\r\n]+"
+STARTS = ("p h1 h2 h3 h4 h5 h6 li ul ol div article section main header footer nav aside blockquote pre table tr td th"
+          " dl dt dd figure figcaption form hr br").split()
+NEVER_CLOSED = "area base basefont bgsound br col embed hr img input link meta param source track wbr".split()
+FAMILIES = {"chrome": ["nav", "footer", "aside", "header", "form"], "main": ["article", "main"], "pre": ["pre"], "tbl": ["table"],
+            "quote": ["blockquote"], "link": ["a"]}
+BOXES = ["div", "section", "aside", "ins"]
+ADVERTS = ["ad", "ads", "advert", "advertisement", "banner", "promo", "sponsored"]
+SIGNS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
+TITLES = ["h1", "h2", "h3", "h4", "h5", "h6"]
+COMMON_PAGES = 5
+
+
+def _references() -> str:
+    names = {k.rstrip(";"): v for k, v in entities.html5.items() if k[-1] == ";"}
+    names["nbsp"] = " "
+    return "MAP([" + ", ".join(map(q, names)) + "], [" + ", ".join(q(v) for v in names.values()) + "])"
+
+
 def decode_sql(x: str) -> str:
-    named = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in H.ENTITIES.items())
-    code = "CASE WHEN n[:2] IN ('#x', '#X') THEN ('0x' || n[3:])::BIGINT WHEN n[:1] = '#' THEN n[2:]::BIGINT END"
-    char = f"CASE WHEN n[:1] = '#' THEN chr(nullif(CASE WHEN c < 55296 OR c BETWEEN 57344 AND 1114111 THEN c END, 0)::INT) ELSE CASE n {named} END END"
+    """Character references decoded once: each piece after an `&` is looked at on its own."""
+    low = ", ".join(q(bytes([b]).decode("cp1252", "ignore") or chr(b)) for b in range(128, 160))
+    code = ("CASE WHEN m[:2] IN ('#x', '#X') THEN CASE WHEN length(ltrim(m[3:], '0')) BETWEEN 1 AND 6 THEN ('0x' || ltrim(m[3:], '0'))::BIGINT END"
+            " WHEN m <> '' AND length(ltrim(m[2:], '0')) BETWEEN 1 AND 7 THEN ltrim(m[2:], '0')::BIGINT END")
+    char = f"CASE WHEN c BETWEEN 128 AND 159 THEN [{low}][c - 127] WHEN c < 55296 OR c BETWEEN 57344 AND 1114111 THEN chr(c::INT) END"
     return (f"(CASE WHEN contains({x}, '&') THEN (SELECT string_agg(CASE WHEN i = 1 THEN p"
-            f" ELSE coalesce({char} || substring(p, length(n) + 2), '&' || p) END, '' ORDER BY i)"
-            f" FROM (SELECT *, {code} AS c FROM (SELECT i, p, regexp_extract(p, '{H.ENTITY_RE}', 1) AS n"
+            f" WHEN n <> '' THEN coalesce({_references()}[n] || substring(p, length(n) + 2), '&' || p)"
+            f" WHEN m <> '' THEN coalesce({char} || substring(p, length(m) + 1 + (substring(p, length(m) + 1, 1) = ';')::INT), '&' || p)"
+            f" ELSE '&' || p END, '' ORDER BY i)"
+            f" FROM (SELECT *, {code} AS c FROM (SELECT i, p, regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1) AS n,"
+            f" regexp_extract(p, '^(#[0-9]+|#[xX][0-9A-Fa-f]+)', 1) AS m"
             f" FROM (SELECT unnest(string_split({x}, '&')) AS p, generate_subscripts(string_split({x}, '&'), 1) AS i)))) ELSE {x} END)")
 
 
+def attrs_sql(head: str) -> str:
+    """Attributes of an opener as a list of (n, v), v as written but for its quotes."""
+    return (f"list_transform(list_transform(regexp_extract_all(regexp_extract({head}, {q(INNER)}, 1), {q(ATTR)}, 0), lambda a:"
+            f" {{'n': lower(regexp_extract(a, {q(ATTR_NAME)}, 0)), 'v': regexp_extract(a, {q(ATTR_VALUE)}, 1)}}), lambda a:"
+            f" {{'n': a.n, 'v': CASE WHEN starts_with(a.v, '\"') OR starts_with(a.v, '''') THEN a.v[2:-2] ELSE a.v END}})")
+
+
+def attr_sql(head: str, name: str) -> str:
+    return f"(list_filter({attrs_sql(head)}, lambda a: a.n = {q(name)})[1]).v"
+
+
+def attr_rows_sql(rel: str, keys: str) -> str:
+    """Per attribute of ``rel`` ({keys}, head): keys, k, n, v decoded; of a repeated name the first."""
+    return (f"(SELECT {keys}, k, n, {decode_sql('v')} AS v FROM (SELECT {keys}, a.n AS n, a.v AS v, k FROM (SELECT {keys},"
+            f" unnest({attrs_sql('head')}) AS a, generate_subscripts({attrs_sql('head')}, 1) AS k FROM {rel}))"
+            f" QUALIFY row_number() OVER (PARTITION BY {keys}, n ORDER BY k) = 1)")
+
+
 def collapse_sql(x: str) -> str:
-    return f"regexp_replace({x}, {q(H.WS_RE)}, ' ', 'g')"
+    return f"regexp_replace({x}, {q(BLANK)}, ' ', 'g')"
+
+
+def trimmed_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), '[\t\r\n]', '', 'g')"
 
 
 def scheme_sql(u: str) -> str:
@@ -53,6 +114,7 @@ def clean_sql(u: str) -> str:
 def resolve_sql(base: str, ref: str) -> str:
     """RFC 3986, 5.2.2 to 5.2.4: merge, then remove dot segments by appending
     segment after segment to an output string."""
+    base, ref = clean_sql(base), clean_sql(ref)
     auth = f"regexp_extract({base}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0)"
     tail = f"substring({base}, length({auth}) + 1)"
     path, query = f"regexp_extract({tail}, '^([^?#]*)', 1)", f"regexp_extract({tail}, '^[^?#]*([?][^#]*)', 1)"
@@ -73,21 +135,43 @@ def resolve_sql(base: str, ref: str) -> str:
 
 def _delta(fam) -> str:
     return (f"CASE WHEN tag IN {inlist(fam)} THEN 1 "
-            f"WHEN tag IN {inlist(H.closers(fam))} THEN -1 ELSE 0 END")
+            f"WHEN tag IN {inlist('/' + t for t in fam)} THEN -1 ELSE 0 END")
+
 
+# Nesting of every tag among tags of its name, and the closer of each opener.
+INTERVALS = f"""
+own_run AS (
+  SELECT *, ltrim(tag, '/') AS name, tag <> '' AND ltrim(tag, '/') NOT IN {inlist(NEVER_CLOSED)} AS pairs,
+    sum(CASE WHEN tag = '' OR ltrim(tag, '/') IN {inlist(NEVER_CLOSED)} THEN 0 WHEN starts_with(tag, '/') THEN -1 ELSE 1 END)
+      OVER (PARTITION BY page_id, ltrim(tag, '/') ORDER BY pos) AS s FROM page_tokens),
+own_depth AS (
+  SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id, name ORDER BY pos)) AS d FROM own_run),
+leveled AS (
+  SELECT *, CASE WHEN NOT pairs THEN NULL WHEN NOT starts_with(tag, '/') THEN d
+                 WHEN lag(d, 1, 0) OVER (PARTITION BY page_id, name ORDER BY pos) > 0 THEN d + 1 END AS level FROM own_depth),
+mated AS (
+  SELECT *, lead(tag) OVER m AS next_tag, lead(pos) OVER m AS next_pos, {attr_sql('head', 'class')} AS class
+  FROM leveled WINDOW m AS (PARTITION BY page_id, name, level ORDER BY pos)),
+intervals AS (
+  SELECT page_id, pos, tag, level, CASE WHEN starts_with(next_tag, '/') THEN next_pos END AS close_pos,
+    tag IN {inlist(BOXES)} AND coalesce(list_has_any(string_split_regex(lower({decode_sql('class')}), '[{SP}]+'), [{', '.join(map(q, ADVERTS))}]), false) AS is_ad
+  FROM mated WHERE level IS NOT NULL AND NOT starts_with(tag, '/'))"""
 
-def chain(src: str, scope: str = "outside_main", min_pages: int = H.BOILERPLATE_MIN_PAGES) -> str:
+
+def chain(src: str, scope: str = "outside_main", min_pages: int = COMMON_PAGES) -> str:
     w = "(PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    depths = ",\n    ".join(
-        f"greatest(sum({_delta(f)}) OVER {w}, 0) AS {n}_depth" for n, f in H.REGIONS.items())
-    starts = inlist(H.BLOCK_TAGS + tuple(H.closers(H.BLOCK_TAGS)))
+    sums = ",\n    ".join(f"sum({_delta(f)}) OVER {w} AS {n}_sum" for n, f in FAMILIES.items())
+    depths = ",\n    ".join(f"{n}_sum - least(0, min({n}_sum) OVER {w}) AS {n}_depth" for n in FAMILIES)
+    boxes = ", ".join(f"sum({_delta([n])}) OVER {w} AS {n}_run" for n in BOXES)
+    box = " ".join(f"WHEN tag IN ({q(n)}, {q('/' + n)}) THEN {q(n + '#')} || ({n}_run - least(0, min({n}_run) OVER {w}) + (tag = {q('/' + n)})::INT)" for n in BOXES)
+    starts = inlist([*STARTS, *("/" + t for t in STARTS)])
     raw = decode_sql("coalesce(text, '')")
-    inline = [*H.MARKS, ("a", None)]
+    inline = [*SIGNS.items(), ("a", None)]
     names = inlist(n for n, _ in inline)
     level = " ".join(
         f"WHEN tag IN ({q(n)}, {q('/' + n)}) THEN sum(CASE tag WHEN {q(n)} THEN 1 WHEN {q('/' + n)} THEN -1 ELSE 0 END) OVER {w}"
         f" + (tag = {q('/' + n)})::INT" for n, _ in inline)
-    sign = "CASE mtag " + " ".join(f"WHEN {q(n)} THEN {q(m)}" for n, m in H.MARKS) + " END"
+    sign = "CASE mtag " + " ".join(f"WHEN {q(n)} THEN {q(m)}" for n, m in SIGNS.items()) + " END"
     link = lambda href: f"'](' || {resolve_sql('url', href)} || ')'"
     drop_bp = {"all": "is_bp IS NOT NULL",
                "outside_main": "is_bp IS NOT NULL AND NOT in_main",
@@ -95,48 +179,52 @@ def chain(src: str, scope: str = "outside_main", min_pages: int = H.BOILERPLATE_
     return f"""
 src AS ({src}),
 cleaned AS (
-  SELECT page_id, url, regexp_replace(coalesce(html, ''), {q(H.DROP_RE)}, '', 'g') AS html FROM src),
+  SELECT page_id, url, regexp_replace(regexp_replace(coalesce(html, ''), {q(SILENT)}, '', 'g'), {q(TOP)}, '', 'g') AS html FROM src),
 tok_lists AS (
-  SELECT page_id, url, regexp_extract_all(html, {q(H.TOKEN_RE)}, 0) AS toks FROM cleaned),
+  SELECT page_id, url, regexp_extract_all(html, {q(TOKENS)}, 0) AS toks FROM cleaned),
 tok_raw AS (
   SELECT page_id, url, generate_subscripts(toks, 1) - 1 AS pos, unnest(toks) AS tok FROM tok_lists),
 page_tokens AS (
   SELECT page_id, url, pos,
-    lower(regexp_extract(tok, {q(H.TAG_RE)}, 1)) AS tag,
-    regexp_extract(tok, {q(H.HEAD_RE)}, 0) AS head,
-    regexp_replace(tok, {q(H.HEAD_RE)}, '') AS text
+    lower(regexp_extract(tok, {q(NAME)}, 1)) AS tag,
+    regexp_extract(tok, {q(TAG_TEXT)}, 0) AS head,
+    substring(tok, length(regexp_extract(tok, {q(TAG_TEXT)}, 0)) + 1) AS text
   FROM tok_raw),
+region_sums AS (
+  SELECT *,
+    {sums}
+  FROM page_tokens),
 region_depth AS (
   SELECT *,
     {depths}
-  FROM page_tokens),
-div_run AS (
-  SELECT *, sum(CASE WHEN tag = 'div' THEN 1 WHEN tag = '/div' THEN -1 ELSE 0 END) OVER {w} AS div_run
+  FROM region_sums),
+box_run AS (
+  SELECT *, {boxes},
+    CASE WHEN tag = 'a' THEN {attr_sql('head', 'href')} END AS href_raw,
+    CASE WHEN tag IN {inlist(BOXES)} AND contains(lower(head), 'class') THEN {attr_sql('head', 'class')} END AS class_raw
   FROM region_depth),
-div_lv AS (
-  SELECT * EXCLUDE (div_run),
-    CASE WHEN tag = 'div' THEN div_run WHEN tag = '/div' THEN div_run + 1 END AS div_level,
-    (tag = 'div' AND regexp_matches(head, {q(H.AD_RE)})) AS is_ad
-  FROM div_run),
-tag_intervals AS (
+boxed AS (
+  SELECT *, CASE {box} END AS box,
+    coalesce(list_has_any(string_split_regex(lower({decode_sql('class_raw')}), '[{SP}]+'), [{', '.join(map(q, ADVERTS))}]), false) AS is_ad
+  FROM box_run),
+ad_steps AS (
   SELECT *,
-    CASE WHEN tag = 'div' AND lead(tag) OVER wl = '/div' THEN lead(pos) OVER wl END AS close_pos,
     CASE WHEN is_ad THEN 1
-         WHEN tag = '/div' AND lag(tag) OVER wl = 'div' AND coalesce(lag(is_ad) OVER wl, false) THEN -1
+         WHEN box IS NOT NULL AND starts_with(tag, '/') AND coalesce(lag(is_ad) OVER wl, false) THEN -1
          ELSE 0 END AS ad_delta
-  FROM div_lv WINDOW wl AS (PARTITION BY page_id, div_level ORDER BY pos)),
+  FROM boxed WINDOW wl AS (PARTITION BY page_id, box ORDER BY pos)),
 annotated AS (
   SELECT *,
-    greatest(sum(ad_delta) OVER {w}, 0) AS ad_depth,
+    sum(ad_delta) OVER {w} AS ad_depth,
     sum(CASE WHEN tag IN {starts} THEN 1 ELSE 0 END) OVER {w} AS block_no,
     sum(CASE WHEN tag = 'table' THEN 1 ELSE 0 END) OVER {w} AS table_no,
     sum(CASE WHEN tag = 'tr' THEN 1 ELSE 0 END) OVER {w} AS row_no,
     CASE {level} END AS mlevel,
     ltrim(tag, '/') AS mtag,
-    length(regexp_replace(coalesce(text, ''), {q(H.WS_RE)}, '', 'g')) AS own,
+    length(regexp_replace(coalesce(text, ''), {q(BLANK)}, '', 'g')) AS own,
     {raw} AS raw_t,
-    regexp_extract(head, {q(H.HREF_RE)}, 1) AS href
-  FROM tag_intervals),
+    coalesce({trimmed_sql(decode_sql('href_raw'))}, '') AS href
+  FROM ad_steps),
 texts AS (
   SELECT *, {collapse_sql('raw_t')} AS txt FROM annotated),
 counted AS (SELECT *, trim(txt) AS inner_t, coalesce(sum(own) OVER (PARTITION BY page_id ORDER BY pos
@@ -187,9 +275,11 @@ block_texts AS (
   SELECT * EXCLUDE (raw, m),
     CASE WHEN pre_depth > 0 THEN coalesce(raw, '') ELSE trim({collapse_sql("replace(replace(m, chr(1), ''), chr(2), '')")}) END AS text
   FROM mark_texts),
+list_sums AS (
+  SELECT *, sum(CASE WHEN tag IN ('ul', 'ol') THEN 1 WHEN tag IN ('/ul', '/ol') THEN -1 ELSE 0 END)
+    OVER (PARTITION BY page_id ORDER BY block_no) AS list_sum FROM block_texts),
 list_levels AS (
-  SELECT *, greatest(sum(CASE WHEN tag IN ('ul', 'ol') THEN 1 WHEN tag IN ('/ul', '/ol') THEN -1 ELSE 0 END)
-    OVER (PARTITION BY page_id ORDER BY block_no), 0) AS list_level FROM block_texts),
+  SELECT *, list_sum - least(0, min(list_sum) OVER (PARTITION BY page_id ORDER BY block_no)) AS list_level FROM list_sums),
 page_blocks AS (
   SELECT *, last_value(CASE WHEN tag IN ('ul', 'ol') THEN tag END IGNORE NULLS) OVER l AS list_kind,
     sum(CASE WHEN tag IN ('ul', 'ol') THEN 1 ELSE 0 END) OVER l AS list_no
@@ -217,7 +307,7 @@ other_blocks AS (
 other_md AS (
   SELECT page_id, url, block_no, tag,
     CASE WHEN text = '' THEN ''
-         WHEN tag IN {inlist(H.HEADINGS)} THEN repeat('#', substring(tag, 2, 1)::INT) || ' ' || text
+         WHEN tag IN {inlist(TITLES)} THEN repeat('#', substring(tag, 2, 1)::INT) || ' ' || text
          WHEN li_ol THEN (row_number() OVER (PARTITION BY page_id, list_level, list_no, li_ol ORDER BY block_no))::VARCHAR || '. ' || text
          WHEN tag = 'li' THEN '- ' || text
          WHEN pre_depth > 0 THEN '```' || chr(10) || text || chr(10) || '```'
@@ -234,7 +324,7 @@ block_markdown AS (
 block_features AS (
   SELECT page_id, url, block_no, tag, md, chars, link_chars,
     main_depth > 0 AS in_main, chrome_depth > 0 AS in_chrome, ad_depth > 0 AS in_ad,
-    coalesce(tag IN {inlist(H.HEADINGS)}, false) AS is_heading, md5(md) AS block_hash
+    coalesce(tag IN {inlist(TITLES)}, false) AS is_heading, md5(md) AS block_hash
   FROM block_markdown),
 boilerplate_blocks AS (
   SELECT block_hash, count(DISTINCT page_id) AS n_pages

@@ -10,7 +10,7 @@ from pagemark.functions.urls import resolve
 from pagemark.plans import oracle_blocks as O
 from pagemark.session import cut_lineage
 from pagemark.sources import tables
-from pagemark.sources.derived import nested_pages, region_table_pages
+from pagemark.sources.derived import SLOPPY, SLOPPY_ARTICLE, nested_pages, region_table_pages, sloppy_pages
 
 PAGES_SQL = "SELECT page_id, url, html FROM pages"
 
@@ -20,23 +20,27 @@ def _tokens(spark, sf_dir):
 
 
 def q_page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tokens(spark, sf_dir).where(F.col("pos").isNotNull()).select(
-        "page_id", F.col("pos").cast("long").alias("pos"), "tag", "text")
+    """Tokens of pages with sloppy forms; attributes as sorted lines."""
+    t = B.page_tokens(sloppy_pages(spark, sf_dir)).where(F.col("pos").isNotNull())
+    lines = F.array_sort(F.transform(F.map_entries("attrs"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return t.select("page_id", F.col("pos").cast("long").alias("pos"), "tag", F.array_join(lines, "\n").alias("attrs"), "text")
 
 
 def q_region_depth(spark, sf_dir):
-    t = B.region_depth(_tokens(spark, sf_dir)).where(F.col("pos").isNotNull())
+    """D3 on pages with sloppy forms."""
+    t = B.region_depth(B.page_tokens(sloppy_pages(spark, sf_dir))).where(F.col("pos").isNotNull())
     return t.select("page_id", F.col("pos").cast("long").alias("pos"), "tag",
                     *[F.col(f"{n}_depth").cast("long").alias(f"{n}_depth") for n in
                       ("chrome", "main", "pre", "tbl", "quote", "link")])
 
 
 def q_tag_intervals(spark, sf_dir):
-    t = B.tag_intervals(_tokens(spark, sf_dir))
-    return t.where(F.col("tag") == "div").select(
-        "page_id", F.col("pos").cast("long").alias("open_pos"),
+    """D4 on pages with sloppy forms: every opener that may have a closer."""
+    t = B.tag_intervals(B.page_tokens(sloppy_pages(spark, sf_dir)))
+    return t.where(F.col("level").isNotNull() & ~F.col("tag").startswith("/")).select(
+        "page_id", F.col("pos").cast("long").alias("open_pos"), "tag",
         F.col("close_pos").cast("long").alias("close_pos"),
-        F.col("div_level").cast("long").alias("div_level"), "is_ad")
+        F.col("level").cast("long").alias("level"), "is_ad")
 
 
 def q_page_blocks(spark, sf_dir):
@@ -47,11 +51,10 @@ def q_page_blocks(spark, sf_dir):
 
 def q_page_links(spark, sf_dir):
     """Every link of every page, resolved against the requested URL."""
-    t = _tokens(spark, sf_dir)
-    href = F.regexp_extract("head", B.H.HREF_RE, 1)
-    links = t.where((F.col("tag") == "a") & (href != ""))
+    t = B.page_tokens(sloppy_pages(spark, sf_dir)).withColumn("href", B.link_ref(F.col("tag"), F.col("head")))
+    links = t.where((F.col("tag") == "a") & (F.col("href") != ""))
     return links.select("page_id", F.col("pos").cast("long").alias("pos"),
-                        href.alias("href"), resolve(F.col("url"), href).alias("target"),
+                        "href", resolve(F.col("url"), F.col("href")).alias("target"),
                         F.trim(B.H.collapse_ws(B.H.decode_entities(F.col("text")))).alias("link_text"))
 
 
@@ -76,6 +79,11 @@ def q_nested_markdown(spark, sf_dir):
     return blocks.where(F.col("md") != "").select("page_id", F.col("block_no").cast("long").alias("block_no"), "tag", "md")
 
 
+def q_sloppy_markdown(spark, sf_dir):
+    """D1-D14 on pages with sloppy forms."""
+    return M.page_markdown(sloppy_pages(spark, sf_dir)).select("page_id", "url", "markdown")
+
+
 def q_block_features(spark, sf_dir):
     f = B.block_features(_md_blocks(spark, sf_dir))
     return f.select("page_id", F.col("block_no").cast("long").alias("block_no"), "tag",
@@ -122,6 +130,7 @@ QUERIES = {
     "block_markdown": q_block_markdown,
     "table_markdown": q_table_markdown,
     "nested_markdown": q_nested_markdown,
+    "sloppy_markdown": q_sloppy_markdown,
     "block_features": q_block_features,
     "boilerplate_blocks": q_boilerplate_blocks,
     "kept_blocks": q_kept_blocks,
@@ -153,19 +162,30 @@ SELECT page_id, url, 'Lead it&#8217;s &mdash; caf&eacute; &#xE9;&unknown;&#0; '
   || CASE WHEN page_id % 3 = 0 THEN '<p>end</p><script>var x = ''<p>no</p>'';' ELSE '' END AS html
 FROM pages"""
 
+def _sql_text(text: str) -> str:
+    return "replace(replace(" + O.q(text) + ", '{p}', page_id::VARCHAR), '{o}', (page_id % 256)::VARCHAR)"
+
+
+SLOPPY_PAGES_SQL = f"""
+SELECT page_id, url, {_sql_text(SLOPPY)} || CASE WHEN page_id % 2 = 0 THEN regexp_replace(coalesce(html, ''), '<(/?)article', '<\\1div', 'g')
+  ELSE {_sql_text(SLOPPY_ARTICLE)} || coalesce(html, '') END AS html FROM pages"""
+
 ORACLE = {
-    "page_tokens": _w("SELECT page_id, pos::BIGINT AS pos, tag, text FROM page_tokens"),
+    "page_tokens": _w(f"""SELECT page_id, pos::BIGINT AS pos, tag, coalesce(attrs, '') AS attrs, text FROM page_tokens LEFT JOIN
+  (SELECT page_id, pos, string_agg(n || '=' || v, chr(10) ORDER BY n || '=' || v) AS attrs
+   FROM {O.attr_rows_sql('page_tokens', 'page_id, pos')} GROUP BY page_id, pos) USING (page_id, pos)""", src=SLOPPY_PAGES_SQL),
     "region_depth": _w("SELECT page_id, pos::BIGINT AS pos, tag, chrome_depth::BIGINT AS chrome_depth,"
                        " main_depth::BIGINT AS main_depth, pre_depth::BIGINT AS pre_depth,"
                        " tbl_depth::BIGINT AS tbl_depth, quote_depth::BIGINT AS quote_depth,"
-                       " link_depth::BIGINT AS link_depth FROM region_depth"),
-    "tag_intervals": _w("SELECT page_id, pos::BIGINT AS open_pos, close_pos::BIGINT AS close_pos,"
-                        " div_level::BIGINT AS div_level, is_ad FROM tag_intervals WHERE tag = 'div'"),
+                       " link_depth::BIGINT AS link_depth FROM region_depth", src=SLOPPY_PAGES_SQL),
+    "tag_intervals": "WITH " + O.chain(SLOPPY_PAGES_SQL).lstrip() + "," + O.INTERVALS + """
+SELECT page_id, pos::BIGINT AS open_pos, tag, close_pos::BIGINT AS close_pos, level::BIGINT AS level, is_ad FROM intervals""",
+    "sloppy_markdown": _w("SELECT page_id, url, markdown FROM page_markdown", src=SLOPPY_PAGES_SQL),
     "page_blocks": _w("SELECT page_id, block_no::BIGINT AS block_no, tag, text,"
                       " link_chars::BIGINT AS link_chars FROM page_blocks"),
     "page_links": _w("SELECT page_id, pos::BIGINT AS pos, href, " + O.resolve_sql("url", "href")
                      + " AS target, trim(" + O.collapse_sql(O.decode_sql("text")) + ") AS link_text"
-                     " FROM annotated WHERE tag = 'a' AND href <> ''"),
+                     " FROM annotated WHERE tag = 'a' AND href <> ''", src=SLOPPY_PAGES_SQL),
     "block_markdown": _w("SELECT page_id, block_no::BIGINT AS block_no, tag, md FROM block_markdown"
                          " WHERE md <> ''"),
     "table_markdown": _w("SELECT page_id, url, markdown FROM page_markdown", scope="none",

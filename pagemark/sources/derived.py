@@ -41,6 +41,54 @@ def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "url", F.concat(head, F.coalesce("html", F.lit("")), tail).alias("html"))
 
 
+def _fill(text: str):
+    """A fixed text in which ``{p}`` stands for the page_id and ``{o}`` for page_id % 256."""
+    pid = F.col("page_id")
+    return F.replace(F.replace(F.lit(text), F.lit("{p}"), pid.cast("string")), F.lit("{o}"), (pid % 256).cast("string"))
+
+
+# Sloppy but common HTML: no `head`, closers without opener, attributes without quotes or with blanks,
+# a quoted `>`, references in many spellings, custom elements, an advertising section.
+SLOPPY = (
+    "<title>Title {p}</title><meta charset=utf-8><body class=x></nav><nav><p>menu {p}</p></nav></a></div></ol>"
+    "<section class=\"wide Promo\"><p>bought {p}</p><section>inner</section><div>box</div></section></section>"
+    "<p title=\"a>b\" data-x='q' hidden ID=p{p}>see <a href=/unq/{p}>u</a> and <a href = \"/sp/{p}\">s</a>, <a HREF='?a=1&amp;b={p}'>q</a>, "
+    "<a class=k href=\" \t/blank/{p} \">t</a>, <a name=x>none</a>, <a href=\"\">empty</a>, <a href=x href=y>twice</a></p>"
+    "<p>zero &#00008217; &#x0002019; &#8217 &rarr; &#150; &#1114112; &#x110000; &nope; {p}</p>"
+    "<main-nav><p>side {p}</p></main-nav><article-card>card {p}</article-card>"
+    "<ul></ol><li>a<ol><li>one<li>two</ol></ul><br/><p>plain text that stays {p}</p>")
+SLOPPY_ARTICLE = "</article></main><article><p>in {p}</article><p>out {p}</p>"
+
+
+def sloppy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with sloppy forms put before its own HTML. Even pages lose their
+    `article` (it becomes a `div`), odd ones have a second one before a stray closer."""
+    p = tables.pages(spark, sf_dir)
+    own = F.coalesce("html", F.lit(""))
+    even = F.col("page_id") % 2 == 0
+    return p.select("page_id", "url", F.concat(
+        _fill(SLOPPY), F.when(even, F.regexp_replace(own, "<(/?)article", "<$1div")).otherwise(F.concat(_fill(SLOPPY_ARTICLE), own))).alias("html"))
+
+
+# Ways to write a reference to a private host, and what only looks like one.
+REFERENCES = (
+    "<img src=\" http://10.0.0.{o}/a\"><img src=\"ht\ttp://10.0.0.{o}/d\"><img src=\"http&#58;//10.0.0.{o}/c\"><img src='http&colon;//10.0.1.{o}/c'>"
+    "<img src=http://127.0.0.{o}/u><img src = \"http://192.168.0.{o}/s\"><img/src=//169.254.169.{o}/x><img alt=\"a>b\" src=\"http://10.6.0.{o}/q\">"
+    "<source srcset=\"http://10.1.0.{o}/1.png, /ok/{p}.png 2x,data:image/png;base64,AA 3x\"><img srcset=/only/{p}.png>"
+    "<script src=https:10.2.0.{o}/s.js>var a = '<img src=\"http://no.test/\">';</script><!--><img src='\\\\10.3.0.{o}\\b'><!-- <img src=\"http://10.9.0.1/\"> -->"
+    "<p style=\"background:url('http://10.4.0.{o}/bg.png')\"><meta http-equiv=Refresh content=\"5; URL='http://10.5.0.{o}/next'\">"
+    "<a href=\"http:/same/{p}\">s</a><a href=\"http:///10.7.0.{o}/\">t</a><a href='mailto:a@b'>m</a><video poster=p.png src></video>"
+    "<a href=\"http://n.test\\@10.8.0.{o}/\">h</a><textarea><img src=http://no.test/></textarea><A HREF=http://8.8.8.{o}/z\f>z</A>")
+
+
+def resource_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with references in many spellings put before its own HTML, and for
+    page_id % 5 = 0 a base of its own before them."""
+    p = tables.pages(spark, sf_dir)
+    base = F.when(F.col("page_id") % 5 == 0, _fill("<BASE target=_top><base href='/base/{p}/?q'><base href=//later.test/>")).otherwise(F.lit(""))
+    return p.select("page_id", "url", F.concat(base, _fill(REFERENCES), F.coalesce("html", F.lit(""))).alias("html"))
+
+
 def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 work list: the page URLs, with every tenth page (page_id % 10 = 5)
     replaced by a literal-address, bad-scheme, no-host or odd-port URL built
@@ -191,8 +239,8 @@ def render_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.lit("load"), n * 4, F.lit("networkidle"), n * 8).alias("nav_ms"))
 
 
-SHELL_STUB = ("<html><head><title>App</title></head><body><div id=\"root\">"
-              "<p>You need to enable JavaScript to run this app.</p></div></body></html>")
+SHELL_STUB = ("<html><head><title>Board</title></head><body><main id=\"mount\">"
+              "<p>This board draws itself with javascript; switch it on.</p></main></body></html>")
 SHELL_PAD = "<script src=\"/static/chunk.js\"></script>"
 
 

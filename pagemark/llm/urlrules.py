@@ -186,8 +186,9 @@ def judge(pages: DataFrame, listing: list[Rule], rules: DataFrame, url_col: str
     parts = parts.withColumn("id", F.when(F.col("hit").isNull(), F.sha2(F.array_join("tokens", "\n"), 256)))
     sets = parts.filter(F.col("hit").isNull()).groupBy("id").agg(F.first("tokens").alias("tokens"))
     best = match(sets, rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    # Rows with a listed rule have no id and meet nothing; the row's hash spreads them too.
-    found = parts.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(best, ["id", "salt"], "left").select("row", F.struct(
+    # Rows with a listed rule have no id and meet nothing; the row's hash spreads them too (maps cannot be hashed).
+    hashed = [F.col(f"row.`{c}`") for c, kind in pages.dtypes if "map<" not in kind and kind != "variant"]
+    found = parts.withColumn("salt", F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")).join(best, ["id", "salt"], "left").select("row", F.struct(
         "host", "path", F.col("hit.rule").alias("rule"),
         F.coalesce("hit.verdict", "mined.verdict", F.lit(ALLOW)).alias("verdict"),
         F.col("mined.antecedent").alias("antecedent"), F.col("mined.confidence").alias("confidence")).alias("found"))

@@ -12,6 +12,10 @@ string and ``read_back`` restores every text exactly. A later part's leading
 ``|`` becomes ``\\|``, so adjacent parts cannot form one either; in roles a line break
 becomes ``\\n``.
 
+Part types are compared in lower case; no type is text. A part of another type
+keeps its text; its reference, if it has one, is recorded under that type with a
+placeholder ``<|attachment|>`` and no tokens.
+
 Null texts and null parts are empty; null roles are empty. Rows with equal
 turns are ordered by role and text, repeated rows stay. A null conversation id
 is a conversation of its own. Empty tables give empty results. Extra columns
@@ -30,6 +34,7 @@ PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:d
 PATCH = 28             # pixels of an image token's side
 AUDIO_TOKENS = 25      # a second
 PAGE_TOKENS = 512      # a document page
+KINDS = ("image", "audio", "document")
 LOSS_ROLES = ("assistant",)
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -53,15 +58,28 @@ def text_part(text: Column) -> Column:
 
 def _tokens(part: Column) -> Column:
     side = lambda x: F.ceil(F.coalesce(x, F.lit(0)) / PATCH)
-    return (F.when(part["type"] == "image", side(part["width"]) * side(part["height"]))
-            .when(part["type"] == "audio", F.ceil(F.coalesce(part["seconds"], F.lit(0.0)) * AUDIO_TOKENS))
-            .otherwise(F.coalesce(part["pages"], F.lit(0)) * PAGE_TOKENS)).cast("long")
+    kind = _kind(part)
+    return (F.when(kind == "image", side(part["width"]) * side(part["height"]))
+            .when(kind == "audio", F.ceil(F.coalesce(part["seconds"], F.lit(0.0)) * AUDIO_TOKENS))
+            .when(kind == "document", F.coalesce(part["pages"], F.lit(0)) * PAGE_TOKENS).otherwise(0)).cast("long")
+
+
+def _kind(part: Column) -> Column:
+    return F.lower(F.coalesce(part["type"], F.lit("text")))
+
+
+def _attached(part: Column) -> Column:
+    """Parts that leave a placeholder: the known kinds, others if they refer to something."""
+    kind = _kind(part)
+    return kind.isin(*KINDS) | ((kind != "text") & part["ref"].isNotNull())
 
 
 def _visit(part: Column, at: Column) -> Column:
-    kind = F.lower(F.coalesce(part["type"], F.lit("text")))
+    kind = _kind(part)
     later = F.when((at > 0) & F.coalesce(part["text"], F.lit("")).startswith("|"), F.lit("\\")).otherwise(F.lit(""))
-    return F.when(kind.isin("image", "audio", "document"), F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(F.concat(later, escape(part["text"])))
+    own = F.concat(later, escape(part["text"]))
+    return (F.when(kind.isin(*KINDS), F.concat(F.lit("<|"), kind, F.lit("|>")))
+            .when(_attached(part), F.concat(F.lit("<|attachment|>"), own)).otherwise(own))
 
 
 def format_turns(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
@@ -74,8 +92,8 @@ def format_turns(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         F.coalesce(F.col(parts_col), F.expr(f"cast(array() as array<{PART}>)")).alias("parts"))
     head = F.concat(F.lit("<|im_start|>"), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
     attached = F.transform(
-        F.filter("parts", lambda p: F.lower(p["type"]).isin("image", "audio", "document")),
-        lambda p: F.struct(F.lower(p["type"]).alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))
+        F.filter("parts", _attached),
+        lambda p: F.struct(_kind(p).alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))
     seen = rows.select("conv_id", "turn", "role", head.alias("head"),
                        F.array_join(F.transform("parts", _visit), "").alias("content"), attached.alias("attachments"))
     loss = F.col("role").isin(*LOSS_ROLES)

@@ -37,7 +37,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pagemark.llm.common import WORD, lower_az, words
 
 SAMPLE_ROWS = 4000   # labelled rows of each class that fit() reads at most
-MAX_TERMS = 1024     # lexicon size bound
 THRESHOLD = 0.3
 FLOOR = 0.01
 QUOTED = 0.2
@@ -268,10 +267,10 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *,
-        train: Column | None = None, sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS,
-        seeds=SEEDS) -> Model:
+        train: Column | None = None, sample_rows: int = SAMPLE_ROWS, seeds=SEEDS) -> Model:
     """Lexicon from labelled rows. ``train``: condition on the label rows that may
-    be used. Reads at most ``sample_rows`` labels per class, by a hash of the id."""
+    be used. Reads at most ``sample_rows`` labels per class, by a hash of the id;
+    every significant word of that bounded sample is a term."""
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     if train is not None:
         usable = usable.filter(train)
@@ -305,7 +304,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows = (stats.filter((F.col("t") >= LEAST) & (F.col("texts_t") >= LEAST) & (F.length("word") >= 3))
                     .select("word", ratio.alias("ratio"), share.alias("share"), "texts_t", "texts_c")
                     .filter((F.col("ratio") >= max(16.0, 2 * math.log(vocabulary + 1))) & (F.col("share") >= SHARE))
-                    .orderBy(F.desc("ratio"), "word").limit(max_terms).collect())
+                    .collect())
             terms |= {r["word"]: min(0.95, float(r["share"]) ** 2) for r in rows}
             unsure = frozenset(r["word"] for r in rows if r["texts_t"] * sample[0] < SURE * (r["texts_c"] + UNSEEN) * sample[1])
 

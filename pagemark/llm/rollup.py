@@ -11,7 +11,8 @@ again, and a batch delivered twice is recognised and changes nothing.
 Totals are additive: the sum of the committed batches' delta sums, whatever
 the order. Within a batch the last change of a document (by ``seq``) counts;
 deleting or revising what is not there behaves as nothing or as an insert;
-inserting what is there as a revision.
+inserting what is there as a revision. Changes with any other op, or none, are
+ignored before that.
 
 Null source or language is a group of its own; changes with a null document id
 or tokenizer version are ignored; a null count is zero. Empty batches commit.
@@ -61,9 +62,12 @@ class Rollup:
         paths = [f"{self.path}/{kind}/batch={b}" for b in self.committed()]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def current(self) -> DataFrame:
-        """The documents counted now: ``doc_id, source, lang, tokenizer, tokens``."""
+    def current(self, among: DataFrame | None = None) -> DataFrame:
+        """The documents counted now: ``doc_id, source, lang, tokenizer, tokens``; only those
+        ``among`` the given (doc_id, tokenizer), whose ledger rows alone are aggregated."""
         rows = self._read("ledger", SIGNED)
+        if among is not None:
+            rows = rows.join(among, ["doc_id", "tokenizer"], "left_semi")
         keys = ["doc_id", *KEYS]
         return (rows.groupBy(*keys).agg(F.sum(F.col("tokens") * F.col("sign")).alias("tokens"), F.sum("sign").alias("n"))
                 .filter("n > 0").drop("n"))
@@ -74,13 +78,11 @@ class Rollup:
         if batch in self.committed():
             return False
         latest = W.partitionBy("doc_id", "tokenizer").orderBy(F.desc("seq"), "op", "source", "lang", "tokens")
-        new = (changes.filter("doc_id IS NOT NULL AND tokenizer IS NOT NULL").select(
+        new = (changes.filter("doc_id IS NOT NULL AND tokenizer IS NOT NULL AND op IN ('insert', 'delete', 'revise')").select(
             "seq", "op", F.col("doc_id").cast("string").alias("doc_id"), "source", "lang", "tokenizer",
             F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
             .withColumn("rank", F.row_number().over(latest)).filter("rank = 1"))
-        old = self.current()
-        gone = (old.join(new.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
-                .select("doc_id", *KEYS, "tokens", F.lit(-1).alias("sign")))
+        gone = self.current(new.select("doc_id", "tokenizer")).select("doc_id", *KEYS, "tokens", F.lit(-1).alias("sign"))
         come = new.filter("op IN ('insert', 'revise')").select("doc_id", *KEYS, "tokens", F.lit(1).alias("sign"))
         ledger = f"{self.path}/ledger/batch={batch}"
         narrow(gone.unionByName(come)).write.mode("overwrite").parquet(ledger)

@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
-Rules are built from families of licenses (names, versions) and the ways texts
-refer to them: SPDX tags, "licensed under", plain names and addresses; several
-hundred regexes in all. One Aho-Corasick pass over the lower-cased text finds
+Rules are hand-written signatures of license texts and notices, and, for families of
+licenses (names, versions), the ways texts refer to them: SPDX identifiers, "licensed
+under", names with versions, addresses; several hundred regexes in all. One Aho-Corasick pass over the lower-cased text finds
 which keywords occur; a rule's regex runs only if its keyword, a string that
 every match must hold, is there, so the gate loses nothing. Detections are
 taken by priority, then length: one whose interval lies inside that of an
@@ -56,7 +56,7 @@ FAMILIES = (
     ("zlib", "zlib", ("zlib", "zlib libpng"), ()),
     ("unlicense", "unlicense", ("unlicense", "the unlicense"), ()),
     ("boost", "boost", ("boost software", "boost"), ("1.0",)),
-    ("psf", "python", ("python software foundation",), ("2",)),
+    ("psf", "python", ("python software foundation",), ("2", "2.0")),
     ("ofl", "font", ("sil open font", "open font"), ("1.0", "1.1")),
     ("odbl", "database", ("open database", "open data commons open database"), ("1.0",)),
     ("wtfpl", "wtfpl", ("wtfpl",), ("2",)),
@@ -69,6 +69,69 @@ FAMILIES = (
                        + "".join(" " + {"sa": "sharealike", "nd": "noderivs", "nc": "noncommercial"}[x] for x in kind.split("-")[1:]))))
 
 
+# SPDX identifiers of the families above, without version, where the name does not give them.
+SPDX = {"apache": ("apache",), "gpl": ("gpl",), "lgpl": ("lgpl",), "agpl": ("agpl",), "gfdl": ("gfdl",), "mpl": ("mpl",), "epl": ("epl",),
+        "cddl": ("cddl",), "eupl": ("eupl",), "artistic": ("artistic",), "boost": ("bsl",), "psf": ("psf", "python"), "ofl": ("ofl",),
+        "odbl": ("odbl",), "bsd": ("bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "0bsd"), "isc": ("isc",), "zlib": ("zlib",),
+        "unlicense": ("unlicense",), "wtfpl": ("wtfpl",), "mit": ("mit", "mit 0")}
+# Names that are common words too: with a version alone ("boost 1.0") they tell nothing.
+COMMON_WORDS = ("eclipse", "boost", "mozilla", "artistic", "general public", "open database", "zlib", "isc")
+
+# Signatures of license texts and notices, by hand: label, keyword, words in order; ``...`` stands for up to
+# twelve words, ``(a|b)`` for one of several.
+TEXTS = (
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "substantial", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("isc", "hereby", "permission to use copy modify and (or|or or) distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "hereby", "permission to use copy modify and distribute this software ... for any purpose ... without fee is hereby granted"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "neither", "neither the name of ... nor the names of (its|their|the) contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display"),
+    ("apache-2.0", "compliance", "you may not use this file except in compliance with the license"),
+    ("apache-1.1", "acknowledgment", "the end user documentation included with the redistribution if any must include the following acknowledgment"),
+    ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "redistribute", "is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", "redistribute", "this library is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license"),
+    ("lgpl", "redistribute", "is free software you can redistribute it and or modify it under the terms of the gnu (lesser|library) general public license"),
+    ("agpl", "redistribute", "is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("gpl-or-later", "option", "either version (1|2|3) of the license or at your option any later version"),
+    ("gpl", "warranty", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gfdl", "invariant", "with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2.0", "source", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "common", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "fuck", "do what the fuck you want to public license"),
+    ("zlib", "arising", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented"),
+    ("boost-1.0", "accompanying", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("ofl", "font", "this font software is licensed under the sil open font license"),
+    ("cc0", "waived", "has waived all copyright and related or neighboring rights"),
+    ("artistic", "package", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("psf", "nonexclusive", "psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("openssl", "toolkit", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("json", "evil", "the software shall be used for good not evil"),
+    ("beerware", "beer", "as long as you retain this notice you can do whatever you want with this stuff"),
+    ("as-is", "warranty", "the software is provided as is without warranty of any kind"),
+    ("proprietary", "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "trade", "contains (proprietary|confidential) information and trade secrets"),
+    ("proprietary", "disclose", "may not be (copied|reproduced) disclosed or distributed without ... written (permission|consent)"),
+)
+
+
+def _signature(words: str) -> str:
+    """Regex of a hand-written signature."""
+    out = ""
+    for word in words.split(" "):
+        if word == "...":
+            out += f"(?:{_GAP}[{_IN}]+){{0,12}}?"
+            continue
+        parts = "(?:" + "|".join(map(re.escape, word[1:-1].split("|"))) + ")" if word[0] == "(" else re.escape(word)
+        out += (_GAP if out else "") + parts
+    return _L + out + _R
+
+
 def _phrase(words: str) -> str:
     return _GAP.join(map(re.escape, re.split(r"[^0-9a-z]+", words)))
 
@@ -84,13 +147,19 @@ def rules() -> tuple[tuple, ...]:
             keyword = word if word in name.split(" ") else name.split(" ")[0]
             for version in (*versions, ""):
                 exact = f"{label}-{version}" if version else label
-                tail = rf"{_GAP}(?:licen[cs]e{_GAP})?(?:version{_GAP}|v\.?[^{_IN}]*)?{_phrase(version)}{_R}" if version else _R
-                add(0, 1.0, exact, keyword, rf"spdx{_GAP}license{_GAP}identifier{_GAP}{_phrase(name)}{tail}")
+                # A version may follow `v` without a gap (GPLv3).
+                tail = rf"(?:{_GAP}(?:licen[cs]e{_GAP})?(?:version{_GAP}|v\.?[^{_IN}]*)?|v){_phrase(version)}{_R}" if version else _R
                 add(1, 0.95, exact, keyword, rf"{_L}(?:licen[cs]ed|released|distributed|available|published){_GAP}under{_GAP}"
                                              rf"(?:the{_GAP}|an?{_GAP})?(?:terms{_GAP}of{_GAP}the{_GAP})?{_phrase(name)}{tail}")
-                if version:
+                if version and name not in COMMON_WORDS:
                     add(2, 0.8, exact, keyword, rf"{_L}{_phrase(name)}{tail}")
             add(3, 0.7, label, keyword, rf"{_L}{_phrase(name)}{_GAP}(?:public{_GAP})?licen[cs]e{_R}")
+        for name in dict.fromkeys((*SPDX.get(label, ()), *(n for n in names if label.startswith("cc")))):
+            for version in (*versions, ""):
+                tail = rf"{_GAP}{_phrase(version)}(?:{_GAP}(?:only|or{_GAP}later))?{_R}" if version else _R
+                add(0, 1.0, f"{label}-{version}" if version else label, "spdx", rf"spdx{_GAP}license{_GAP}identifier{_GAP}{_phrase(name)}{tail}")
+    for label, keyword, words in TEXTS:
+        add(1, 0.95, label, keyword, _signature(words))
     for label, place in (("apache-2.0", "apache.org/licenses/license-2.0"), ("mit", "opensource.org/licenses/mit"),
                          ("gpl", "gnu.org/licenses/gpl"), ("lgpl", "gnu.org/licenses/lgpl"), ("agpl", "gnu.org/licenses/agpl"),
                          ("mpl-2.0", "mozilla.org/mpl/2.0"), ("unlicense", "unlicense.org"),
@@ -119,9 +188,9 @@ class Scanner:
             self.keywords.add_word(word, word)
         self.keywords.make_automaton()
 
-    def scan(self, text: str | None) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, int, int, float]]]:
+    def scan(self, text: str | None, gated: bool = True) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, int, int, float]]]:
         """(words, base places as (label, word), accepted detections as (label,
-        first and last word, rule, confidence))."""
+        first and last word, rule, confidence)). ``gated=False`` runs every rule."""
         raw = (text or "").encode("utf-8", "surrogatepass").lower()
         inside = _LUT[np.frombuffer(raw, dtype=np.uint8)]
         starts = inside.copy()
@@ -130,7 +199,7 @@ class Scanner:
         if not n_words:
             return 0, [], []
         plain = raw.decode("latin-1")
-        there = {word for _, word in self.keywords.iter(plain)}
+        there = {word for _, word in self.keywords.iter(plain)} if gated else {*self.by_keyword, *(b[1] for b in self.base)}
         if not there:
             return n_words, [], []
         places = np.flatnonzero(starts)

@@ -236,9 +236,9 @@ cut AS (SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) A
           regexp_extract(u, '^[^:/?]*://[^/?]*([^?]*)', 1) AS path,
           list_sort(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'),
             lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[^=&]*|ref|fbclid|gclid)(=|$)'))) AS q FROM parts),
-canon AS (SELECT *, scheme || '://' ||
+canon AS (SELECT *, CASE WHEN scheme = '' THEN u ELSE scheme || '://' ||
     CASE scheme WHEN 'http' THEN regexp_replace(host, ':80$', '') WHEN 'https' THEN regexp_replace(host, ':443$', '') ELSE host END ||
-    CASE path WHEN '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical_url FROM cut),
+    CASE path WHEN '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS canonical_url FROM cut),
 pairs AS (SELECT v.record_id, v.canonical_url, v.ts, v.h, v.digest, v.etag, f.record_id AS fid, f.digest AS fdigest, f.etag AS fetag, f.h AS fh,
             row_number() OVER (PARTITION BY v.record_id ORDER BY f.ts DESC NULLS LAST, f.record_id DESC) AS k
           FROM canon v LEFT JOIN canon f ON f.status = 200 AND f.canonical_url = v.canonical_url AND f.ts < v.ts

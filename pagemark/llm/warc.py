@@ -33,7 +33,8 @@ TRACKING = r"(?:utm_[^=&]*|ref|fbclid|gclid)"
 
 def canonical_url(url: Column) -> Column:
     """Lower-case scheme and host, without default port, fragment and tracking
-    parameters; parameters sorted; an empty path is ``/``."""
+    parameters; parameters sorted; an empty path is ``/``. A URL without ``scheme://`` is
+    only trimmed and loses its fragment."""
     bare = F.regexp_replace(F.trim(url), r"#.*$", "")
     scheme = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     host = F.lower(F.regexp_extract(bare, r"^[^:/?]*://([^/?]*)", 1))
@@ -42,8 +43,9 @@ def canonical_url(url: Column) -> Column:
     path = F.regexp_extract(bare, r"^[^:/?]*://[^/?]*([^?]*)", 1)
     query = F.regexp_extract(bare, r"\?(.*)$", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(f"^{TRACKING}(=|$)")))
-    return F.concat(scheme, F.lit("://"), port, F.when(path == "", F.lit("/")).otherwise(path),
+    full = F.concat(scheme, F.lit("://"), port, F.when(path == "", F.lit("/")).otherwise(path),
                     F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
+    return F.when(scheme == "", bare).otherwise(full)
 
 
 def _lowered(headers: Column) -> Column:

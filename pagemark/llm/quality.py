@@ -8,8 +8,9 @@ the bit patterns alone, what each rule rejects, rejects alone, and would let
 through if it were dropped.
 
 Everything happens inside the row: no shuffle, no join. Repeated 8-word
-windows are found from 64-bit hashes of the windows of one document; only
-documents with a repeated hash do the exact coverage step. Null and empty
+windows are found by 64-bit hashes of the windows of one document: windows of equal
+hash count as equal only if their words are; documents without a repeated hash do
+no more. Null and empty
 texts measure zero everywhere and fail ``few_words``. Repeated rows get equal
 ledger rows. Other columns of the input are carried in the struct ``doc`` and
 cannot clash.
@@ -32,10 +33,16 @@ def repeated_words(tokens: Column, window: int = WINDOW) -> Column:
     hashes = F.when(count > 1, F.transform(
         F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice(tokens, i, window))))
 
-    def covered(found: Column) -> Column:
-        pairs = F.array_sort(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        twice = bind(pairs, lambda s: F.filter(s, lambda x, k:
+    def repeated(keyed: Column) -> Column:
+        """Of structs ``h, i`` those whose h another one has too."""
+        return bind(F.array_sort(keyed), lambda s: F.filter(s, lambda x, k:
             ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | (F.get(s, k + 1)["h"] == x["h"])))
+
+    def covered(found: Column) -> Column:
+        likely = repeated(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        # The words themselves decide; words hold no blanks, so joining them loses nothing.
+        twice = repeated(F.transform(likely, lambda x: F.struct(
+            F.array_join(F.slice(tokens, x["i"] + 1, window), " ").alias("h"), x["i"].alias("i"))))
         starts = F.array_sort(F.transform(twice, lambda x: x["i"]))
         return bind(starts, lambda s: F.aggregate(
             F.transform(s, lambda x, k: F.least(F.coalesce(F.get(s, k + 1) - x, F.lit(window)), F.lit(window))),

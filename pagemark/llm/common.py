@@ -47,3 +47,11 @@ def narrow(df: DataFrame) -> DataFrame:
 def store(df: DataFrame) -> DataFrame:
     """A narrow table written to the shared checkpoint folder and read back."""
     return cut_lineage(narrow(df))
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called that."""
+    lowered = {c.lower() for c in taken}
+    while name.lower() in lowered:
+        name = "_" + name
+    return name

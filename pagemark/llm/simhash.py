@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import LongType
 
-from pagemark.llm.common import narrow, store, union_all
+from pagemark.llm.common import fresh, narrow, store, union_all
 from pagemark.session import cut_lineage
 
 SHINGLE = 4
@@ -40,6 +40,7 @@ MAX_BITS = 4
 SEED = 42
 BLOCKS = 6
 CELL_LIMIT = 1 << 15
+SALTS = 8
 _PRODUCT = 64       # node pairs of at most this many leaf pairs are compared directly
 _FRONT = 1 << 17    # node pairs expanded at once
 _PAIRS = 1 << 19    # leaf pairs compared at once
@@ -258,9 +259,9 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _dealt(both.filter("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = _dealt(large, least, "a", "b")
         current = store(union_all([
             small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")),
             least.select("a", F.col("m").alias("b"))]).distinct())
@@ -272,15 +273,26 @@ def components(edges: DataFrame) -> DataFrame:
                       current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()])
 
 
+def _dealt(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key) in ``SALTS`` copies: the rows of one key,
+    which may be all edges of a component, spread by the hash of ``by``."""
+    copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, [key, "salt"]).drop("salt")
+
+
 def classes(prints: DataFrame, max_bits: int = MAX_BITS, cell_limit: int = CELL_LIMIT) -> DataFrame:
     """``doc_id, text_key, fingerprint, root`` (smallest linked fingerprint)
     ``, component_id`` for a stored table of fingerprints."""
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"))
     roots = store(components(links(distinct, max_bits, cell_limit=cell_limit)))
-    linked = (distinct.join(roots, F.col("fingerprint") == F.col("node"), "left")
-              .select("fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root")))
+    # Only linked fingerprints ask for their component's smallest id; all others are their own.
+    linked = store(distinct.join(roots, F.col("fingerprint") == F.col("node")).select("fingerprint", "least_id", "root"))
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return narrow(prints.join(linked.join(least, "root").select("fingerprint", "root", "component_id"), "fingerprint"))
+    found = _dealt(linked, least, "root", "fingerprint").select("fingerprint", "root", "component_id")
+    alone = distinct.join(linked, "fingerprint", "left_anti").select(
+        "fingerprint", F.col("fingerprint").alias("root"), F.col("least_id").alias("component_id"))
+    return narrow(prints.join(found.unionByName(alone), "fingerprint"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
@@ -297,8 +309,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = near_duplicates(docs, id_col, text_col, **options)
     first = found.groupBy("root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("p"))
-    picked = first.select(F.col("p.doc_id").alias("__id"), F.col("p.text_key").alias("__key")).distinct()
     columns = docs.columns
-    joined = docs.join(picked, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__key")))
-    same = W.partitionBy("__id", "__key").orderBy(F.lit(0))
-    return joined.withColumn("__n", F.row_number().over(same)).filter("__n = 1").select(*[F.col(f"`{c}`") for c in columns])
+    picked_id, picked_key, n = (fresh(columns, x) for x in ("__id", "__key", "__n"))
+    picked = first.select(F.col("p.doc_id").alias(picked_id), F.col("p.text_key").alias(picked_key)).distinct()
+    joined = docs.join(picked, F.col(id_col).eqNullSafe(F.col(picked_id)) & (F.xxhash64(F.col(text_col)) == F.col(picked_key)))
+    # Rows equal in id and text may differ elsewhere: the smallest by all that can be ordered stays.
+    ordered = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant" and c not in (id_col, text_col)]
+    same = W.partitionBy(picked_id, picked_key).orderBy(*[F.col(f"`{c}`") for c in (*ordered, text_col)])
+    return joined.withColumn(n, F.row_number().over(same)).filter(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in columns])

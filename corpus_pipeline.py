@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagemark.llm import decontam, packing, quality, simhash, toxicity
+from pagemark.llm.common import fresh
 from pagemark.llm.queries import held_out
 from pagemark.session import cut_lineage
 from pagemark.sources.tables import table
@@ -18,8 +19,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents scored below the threshold; rows without text stay."""
     columns = docs.columns
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=~held_out())
-    scored = toxicity.score(docs, model, into="__toxicity")
-    return scored.filter(F.col("__toxicity.score") < toxicity.THRESHOLD).select(*[F.col(f"`{c}`") for c in columns])
+    into = fresh(columns, "__toxicity")
+    scored = toxicity.score(docs, model, into=into)
+    return scored.filter(F.col(f"{into}.score") < toxicity.THRESHOLD).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +36,10 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by a benchmark item."""
+    found_id, found_key = fresh(docs.columns, "__id"), fresh(docs.columns, "__key")
     found = decontam.matches(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(
-        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+        F.col("doc_id").alias(found_id), F.col("text_key").alias(found_key))
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(found_id)) & (F.xxhash64("text") == F.col(found_key)), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,19 +1,28 @@
 """Order-dependent per-key folds: token bucket (L2) and TTL decision reuse.
 
 Both folds forget their past after a long enough gap: a bucket is full again
-after ``capacity / refill`` of idle time, and a cached verdict has expired
-after ``ttl``. So each key's events split into independent segments at such
-gaps (lag windows per key and time bucket mark them, see ``segments``), and
-the fold runs keyed by (key, segment):
-the shuffle spreads one busy key's segments over many tasks, each task
-streams its sorted rows through a small pandas loop with O(1) state, and
-no group is ever collected into one array or one row.
+after ``capacity / refill`` of idle time, and a cached verdict has expired after
+``ttl``. So each key's events split into independent segments at such gaps
+(``segments``). What needs no sequence is solved by windows: a segment in which
+no request is rejected (its levels follow from running minima), and every lookup
+within one TTL of its segment's first.
+
+The rest is folded by block composition. A block is what one key has in one
+bucket of time within a segment; what it does to the state that enters it is a
+step function (entering level to leaving level, entering expiry to leaving
+expiry). Blocks are summarised in parallel, the summaries of a segment are
+applied one after the other (a few numbers a block), and then every block is
+replayed in parallel from the state that enters it. A key with a third of all
+rows and no gap spreads over its blocks; windows run per (key, bucket) too,
+with carries from one aggregate row per key and bucket.
 
 Integer units keep the folds exact and order-free: tokens are counted in
 ``period_us`` units per token, one unit refilled per elapsed microsecond.
 """
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,12 +31,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemark.session import cut_lineage
+
 # --- fixed values of the reference (per-IP bucket; decision cache TTL) --------
 DEFAULT_CAPACITY = 20          # tokens
 DEFAULT_PERIOD_US = 2_000_000  # microseconds per refilled token (0.5 tokens/s)
 DEFAULT_TTL_US = 60_000_000    # 60 s
 IDLE_EVICT_US = 3_600_000_000  # buckets idle for an hour may be dropped
 
+BLOCK_US = 3_600_000_000
+
 
 @dataclass(frozen=True)
 class Bucket:
@@ -39,107 +52,294 @@ class Bucket:
         return self.capacity * self.period_us
 
 
-def segments(df: DataFrame, key: list[str], ts: str, id_col: str, gap_us: int,
-             bucket_us: int = 3_600_000_000) -> DataFrame:
-    """Adds ``seg``: the timestamp of the segment's first row, where a segment
-    starts at a key's first row or after a gap of at least ``gap_us``.
+def _keyed(df: DataFrame, key: list[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with a string column for each key, never null, so that windows and joins on
+    them share one partitioning and null keys are one key."""
+    names = [f"_key{i}" for i in range(len(key))]
+    return df.withColumns({n: F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for n, k in zip(names, key)}), names
 
-    Skew-safe: windows run per (key, time bucket), so a key with a third of
-    all rows still spreads over many tasks; what a bucket needs from earlier
-    buckets (last timestamp, last segment start) comes from a per-(key,
-    bucket) aggregate, a table of at most one row per key and bucket.
+
+def segments(df: DataFrame, key: list[str], ts: str, id_col: str, gap_us: int, block_us: int = BLOCK_US) -> DataFrame:
+    """Adds ``_seg``, the timestamp of the segment's first row, where a segment starts at a
+    key's first row or after a gap of at least ``gap_us``, and ``_block``, the bucket of
+    time.
+
+    Skew-safe: windows run per (key, block), so a key with a third of all rows still
+    spreads over many tasks; what a block needs from earlier ones (last timestamp,
+    last segment start) comes from a per-(key, block) aggregate, a table of at most
+    one row per key and block.
     """
-    b = F.floor(F.col(ts) / max(bucket_us, gap_us, 1)).cast("long")
-    d = df.withColumn("_b", b)
-    wb = Window.partitionBy(*key, "_b").orderBy(ts, id_col)
+    d = df.withColumn("_block", F.floor(F.col(ts) / max(block_us, 1)).cast("long"))
+    wb = Window.partitionBy(*key, "_block").orderBy(ts, id_col)
+    wk = Window.partitionBy(*key).orderBy("_block")
+    unit = [*key, "_block"]
     d = d.withColumn("_prev", F.lag(ts).over(wb))
-    # Per (key, bucket): last timestamp; previous non-empty bucket's last one.
-    agg = d.groupBy(*key, "_b").agg(F.max(ts).alias("_bmax"))
-    wk = Window.partitionBy(*key).orderBy("_b")
-    agg = agg.withColumn("_carry_ts", F.lag("_bmax").over(wk))
-    d = d.join(agg.select(*key, "_b", "_carry_ts"), [*key, "_b"])
-    prev = F.coalesce(F.col("_prev"), F.col("_carry_ts"))
-    d = d.withColumn("_start", F.when(prev.isNull() | (F.col(ts) - prev >= gap_us), F.col(ts)))
-    # Last start inside the bucket so far; rows before a bucket's first start
-    # inherit the last start of the earlier buckets.
-    run = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_seg_in", F.last("_start", True).over(run))
-    starts = d.groupBy(*key, "_b").agg(F.max("_start").alias("_last_start"))
-    starts = starts.withColumn("_carry_seg", F.last("_last_start", True).over(
-        wk.rowsBetween(Window.unboundedPreceding, -1)))
-    d = d.join(starts.select(*key, "_b", "_carry_seg"), [*key, "_b"])
-    return d.withColumn("seg", F.coalesce(F.col("_seg_in"), F.col("_carry_seg"))).drop(
-        "_b", "_prev", "_carry_ts", "_start", "_seg_in", "_carry_seg")
-
-
-def _sorted_by_segment(df: DataFrame, key: list[str], ts: str, id_col: str) -> DataFrame:
-    return df.repartition(*[F.col(k) for k in key], F.col("seg")).sortWithinPartitions(*key, "seg", ts, id_col)
-
-
-def _bucket_fn(key: list[str], cap: int, cost: int, ts_col: str = "ts_us"):
+    # Last timestamp of the non-empty block before.
+    ends = d.groupBy(*unit).agg(F.max(ts).alias("_end")).withColumn("_carry", F.lag("_end").over(wk))
+    d = d.join(ends.select(*unit, "_carry"), unit)
+    prev = F.coalesce(F.col("_prev"), F.col("_carry"))
+    d = d.withColumn("_start", F.when(prev.isNull() | (F.col(ts) - prev >= gap_us), F.col(ts))).drop("_prev", "_carry")
+    # Last start inside the block so far; rows before a block's first start
+    # inherit the last start of the earlier blocks.
+    d = d.withColumn("_in", F.last("_start", True).over(wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    starts = d.groupBy(*unit).agg(F.max("_start").alias("_latest")).withColumn(
+        "_carry", F.last("_latest", True).over(wk.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.join(starts.select(*unit, "_carry"), unit)
+    return d.withColumn("_seg", F.coalesce(F.col("_in"), F.col("_carry"))).drop("_start", "_in", "_carry")
+
+
+# ---- block composition
+
+# A step function as rows (from, slope, offset): from that argument on, slope * argument + offset.
+STEPS = T.ArrayType(T.ArrayType(T.LongType()))
+LEAST = -(1 << 62)
+
+
+def apply_steps(steps, value: int) -> int:
+    k = bisect_right(steps, value, key=lambda s: s[0]) - 1
+    return int(steps[k][1]) * value + int(steps[k][2])
+
+
+class Levels:
+    """Step function of a block of requests: level before its first charge to level
+    after its last."""
+
+    def __init__(self, bucket: Bucket):
+        self.cap, self.cost, self.last = bucket.cap_units, bucket.period_us, None
+        self.pieces = [(0, 1, 0)]
+
+    def feed(self, times: np.ndarray) -> None:
+        for t in times.tolist():
+            if self.last is not None:
+                self._cut(t - self.last, self.cap, lambda v: self.cap)
+            self._cut(0, self.cost, None)
+            self.last = t if self.last is None else max(t, self.last)
+
+    def _cut(self, gain: int, bound: int, at: Callable | None) -> None:
+        """Adds ``gain``; then values from ``bound`` on become ``at`` (a refill's cap), or
+        lose one token (a charge)."""
+        out: list[tuple[int, int, int]] = []
+        ends = [p[0] for p in self.pieces[1:]] + [self.cap + 1]
+
+        def put(low, slope, offset):
+            if not out or out[-1][1:] != (slope, offset):
+                out.append((low, slope, offset))
+
+        for (low, slope, offset), end in zip(self.pieces, ends):
+            offset += gain
+            turn = bound - offset if slope else (low if offset >= bound else end)
+            if low < turn:
+                put(low, slope, offset)
+            if turn < end:
+                put(max(low, turn), *((0, self.cap) if at else (slope, offset - self.cost)))
+        self.pieces = out
+
+    def steps(self) -> list[list[int]]:
+        return [list(p) for p in self.pieces]
+
+
+class Expiries:
+    """Step function of a block of lookups: entering expiry to leaving expiry."""
+
+    def __init__(self, ttl: int):
+        self.ttl, self.parts = ttl, []
+
+    def feed(self, times: np.ndarray) -> None:
+        self.parts.append(times)
+
+    def steps(self) -> list[list[int]]:
+        ts = np.concatenate(self.parts)
+        n = len(ts)
+        # From a miss to the next one, until the block has none.
+        then = np.searchsorted(ts, ts + self.ttl)
+        then = np.where(then < n, then, np.arange(n))
+        while (then != (jumped := then[then])).any():
+            then = jumped
+        leaving = ts[then] + self.ttl
+        new = np.concatenate(([True], (leaving[1:] != leaving[:-1]) & (ts[1:] != ts[:-1])))
+        out = [[LEAST if i == 0 else int(ts[i - 1]) + 1, 0, int(leaving[i])] for i in np.flatnonzero(new)]
+        return [*out, [int(ts[-1]) + 1, 1, 0]]
+
+
+def _chunks(batches: Iterator[pd.DataFrame], unit: list[str]):
+    """(unit, whether it starts with them, its rows) for sorted batches."""
+    current = None
+    for pdf in batches:
+        keys = list(zip(*[pdf[c] for c in unit]))
+        at = 0
+        while at < len(keys):
+            to = at + 1
+            while to < len(keys) and keys[to] == keys[at]:
+                to += 1
+            yield keys[at], keys[at] != current, pdf.iloc[at:to]
+            current, at = keys[at], to
+
+
+def _dealt(df: DataFrame, unit: list[str], order: list[str]) -> DataFrame:
+    return df.repartition(*[F.col(c) for c in unit]).sortWithinPartitions(*unit, *order)
+
+
+def _with_entry(rows: DataFrame, key: list[str], ts: str, id_col: str, first: Callable, between: Callable,
+                summary: Callable) -> DataFrame:
+    """``rows`` with ``_enter``, the state that enters their block: ``first(segment)`` for the
+    first of a segment, else ``between(state that left the block before, its last time,
+    this one's first)``. ``summary()`` makes what is fed a block and gives its steps."""
+    unit = [*key, "_seg", "_block"]
+    names = [F.col(c) for c in unit]
+    fields = [rows.schema[c] for c in unit]
+    of_segment = Window.partitionBy(*key, "_seg")
+    line = rows.groupBy(*unit).agg(F.min(ts).alias("_from"), F.max(ts).alias("_to")).withColumns({
+        "_more": F.col("_block") < F.max("_block").over(of_segment), "_alone": F.count(F.lit(1)).over(of_segment) == 1})
+    # A segment's last block needs no summary; most segments have no other.
+    fed = rows.select(*names, F.col(ts).alias("_ts"), F.col(id_col).alias("_id")).join(line.where("_more").select(*unit), unit, "left_semi")
+
+    def summarise(batches):
+        held = None
+        out = []
+        for of, fresh, pdf in _chunks(batches, unit):
+            if fresh:
+                if held is not None:
+                    out.append((*held[0], held[1].steps()))
+                held = (of, summary())
+            held[1].feed(pdf["_ts"].to_numpy(dtype=np.int64))
+            if len(out) >= 256:
+                yield pd.DataFrame(out, columns=[*unit, "_steps"])
+                out = []
+        if held is not None:
+            out.append((*held[0], held[1].steps()))
+            yield pd.DataFrame(out, columns=[*unit, "_steps"])
+
+    told = _dealt(fed, unit, ["_ts", "_id"]).mapInPandas(summarise, T.StructType([*fields, T.StructField("_steps", STEPS)]))
+
+    def chain(batches):
+        state, before = None, None
+        for of, fresh, pdf in _chunks(batches, [*key, "_seg"]):
+            out = []
+            for block, start, end, steps in zip(pdf["_block"], pdf["_from"], pdf["_to"], pdf["_steps"]):
+                enter = first(int(of[-1])) if fresh else between(state, before, int(start))
+                out.append((*of, block, enter))
+                state, before, fresh = apply_steps(steps, enter) if steps is not None else None, int(end), False
+            yield pd.DataFrame(out, columns=[*unit, "_enter"])
+
+    entry = T.StructType([*fields, T.StructField("_enter", T.LongType())])
+    linked = line.where("NOT _alone").select(*unit, "_from", "_to").join(told, unit, "left")
+    entered = _dealt(linked, [*key, "_seg"], ["_block"]).mapInPandas(chain, entry)
+    # One block alone (no row here) starts as its segment does; ``_replayed`` sees to that.
+    return rows.join(entered, unit, "left")
+
+
+def _replayed(rows: DataFrame, key: list[str], ts: str, id_col: str, first: Callable, step: Callable, added: list[T.StructField]) -> DataFrame:
+    """Every block from the state that enters it: ``step(state, times, fresh)`` gives the
+    state after a chunk of a block and the chunk's new columns."""
+    unit = [*key, "_seg", "_block"]
+    kept = [f for f in rows.schema.fields if f.name not in (*unit, "_enter")]
+    names = [f.name for f in kept]
+
     def run(batches):
-        cur, tokens, last = None, cap, 0
-        for pdf in batches:
-            n = len(pdf)
-            keys = list(zip(*[pdf[k].to_numpy() for k in key], pdf["seg"].to_numpy()))
-            ts = pdf[ts_col].to_numpy(dtype=np.int64)
-            allowed = np.empty(n, dtype=bool)
-            level = np.empty(n, dtype=np.int64)
-            for i in range(n):
-                if keys[i] != cur:
-                    cur, tokens, last = keys[i], cap, ts[i]
-                t = min(cap, tokens + max(0, int(ts[i] - last)))
-                if t < cost:
-                    allowed[i], tokens = False, t
-                else:
-                    allowed[i], tokens = True, t - cost
-                last = max(last, ts[i])
-                level[i] = tokens
-            yield pdf.drop(columns=["seg"]).assign(allowed=allowed, tokens_after=level)
-    return run
+        state = None
+        for of, fresh, pdf in _chunks(batches, unit):
+            if fresh:
+                enter = pdf["_enter"].iloc[0]
+                state = (first(int(of[-2])) if pd.isna(enter) else int(enter), None)
+            state, columns = step(state, pdf[ts].to_numpy(dtype=np.int64))
+            yield pdf[names].assign(**columns)
+
+    return _dealt(rows, unit, [ts, id_col]).mapInPandas(run, T.StructType([*kept, *added]))
+
 
+# ---- token bucket
 
 def token_bucket(df: DataFrame, key: str = "identity", ts_us: str = "ts_us", id_col: str = "id",
-                 bucket: Bucket = Bucket()) -> DataFrame:
+                 bucket: Bucket = Bucket(), block_us: int | None = None) -> DataFrame:
     """L2: per-key token bucket over rows (id, key, ts_us, other scalar
     columns carried through). Starts full; each row refills ``elapsed``
     units (capped), then is allowed and charged one token if at least one
     token is there, else rejected keeping the refilled level. Adds
-    ``allowed`` and ``tokens_after`` (tokens in units)."""
-    d = segments(df, [key], ts_us, id_col, bucket.cap_units)
-    d = _sorted_by_segment(d, [key], ts_us, id_col)
-    schema = T.StructType([f for f in d.schema.fields if f.name != "seg"]
-                          + [T.StructField("allowed", T.BooleanType()),
-                             T.StructField("tokens_after", T.LongType())])
-    return d.mapInPandas(_bucket_fn([key], bucket.cap_units, bucket.period_us, ts_us), schema)
+    ``allowed`` and ``tokens_after`` (tokens in units).
 
+    As long as nothing is rejected, the level after row k is the least of
+    ``cap + (t_k - t_j) - cost * (k - j + 1)`` over all j up to k. A segment where that
+    never falls below 0 has no rejection; the others are folded by blocks.
+    """
+    cap, cost = bucket.cap_units, bucket.period_us
+    columns = df.columns
+    d, keys = _keyed(df, [key])
+    unit = [*keys, "_seg", "_block"]
+    d = segments(d, keys, ts_us, id_col, cap, block_us or max(BLOCK_US, cap))
+    here = Window.partitionBy(*unit).orderBy(ts_us, id_col)
+    d = d.withColumn("_n", F.row_number().over(here).cast("long"))
+    d = d.withColumn("_low", F.min(F.col("_n") * cost - cost - F.col(ts_us)).over(
+        here.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # Rows before a block in its segment, and the least value among them.
+    earlier = Window.partitionBy(*keys, "_seg").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = d.groupBy(*unit).agg(F.max("_n").alias("_rows"), F.min("_low").alias("_least"))
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    blocks = blocks.withColumn("_carry", F.min(F.col("_least") + F.col("_before") * cost).over(earlier))
+    d = d.join(blocks.select(*unit, "_before", "_carry"), unit)
+    least = F.least(F.col("_low") + F.col("_before") * cost, F.col("_carry"))
+    d = d.withColumn("tokens_after", F.col(ts_us) - (F.col("_n") + F.col("_before")) * cost + cap + least)
+    lowest = d.groupBy(*unit).agg(F.min("tokens_after").alias("_lowest")).withColumn(
+        "_calm", F.min("_lowest").over(Window.partitionBy(*keys, "_seg")) >= 0)
+    # Written once: both ways out read it.
+    d = cut_lineage(d.drop("_n", "_low", "_before", "_carry").join(lowest.select(*unit, "_calm"), unit))
+    calm = d.where("_calm").select(*columns, F.lit(True).alias("allowed"), "tokens_after")
+    rows = d.where("NOT _calm").select(*columns, *keys, "_seg", "_block")
 
-def _reuse_fn(key: list[str], ttl: int):
-    def run(batches):
-        cur, expiry = None, None
-        for pdf in batches:
-            n = len(pdf)
-            keys = list(zip(*[pdf[k].to_numpy() for k in key], pdf["seg"].to_numpy()))
-            ts = pdf["ts_us"].to_numpy(dtype=np.int64)
-            hit = np.empty(n, dtype=bool)
-            for i in range(n):
-                if keys[i] != cur:
-                    cur, expiry = keys[i], None
-                if expiry is not None and expiry > ts[i]:
-                    hit[i] = True
-                else:
-                    hit[i] = False
-                    expiry = int(ts[i]) + ttl
-            yield pdf[["id", *key]].assign(hit=hit)
-    return run
+    def between(level, before, start):
+        return min(cap, level + start - before)
+
+    def step(state, times):
+        level, last = state
+        n = len(times)
+        allowed, after = np.empty(n, dtype=bool), np.empty(n, dtype=np.int64)
+        for i, t in enumerate(times.tolist()):
+            if last is not None and t > last:
+                level = min(cap, level + t - last)
+            allowed[i] = level >= cost
+            if level >= cost:
+                level -= cost
+            last = t if last is None else max(t, last)
+            after[i] = level
+        return (level, last), {"allowed": allowed, "tokens_after": after}
 
+    first = lambda segment: cap
+    rows = _with_entry(rows, keys, ts_us, id_col, first, between, lambda: Levels(bucket))
+    folded = _replayed(rows, keys, ts_us, id_col, first, step,
+                       [T.StructField("allowed", T.BooleanType()), T.StructField("tokens_after", T.LongType())])
+    return calm.unionByName(folded)
+
+
+# ---- decision reuse
 
 def decision_reuse(df: DataFrame, key: list[str], ts_us: str = "ts_us", id_col: str = "id",
-                   ttl_us: int = DEFAULT_TTL_US) -> DataFrame:
+                   ttl_us: int = DEFAULT_TTL_US, block_us: int | None = None) -> DataFrame:
     """A verdict made by a miss is reused while ``expiry > now`` (strict,
-    so TTL 0 never hits), never renewed by a hit. Returns (id, key columns, hit)."""
+    so TTL 0 never hits), never renewed by a hit. Returns (id, key columns, hit).
+
+    Within one TTL of a segment's first lookup all but that one are hits; only what
+    comes later in a segment is folded by blocks, from miss to miss."""
     d = df.select(F.col(id_col).alias("id"), *[F.col(k) for k in key], F.col(ts_us).alias("ts_us"))
-    d = segments(d, key, "ts_us", "id", max(ttl_us, 1))
-    d = _sorted_by_segment(d, key, "ts_us", "id")
-    schema = T.StructType([d.schema["id"], *[d.schema[k] for k in key], T.StructField("hit", T.BooleanType())])
-    return d.mapInPandas(_reuse_fn(key, ttl_us), schema)
+    if ttl_us <= 0:
+        return d.select("id", *key, F.lit(False).alias("hit"))
+    d, keys = _keyed(d, key)
+    d = segments(d, keys, "ts_us", "id", ttl_us, block_us or max(BLOCK_US, ttl_us))
+    first_row = F.row_number().over(Window.partitionBy(*keys, "_seg", "_block").orderBy("ts_us", "id")) == 1
+    # Written once: both ways out read it.
+    d = cut_lineage(d.withColumn("_opens", first_row & (F.col("ts_us") == F.col("_seg"))))
+    fresh = F.col("ts_us") < F.col("_seg") + ttl_us
+    near = d.where(fresh).select("id", *key, (~F.col("_opens")).alias("hit"))
+    rows = d.where(~fresh).drop("_opens")
+
+    def step(state, times):
+        expiry, _ = state
+        hit = np.ones(len(times), dtype=bool)
+        at = int(np.searchsorted(times, expiry))
+        while at < len(times):
+            hit[at] = False
+            expiry = int(times[at]) + ttl_us
+            at = int(np.searchsorted(times, expiry))
+        return (expiry, None), {"hit": hit}
+
+    first = lambda segment: segment + ttl_us
+    rows = _with_entry(rows, keys, "ts_us", "id", first, lambda expiry, before, start: expiry, lambda: Expiries(ttl_us))
+    return near.unionByName(_replayed(rows, keys, "ts_us", "id", first, step, [T.StructField("hit", T.BooleanType())]).select("id", *key, "hit"))

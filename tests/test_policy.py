@@ -2,7 +2,9 @@
 code's semantics (rate boundary, refill kept on reject, precedence, keys,
 rotation, header precedence, redaction)."""
 import datetime as dt
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pagemark.operators import folds
@@ -118,3 +120,85 @@ def test_key_lines_and_hosts(spark):
     assert got == ["k1", "k2"]
     hosts = sorted(r.host for r in P.allowed_hosts(derived.ALLOWED_HOSTS_OPTION, spark).collect())
     assert hosts == ["127.0.0.1", "[::1]", "localhost"]
+
+
+def _plain_bucket(rows, bucket):
+    state, out = {}, {}
+    for i, key, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        level, last = state.get(key, (bucket.cap_units, t))
+        level = min(bucket.cap_units, level + t - last)
+        ok = level >= bucket.period_us
+        level -= bucket.period_us if ok else 0
+        state[key] = (level, t)
+        out[i] = (ok, level)
+    return out
+
+
+def _plain_reuse(rows, ttl):
+    expiry, out = {}, {}
+    for i, key, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        out[i] = key in expiry and expiry[key] > t
+        if not out[i]:
+            expiry[key] = t + ttl
+    return out
+
+
+def _traffic(rnd, n):
+    """A key with most rows and hardly a gap, bursts, ties, rare keys, a null key."""
+    rows, t = [], 0
+    for i in range(n):
+        t += rnd.choice([0, 0, 1, 3, 10, 40, 90])
+        rows.append((i, rnd.choice(["hot"] * 8 + ["b", "c", None]), t))
+    rows += [(n + i, "slow", 1000 * i) for i in range(20)] + [(n + 100 + i, "burst", 5000) for i in range(30)]
+    rnd.shuffle(rows)
+    return rows
+
+
+def test_folds_equal_the_plain_rules(spark):
+    rnd = random.Random(9)
+    for n, bucket, ttl, block in ((1500, folds.Bucket(3, 50), 70, 200), (1500, folds.Bucket(5, 17), 300, 64), (800, folds.Bucket(1, 7), 1, 1000),
+                                  (800, folds.Bucket(20, 400), 5000, 50), (600, folds.Bucket(2, 1), 40, 10 ** 9)):
+        rows = _traffic(rnd, n)
+        df = spark.createDataFrame(rows, "id long, identity string, ts_us long").withColumn("block", F.lit("x"))
+        got = folds.token_bucket(df, bucket=bucket, block_us=block)
+        assert got.columns == ["id", "identity", "ts_us", "block", "allowed", "tokens_after"]
+        assert {r["id"]: (r["allowed"], r["tokens_after"]) for r in got.collect()} == _plain_bucket(rows, bucket)
+        reuse = folds.decision_reuse(df, ["identity"], ttl_us=ttl, block_us=block)
+        assert {r["id"]: r["hit"] for r in reuse.collect()} == _plain_reuse(rows, ttl)
+
+
+def test_steps_equal_the_fold():
+    """The step function of a block, at every entering state, against the rows one by one."""
+    rnd = random.Random(10)
+    for _ in range(60):
+        bucket = folds.Bucket(rnd.randint(1, 5), rnd.randint(1, 9))
+        times = np.cumsum([rnd.choice([0, 1, 2, 5, 20]) for _ in range(rnd.randint(1, 30))])
+        levels, expiries = folds.Levels(bucket), folds.Expiries(rnd.randint(1, 15))
+        for part in np.array_split(times, 3):
+            if len(part):
+                levels.feed(part)
+                expiries.feed(part)
+        assert len(levels.steps()) <= 4 * bucket.capacity + 4
+        for level in range(bucket.cap_units + 1):
+            want, last = level, times[0]
+            for t in times:
+                want = min(bucket.cap_units, want + t - last)
+                want -= bucket.period_us if want >= bucket.period_us else 0
+                last = t
+            assert folds.apply_steps(levels.steps(), level) == want
+        for expiry in range(-3, int(times[-1]) + 20):
+            want = expiry
+            for t in times:
+                want = want if want > t else t + expiries.ttl
+            assert folds.apply_steps(expiries.steps(), expiry) == want
+
+
+def test_a_hot_key_without_gaps_is_many_blocks(spark):
+    """One identity with all rows and no idle gap: every block is entered by its own state."""
+    bucket = folds.Bucket(3, 100)
+    df = spark.range(20_000).select("id", F.lit("hot").alias("identity"), (F.col("id") * 60).alias("ts_us"))
+    d, keys = folds._keyed(df, ["identity"])
+    parts = folds.segments(d, keys, "ts_us", "id", bucket.cap_units, 10_000)
+    assert parts.select("_seg").distinct().count() == 1 and parts.select("_block").distinct().count() == 120
+    got = {r["id"]: (r["allowed"], r["tokens_after"]) for r in folds.token_bucket(df, bucket=bucket, block_us=10_000).collect()}
+    assert got == _plain_bucket([(i, "hot", 60 * i) for i in range(20_000)], bucket)

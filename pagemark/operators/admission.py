@@ -89,7 +89,20 @@ def admission(df: DataFrame, resolutions: DataFrame, col: str = "url") -> DataFr
     """
     p = U.with_url_parts(df, col)
     hosts = host_table(p.select("host").distinct(), resolutions)
-    j = p.join(hosts, "host", "left")
+    return verdicts(p.join(hosts, "host", "left"), col)
+
+
+def with_hosts(df: DataFrame, resolutions: DataFrame, col: str = "url") -> DataFrame:
+    """URL parts and what is known of the host, row by row: the literal form and its class
+    as expressions, names by a join with the resolution table's verdicts. For streams,
+    which cannot be reduced to distinct hosts first."""
+    p = A.with_class(A.with_literal(U.with_url_parts(df, col), "host"), "lit_v4", "lit_v6", "lit_reason")
+    known = _verdict_cols(resolution_summary(resolutions)).select("host", "resolved", "dns_reason")
+    return p.join(known, "host", "left")
+
+
+def verdicts(j: DataFrame, col: str = "url") -> DataFrame:
+    """The verdict columns from URL parts and host facts."""
     is_lit = F.col("lit_v4").isNotNull() | F.col("lit_v6").isNotNull()
     j = j.withColumns({
         "malformed": F.col("bad_brackets") | (F.col("bracketed") & F.col("lit_v6").isNull()),

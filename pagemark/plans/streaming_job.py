@@ -53,16 +53,28 @@ def q_stream_snapshots(spark, sf_dir):
     return out.select("url", "polls", "how", "md")
 
 
+def q_stream_admission(spark, sf_dir):
+    """The work list as a stream against address classes and host verdicts."""
+    res = derived.resolutions(spark, sf_dir)
+    src = derived.url_list(spark, sf_dir).select("page_id", "url", F.timestamp_seconds(F.col("page_id") % 100_000_000).alias("ts"))
+    out = run_stream(spark, "admission", src, "ts", lambda s: W.admission_stream(s, res).select(
+        "page_id", "url", "scheme", "host", "port", "status", "reason", "message"))
+    return out
+
+
 QUERIES = {
+    "stream_admission": q_stream_admission,
     "stream_snapshots": q_stream_snapshots,
     "stream_token_bucket": q_stream_token_bucket,
     "stream_lookup_reuse": q_stream_lookup_reuse,
     "stream_static_gate": q_stream_static_gate,
 }
 
+from pagemark.plans.admission_job import ORACLE as _ADMISSION  # noqa: E402
 from pagemark.plans.snapshots_job import ORACLE as _SNAP_ORACLE  # noqa: E402
 
 ORACLE = {
+    "stream_admission": _ADMISSION["url_admission"],
     "stream_snapshots": _SNAP_ORACLE["snapshot_stable"],
     "stream_token_bucket": PJ.ORACLE["token_bucket"],
     "stream_lookup_reuse": PJ.ORACLE["lookup_reuse"],

@@ -79,3 +79,54 @@ def test_static_gate_streams_with_many_versions(spark):
     assert batch == want
     out = run_stream(spark, "t_gate", src, "ts", lambda s: W.static_gate_stream(s, keys))
     assert {r.id: r.key_ok for r in out.collect()} == want
+
+
+def _run_on(spark, path, batches, build):
+    """Each batch of rows appended and run from the same checkpoint."""
+    for df in batches:
+        df.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{path}/in")
+        (build(stream).writeStream.format("parquet").option("checkpointLocation", f"{path}/chk").option("path", f"{path}/out")
+         .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(f"{path}/out")
+
+
+def _keys_in_state(spark, path):
+    rows = spark.read.format("statestore").option("stateVarName", "state").load(f"{path}/chk").collect()
+    return sorted(r["key"][0] for r in rows)
+
+
+def test_state_ends_with_its_time(spark, tmp_path):
+    """Once the watermark has passed a bucket's idle time, a verdict's expiry or a render's
+    budget, only the rows that moved it there are left in the state."""
+    day = dt.timedelta(days=1)
+    requests = [_rows(spark, [(k, T0 + dt.timedelta(seconds=k), "http", f"c{k % 3}") for k in range(9)]),
+                _rows(spark, [(100, T0 + day, "http", "late")]), _rows(spark, [(101, T0 + 2 * day, "http", "later")])]
+    _run_on(spark, f"{tmp_path}/b", requests, lambda s: W.token_bucket_stream(s, BUCKET))
+    assert _keys_in_state(spark, f"{tmp_path}/b") == ["later"]
+    lookups = [r.select("id", "ts", F.col("identity").alias("host"), F.lit(80).alias("port")) for r in requests]
+    _run_on(spark, f"{tmp_path}/r", lookups, lambda s: W.decision_reuse_stream(s, 60_000_000))
+    assert _keys_in_state(spark, f"{tmp_path}/r") == ["later"]
+    caps = [r.select(F.col("identity").alias("url"), "ts", F.lit(0).cast("long").alias("elapsed_ms"), F.lit("m").alias("md"),
+                     F.lit(1000).cast("long").alias("poll_budget_ms"), F.lit(250).cast("long").alias("poll_interval_ms"), F.lit(False).alias("is_end"))
+            for r in requests]
+    out = _run_on(spark, f"{tmp_path}/s", caps, W.snapshot_stream)
+    assert _keys_in_state(spark, f"{tmp_path}/s") == ["later"]
+    assert sorted(r.url for r in out.where("how = 'exhausted'").collect()) == ["c0", "c1", "c2", "late"]
+
+
+def test_later_render_without_timer(spark, tmp_path):
+    """Two renders of one URL in one micro-batch: the first ends where the second begins."""
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [("u", at(400.25), 250, "c", 1000, 250, False), ("u", at(0.25), 250, "b", 1000, 250, False), ("u", at(400), 0, "c", 1000, 250, False), ("u", at(0), 0, "a", 1000, 250, False)]
+    out = _run_on(spark, str(tmp_path), [spark.createDataFrame(rows, SNAPS)], W.snapshot_stream)
+    assert sorted((r.polls, r.how, r.md) for r in out.collect()) == [(2, "exhausted", "b"), (2, "stable", "c")]
+
+
+def test_first_lookups(spark, tmp_path):
+    """One row of a key per horizon; a new one once the watermark has passed it."""
+    rows = lambda *r: spark.createDataFrame([(i, "h", p, T0 + dt.timedelta(seconds=s)) for i, p, s in r], "id long, host string, port int, ts timestamp")
+    batches = [rows((1, 80, 0), (2, 80, 0), (3, 443, 0)), rows((4, 80, 50), (5, 443, 59)), rows((6, 22, 200)), rows((7, 80, 260), (8, 443, 261))]
+    out = _run_on(spark, str(tmp_path), batches, lambda s: W.first_lookups_stream(s, "60 seconds"))
+    got = sorted(r.id for r in out.collect())
+    assert len(got) == 5 and got[0] in (1, 2) and got[1:] == [3, 6, 7, 8]

@@ -58,6 +58,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Python workers and stateful processors talk over local sockets, not ports.
+        .config("spark.python.unix.domain.socket.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("PAGEMARK_DRIVER_MEMORY", "16g"))
     )
@@ -72,7 +74,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for cut lineage and stream checkpoints.
 
     Read from ``spark.checkpoint.dir`` as the cluster names it; only when it is
-    unset (local tests) a scratch folder is created and recorded in the conf.
+    unset (local tests) a scratch folder is created, which the context then holds.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
@@ -81,7 +83,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="pagemark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)

@@ -27,13 +27,15 @@ def convert(urls: DataFrame, responses: DataFrame, resolutions: DataFrame,
     urls:            page_id, url
     responses:       url, status, headers map, body, elapsed_ms, error (A2)
     resolutions:     host, pos, ip (name resolution as data)
-    captures:        url, elapsed_ms, capture_mode, html (A3)
+    captures:        url, elapsed_ms, capture_mode, html (A3), and optionally error: why
+                     rendering failed, on a capture without html
     render_requests: page_id, url, wait_until, timeout_ms, headless,
                      poll_budget_ms, poll_interval_ms, nav_ms map (F5, F6)
 
     Returns page_id, url, host, tier, status, markdown, message: one row per row
     of ``urls``. Work is done once per distinct URL; of several render requests
-    for one URL that with the smallest page_id holds. Only captures of URLs
+    for one URL that with the smallest page_id holds, a URL without one has the
+    tool's default options. Only captures of URLs
     that the cheaper tiers leave to rendering are extracted.
     """
     table = verdict_table(urls, responses, resolutions)
@@ -44,10 +46,12 @@ def convert(urls: DataFrame, responses: DataFrame, resolutions: DataFrame,
     routed = cut_lineage(R.route(walked, responses))
     queue = routed.where(F.col("route") == "render").select("url")
     names = [c for c in render_requests.columns if c != "url"]
-    requests = (render_requests.join(queue, "url", "left_semi")
-                .groupBy("url").agg(F.min_by(F.struct(*names), "page_id").alias("r")).select("url", "r.*"))
+    asked = (render_requests.join(queue, "url", "left_semi")
+             .groupBy("url").agg(F.min_by(F.struct(*names), "page_id").alias("r")).select("url", "r.*"))
+    # Options that nobody gave have their defaults (A1); without timings navigation counts as ready.
+    requests = S.with_defaults(queue.distinct().join(asked, "url", "left"))
     queued = S.select_mode(captures.join(queue, "url", "left_semi"), requests)
-    settled = S.stabilize(S.extract(S.cadence(queued, "html")))
-    out = T.cascade(verdicts, routed, S.navigation(requests), settled)
+    settled = S.stabilize(S.extract(S.cadence(S.without_errors(queued), "html")))
+    out = T.cascade(verdicts, routed, S.navigation(requests), settled, S.render_errors(queued))
     return (urls.select("page_id", "url").join(out, "url")
             .join(table.select("url", "host"), "url"))

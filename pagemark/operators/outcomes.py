@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 RETRY_BUDGET_MS = {"empty": 10000, "nav_timeout": 15000}
 
 
-def cascade(verdicts: DataFrame, routed: DataFrame, nav: DataFrame, settled: DataFrame) -> DataFrame:
+def cascade(verdicts: DataFrame, routed: DataFrame, nav: DataFrame, settled: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """T1 + T2: one typed outcome per URL of ``verdicts``; every input has one row
     per URL.
 
@@ -20,6 +20,7 @@ def cascade(verdicts: DataFrame, routed: DataFrame, nav: DataFrame, settled: Dat
     routed:   url, route, tier, markdown, reason (tiers 1-2)
     nav:      url, nav_status, timeout_ms (render navigation)
     settled:  url, md (render snapshots, F1-F3; a row for every URL with captures)
+    errors:   url, render_error (why a render failed; a row ends it as `failed`)
     """
     none = F.lit(None).cast("string")
     refused_text = lambda why: F.concat(F.lit("refused to fetch "), F.col("url"), F.lit(": "), why)
@@ -37,15 +38,17 @@ def cascade(verdicts: DataFrame, routed: DataFrame, nav: DataFrame, settled: Dat
     render = (routed.where(F.col("route") == "render").select("url")
               .join(nav.select("url", "nav_status", "timeout_ms"), "url", "left")
               .join(settled.select("url", F.col("md").alias("rendered"), F.lit(True).alias("has_captures")), "url", "left"))
+    render = (render.withColumn("render_error", F.lit(None).cast("string")) if errors is None
+              else render.join(errors.select("url", "render_error"), "url", "left"))
     status = (F.when(F.col("nav_status") == "nav_timeout", "nav_timeout")
-              .when(F.col("has_captures").isNull(), "failed")
+              .when(F.col("render_error").isNotNull() | F.col("has_captures").isNull(), "failed")
               .when(F.coalesce(F.col("rendered"), F.lit("")) == "", "empty")
               .otherwise("ok"))
     render = render.withColumn("status", status)
     message = (F.when(F.col("status") == "nav_timeout",
                       F.format_string("navigation to %s timed out after %dms", F.col("url"), F.col("timeout_ms")))
                .when(F.col("status") == "failed",
-                     F.concat(F.lit("failed to fetch "), F.col("url"), F.lit(": no render captures")))
+                     F.concat(F.lit("failed to fetch "), F.col("url"), F.lit(": "), F.coalesce("render_error", F.lit("no render captures"))))
                .when(F.col("status") == "empty",
                      F.concat(F.lit("no extractable content found at "), F.col("url"))))
     render = render.select("url", F.lit(3).alias("tier"), "status",

@@ -2,7 +2,7 @@
 
 Per-request checks are projections; the key set and the host allow-list are
 small tables joined by equality (AQE broadcasts them by measured size); key
-rotation is an as-of join made into an equi-join on day buckets; the rate
+rotation is an as-of merge inside time buckets; the rate
 limit is the only shuffle by identity (see ``folds``).
 """
 from __future__ import annotations
@@ -53,13 +53,47 @@ def allowed_hosts(option: str, spark) -> DataFrame:
                                         lambda x: x != "")).alias("host")).distinct()
 
 
+BUCKET_US = 60_000_000   # as-of windows run per minute
+SUPER = 1024             # buckets of one carry group
+
+
 def key_asof(requests: DataFrame, keys: DataFrame) -> DataFrame:
     """``loaded_at`` of the key-file version in force at each request
     (the latest load at or before it; null before the first).
 
-    One plan for any number of versions: the newest, open version is one
-    aggregated row; the closed intervals are cut into days and matched by an
-    equi-join on the day plus the range, which a stream can do as well.
+    An as-of merge: versions and requests in one table, ordered by time inside a
+    minute, the last version so far. What a minute needs from earlier ones comes
+    from one row per minute that has versions, in two steps: earlier minutes of its
+    group of ``SUPER``, and one row that lists the last version of each group. The
+    work is that of one shuffle of the requests, however many versions there are.
+    Requests without a time have no version.
+    """
+    us = F.unix_micros("ts")
+    bucket = F.floor(us / BUCKET_US).cast("long")
+    group = lambda b: F.floor(b / SUPER).cast("long")
+    versions = keys.select(F.col("loaded_at").alias("_version")).where("loaded_at IS NOT NULL").distinct()
+    r = requests.select(F.struct(*requests.columns).alias("_row"), F.col("ts").alias("_at"), F.lit(1).alias("_kind"), bucket.alias("_bucket"),
+                        F.lit(None).cast("timestamp").alias("_version"))
+    marks = versions.select(
+        F.lit(None).cast(r.schema["_row"].dataType).alias("_row"), F.col("_version").alias("_at"), F.lit(0).alias("_kind"),
+        F.floor(F.unix_micros("_version") / BUCKET_US).cast("long").alias("_bucket"), "_version")
+    so_far = Window.partitionBy("_bucket").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # At most one row per minute that has versions, and one list of the groups' last ones.
+    last = marks.groupBy("_bucket").agg(F.max("_version").alias("_last"))
+    lists = last.groupBy(group(F.col("_bucket")).alias("_group")).agg(
+        F.max("_last").alias("_group_last"), F.array_sort(F.collect_list(F.struct("_bucket", "_last"))).alias("_inside"))
+    groups = lists.agg(F.array_sort(F.collect_list(F.struct("_group", "_group_last"))).alias("_groups"))
+    merged = r.unionByName(marks).withColumn("_here", F.last("_version", True).over(so_far)).where("_kind = 1")
+    merged = merged.withColumn("_group", group(F.col("_bucket"))).join(lists.select("_group", "_inside"), "_group", "left").crossJoin(F.broadcast(groups))
+    inside = F.array_max(F.transform(F.filter("_inside", lambda x: x["_bucket"] < F.col("_bucket")), lambda x: x["_last"]))
+    before = F.array_max(F.transform(F.filter("_groups", lambda x: x["_group"] < F.col("_group")), lambda x: x["_group_last"]))
+    return merged.select("_row.*", F.coalesce("_here", inside, before).alias("loaded_at"))
+
+
+def key_asof_intervals(requests: DataFrame, keys: DataFrame) -> DataFrame:
+    """L7 for a stream of requests, which no window can order: the newest, open version is
+    one aggregated row; the closed intervals of the static side are cut into days
+    and matched by an equi-join on the day plus the range.
     """
     versions = keys.select("loaded_at").distinct()
     newest = versions.agg(F.max("loaded_at").alias("_newest"))
@@ -79,7 +113,7 @@ def key_check(requests: DataFrame, keys: DataFrame) -> DataFrame:
     """L5 + L6 (+L7): presented key (first non-blank `key`, decoded) is valid
     when non-empty and in the key set of the version in force."""
     r = requests.withColumn("presented", query_param(F.col("query_string"), "key"))
-    r = key_asof(r, keys)
+    r = (key_asof_intervals if requests.isStreaming else key_asof)(r, keys)
     k = keys.select("loaded_at", F.col("key").alias("presented"), F.lit(True).alias("_ok"))
     j = r.join(k, ["loaded_at", "presented"], "left")
     return j.withColumn("key_ok", (F.col("presented") != "") & F.col("_ok").isNotNull()).drop("_ok")
@@ -96,9 +130,10 @@ def policy(requests: DataFrame, keys: DataFrame, bucket: folds.Bucket = folds.Bu
 
     Identity, key and path checks are computed first as narrow columns and
     carried through the rate fold, so its output needs no join back."""
-    r = key_check(client_identity(requests), keys)
-    r = r.select("id", "ts", F.unix_micros("ts").alias("ts_us"), "scope_type", "identity", "host_header",
-                 is_discovery(F.col("path")).alias("discovery"), "key_ok")
+    r = client_identity(requests).select("id", "ts", "query_string", "scope_type", "identity", "host_header",
+                                         is_discovery(F.col("path")).alias("discovery"))
+    r = key_check(r, keys)
+    r = r.select("id", "ts", F.unix_micros("ts").alias("ts_us"), "scope_type", "identity", "host_header", "discovery", "key_ok")
     http = folds.token_bucket(r.where(F.col("scope_type") == "http"), "identity", "ts_us", "id", bucket)
     other = r.where(F.col("scope_type") != "http").withColumns(
         {"allowed": F.lit(None).cast("boolean"), "tokens_after": F.lit(None).cast("long")})

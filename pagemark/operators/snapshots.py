@@ -22,6 +22,31 @@ def extract(captures: DataFrame) -> DataFrame:
     return keyed.drop("html").join(md, "_state", "left").drop("_state")
 
 
+# --- fixed values: the tool's default options ---------------------------------
+DEFAULT_OPTIONS = {"wait_until": "domcontentloaded", "timeout_ms": 60_000, "headless": True, "poll_budget_ms": 5_000, "poll_interval_ms": 250}
+
+
+def with_defaults(requests: DataFrame) -> DataFrame:
+    """F6 + A1: options that are null or missing get the tool's defaults."""
+    given = {c for c in requests.columns}
+    return requests.withColumns({name: F.coalesce(F.col(name), F.lit(value)) if name in given else F.lit(value)
+                                 for name, value in DEFAULT_OPTIONS.items()})
+
+
+def render_errors(captures: DataFrame) -> DataFrame:
+    """Why rendering a URL failed: the first error among its captures (by time, then
+    text), one row a URL that has one."""
+    if "error" not in captures.columns:
+        return captures.select("url", F.lit(None).cast("string").alias("render_error")).where(F.lit(False))
+    return captures.where(F.col("error").isNotNull()).groupBy("url").agg(
+        F.min(F.struct("elapsed_ms", "error")).alias("e")).select("url", F.col("e.error").alias("render_error"))
+
+
+def without_errors(captures: DataFrame) -> DataFrame:
+    """The captures that show something; none are left of a render that failed."""
+    return captures.where(F.col("error").isNull()).drop("error") if "error" in captures.columns else captures
+
+
 def select_mode(captures: DataFrame, requests: DataFrame) -> DataFrame:
     """captures of the mode each request asks for (headless or headed)."""
     want = requests.select("url", "poll_budget_ms", "poll_interval_ms",

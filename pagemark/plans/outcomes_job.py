@@ -58,7 +58,8 @@ QUERIES = {
     "outcome_rollup": q_outcome_rollup,
 }
 
-OUTCOMES_SQL = RJ.CHAIN + ",\n" + snapshots_sql("coalesce(html, '')", "'<p>flicker ' || poll || '</p>'", "'<p>headed</p>'").strip() + f""",
+OUTCOMES_SQL = RJ.CHAIN + ",\n" + snapshots_sql("coalesce(html, '')", "'<p>flicker ' || poll || '</p>'", "'<p>headed</p>'",
+    "UNION ALL SELECT page_id, url, 'domcontentloaded', 60000, true, 5000, 250, NULL FROM pages WHERE page_id % 17 = 6").strip() + f""",
 queued AS (SELECT p.* FROM polls p JOIN (SELECT url FROM routed WHERE route = 'render') USING (url)),
 states AS (SELECT row_number() OVER () AS sid, url, md AS html FROM (SELECT DISTINCT url, md FROM queued WHERE md IS NOT NULL)),
 state_md AS (WITH {O.chain('SELECT sid AS page_id, url, html FROM states', 'none').strip()}
@@ -82,11 +83,12 @@ settled AS (
   WHERE k = 1),
 capd AS (SELECT DISTINCT url FROM moded),
 rend AS (
-  SELECT r.page_id, r.url, n.timeout_ms, s.md AS rendered,
-    CASE WHEN n.late THEN 'nav_timeout' WHEN c.url IS NULL THEN 'failed'
+  SELECT r.page_id, r.url, n.timeout_ms, s.md AS rendered, e.error,
+    CASE WHEN n.late THEN 'nav_timeout' WHEN e.url IS NOT NULL OR c.url IS NULL THEN 'failed'
          WHEN coalesce(s.md, '') = '' THEN 'empty' ELSE 'ok' END AS status
   FROM routed r LEFT JOIN navs n ON n.url = r.url LEFT JOIN capd c ON c.url = r.url
   LEFT JOIN settled s ON s.url = r.url
+  LEFT JOIN (SELECT url, 'page ' || page_id || ' closed' AS error FROM pages WHERE page_id % 13 = 4) e ON e.url = r.url
   WHERE r.route = 'render'),
 outc AS (
   SELECT page_id, url, 0 AS tier, CASE WHEN status = 'invalid_url' THEN 'invalid_url' ELSE 'refused' END AS status,
@@ -101,7 +103,7 @@ outc AS (
   UNION ALL
   SELECT page_id, url, 3, status, CASE WHEN status = 'ok' THEN rendered END,
     CASE status WHEN 'nav_timeout' THEN 'navigation to ' || url || ' timed out after ' || timeout_ms || 'ms'
-                WHEN 'failed' THEN 'failed to fetch ' || url || ': no render captures'
+                WHEN 'failed' THEN 'failed to fetch ' || url || ': ' || coalesce(error, 'no render captures')
                 WHEN 'empty' THEN 'no extractable content found at ' || url END
   FROM rend),
 outh AS (SELECT o.* EXCLUDE (page_id), v.page_id, v.host FROM u_adm v JOIN outc o ON v.url = o.url)"""

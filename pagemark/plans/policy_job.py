@@ -49,6 +49,12 @@ def q_key_asof(spark, sf_dir):
     return k.select("id", F.date_format("loaded_at", "yyyy-MM-dd HH:mm:ss").alias("key_version"))
 
 
+def q_key_asof_dense(spark, sf_dir):
+    """L7 with thousands of key-file versions."""
+    k = P.key_asof(derived.requests(spark, sf_dir).select("id", "ts"), derived.dense_key_versions(spark, sf_dir))
+    return k.select("id", F.unix_micros("loaded_at").alias("version_us"))
+
+
 def q_policy_replay(spark, sf_dir):
     """Gate decision per request."""
     return decisions(spark, sf_dir).select("id", "identity", F.col("status").cast("long").alias("status"),
@@ -86,6 +92,7 @@ QUERIES = {
     "token_bucket": q_token_bucket,
     "key_check": q_key_check,
     "key_asof": q_key_asof,
+    "key_asof_dense": q_key_asof_dense,
     "policy_replay": q_policy_replay,
     "host_allow": q_host_allow,
     "policy_report": q_policy_report,
@@ -203,6 +210,8 @@ ORACLE = {
     "token_bucket": _W + "\nSELECT id, identity, allowed, tokens AS tokens_after FROM bucket",
     "key_check": _W + "\nSELECT id, presented, key_ok FROM checked",
     "key_asof": _W + "\nSELECT id, strftime(loaded_at, '%Y-%m-%d %H:%M:%S') AS key_version FROM as_of",
+    "key_asof_dense": """SELECT e.event_id AS id, epoch_us(v.loaded_at) AS version_us FROM events e ASOF LEFT JOIN
+  (SELECT DISTINCT ts AS loaded_at FROM events WHERE event_type = 'purchase') v ON e.ts >= v.loaded_at""",
     "policy_replay": _W + "\nSELECT id, identity, status::BIGINT AS status, reason FROM decided",
     "host_allow": _W + f""",
 allowed AS (SELECT DISTINCT h FROM (VALUES {_hosts}) t(h))

@@ -62,7 +62,16 @@ def q_stream_admission(spark, sf_dir):
     return out
 
 
+def q_stream_first_lookups(spark, sf_dir):
+    """W2, close variant: which host and port is looked up anew at which time, with a
+    horizon of eight days on lookups at times eight days apart. Which of equal
+    lookups is kept is Spark's choice, so the id is left out."""
+    out = run_stream(spark, "first_lookups", derived.sparse_lookups(spark, sf_dir), "ts", lambda s: W.first_lookups_stream(s, "8 days"))
+    return out.select("host", F.col("port").cast("long").alias("port"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+
+
 QUERIES = {
+    "stream_first_lookups": q_stream_first_lookups,
     "stream_admission": q_stream_admission,
     "stream_snapshots": q_stream_snapshots,
     "stream_token_bucket": q_stream_token_bucket,
@@ -73,7 +82,19 @@ QUERIES = {
 from pagemark.plans.admission_job import ORACLE as _ADMISSION  # noqa: E402
 from pagemark.plans.snapshots_job import ORACLE as _SNAP_ORACLE  # noqa: E402
 
+# A lookup at slot e is forgotten once the watermark, the latest slot seen less one, has
+# passed e + 1: at e + 2, when that slot's rows have been judged. Slot e + 3 counts again.
+FIRST_LOOKUPS_SQL = """
+WITH l AS (
+  SELECT DISTINCT 'h' || (event_id * 7919 % 3571) || '.example' AS host, CASE WHEN event_type IN ('purchase', 'signup') THEN 443 ELSE 80 END AS port,
+    least((epoch_us(ts) // 1000000 - 1704067200) // 691200, 3) AS slot FROM events),
+p AS (SELECT host, port, bool_or(slot = 0) AS s0, bool_or(slot = 1) AS s1, bool_or(slot = 2) AS s2, bool_or(slot = 3) AS s3 FROM l GROUP BY ALL),
+f AS (SELECT host, port, unnest([CASE WHEN s0 THEN 0 END, CASE WHEN s1 AND NOT s0 THEN 1 END, CASE WHEN s2 AND NOT s0 AND NOT s1 THEN 2 END,
+    CASE WHEN s3 AND NOT (s1 AND NOT s0) AND NOT (s2 AND NOT s0 AND NOT s1) THEN 3 END]) AS slot FROM p)
+SELECT host, port::BIGINT AS port, strftime(TIMESTAMP '2024-01-01' + slot * INTERVAL 8 DAY, '%Y-%m-%d') AS day FROM f WHERE slot IS NOT NULL"""
+
 ORACLE = {
+    "stream_first_lookups": FIRST_LOOKUPS_SQL,
     "stream_admission": _ADMISSION["url_admission"],
     "stream_snapshots": _SNAP_ORACLE["snapshot_stable"],
     "stream_token_bucket": PJ.ORACLE["token_bucket"],

@@ -216,19 +216,25 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3 render captures as HTML: (url, elapsed_ms, capture_mode, html)."""
+    """A3 render captures as HTML: (url, elapsed_ms, capture_mode, html, error). The
+    headless render of page_id % 13 = 4 breaks off after 500 ms with an error."""
     p = tables.pages(spark, sf_dir).select("page_id", "url", F.coalesce("html", F.lit("")).alias("body"))
-    return _captures(p, lambda k: F.concat(F.lit("<p>flicker "), k, F.lit("</p>")), "<p>headed</p>").withColumnRenamed("shown", "html")
+    shown = _captures(p, lambda k: F.concat(F.lit("<p>flicker "), k, F.lit("</p>")), "<p>headed</p>").withColumnRenamed("shown", "html")
+    broken = p.where(F.col("page_id") % 13 == 4).select(
+        "page_id", "url", F.lit(500).cast("long").alias("elapsed_ms"), F.lit("headless").alias("capture_mode"), F.lit(None).cast("string").alias("html"),
+        F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit(" closed")).alias("error"))
+    return shown.withColumn("error", F.lit(None).cast("string")).unionByName(broken)
 
 
 def render_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Render-tier options and navigation timings per page URL: wait_until by
     page_id % 4, timeout 30000 ms, budget 250 * (2 + page_id % 7) ms, and the
-    captured ready time per wait_until (n, 2n, 4n, 8n; n = page_id*131 % 20000)."""
+    captured ready time per wait_until (n, 2n, 4n, 8n; n = page_id*131 % 20000).
+    Pages with page_id % 17 = 6 have no request."""
     p = tables.pages(spark, sf_dir).select("page_id", "url")
     pid = F.col("page_id")
     n = (pid * 131) % 20000
-    return p.select(
+    return p.where(pid % 17 != 6).select(
         "page_id", "url",
         F.element_at(F.array(*[F.lit(w) for w in WAIT_UNTIL]), (pid % 4 + 1).cast("int")).alias("wait_until"),
         F.lit(30000).cast("long").alias("timeout_ms"),
@@ -359,6 +365,12 @@ def key_lines(spark: SparkSession) -> DataFrame:
     return df.withColumn("loaded_at", F.to_timestamp("loaded_at"))
 
 
+def dense_key_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A key file reloaded at every purchase: (loaded_at, key), thousands of versions."""
+    ev = events(spark, sf_dir).where("event_type = 'purchase'")
+    return ev.select(F.col("ts").alias("loaded_at"), F.concat(F.lit("k"), (F.col("event_id") % 9).cast("string")).alias("key"))
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L11 input: one access-log record per event, message plus arguments."""
     ev = tables.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
@@ -370,6 +382,16 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(eid.alias("id"), msg.alias("msg"), args.alias("args"))
 
 
+def sparse_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups of many hosts, each rare, at four times eight days apart: (id, host, port, ts)."""
+    ev = events(spark, sf_dir)
+    slot = F.least(F.floor((F.unix_seconds("ts") - 1704067200) / 691200), F.lit(3))
+    return ev.select(
+        F.col("event_id").alias("id"), F.concat(F.lit("h"), (F.col("event_id") * 7919 % 3571).cast("string"), F.lit(".example")).alias("host"),
+        F.when(F.col("event_type").isin("purchase", "signup"), 443).otherwise(80).alias("port"),
+        F.timestamp_seconds(slot * 691200 + 1704067200).alias("ts"))
+
+
 def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B14 input: host+port lookups from events (host by user_id % 58, port
     443 for purchases and signups, else 80)."""

@@ -91,3 +91,27 @@ def test_one_outcome_per_work_list_row(spark):
     assert sorted((r["page_id"], r["tier"], r["status"], r["markdown"]) for r in got) == [
         (1, 2, "ok", "text"), (2, 2, "ok", "text"), (3, 3, "failed", None), (4, 0, "refused", None), (5, 0, "refused", None),
         (6, 3, "ok", "**m**"), (7, 3, "ok", "**m**")]
+
+
+def test_render_tier_defaults_and_errors(spark):
+    """URLs left to rendering: without a request row (defaults), with an error, with none at all."""
+    from pagemark import api
+    names = ["plain", "broken", "none", "late"]
+    urls = spark.createDataFrame([(i, f"http://{n}.test/") for i, n in enumerate(names)], "page_id long, url string")
+    responses = spark.createDataFrame([], "url string, status int, headers map<string,string>, body string, elapsed_ms long, error string")
+    resolutions = spark.createDataFrame([(f"{n}.test", 0, "9.9.9.9") for n in names], "host string, pos int, ip string")
+    text = "<p>one settled text</p>"
+    captures = spark.createDataFrame(
+        [(f"http://{n}.test/", t, "headless", text, None) for n in ("plain", "late", "broken") for t in (0, 250)]
+        + [("http://broken.test/", 400, "headless", None, "target closed"), ("http://broken.test/", 600, "headless", None, "later error"),
+           ("http://plain.test/", 0, "headed", None, "headed only")],
+        "url string, elapsed_ms long, capture_mode string, html string, error string")
+    requests = spark.createDataFrame([(3, "http://late.test/", "load", 1000, None, None, None, {"load": 1001})],
+                                     "page_id long, url string, wait_until string, timeout_ms long, headless boolean, poll_budget_ms long, poll_interval_ms long, nav_ms map<string,long>")
+    got = {r["url"]: (r["status"], r["markdown"], r["message"]) for r in api.convert(urls, responses, resolutions, captures, requests).collect()}
+    assert got == {"http://plain.test/": ("ok", "one settled text", None),
+                   "http://broken.test/": ("failed", None, "failed to fetch http://broken.test/: target closed"),
+                   "http://none.test/": ("failed", None, "failed to fetch http://none.test/: no render captures"),
+                   "http://late.test/": ("nav_timeout", None, "navigation to http://late.test/ timed out after 1000ms")}
+    plain = api.convert(urls, responses, resolutions, captures.drop("error").where("html is not null"), requests)
+    assert {r["url"]: r["status"] for r in plain.collect()}["http://broken.test/"] == "ok"

@@ -1,6 +1,7 @@
 """Request policy (L1-L12): the reference has no tests here; these pin the
 code's semantics (rate boundary, refill kept on reject, precedence, keys,
 rotation, header precedence, redaction)."""
+import bisect
 import datetime as dt
 import random
 
@@ -202,3 +203,20 @@ def test_a_hot_key_without_gaps_is_many_blocks(spark):
     assert parts.select("_seg").distinct().count() == 1 and parts.select("_block").distinct().count() == 120
     got = {r["id"]: (r["allowed"], r["tokens_after"]) for r in folds.token_bucket(df, bucket=bucket, block_us=10_000).collect()}
     assert got == _plain_bucket([(i, "hot", 60 * i) for i in range(20_000)], bucket)
+
+
+def test_asof_with_many_versions(spark):
+    """Ten thousand versions on one day, requests on and between them, before the first
+    and long after the last, and one without a time."""
+    rnd = random.Random(12)
+    day = dt.datetime(2024, 3, 1)
+    loads = sorted({rnd.randrange(86_400_000_000) for _ in range(10_000)})
+    at = [-1, 0, *loads[:200], *(x - 1 for x in loads[:200]), *(rnd.randrange(-10 ** 10, 10 ** 13) for _ in range(2000))]
+    versions = spark.createDataFrame([(day + dt.timedelta(microseconds=x), f"k{i}") for i, x in enumerate(loads)], "loaded_at timestamp, key string")
+    rows = [(i, day + dt.timedelta(microseconds=x)) for i, x in enumerate(at)] + [(-1, None)]
+    got = {r["id"]: r["loaded_at"] for r in P.key_asof(spark.createDataFrame(rows, "id long, ts timestamp"), versions).collect()}
+    for i, x in enumerate(at):
+        k = bisect.bisect_right(loads, x)
+        assert got[i] == (day + dt.timedelta(microseconds=loads[k - 1]) if k else None)
+    assert got[-1] is None
+    assert P.key_asof(spark.createDataFrame(rows, "id long, ts timestamp"), versions.limit(0)).where("loaded_at is not null").count() == 0

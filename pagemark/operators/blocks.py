@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemark.functions import html as H
-from pagemark.functions.urls import resolve, trimmed
+from pagemark.functions.urls import host, resolve, trimmed
 
 
 # Tags of inline marks, links among them.
@@ -291,6 +291,24 @@ def boilerplate_blocks(features: DataFrame, min_pages: int = H.BOILERPLATE_MIN_P
             .where(F.col("n_pages") >= min_pages))
 
 
+_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def normalized(md):
+    """Block text in which case, numbers and white space do not count."""
+    return F.trim(H.collapse_ws(F.regexp_replace(F.translate(md, _AZ, _AZ.lower()), "[0-9]+", "#")))
+
+
+def host_boilerplate(features: DataFrame, min_pages: int = H.BOILERPLATE_MIN_PAGES) -> DataFrame:
+    """D12 by host: normalised block texts seen on at least ``min_pages`` distinct pages of
+    one host: ``host, text_hash, n_pages``. Counted like the corpus-wide ones: pages
+    are made distinct before a hash's tasks send one partial count each, so a host
+    with a third of all pages is no hot key."""
+    texts = features.where(F.col("md") != "").select(host(F.col("url")).alias("host"), F.md5(normalized(F.col("md"))).alias("text_hash"), "page_id")
+    return (texts.groupBy("host", "text_hash").agg(F.countDistinct("page_id").alias("n_pages"))
+            .where(F.col("n_pages") >= min_pages))
+
+
 def keep_flags(md_blocks: DataFrame) -> DataFrame:
     """D13 but for boilerplate: every block with a ``keep`` flag. Inside
     article/main when the page has one, else outside chrome regions with link
@@ -306,19 +324,24 @@ def keep_flags(md_blocks: DataFrame) -> DataFrame:
 
 def kept_blocks(md_blocks: DataFrame, scope: str = "outside_main",
                 min_pages: int = H.BOILERPLATE_MIN_PAGES) -> DataFrame:
-    """The kept blocks. Repeated boilerplate drops per ``scope``
-    (``outside_main`` | ``all`` | ``none``).
+    """The kept blocks. Repeated boilerplate drops per ``scope``: corpus-wide texts
+    outside article/main (``outside_main``) or anywhere (``all``), normalised texts of
+    the page's host anywhere (``host``), or nothing (``none``).
 
     Only blocks kept so far, none of them empty, meet the boilerplate set (one
     row per repeated hash). AQE broadcasts that set when its measured size is
     under the threshold, otherwise the join is sort-merge and the skew-join
     rule splits hot hashes.
     """
-    if scope not in ("outside_main", "all", "none"):
+    if scope not in ("outside_main", "all", "host", "none"):
         raise ValueError(f"unknown boilerplate scope {scope}")
     flagged = keep_flags(md_blocks)
     kept = flagged.where(F.col("keep"))
-    if scope != "none":
+    if scope == "host":
+        bp = host_boilerplate(block_features(md_blocks), min_pages).select("host", "text_hash")
+        keyed = kept.withColumns({"host": host(F.col("url")), "text_hash": F.md5(normalized(F.col("md")))})
+        kept = keyed.join(bp, ["host", "text_hash"], "left_anti")
+    elif scope != "none":
         bp = boilerplate_blocks(block_features(md_blocks), min_pages).select("block_hash", F.lit(True).alias("is_bp"))
         hit = F.col("is_bp").isNotNull()
         drop = hit & ~F.col("in_main") if scope == "outside_main" else hit

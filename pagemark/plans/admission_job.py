@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pagemark.functions import addresses as A
 from pagemark.operators import admission as ADM
+from pagemark.operators import ranges as R
 from pagemark.plans import oracle_admission as OA
 from pagemark.sources import derived, tables
 
@@ -23,6 +24,14 @@ def q_address_classes(spark, sf_dir):
     return s.select("event_id", "form", "text", F.col("v4").cast("long").alias("v4"), "h6", "class")
 
 
+def q_address_ranges(spark, sf_dir):
+    """B9 against a range table of any size: the longest block of each sampled address."""
+    s = derived.address_samples(spark, sf_dir).where("form <> 'v6'")
+    s = A.with_literal(s, "text", "v4", "h6").withColumn("hex", R.address_hex(F.col("v4"), F.col("h6")))
+    found = R.longest_prefix(s, R.range_table(derived.address_ranges(spark, sf_dir)), "hex")
+    return found.select("event_id", "form", "text", (F.col("length") - 96).cast("long").alias("bits"), "label")
+
+
 def q_host_resolution(spark, sf_dir):
     """Verdict per distinct page host from the resolution table."""
     # Conditions on the parsed-literal columns stay columns, not filters: a
@@ -52,6 +61,7 @@ def q_resource_admission(spark, sf_dir):
 QUERIES = {
     "url_admission": q_url_admission,
     "address_classes": q_address_classes,
+    "address_ranges": q_address_ranges,
     "host_resolution": q_host_resolution,
     "unique_lookups": q_unique_lookups,
     "resource_admission": q_resource_admission,
@@ -98,6 +108,18 @@ keyed AS (SELECT event_id || ':' || form AS k, * FROM lit),
 cls AS {OA.classify_sql('(SELECT k, v4, h6 FROM keyed)', 'k')}
 SELECT event_id, form, text, v4::BIGINT AS v4, h6, c.cls AS class
 FROM keyed LEFT JOIN cls c USING (k)""",
+    "address_ranges": f"""WITH s AS ({ADDRESS_SAMPLES}),
+lit AS (SELECT event_id, form, text, {OA.literal_cols('text')} FROM s WHERE form <> 'v6'),
+blocks AS (
+  SELECT (l_orderkey * 7 + l_linenumber) * 2654435761 % 4294967296 AS base, 12 + (l_orderkey + l_linenumber) % 21 AS bits,
+    'o' || l_orderkey || '.' || l_linenumber AS label FROM lineitem
+  UNION ALL SELECT (event_id * 2654435761) % 4294967296, unnest([16, 20, 25, 31]), 'e' || event_id FROM events),
+ranges AS (
+  SELECT low, low + size - 1 AS high, bits, min(label) AS label
+  FROM (SELECT base // size * size AS low, size, bits, label FROM (SELECT *, (2 ** (32 - bits))::BIGINT AS size FROM blocks)) GROUP BY ALL),
+best AS (SELECT a.v4, max({{'bits': r.bits, 'label': r.label}}) AS b FROM (SELECT DISTINCT v4 FROM lit WHERE v4 IS NOT NULL) a
+  JOIN ranges r ON a.v4 >= r.low AND a.v4 <= r.high GROUP BY a.v4)
+SELECT event_id, form, text, b.bits::BIGINT AS bits, b.label AS label FROM lit LEFT JOIN best USING (v4)""",
     "host_resolution": f"""WITH {_RES}, src AS ({OA.URL_LIST}), {OA.admission_sql('src', 'url', 'url').strip()}
 SELECT host, is_literal, n_addresses IS NOT NULL AS resolved, coalesce(n_addresses, 0)::BIGINT AS n_addresses,
   CASE WHEN n_addresses = 0 THEN 'unresolvable' ELSE first_reason END AS reason

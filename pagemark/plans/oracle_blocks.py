@@ -353,6 +353,16 @@ size_saving AS (
   FROM src s LEFT JOIN page_md m ON s.page_id = m.page_id)"""
 
 
+# Two more CTEs after ``chain``: texts by host, and those on two pages of a host.
+HOST_REPEATS = f"""
+host_texts AS (
+  SELECT {host_sql('url')} AS host, page_id, block_no,
+    md5(trim({collapse_sql("regexp_replace(translate(md, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '#', 'g')")})) AS text_hash
+  FROM block_features WHERE md <> ''),
+host_repeats AS (SELECT host, text_hash, count(DISTINCT page_id) AS n_pages FROM host_texts GROUP BY ALL HAVING count(DISTINCT page_id) >= 2)
+"""
+
+
 def saving_by_host_sql(per_page: str) -> str:
     """D15 rollup from a per-page relation (url, saving_pm)."""
     return f"""

@@ -97,6 +97,18 @@ def q_boilerplate_blocks(spark, sf_dir):
     return B.boilerplate_blocks(f).select("block_hash", F.col("n_pages").cast("long").alias("n_pages"))
 
 
+def q_host_boilerplate(spark, sf_dir):
+    """D12 by host: normalised texts on at least two pages of a host."""
+    f = B.block_features(_md_blocks(spark, sf_dir))
+    return B.host_boilerplate(f, 2).select("host", "text_hash", F.col("n_pages").cast("long").alias("n_pages"))
+
+
+def q_kept_by_host(spark, sf_dir):
+    """D13 without what a host repeats."""
+    k = B.kept_blocks(cut_lineage(_md_blocks(spark, sf_dir)), scope="host", min_pages=2)
+    return k.select("page_id", F.col("block_no").cast("long").alias("block_no"), "md")
+
+
 def q_kept_blocks(spark, sf_dir):
     # The block table feeds the boilerplate count and the keep rule: written once.
     k = B.kept_blocks(cut_lineage(_md_blocks(spark, sf_dir)), scope="all")
@@ -133,6 +145,8 @@ QUERIES = {
     "sloppy_markdown": q_sloppy_markdown,
     "block_features": q_block_features,
     "boilerplate_blocks": q_boilerplate_blocks,
+    "host_boilerplate": q_host_boilerplate,
+    "kept_by_host": q_kept_by_host,
     "kept_blocks": q_kept_blocks,
     "page_markdown": q_page_markdown,
     "size_saving": q_size_saving,
@@ -140,7 +154,7 @@ QUERIES = {
 
 
 def _w(body: str, scope: str = "outside_main", src: str = PAGES_SQL) -> str:
-    return "WITH " + O.chain(src, scope).lstrip() + "\n" + body
+    return "WITH " + O.chain(src, scope).lstrip() + ("," if body.startswith("\nhost_texts") else "") + "\n" + body
 
 
 REGION_PAGES_SQL = """
@@ -196,6 +210,10 @@ SELECT page_id, pos::BIGINT AS open_pos, tag, close_pos::BIGINT AS close_pos, le
                          " block_hash FROM block_features"),
     "boilerplate_blocks": _w("SELECT block_hash, n_pages::BIGINT AS n_pages FROM boilerplate_blocks"),
     "kept_blocks": _w("SELECT page_id, block_no::BIGINT AS block_no, md FROM kept_blocks", scope="all"),
+    "host_boilerplate": _w(O.HOST_REPEATS + "SELECT host, text_hash, n_pages::BIGINT AS n_pages FROM host_repeats"),
+    "kept_by_host": _w(O.HOST_REPEATS + """SELECT page_id, block_no::BIGINT AS block_no, md FROM candidates c
+WHERE NOT EXISTS (SELECT 1 FROM host_repeats h JOIN host_texts t ON t.host = h.host AND t.text_hash = h.text_hash
+                  WHERE t.page_id = c.page_id AND t.block_no = c.block_no)"""),
     "page_markdown": _w("SELECT page_id, url, markdown FROM page_markdown"),
     "size_saving": "WITH " + O.chain(PAGES_SQL).lstrip() + "," + O.saving_by_host_sql("size_saving"),
 }

@@ -1,14 +1,16 @@
 """Registered queries of J3 (redirect resolution) and J4 (response routing)."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagemark.api import verdict_table
 from pagemark.operators import responses as R
 from pagemark.plans import oracle_admission as OA
 from pagemark.plans import oracle_blocks as O
-from pagemark.session import cut_lineage
-from pagemark.sources import derived
+from pagemark.session import cut_lineage, tables_dir
+from pagemark.sources import derived, files
 
 
 def verdicts(spark, sf_dir):
@@ -39,6 +41,15 @@ def q_redirect_chain(spark, sf_dir):
                     "message")
 
 
+def q_response_scan(spark, sf_dir):
+    """A2: captured responses written as JSON lines with header pairs and read back."""
+    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
+    files.write_captured(derived.responses(spark, sf_dir).drop("page_id"), path)
+    r = files.read_responses(spark, path)
+    return r.select("url", F.col("status").cast("long").alias("status"), F.col("headers")["content-type"].alias("content_type"),
+                    F.col("headers")["location"].alias("location"), F.md5("body").alias("body_md5"), "elapsed_ms", "error")
+
+
 def q_response_routing(spark, sf_dir):
     """Which tier answers each admitted URL."""
     _, r = routed(spark, sf_dir)
@@ -59,6 +70,7 @@ def q_render_queue(spark, sf_dir):
 
 
 QUERIES = {
+    "response_scan": q_response_scan,
     "redirect_chain": q_redirect_chain,
     "response_routing": q_response_routing,
     "shell_pages": q_shell_pages,
@@ -159,6 +171,8 @@ routed AS (
 
 CHAIN = _chain_sql()
 ORACLE = {
+    "response_scan": "WITH " + RESPONSES_SQL.strip() + """
+SELECT url, status::BIGINT AS status, ctype AS content_type, location, md5(body) AS body_md5, elapsed_ms::BIGINT AS elapsed_ms, error FROM resp""",
     "redirect_chain": CHAIN + """
 SELECT start_url AS url, hops::BIGINT AS hops, final_url, path, outcome, http_status::BIGINT AS http_status, message
 FROM walked2""",

@@ -3,11 +3,14 @@ file stream through the stateful operator and returns the sink read back,
 so it is checked against the same DuckDB twin as its batch form."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagemark.operators import policy as P
 from pagemark.plans import policy_job as PJ
-from pagemark.sources import derived
+from pagemark.session import tables_dir
+from pagemark.sources import derived, files
 from pagemark.streaming import stateful as W
 from pagemark.streaming.replay import run_stream
 
@@ -70,7 +73,22 @@ def q_stream_first_lookups(spark, sf_dir):
     return out.select("host", F.col("port").cast("long").alias("port"), F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
 
+def q_stream_capture_scan(spark, sf_dir):
+    """A3: render captures written as JSON lines in two deliveries and read as a stream
+    that takes a few files a micro-batch and runs on from its checkpoint."""
+    base = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
+    caps = derived.snapshot_pages(spark, sf_dir).withColumn("ts", F.timestamp_millis(F.lit(1704067200000) + F.col("elapsed_ms")))
+    for early in (True, False):
+        files.write_captured(caps.where((F.col("elapsed_ms") < 1000) == F.lit(early)).drop("page_id"), f"{base}/in")
+        stream = files.read_captures(spark, f"{base}/in", stream=True, max_files=8)
+        (stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/chk").option("path", f"{base}/out")
+         .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(f"{base}/out").select(
+        "url", "elapsed_ms", "capture_mode", F.unix_millis("ts").alias("ts_ms"), F.md5("html").alias("html_md5"), "error")
+
+
 QUERIES = {
+    "stream_capture_scan": q_stream_capture_scan,
     "stream_first_lookups": q_stream_first_lookups,
     "stream_admission": q_stream_admission,
     "stream_snapshots": q_stream_snapshots,
@@ -80,7 +98,7 @@ QUERIES = {
 }
 
 from pagemark.plans.admission_job import ORACLE as _ADMISSION  # noqa: E402
-from pagemark.plans.snapshots_job import ORACLE as _SNAP_ORACLE  # noqa: E402
+from pagemark.plans.snapshots_job import ORACLE as _SNAP_ORACLE, snapshots_sql  # noqa: E402
 
 # A lookup at slot e is forgotten once the watermark, the latest slot seen less one, has
 # passed e + 1: at e + 2, when that slot's rows have been judged. Slot e + 3 counts again.
@@ -93,7 +111,12 @@ f AS (SELECT host, port, unnest([CASE WHEN s0 THEN 0 END, CASE WHEN s1 AND NOT s
     CASE WHEN s3 AND NOT (s1 AND NOT s0) AND NOT (s2 AND NOT s0 AND NOT s1) THEN 3 END]) AS slot FROM p)
 SELECT host, port::BIGINT AS port, strftime(TIMESTAMP '2024-01-01' + slot * INTERVAL 8 DAY, '%Y-%m-%d') AS day FROM f WHERE slot IS NOT NULL"""
 
+CAPTURES_SQL = "WITH " + snapshots_sql("coalesce(html, '')", "'<p>flicker ' || poll || '</p>'", "'<p>headed</p>'").strip() + """
+SELECT url, elapsed_ms::BIGINT AS elapsed_ms, capture_mode, 1704067200000 + elapsed_ms AS ts_ms, md5(md) AS html_md5, NULL::VARCHAR AS error FROM captures
+UNION ALL SELECT url, 500, 'headless', 1704067200500, NULL, 'page ' || page_id || ' closed' FROM pages WHERE page_id % 13 = 4"""
+
 ORACLE = {
+    "stream_capture_scan": CAPTURES_SQL,
     "stream_first_lookups": FIRST_LOOKUPS_SQL,
     "stream_admission": _ADMISSION["url_admission"],
     "stream_snapshots": _SNAP_ORACLE["snapshot_stable"],

@@ -183,6 +183,21 @@ def address_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("event_id", F.inline(forms))
 
 
+def address_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range table of more blocks than a CASE could hold: per order line a block of 12
+    to 32 bits at a place given by its key, and around every event's address four
+    nested ones: (cidr, label)."""
+    li = tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    base = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) * F.lit(2654435761) % F.lit(4294967296)
+    own = li.select(F.concat(_quad(base), F.lit("/"), (F.lit(12) + (F.col("l_orderkey") + F.col("l_linenumber")) % 21).cast("string")).alias("cidr"),
+                    F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string")).alias("label"))
+    ev = tables.table(spark, sf_dir, "events").select("event_id")
+    around = ev.select("event_id", F.explode(F.array(*[F.lit(x) for x in (16, 20, 25, 31)])).alias("bits"))
+    near = around.select(F.concat(_quad((F.col("event_id") * F.lit(2654435761)) % F.lit(4294967296)), F.lit("/"), F.col("bits").cast("string")).alias("cidr"),
+                         F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("label"))
+    return own.unionByName(near)
+
+
 WAIT_UNTIL = ("load", "domcontentloaded", "networkidle", "commit")
 
 

@@ -64,6 +64,67 @@ def read_requests(spark: SparkSession, path: str, stream: bool = False) -> DataF
     return reader.schema(REQUEST_SCHEMA).json(path)
 
 
+RESPONSE_SCHEMA = T.StructType([
+    T.StructField("url", T.StringType()),
+    T.StructField("status", T.IntegerType()),
+    T.StructField("headers", T.ArrayType(HEADER)),
+    T.StructField("body", T.StringType()),
+    T.StructField("elapsed_ms", T.LongType()),
+    T.StructField("error", T.StringType()),
+])
+CAPTURE_SCHEMA = T.StructType([
+    T.StructField("url", T.StringType()),
+    T.StructField("ts", T.TimestampType()),
+    T.StructField("elapsed_ms", T.LongType()),
+    T.StructField("capture_mode", T.StringType()),
+    T.StructField("html", T.StringType()),
+    T.StructField("error", T.StringType()),
+])
+BROKEN = "_broken"
+
+
+def _captured(spark: SparkSession, path: str, schema: T.StructType, stream: bool, max_files: int | None) -> DataFrame:
+    """JSON lines of captures. Lines that are no such record are left out, as nobody can
+    tell their URL; ``stream`` reads files as they come, each once (Spark's file
+    offsets), at most ``max_files`` a micro-batch."""
+    reader = (spark.readStream if stream else spark.read).schema(T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())]))
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN)
+    if stream and max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    rows = reader.json(path)
+    return rows.where(F.col("url").isNotNull()).drop(BROKEN)
+
+
+def read_responses(spark: SparkSession, path: str, stream: bool = False, max_files: int | None = None) -> DataFrame:
+    """A2: captured responses as JSON lines, headers as name/value pairs the way servers
+    write them. Header names are lower-cased here, once; of a repeated name the
+    last value holds, except that ``location`` keeps its first, as clients do.
+    Gives ``url, status, headers`` (map) ``, body, elapsed_ms, error``."""
+    rows = _captured(spark, path, RESPONSE_SCHEMA, stream, max_files)
+    pairs = F.filter("headers", lambda h: h["name"].isNotNull())
+    lowered = F.transform(pairs, lambda h: F.struct(F.lower(F.trim(h["name"])).alias("name"), F.trim(h["value"]).alias("value")))
+    place = F.filter(lowered, lambda h: h["name"] == "location")
+    headers = F.map_from_entries(F.concat(lowered, F.slice(place, 1, 1)))   # the last of a name wins (session setting)
+    return rows.select("url", "status", headers.alias("headers"), "body", "elapsed_ms", "error")
+
+
+def read_captures(spark: SparkSession, path: str, stream: bool = False, max_files: int | None = None) -> DataFrame:
+    """A3: render captures as JSON lines, batch or stream: ``url, ts, elapsed_ms,
+    capture_mode`` (headless unless said) ``, html, error``."""
+    rows = _captured(spark, path, CAPTURE_SCHEMA, stream, max_files)
+    return rows.withColumn("capture_mode", F.coalesce("capture_mode", F.lit("headless")))
+
+
+def write_captured(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """JSON lines as ``read_responses`` and ``read_captures`` take them; a map of headers
+    becomes pairs."""
+    kind = dict(rows.dtypes).get("headers", "")
+    if kind.startswith("map"):
+        rows = rows.withColumn("headers", F.transform(F.map_entries("headers"), lambda e: F.struct(
+            e["key"].alias("name"), e["value"].alias("value"))))
+    rows.write.mode(mode).json(path)
+
+
 def write_outcomes(outcomes: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Outcome sink, one directory per status."""
     outcomes.write.mode(mode).partitionBy("status").parquet(path)

@@ -43,3 +43,14 @@ def test_page_markdown(spark):
         "see, among much plain text around them, [**bold link**](http://t.example/d/x), [plain](http://t.example/y).",
         "**a *b*** **c *d***", "next done"]
     assert got[7].split("\n\n") == ["1. one", "- in", "- out", "2. two", "1. new"]
+
+
+def test_host_boilerplate(spark):
+    """What one host repeats but for case, numbers and blanks goes; the same text elsewhere stays."""
+    from pagemark.operators import blocks as B
+    body = "<p>Own text of page {0}, {1} words long</p><p>Visitor  no. {0}</p><p>SEE ALSO</p>"
+    names = ["alpha", "beta", "gamma"]
+    rows = [(i, f"http://a.test/{i}", body.format(i, names[i])) for i in range(3)] + [(9, "http://b.test/9", "<p>see also</p><p>Visitor no. 4</p>")]
+    blocks = B.block_markdown(B.page_blocks(B.page_tokens(spark.createDataFrame(rows, "page_id long, url string, html string"))))
+    kept = sorted((r["page_id"], r["md"]) for r in B.kept_blocks(blocks, scope="host", min_pages=3).collect())
+    assert kept == [(i, f"Own text of page {i}, {names[i]} words long") for i in range(3)] + [(9, "Visitor no. 4"), (9, "see also")]

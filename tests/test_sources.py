@@ -35,3 +35,28 @@ def test_request_log_json(spark):
                             "client_ip": "1.2.3.4"}) + "\n")
     r = files.read_requests(spark, f"{d}/r.json").collect()[0]
     assert r.headers[0].name == "Host" and r.client_ip == "1.2.3.4"
+
+
+def test_captured_responses(spark, tmp_path):
+    """Header names of any case and repeats; lines that are no capture are left out."""
+    lines = [{"url": "http://a/", "status": 200, "headers": [{"name": "Content-TYPE ", "value": " text/html"}, {"name": "X", "value": "1"}, {"name": "x", "value": "2"}], "body": "b", "elapsed_ms": 5},
+             {"url": "http://b/", "status": 301, "headers": [{"name": "Location", "value": "/1"}, {"name": "LOCATION", "value": "/2"}, {"name": None, "value": "z"}]},
+             {"url": "http://c/", "error": "connect error"}, {"status": 200}]
+    path = tmp_path / "r"
+    path.mkdir()
+    (path / "one.json").write_text("\n".join(map(json.dumps, lines)) + "\nnot json\n[1, 2]\n\n")
+    got = {r.url: r for r in files.read_responses(spark, str(path)).collect()}
+    assert sorted(got) == ["http://a/", "http://b/", "http://c/"]
+    assert got["http://a/"].headers == {"content-type": "text/html", "x": "2"} and got["http://a/"].body == "b"
+    assert got["http://b/"].headers == {"location": "/1"}
+    assert got["http://c/"].headers is None and got["http://c/"].error == "connect error" and got["http://c/"].status is None
+
+
+def test_written_captures_are_read(spark, tmp_path):
+    rows = spark.createDataFrame([("u", 200, {"A": "1"}, "t", 3, None), ("v", None, None, None, None, "e")],
+                                 "url string, status int, headers map<string,string>, body string, elapsed_ms long, error string")
+    files.write_captured(rows, f"{tmp_path}/r")
+    assert {r.url: r.headers for r in files.read_responses(spark, f"{tmp_path}/r").collect()} == {"u": {"a": "1"}, "v": None}
+    caps = spark.createDataFrame([("u", 1, "<p>", None)], "url string, elapsed_ms long, html string, capture_mode string")
+    files.write_captured(caps, f"{tmp_path}/c")
+    assert [(r.capture_mode, r.html) for r in files.read_captures(spark, f"{tmp_path}/c").collect()] == [("headless", "<p>")]

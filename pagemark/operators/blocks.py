@@ -19,6 +19,17 @@ from pagemark.functions.urls import host, resolve, trimmed
 INLINE = tuple(name for name, _ in H.MARKS) + ("a",)
 
 
+CELLS = ("td", "th")
+
+
+def _span(head, name: str, most: int):
+    """A span attribute, 1 when it has none or no number, at most ``most`` (HTML's bound);
+    a rowspan of 0 reaches to the end of the table."""
+    n = F.regexp_extract(F.coalesce(H.attribute(head, name), F.lit("")), "^[ \t\r\n\f]*[+]?0*([0-9]+)", 1)
+    value = F.when(F.length(n) > 5, most).when(n != "", F.least(n.try_cast("int"), F.lit(most)))
+    return F.coalesce(F.when(value == 0, most if name == "rowspan" else 1).otherwise(value), F.lit(1))
+
+
 def _solid(text):
     """Text without white space: what decides whether a mark has content."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), H.WS_RE, "")
@@ -168,6 +179,8 @@ def render_tokens(t: DataFrame) -> DataFrame:
         "*", F.when(F.col("pre_depth") > 0, F.col("raw")).otherwise(F.concat(before, txt)).alias("piece"),
         F.when(loose, F.struct((-F.col("pos")).alias("order"), "solid_before", F.concat(
             F.lit(H.CLOSE), F.when(mark == "a", link(F.col("href"))).otherwise(sign)).alias("mark"))).alias("tail"),
+        F.when(tag.isin(*CELLS), _span(F.col("head"), "colspan", 1000)).alias("span_cols"),
+        F.when(tag.isin(*CELLS), _span(F.col("head"), "rowspan", 65534)).alias("span_rows"),
         F.when(F.col("link_depth") > 0, F.length(inner)).otherwise(0).alias("link_chars"),
         F.length(F.when(F.col("pre_depth") > 0, F.col("raw")).otherwise(txt)).alias("vis_chars"))
 
@@ -199,6 +212,8 @@ def page_blocks(tokens: DataFrame) -> DataFrame:
         first("ad_depth").alias("ad_depth"),
         first("table_no").alias("table_no"),
         first("row_no").alias("row_no"),
+        first("span_cols").alias("span_cols"),
+        first("span_rows").alias("span_rows"),
         F.collect_list("tail").alias("tails"),
         F.max("html_chars").alias("html_chars"),
         F.max("solid").alias("solid"),
@@ -224,43 +239,103 @@ def list_state(blocks: DataFrame) -> DataFrame:
         "list_no": F.sum(F.when(tag.isin("ul", "ol"), 1).otherwise(0)).over(at)})
 
 
+def _slots(cells):
+    """A row's cells as grid places: text and rows of a cell, then empty ones for its
+    other columns."""
+    return F.flatten(F.transform(cells, lambda c: F.concat(
+        F.array(F.struct(c["text"].alias("text"), c["rows"].alias("rows"))),
+        F.array_repeat(F.struct(F.lit("").alias("text"), c["rows"].alias("rows")), c["cols"] - 1))))
+
+
+def table_grid(rows):
+    """Array of rows (arrays of ``text, cols, rows``) to an array of lines (arrays of
+    texts). A cell stands in its first place; places that it spans are empty. What
+    spans into the next rows is carried as rows left per column; a row's own places
+    fill the columns that are free."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def place(state, row):
+        carry, slots = state["carry"], _slots(row)
+        free = F.size(F.filter(carry, lambda x: x == 0))
+        columns = F.concat(carry, F.array_repeat(F.lit(0), F.greatest(F.size(slots) - free, F.lit(0))))
+
+        def at(columns, slots):
+            # The place of column i: the k-th of the row's own, k the free columns before it.
+            own = lambda i: F.get(slots, F.size(F.filter(F.slice(columns, 1, i), lambda x: x == 0)))
+            line = F.transform(columns, lambda left, i: F.when(left > 0, "").otherwise(F.coalesce(own(i)["text"], F.lit(""))))
+            left = F.transform(columns, lambda left, i: F.when(left > 0, left - 1).otherwise(F.coalesce(own(i)["rows"] - 1, F.lit(0))))
+            return F.named_struct(F.lit("carry"), left, F.lit("lines"), F.concat(state["lines"], F.array(line)))
+
+        both = F.named_struct(F.lit("columns"), columns, F.lit("slots"), slots)
+        return F.transform(F.array(both), lambda x: at(x["columns"], x["slots"]))[0]
+
+    start = F.named_struct(F.lit("carry"), none, F.lit("lines"), F.expr("cast(array() as array<array<string>>)"))
+    spanned = F.aggregate(rows, start, place, lambda s: s["lines"])
+    plain = F.transform(rows, lambda r: F.transform(_slots(r), lambda s: s["text"]))
+    return F.when(F.exists(rows, lambda r: F.exists(r, lambda c: c["rows"] > 1)), spanned).otherwise(plain)
+
+
+def _cell_state(blocks: DataFrame) -> DataFrame:
+    """``_cell`` (number of the table cell that a block lies in, null outside cells) and
+    ``_opens`` (the block opens it). A cell reaches to its closer, the next cell or the
+    end of its row."""
+    tag = F.col("tag")
+    order = Window.partitionBy("page_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opens = tag.isin(*CELLS) & (F.col("tbl_depth") > 0)
+    turns = F.when(opens, True).when(tag.isin("tr", "table", *H.closers(("tr", "table", *CELLS))), False)
+    inside = F.last(turns, True).over(order)
+    return blocks.withColumns({
+        "_opens": opens, "_cell": F.when(inside, F.sum(opens.cast("int")).over(order))})
+
+
 def block_markdown(blocks: DataFrame) -> DataFrame:
-    """D8 + D9: Markdown of each block. Table cells fold into one pipe row per
-    `tr`, carried by the row's first cell (header rule after the first row of
-    each table); the other cells of the row become empty. All windows are on
-    the page partitioning, so this is one pass without a shuffle."""
+    """D8 + D9: Markdown of each block. A table's cells, empty ones too, fold into one pipe
+    row per `tr`, carried by the row's first cell (header rule after the first row
+    that shows anything); other blocks of the row become empty. Cells hold the
+    texts of all blocks inside them; `|` is escaped. All windows are on the page
+    partitioning, so this is one pass without a shuffle."""
     tag = F.col("tag")
     text = F.col("text")
-    is_cell = tag.isin("td", "th") & (F.col("tbl_depth") > 0) & (text != "")
-    # Non-cells get a row key of their own (block_no), so row windows only
-    # ever span the cells of one table row.
-    b = list_state(blocks).withColumn("_cell", is_cell).withColumn(
-        "_row", F.when(F.col("_cell"), F.col("row_no")).otherwise(-F.col("block_no") - 1))
+    b = _cell_state(list_state(blocks))
+    in_cell = F.col("_cell").isNotNull()
+    # Blocks outside cells get a key of their own, so these windows only ever span the
+    # blocks of one cell, the cells of one row, the rows of one table.
+    everything = (Window.unboundedPreceding, Window.unboundedFollowing)
+    cell_all = Window.partitionBy("page_id", F.when(in_cell, F.col("_cell")).otherwise(-F.col("block_no") - 1)).orderBy("block_no").rowsBetween(*everything)
+    texts = F.array_join(F.filter(F.collect_list(F.when(in_cell, text)).over(cell_all), lambda t: t != ""), " ")
+    b = b.withColumns({"_text": F.when(F.col("_opens"), F.replace(H.collapse_ws(texts), F.lit("|"), F.lit("\\|"))),
+                       "_links": F.sum("link_chars").over(cell_all), "_vis": F.sum("vis_chars").over(cell_all)})
+    b = b.withColumn("_row", F.when(F.col("_opens"), F.col("row_no")).otherwise(-F.col("block_no") - 1))
     row_w = Window.partitionBy("page_id", "table_no", "_row").orderBy("block_no")
-    row_all = row_w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    row_all = row_w.rowsBetween(*everything)
+    cell = F.struct(F.col("_text").alias("text"), F.col("span_cols").alias("cols"), F.col("span_rows").alias("rows"))
     b = b.withColumns({
-        "_cells": F.array_join(F.collect_list(F.when(F.col("_cell"), text)).over(row_all), " | "),
-        "_n_cells": F.count(F.lit(1)).over(row_all),
-        "_row_rank": F.row_number().over(row_w),
-        "_row_links": F.sum("link_chars").over(row_all),
-        "_row_vis": F.sum("vis_chars").over(row_all)})
-    b = b.withColumn("_first_row", F.min(F.when(F.col("_cell"), F.col("row_no"))).over(
-        Window.partitionBy("page_id", "table_no")))
-    row_md = F.concat(F.lit("| "), F.col("_cells"), F.lit(" |"))
-    row_md = F.when(F.col("row_no") == F.col("_first_row"),
-                    F.concat(row_md, F.lit("\n|"), F.expr("repeat(' --- |', int(_n_cells))"))).otherwise(row_md)
+        "_cells": F.collect_list(F.when(F.col("_opens"), cell)).over(row_all),
+        "_first_cell": F.col("_opens") & (F.row_number().over(row_w) == 1),
+        "_row_links": F.sum("_links").over(row_all), "_row_vis": F.sum("_vis").over(row_all)})
+    table_w = Window.partitionBy("page_id", "table_no", F.when(F.col("_first_cell"), -1).otherwise(F.col("block_no"))).orderBy("block_no")
+    b = b.withColumns({"_at": F.when(F.col("_first_cell"), F.row_number().over(table_w)),
+                       "_rows": F.collect_list(F.when(F.col("_first_cell"), F.col("_cells"))).over(table_w.rowsBetween(*everything))})
+    # Placed once a table, at its first row; the other rows look their line up.
+    b = b.withColumn("_grid", F.first(F.when(F.col("_at") == 1, table_grid(F.col("_rows"))), True).over(table_w.rowsBetween(*everything)))
+    shown = lambda line: F.exists(line, lambda t: t != "")
+    line = F.get("_grid", F.col("_at") - 1)
+    header = F.array_position(F.transform("_grid", shown), True)
+    row_md = F.concat(F.lit("| "), F.array_join(line, " | "), F.lit(" |"))
+    row_md = F.when(F.col("_at") == header, F.concat(row_md, F.lit("\n|"), F.repeat(F.lit(" --- |"), F.size(line)))).otherwise(row_md)
+    row_md = F.when(shown(line), row_md).otherwise(F.lit(""))
     level = F.when(tag.isin(*H.HEADINGS), F.substring(tag, 2, 1).cast("int"))
     li_ol = (tag == "li") & (F.col("list_kind") == "ol")
     num = F.row_number().over(Window.partitionBy("page_id", "list_level", "list_no", li_ol).orderBy("block_no"))
-    md = (F.when(F.col("_cell"), F.when(F.col("_row_rank") == 1, row_md).otherwise(F.lit("")))
+    md = (F.when(in_cell, F.when(F.col("_first_cell"), row_md).otherwise(F.lit("")))
           .when(text == "", F.lit(""))
           .when(level.isNotNull(), F.concat(F.expr("repeat('#', int(substring(tag, 2, 1)))"), F.lit(" "), text))
           .when(li_ol, F.concat(num.cast("string"), F.lit(". "), text))
           .when(tag == "li", F.concat(F.lit("- "), text))
           .when(F.col("pre_depth") > 0, F.concat(F.lit("```\n"), text, F.lit("\n```")))
           .otherwise(text))
-    md = F.when((F.col("quote_depth") > 0) & ~F.col("_cell") & (md != ""), F.concat(F.lit("> "), md)).otherwise(md)
-    first_cell = F.col("_cell") & (F.col("_row_rank") == 1)
+    md = F.when((F.col("quote_depth") > 0) & ~in_cell & (md != ""), F.concat(F.lit("> "), md)).otherwise(md)
+    first_cell = F.col("_first_cell") & (md != "")
     return b.select(
         "page_id", "url", "html_chars", "block_no", F.when(first_cell, F.lit("tr")).otherwise(tag).alias("tag"),
         md.alias("md"), "chrome_depth", "main_depth", "ad_depth",

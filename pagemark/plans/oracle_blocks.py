@@ -84,6 +84,12 @@ def attr_rows_sql(rel: str, keys: str) -> str:
             f" QUALIFY row_number() OVER (PARTITION BY {keys}, n ORDER BY k) = 1)")
 
 
+def span_sql(name: str, most: int, zero: int) -> str:
+    """A span attribute's number, 1 when it has none."""
+    n = f"regexp_extract(coalesce({attr_sql('head', name)}, ''), {q(f'^[{SP}]*[+]?0*([0-9]+)')}, 1)"
+    return (f"CASE WHEN {n} = '' THEN 1 WHEN length({n}) > 5 THEN {most} WHEN {n}::INT = 0 THEN {zero} ELSE least({n}::INT, {most}) END")
+
+
 def collapse_sql(x: str) -> str:
     return f"regexp_replace({x}, {q(BLANK)}, ' ', 'g')"
 
@@ -243,6 +249,8 @@ rendered AS (
       WHEN closer THEN chr(2) || CASE mtag WHEN 'a' THEN {link('href0')} ELSE {sign} END || txt
       ELSE txt END AS piece,
     CASE WHEN opener AND NOT coalesce(closed, false) THEN chr(2) || CASE mtag WHEN 'a' THEN {link('href')} ELSE {sign} END END AS tail,
+    CASE WHEN tag IN ('td', 'th') THEN {span_sql('colspan', 1000, 1)} END AS span_cols,
+    CASE WHEN tag IN ('td', 'th') THEN {span_sql('rowspan', 65534, 65534)} END AS span_rows,
     CASE WHEN link_depth > 0 THEN length(inner_t) ELSE 0 END AS link_chars,
     length(CASE WHEN pre_depth > 0 THEN raw_t ELSE txt END) AS vis_chars
   FROM judged),
@@ -263,6 +271,8 @@ blocks_raw AS (
     arg_min_null(ad_depth, pos) AS ad_depth,
     arg_min_null(table_no, pos) AS table_no,
     arg_min_null(row_no, pos) AS row_no,
+    arg_min_null(span_cols, pos) AS span_cols,
+    arg_min_null(span_rows, pos) AS span_rows,
     sum(link_chars) AS link_chars,
     sum(vis_chars) AS vis_chars
   FROM rendered GROUP BY page_id, url, block_no),
@@ -284,29 +294,51 @@ page_blocks AS (
   SELECT *, last_value(CASE WHEN tag IN ('ul', 'ol') THEN tag END IGNORE NULLS) OVER l AS list_kind,
     sum(CASE WHEN tag IN ('ul', 'ol') THEN 1 ELSE 0 END) OVER l AS list_no
   FROM list_levels WINDOW l AS (PARTITION BY page_id, list_level ORDER BY block_no)),
+celled AS (
+  SELECT *, CASE WHEN last_value(turn IGNORE NULLS) OVER o THEN sum(opens::INT) OVER o END AS cell FROM (
+    SELECT *, coalesce(tag IN ('td', 'th') AND tbl_depth > 0, false) AS opens,
+      CASE WHEN tag IN ('td', 'th') AND tbl_depth > 0 THEN true WHEN tag IN ('tr', 'table', '/tr', '/table', '/td', '/th') THEN false END AS turn
+    FROM page_blocks)
+  WINDOW o AS (PARTITION BY page_id ORDER BY block_no)),
 cells AS (
-  SELECT * FROM page_blocks WHERE tag IN ('td', 'th') AND tbl_depth > 0 AND text <> ''),
+  SELECT o.*, c.cell_text, c.links, c.vis FROM (SELECT * FROM celled WHERE opens) o JOIN (
+    SELECT page_id, cell, sum(link_chars) AS links, sum(vis_chars) AS vis,
+      replace({collapse_sql("coalesce(string_agg(text, ' ' ORDER BY block_no) FILTER (text <> ''), '')")}, '|', '\\|') AS cell_text
+    FROM celled WHERE cell IS NOT NULL GROUP BY ALL) c ON c.page_id = o.page_id AND c.cell = o.cell),
 row_agg AS (
   SELECT page_id, url, table_no, row_no, min(block_no) AS block_no,
-    string_agg(text, ' | ' ORDER BY block_no) AS cells, count(*) AS n_cells,
+    list({{'t': cell_text, 'c': span_cols, 'n': span_rows}} ORDER BY block_no) AS cells,
     arg_min_null(chrome_depth, block_no) AS chrome_depth,
     arg_min_null(main_depth, block_no) AS main_depth,
     arg_min_null(ad_depth, block_no) AS ad_depth,
-    sum(link_chars) AS link_chars, sum(vis_chars) AS vis_chars
+    sum(links) AS link_chars, sum(vis) AS vis_chars
   FROM cells GROUP BY page_id, url, table_no, row_no),
+row_places AS (
+  SELECT *, list(cells) OVER (PARTITION BY page_id, table_no ORDER BY block_no ROWS UNBOUNDED PRECEDING) AS upto FROM row_agg),
+row_lines AS (
+  SELECT * EXCLUDE (upto, cells), list_reduce(
+    list_prepend({{'carry': []::INT[], 'line': []::VARCHAR[], 'slots': []::STRUCT(t VARCHAR, n INT)[]}},
+      list_transform(upto, lambda r: {{'carry': []::INT[], 'line': []::VARCHAR[], 'slots': flatten(list_transform(r, lambda c:
+        list_prepend({{'t': c.t, 'n': c.n::INT}}, list_transform(range(c.c - 1), lambda x: {{'t': '', 'n': c.n::INT}}))))}})),
+    lambda s, r: list_transform([list_concat(s.carry, list_transform(range(greatest(len(r.slots) - len(list_filter(s.carry, lambda x: x = 0)), 0)), lambda x: 0::INT))],
+      lambda cols: {{
+        'carry': list_transform(cols, lambda k, i: CASE WHEN k > 0 THEN k - 1
+          ELSE coalesce(r.slots[len(list_filter(cols[:i], lambda x: x = 0))].n - 1, 0) END::INT),
+        'line': list_transform(cols, lambda k, i: CASE WHEN k > 0 THEN '' ELSE coalesce(r.slots[len(list_filter(cols[:i], lambda x: x = 0))].t, '') END),
+        'slots': r.slots}})[1]).line AS line
+  FROM row_places),
+shown_rows AS (SELECT *, min(block_no) OVER (PARTITION BY page_id, table_no) AS header FROM row_lines WHERE len(list_filter(line, lambda t: t <> '')) > 0),
 table_rows AS (
   SELECT page_id, url, block_no, 'tr' AS tag,
-    CASE WHEN row_no = min(row_no) OVER (PARTITION BY page_id, table_no)
-         THEN '| ' || cells || ' |' || chr(10) || '|' || repeat(' --- |', n_cells::INT)
-         ELSE '| ' || cells || ' |' END AS md,
+    '| ' || array_to_string(line, ' | ') || ' |' || CASE WHEN block_no = header THEN chr(10) || '|' || repeat(' --- |', len(line)::INT) ELSE '' END AS md,
     chrome_depth, main_depth, ad_depth, link_chars, vis_chars AS chars
-  FROM row_agg),
+  FROM shown_rows),
 other_blocks AS (
   SELECT *, (tag = 'li' AND list_kind = 'ol') AS li_ol
-  FROM page_blocks WHERE NOT coalesce(tag IN ('td', 'th') AND tbl_depth > 0 AND text <> '', false)),
+  FROM celled),
 other_md AS (
   SELECT page_id, url, block_no, tag,
-    CASE WHEN text = '' THEN ''
+    CASE WHEN text = '' OR cell IS NOT NULL THEN ''
          WHEN tag IN {inlist(TITLES)} THEN repeat('#', substring(tag, 2, 1)::INT) || ' ' || text
          WHEN li_ol THEN (row_number() OVER (PARTITION BY page_id, list_level, list_no, li_ol ORDER BY block_no))::VARCHAR || '. ' || text
          WHEN tag = 'li' THEN '- ' || text
@@ -318,7 +350,7 @@ block_markdown AS (
   SELECT page_id, url, block_no, tag,
     CASE WHEN quote_depth > 0 AND md0 <> '' THEN '> ' || md0 ELSE md0 END AS md,
     chrome_depth, main_depth, ad_depth, link_chars, chars
-  FROM other_md
+  FROM other_md WHERE NOT EXISTS (SELECT 1 FROM table_rows t WHERE t.page_id = other_md.page_id AND t.block_no = other_md.block_no)
   UNION ALL
   SELECT * FROM table_rows),
 block_features AS (

@@ -10,7 +10,7 @@ from pagemark.functions.urls import resolve
 from pagemark.plans import oracle_blocks as O
 from pagemark.session import cut_lineage
 from pagemark.sources import tables
-from pagemark.sources.derived import SLOPPY, SLOPPY_ARTICLE, nested_pages, region_table_pages, sloppy_pages
+from pagemark.sources.derived import SLOPPY, SLOPPY_ARTICLE, nested_pages, region_table_pages, sloppy_pages, supplier_table_pages
 
 PAGES_SQL = "SELECT page_id, url, html FROM pages"
 
@@ -68,8 +68,8 @@ def q_block_markdown(spark, sf_dir):
 
 
 def q_table_markdown(spark, sf_dir):
-    """D9 on pages built from the region and nation tables (one table each)."""
-    pages = region_table_pages(spark, sf_dir)
+    """D9 on pages built from the region, nation and supplier tables (one table each)."""
+    pages = region_table_pages(spark, sf_dir).unionByName(supplier_table_pages(spark, sf_dir))
     return M.page_markdown(pages, scope="none").select("page_id", "url", "markdown")
 
 
@@ -165,7 +165,14 @@ SELECT r.r_regionkey::BIGINT AS page_id,
                 ORDER BY n.n_nationkey)
   || '</table></article></body></html>' AS html
 FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey
-GROUP BY r.r_regionkey, r.r_name"""
+GROUP BY r.r_regionkey, r.r_name
+UNION ALL
+SELECT s_nationkey::BIGINT + 100, 'https://tables.example/nation/' || s_nationkey,
+  '<article><table><tr><td></td></tr><tr><th rowspan=2>key<th colspan=2>name|alias<th>&nbsp;</tr>' || string_agg(
+    '<tr><td rowspan="' || (s_suppkey % 3) || '">' || s_suppkey || '</td><td colspan=' || (s_suppkey % 4) || '><p>' || s_name
+    || '</p><ul><li>a|b</li></ul></td><td></td><td rowspan=2>r' || s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '</td></tr>' ELSE '<td>' END,
+    '' ORDER BY s_suppkey) || '</table><p>below</p></article>'
+FROM supplier GROUP BY s_nationkey"""
 
 NESTED_PAGES_SQL = """
 SELECT page_id, url, 'Lead it&#8217;s &mdash; caf&eacute; &#xE9;&unknown;&#0; ' || page_id

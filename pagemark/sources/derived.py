@@ -10,6 +10,22 @@ from pyspark.sql import functions as F
 from pagemark.sources import tables
 
 
+def supplier_table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One HTML page per nation with a table of its suppliers: cells that span rows and
+    columns, empty ones, bars and blocks inside cells, rows that close nothing."""
+    s = tables.table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", "s_name")
+    key = F.col("s_suppkey").cast("string")
+    row = F.concat(F.lit('<tr><td rowspan="'), (F.col("s_suppkey") % 3).cast("string"), F.lit('">'), key, F.lit("</td><td colspan="),
+                   (F.col("s_suppkey") % 4).cast("string"), F.lit("><p>"), F.col("s_name"), F.lit("</p><ul><li>a|b</li></ul></td><td></td><td rowspan=2>r"), key,
+                   F.when(F.col("s_suppkey") % 2 == 0, F.lit("</td></tr>")).otherwise(F.lit("<td>")))
+    rows = s.select("s_nationkey", "s_suppkey", row.alias("tr")).groupBy("s_nationkey").agg(
+        F.expr("listagg(tr, '') WITHIN GROUP (ORDER BY s_suppkey)").alias("trs"))
+    return rows.select(
+        (F.col("s_nationkey") + 100).cast("long").alias("page_id"), F.concat(F.lit("https://tables.example/nation/"), F.col("s_nationkey").cast("string")).alias("url"),
+        F.concat(F.lit("<article><table><tr><td></td></tr><tr><th rowspan=2>key<th colspan=2>name|alias<th>&nbsp;</tr>"), F.col("trs"),
+                 F.lit("</table><p>below</p></article>")).alias("html"))
+
+
 def region_table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One HTML page per region holding a table of its nations (D9 input)."""
     r = tables.table(spark, sf_dir, "region")

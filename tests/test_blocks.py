@@ -1,4 +1,9 @@
 """Block contract (D1-D14) on small pages."""
+import random
+
+from pyspark.sql import functions as F
+
+from pagemark.operators import blocks as B
 from pagemark.operators import markdown as M
 
 PAGES = {
@@ -47,10 +52,52 @@ def test_page_markdown(spark):
 
 def test_host_boilerplate(spark):
     """What one host repeats but for case, numbers and blanks goes; the same text elsewhere stays."""
-    from pagemark.operators import blocks as B
+
     body = "<p>Own text of page {0}, {1} words long</p><p>Visitor  no. {0}</p><p>SEE ALSO</p>"
     names = ["alpha", "beta", "gamma"]
     rows = [(i, f"http://a.test/{i}", body.format(i, names[i])) for i in range(3)] + [(9, "http://b.test/9", "<p>see also</p><p>Visitor no. 4</p>")]
     blocks = B.block_markdown(B.page_blocks(B.page_tokens(spark.createDataFrame(rows, "page_id long, url string, html string"))))
     kept = sorted((r["page_id"], r["md"]) for r in B.kept_blocks(blocks, scope="host", min_pages=3).collect())
     assert kept == [(i, f"Own text of page {i}, {names[i]} words long") for i in range(3)] + [(9, "Visitor no. 4"), (9, "see also")]
+
+
+def _grid(rows):
+    """Lines of a table by placing its cells one by one on a grid."""
+    taken, lines = {}, []
+    for r, row in enumerate(rows):
+        line, col = {}, 0
+        for text, cols, span in row:
+            for k in range(cols):
+                while (r, col) in taken:
+                    col += 1
+                for below in range(1, min(span, len(rows) - r)):
+                    taken[r + below, col] = True
+                line[col] = text if k == 0 else ""
+                col += 1
+        width = max([*line, *(c for q, c in taken if q == r), -1]) + 1
+        lines.append([line.get(c, "") for c in range(width)])
+    return lines
+
+
+def test_table_grid_equals_placing_cells(spark):
+    rnd = random.Random(14)
+    tables = [[[(f"t{r}{c}", rnd.choice([1, 1, 2, 3]), rnd.choice([1, 1, 2, 4, 65534])) for c in range(rnd.randint(0, 4))] for r in range(rnd.randint(1, 6))] for _ in range(60)]
+    tables += [[], [[]], [[("a", 1, 1)]] * 3000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(tables)], "id long, rows array<array<struct<text:string,cols:int,rows:int>>>")
+    for r in df.select("id", B.table_grid(F.col("rows")).alias("g")).collect():
+        got, want = [list(x) for x in r["g"]], _grid(tables[r["id"]])
+        strip = lambda lines: ["|".join(x).rstrip("|") for x in lines]
+        assert strip(got) == strip(want), tables[r["id"]]
+
+
+def test_tables(spark):
+    htmls = ["<table><tr><td>a|b</td><td></td><td>c</td></tr><tr><td colspan=2>x</td><td>y<td>z</table><p>after</p>",
+             "<table><tr><th rowspan=2>A</th><th colspan='2'>B</th></tr><tr><td>c</td><td rowspan=0>d</td></tr><tr><td>e<td>f</tr><tr><td></td></tr></table>",
+             "<p>x</p><table><tr></tr><tr><td></td><td> </td></tr><tr><td><p>one</p><ul><li>two</li></ul></td><td><a href=/q>l</a></td></tr></table><ul><li>o</ul>",
+             "<td>loose</td><p>y</p>", "<table><tr><td colspan=99999999999 rowspan=x>w</td></tr></table>"]
+    df = spark.createDataFrame([(i, "http://h/", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    got = [r["markdown"] for r in M.page_markdown(df, scope="none").orderBy("page_id").collect()]
+    assert got[:4] == ["| a\\|b |  | c |\n| --- | --- | --- |\n\n| x |  | y | z |\n\nafter",
+                       "| A | B |  |\n| --- | --- | --- |\n\n|  | c | d |\n\n| e | f |  |",
+                       "x\n\n| one two | [l](http://h/q) |\n| --- | --- |\n\n- o", "loose\n\ny"]
+    assert got[4].startswith("| w |") and got[4].split("\n")[1].count("---") == 1000

@@ -40,6 +40,7 @@ DEFAULT_TTL_US = 60_000_000    # 60 s
 IDLE_EVICT_US = 3_600_000_000  # buckets idle for an hour may be dropped
 
 BLOCK_US = 3_600_000_000
+LEAST = -(1 << 62)
 
 
 @dataclass(frozen=True)
@@ -59,40 +60,55 @@ def _keyed(df: DataFrame, key: list[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumns({n: F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for n, k in zip(names, key)}), names
 
 
-def segments(df: DataFrame, key: list[str], ts: str, id_col: str, gap_us: int, block_us: int = BLOCK_US) -> DataFrame:
+def segments(df: DataFrame, key: list[str], ts: str, id_col: str, gap_us: int, block_us: int = BLOCK_US,
+             cost: int = 0, cap: int = 0) -> DataFrame:
     """Adds ``_seg``, the timestamp of the segment's first row, where a segment starts at a
-    key's first row or after a gap of at least ``gap_us``, and ``_block``, the bucket of
-    time.
+    key's first row or after a gap of at least ``gap_us``, ``_block``, the bucket of time,
+    and for a token bucket of ``cap`` and ``cost`` ``_level``, the level after each row if
+    none is rejected, and ``_calm``, whether none of the segment is.
 
     Skew-safe: windows run per (key, block), so a key with a third of all rows still
-    spreads over many tasks; what a block needs from earlier ones (last timestamp,
-    last segment start) comes from a per-(key, block) aggregate, a table of at most
-    one row per key and block.
+    spreads over many tasks. A block falls into pieces at its own gaps; what a piece
+    needs from earlier ones (last time, segment, rows, least values) comes from one
+    aggregate row per piece, joined back once.
+
+    As long as nothing is rejected, the level after row k of a segment is the least of
+    ``cap + (t_k - t_j) - cost * (k - j + 1)`` over all j up to k: a running minimum.
     """
-    d = df.withColumn("_block", F.floor(F.col(ts) / max(block_us, 1)).cast("long"))
+    t = F.col(ts)
+    d = df.withColumn("_block", F.floor(t / max(block_us, 1)).cast("long"))
     wb = Window.partitionBy(*key, "_block").orderBy(ts, id_col)
-    wk = Window.partitionBy(*key).orderBy("_block")
-    unit = [*key, "_block"]
+    so_far = wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("_prev", F.lag(ts).over(wb))
-    # Last timestamp of the non-empty block before.
-    ends = d.groupBy(*unit).agg(F.max(ts).alias("_end")).withColumn("_carry", F.lag("_end").over(wk))
-    d = d.join(ends.select(*unit, "_carry"), unit)
-    prev = F.coalesce(F.col("_prev"), F.col("_carry"))
-    d = d.withColumn("_start", F.when(prev.isNull() | (F.col(ts) - prev >= gap_us), F.col(ts))).drop("_prev", "_carry")
-    # Last start inside the block so far; rows before a block's first start
-    # inherit the last start of the earlier blocks.
-    d = d.withColumn("_in", F.last("_start", True).over(wb.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    starts = d.groupBy(*unit).agg(F.max("_start").alias("_latest")).withColumn(
-        "_carry", F.last("_latest", True).over(wk.rowsBetween(Window.unboundedPreceding, -1)))
-    d = d.join(starts.select(*unit, "_carry"), unit)
-    return d.withColumn("_seg", F.coalesce(F.col("_in"), F.col("_carry"))).drop("_start", "_in", "_carry")
+    # The piece: the last gap inside the block, LEAST before the first one.
+    d = d.withColumn("_piece", F.coalesce(F.last(F.when(t - F.col("_prev") >= gap_us, t), True).over(so_far), F.lit(LEAST))).drop("_prev")
+    unit = [*key, "_block", "_piece"]
+    here = Window.partitionBy(*unit).orderBy(ts, id_col)
+    running = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_n", F.row_number().over(here).cast("long"))
+    d = d.withColumn("_low", F.min(F.col("_n") * cost - cost - t).over(running))
+    pieces = d.groupBy(*unit).agg(
+        F.min(ts).alias("_from"), F.max(ts).alias("_to"), F.max("_n").alias("_rows"), F.min("_low").alias("_least"),
+        F.min(t - F.col("_n") * cost + F.col("_low")).alias("_own"), F.min(t - F.col("_n") * cost).alias("_bare"))
+    line = Window.partitionBy(*key).orderBy("_block", "_piece")
+    starts = (F.col("_piece") != LEAST) | F.coalesce(F.col("_from") - F.lag("_to").over(line) >= gap_us, F.lit(True))
+    pieces = pieces.withColumn("_start", F.when(starts, F.col("_from")))
+    pieces = pieces.withColumn("_seg", F.last("_start", True).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    of_segment = Window.partitionBy(*key, "_seg")
+    earlier = of_segment.orderBy("_block", "_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    pieces = pieces.withColumn("_carry", F.min(F.col("_least") + F.col("_before") * cost).over(earlier))
+    lowest = F.least(F.col("_own"), F.col("_bare") - F.col("_before") * cost + F.col("_carry")) + cap
+    pieces = pieces.withColumn("_calm", F.min(lowest).over(of_segment) >= 0)
+    d = d.join(pieces.select(*unit, "_seg", "_before", "_carry", "_calm"), unit)
+    least = F.least(F.col("_low") + F.col("_before") * cost, F.col("_carry"))
+    return d.withColumn("_level", t - (F.col("_n") + F.col("_before")) * cost + cap + least).drop("_piece", "_n", "_low", "_before", "_carry")
 
 
 # ---- block composition
 
 # A step function as rows (from, slope, offset): from that argument on, slope * argument + offset.
 STEPS = T.ArrayType(T.ArrayType(T.LongType()))
-LEAST = -(1 << 62)
 
 
 def apply_steps(steps, value: int) -> int:
@@ -161,18 +177,19 @@ class Expiries:
         return [*out, [int(ts[-1]) + 1, 1, 0]]
 
 
-def _chunks(batches: Iterator[pd.DataFrame], unit: list[str]):
-    """(unit, whether it starts with them, its rows) for sorted batches."""
-    current = None
-    for pdf in batches:
-        keys = list(zip(*[pdf[c] for c in unit]))
-        at = 0
-        while at < len(keys):
-            to = at + 1
-            while to < len(keys) and keys[to] == keys[at]:
-                to += 1
-            yield keys[at], keys[at] != current, pdf.iloc[at:to]
-            current, at = keys[at], to
+def _runs(pdf: pd.DataFrame, unit: list[str], before: tuple | None):
+    """(unit, whether its first row is here, from, to) for the runs of a sorted batch."""
+    columns = [pdf[c].to_numpy() for c in unit]
+    if not len(pdf):
+        return
+    turn = np.zeros(len(pdf) - 1, dtype=bool)
+    for c in columns:
+        turn |= c[1:] != c[:-1]
+    edges = [0, *(np.flatnonzero(turn) + 1).tolist(), len(pdf)]
+    for at, to in zip(edges, edges[1:]):
+        of = tuple(c[at] for c in columns)
+        yield of, of != before, at, to
+        before = of
 
 
 def _dealt(df: DataFrame, unit: list[str], order: list[str]) -> DataFrame:
@@ -194,32 +211,34 @@ def _with_entry(rows: DataFrame, key: list[str], ts: str, id_col: str, first: Ca
     fed = rows.select(*names, F.col(ts).alias("_ts"), F.col(id_col).alias("_id")).join(line.where("_more").select(*unit), unit, "left_semi")
 
     def summarise(batches):
-        held = None
-        out = []
-        for of, fresh, pdf in _chunks(batches, unit):
-            if fresh:
-                if held is not None:
-                    out.append((*held[0], held[1].steps()))
-                held = (of, summary())
-            held[1].feed(pdf["_ts"].to_numpy(dtype=np.int64))
-            if len(out) >= 256:
+        held, of = None, None
+        for pdf in batches:
+            out, times = [], pdf["_ts"].to_numpy(dtype=np.int64)
+            for now, fresh, at, to in _runs(pdf, unit, of):
+                if fresh:
+                    if held is not None:
+                        out.append((*of, held.steps()))
+                    held, of = summary(), now
+                held.feed(times[at:to])
+            if out:
                 yield pd.DataFrame(out, columns=[*unit, "_steps"])
-                out = []
         if held is not None:
-            out.append((*held[0], held[1].steps()))
-            yield pd.DataFrame(out, columns=[*unit, "_steps"])
+            yield pd.DataFrame([(*of, held.steps())], columns=[*unit, "_steps"])
 
     told = _dealt(fed, unit, ["_ts", "_id"]).mapInPandas(summarise, T.StructType([*fields, T.StructField("_steps", STEPS)]))
 
     def chain(batches):
-        state, before = None, None
-        for of, fresh, pdf in _chunks(batches, [*key, "_seg"]):
-            out = []
-            for block, start, end, steps in zip(pdf["_block"], pdf["_from"], pdf["_to"], pdf["_steps"]):
-                enter = first(int(of[-1])) if fresh else between(state, before, int(start))
-                out.append((*of, block, enter))
-                state, before, fresh = apply_steps(steps, enter) if steps is not None else None, int(end), False
-            yield pd.DataFrame(out, columns=[*unit, "_enter"])
+        state, before, of = None, None, None
+        for pdf in batches:
+            enter = np.empty(len(pdf), dtype=np.int64)
+            blocks = list(zip(pdf["_from"].tolist(), pdf["_to"].tolist(), pdf["_steps"]))
+            for now, fresh, at, to in _runs(pdf, [*key, "_seg"], of):
+                of = now
+                for i in range(at, to):
+                    start, end, steps = blocks[i]
+                    enter[i] = first(int(of[-1])) if fresh else between(state, before, start)
+                    state, before, fresh = apply_steps(steps, int(enter[i])) if steps is not None else None, end, False
+            yield pdf[unit].assign(_enter=enter)
 
     entry = T.StructType([*fields, T.StructField("_enter", T.LongType())])
     linked = line.where("NOT _alone").select(*unit, "_from", "_to").join(told, unit, "left")
@@ -236,13 +255,17 @@ def _replayed(rows: DataFrame, key: list[str], ts: str, id_col: str, first: Call
     names = [f.name for f in kept]
 
     def run(batches):
-        state = None
-        for of, fresh, pdf in _chunks(batches, unit):
-            if fresh:
-                enter = pdf["_enter"].iloc[0]
-                state = (first(int(of[-2])) if pd.isna(enter) else int(enter), None)
-            state, columns = step(state, pdf[ts].to_numpy(dtype=np.int64))
-            yield pdf[names].assign(**columns)
+        state, of = None, None
+        for pdf in batches:
+            times, enters = pdf[ts].to_numpy(dtype=np.int64), pdf["_enter"].to_numpy()
+            parts = []
+            for now, fresh, at, to in _runs(pdf, unit, of):
+                if fresh:
+                    of = now
+                    state = (first(int(of[-2])) if pd.isna(enters[at]) else int(enters[at]), None)
+                state, columns = step(state, times[at:to])
+                parts.append(columns)
+            yield pdf[names].assign(**{f.name: np.concatenate([p[f.name] for p in parts]) for f in added})
 
     return _dealt(rows, unit, [ts, id_col]).mapInPandas(run, T.StructType([*kept, *added]))
 
@@ -257,32 +280,15 @@ def token_bucket(df: DataFrame, key: str = "identity", ts_us: str = "ts_us", id_
     token is there, else rejected keeping the refilled level. Adds
     ``allowed`` and ``tokens_after`` (tokens in units).
 
-    As long as nothing is rejected, the level after row k is the least of
-    ``cap + (t_k - t_j) - cost * (k - j + 1)`` over all j up to k. A segment where that
-    never falls below 0 has no rejection; the others are folded by blocks.
+    A segment whose levels without rejections never fall below 0 has none; the others
+    are folded by blocks.
     """
     cap, cost = bucket.cap_units, bucket.period_us
     columns = df.columns
     d, keys = _keyed(df, [key])
-    unit = [*keys, "_seg", "_block"]
-    d = segments(d, keys, ts_us, id_col, cap, block_us or max(BLOCK_US, cap))
-    here = Window.partitionBy(*unit).orderBy(ts_us, id_col)
-    d = d.withColumn("_n", F.row_number().over(here).cast("long"))
-    d = d.withColumn("_low", F.min(F.col("_n") * cost - cost - F.col(ts_us)).over(
-        here.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    # Rows before a block in its segment, and the least value among them.
-    earlier = Window.partitionBy(*keys, "_seg").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = d.groupBy(*unit).agg(F.max("_n").alias("_rows"), F.min("_low").alias("_least"))
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-    blocks = blocks.withColumn("_carry", F.min(F.col("_least") + F.col("_before") * cost).over(earlier))
-    d = d.join(blocks.select(*unit, "_before", "_carry"), unit)
-    least = F.least(F.col("_low") + F.col("_before") * cost, F.col("_carry"))
-    d = d.withColumn("tokens_after", F.col(ts_us) - (F.col("_n") + F.col("_before")) * cost + cap + least)
-    lowest = d.groupBy(*unit).agg(F.min("tokens_after").alias("_lowest")).withColumn(
-        "_calm", F.min("_lowest").over(Window.partitionBy(*keys, "_seg")) >= 0)
     # Written once: both ways out read it.
-    d = cut_lineage(d.drop("_n", "_low", "_before", "_carry").join(lowest.select(*unit, "_calm"), unit))
-    calm = d.where("_calm").select(*columns, F.lit(True).alias("allowed"), "tokens_after")
+    d = cut_lineage(segments(d, keys, ts_us, id_col, cap, block_us or max(BLOCK_US, 16 * cap), cost, cap))
+    calm = d.where("_calm").select(*columns, F.lit(True).alias("allowed"), F.col("_level").alias("tokens_after"))
     rows = d.where("NOT _calm").select(*columns, *keys, "_seg", "_block")
 
     def between(level, before, start):
@@ -322,10 +328,10 @@ def decision_reuse(df: DataFrame, key: list[str], ts_us: str = "ts_us", id_col:
     if ttl_us <= 0:
         return d.select("id", *key, F.lit(False).alias("hit"))
     d, keys = _keyed(d, key)
-    d = segments(d, keys, "ts_us", "id", ttl_us, block_us or max(BLOCK_US, ttl_us))
+    d = segments(d, keys, "ts_us", "id", ttl_us, block_us or max(BLOCK_US, 16 * ttl_us))
     first_row = F.row_number().over(Window.partitionBy(*keys, "_seg", "_block").orderBy("ts_us", "id")) == 1
     # Written once: both ways out read it.
-    d = cut_lineage(d.withColumn("_opens", first_row & (F.col("ts_us") == F.col("_seg"))))
+    d = cut_lineage(d.drop("_level", "_calm").withColumn("_opens", first_row & (F.col("ts_us") == F.col("_seg"))))
     fresh = F.col("ts_us") < F.col("_seg") + ttl_us
     near = d.where(fresh).select("id", *key, (~F.col("_opens")).alias("hit"))
     rows = d.where(~fresh).drop("_opens")

@@ -44,6 +44,12 @@ def configure(spark: SparkSession) -> SparkSession:
                 conf.set(key, value)
         except Exception:  # static conf already fixed by the launcher
             pass
+    # Python workers import this package from where the driver has it (on a cluster it is
+    # shipped with the job; a folder that is not there does no harm).
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
     # Static settings that must be pinned, whatever the launcher chose.
     conf.set("spark.sql.session.timeZone", "UTC")
     conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")

@@ -126,20 +126,23 @@ def _attribute_name(text: Column) -> Column:
 def _attribute_value(text: Column) -> Column:
     value = F.regexp_extract(text, f"(?s)^[^{WS}/>][^{WS}/>=]*[{WS}]*=[{WS}]*(.*)\\z", 1)
     quoted = value.startswith('"') | value.startswith("'")
-    return decode_entities(F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value))
+    return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
 def attributes(head: Column) -> Column:
     """Map of an opener's attributes, names in lower case, references in values
     decoded; of a repeated name the first holds, a name without value has ''."""
-    pairs = F.transform(_attribute_texts(head), lambda a: F.struct(_attribute_name(a).alias("name"), _attribute_value(a).alias("value")))
+    pairs = F.transform(_attribute_texts(head), lambda a: F.named_struct(F.lit("name"), _attribute_name(a), F.lit("value"), _attribute_value(a)))
+    pairs = F.transform(pairs, lambda a: F.named_struct(F.lit("name"), a["name"], F.lit("value"), decode_entities(a["value"])))
     return F.map_from_entries(F.reverse(pairs))   # the last of a key wins in a map (session setting)
 
 
-def attribute(head: Column, name: str) -> Column:
+def attribute(head: Column, name: str, decoded: bool = True) -> Column:
     """One attribute of an opener, null when it has none of that name."""
     own = F.filter(_attribute_texts(head), lambda a: _attribute_name(a) == name)
-    return F.when(F.lower(head).contains(name), _attribute_value(F.try_element_at(own, F.lit(1))))
+    value = F.transform(F.slice(own, 1, 1), _attribute_value)
+    value = F.transform(value, decode_entities) if decoded else value
+    return F.when(F.lower(head).contains(name), F.try_element_at(value, F.lit(1)))
 
 
 def is_ad(tag: Column, head: Column) -> Column:

@@ -25,9 +25,13 @@ CELLS = ("td", "th")
 def _span(head, name: str, most: int):
     """A span attribute, 1 when it has none or no number, at most ``most`` (HTML's bound);
     a rowspan of 0 reaches to the end of the table."""
-    n = F.regexp_extract(F.coalesce(H.attribute(head, name), F.lit("")), "^[ \t\r\n\f]*[+]?0*([0-9]+)", 1)
-    value = F.when(F.length(n) > 5, most).when(n != "", F.least(n.try_cast("int"), F.lit(most)))
-    return F.coalesce(F.when(value == 0, most if name == "rowspan" else 1).otherwise(value), F.lit(1))
+    def number(text):
+        n = F.regexp_extract(text, "^[ \t\r\n\f]*[+]?0*([0-9]+)", 1)
+        return (F.when(n == "", 1).when(F.length(n) > 5, most).when(n == "0", most if name == "rowspan" else 1)
+                .otherwise(F.least(n.try_cast("int"), F.lit(most))))
+
+    value = F.transform(F.array(H.attribute(head, name, decoded=False)), number)[0]
+    return F.when(F.lower(head).contains(name), F.coalesce(value, F.lit(1))).otherwise(1)
 
 
 def _solid(text):

@@ -23,9 +23,9 @@ hits. Only id and text columns are read.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from pagemark.llm.common import WORD, bind, lower_az, narrow, store, union_all, words
+from pagemark.llm.common import WORD, lower_az, narrow, store, union_all, words
 from pagemark.session import cut_lineage
 
 WINDOW = 13
@@ -89,23 +89,16 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        words(F.col(text_col), WORD).alias("w"))
 
 
-def _merged(places: Column) -> Column:
-    """Union of intervals sorted by start. A place joins the last span if it
-    starts no later than where that ends; since spans only grow rightwards, a
-    span ends where the next place starts beyond every stop so far."""
-    stops = lambda acc, x: F.greatest(acc, x["stop"])
-
-    def split(s):
-        reach = F.aggregate(s, F.struct(F.lit(-1).cast("long").alias("far"), F.expr("cast(array() as array<bigint>)").alias("starts"),
-                                        F.expr("cast(array() as array<bigint>)").alias("ends")),
-                            lambda acc, x: F.when(x["start"] <= acc["far"], F.struct(
-                                stops(acc["far"], x).alias("far"), acc["starts"].alias("starts"), acc["ends"].alias("ends"))).otherwise(
-                                F.struct(x["stop"].alias("far"), F.concat(acc["starts"], F.array(x["start"])).alias("starts"),
-                                         F.concat(acc["ends"], F.array(acc["far"])).alias("ends"))))
-        return bind(reach, lambda r: F.transform(r["starts"], lambda a, i: F.struct(
-            a.alias("start"), F.coalesce(F.get(r["ends"], i + 1), r["far"]).alias("stop"))))
-
-    return bind(places, split)
+def _spans(places: DataFrame, key: list[str]) -> DataFrame:
+    """Union of the intervals ``start, stop`` of each ``key``: array ``spans`` by start. A
+    place begins a span if it starts beyond every stop so far; one ordered pass over
+    a document's places, then one row per span."""
+    ordered = W.partitionBy(*key).orderBy("start", "stop")
+    far = F.max("stop").over(ordered.rowsBetween(W.unboundedPreceding, -1))
+    marked = places.withColumn("begins", F.coalesce((F.col("start") > far).cast("int"), F.lit(1)))
+    numbered = marked.withColumn("span", F.sum("begins").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    spans = numbered.groupBy(*key, "span").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return spans.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -120,9 +113,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     key = ["doc_id", "text_key"]
     # Places and items of one document meet in one aggregation; a place and a
     # class each count once however many windows or repeated rows give them.
-    spans = (hits.select(*key, "n_words", "start", (F.col("start") + F.col("size")).alias("stop")).distinct()
-             .groupBy(*key, "n_words").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("places"))
-             .select(*key, "n_words", _merged(F.col("places")).alias("spans")))
+    spans = _spans(hits.select(*key, "n_words", "start", (F.col("start") + F.col("size")).alias("stop")).distinct(), [*key, "n_words"])
     listed = (hits.select(*key, "phrase").distinct()
               .join(windows.select("phrase", "class").distinct(), "phrase")
               .select(*key, "class").distinct()

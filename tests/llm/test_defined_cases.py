@@ -131,3 +131,21 @@ def test_all_significant_terms_are_learned(spark, n):
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
     assert sum(name(i) in model.terms for i in range(n)) == n
+
+
+def test_spans_of_many_places(spark):
+    """Overlapping, touching, nested, repeated and far places, thousands in one document."""
+    from pagemark.llm import decontam
+    rnd = random.Random(3)
+    docs = {0: [(3 * i, 3 * i + 1) for i in range(5000)], 1: [(0, 10), (2, 4), (10, 12), (13, 15), (13, 15)], 2: [(5, 6)]}
+    for d in range(3, 40):
+        docs[d] = [(a, a + rnd.randint(1, 9)) for a in (rnd.randrange(60) for _ in range(rnd.randint(1, 12)))]
+    df = spark.createDataFrame([(d, a, b) for d, p in docs.items() for a, b in p], "doc_id long, start long, stop long")
+    for r in decontam._spans(df, ["doc_id"]).collect():
+        covered, want = sorted({k for a, b in docs[r["doc_id"]] for k in range(a, b)}), []
+        for k in covered:
+            if want and want[-1][1] == k:
+                want[-1][1] = k + 1
+            else:
+                want.append([k, k + 1])
+        assert [[s["start"], s["stop"]] for s in r["spans"]] == want

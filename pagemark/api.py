@@ -11,11 +11,11 @@ from pagemark.operators import snapshots as S
 from pagemark.session import cut_lineage
 
 
-def verdict_table(urls: DataFrame, responses: DataFrame, resolutions: DataFrame) -> DataFrame:
+def verdict_table(urls: DataFrame, hop_table: DataFrame, resolutions: DataFrame) -> DataFrame:
     """One admission verdict per distinct URL that the cascade may request:
     the work list and every captured redirect target, materialized once."""
     # Read twice (rows and their distinct hosts): written once, a narrow table.
-    wanted = cut_lineage(urls.select("url").unionByName(R.hop_targets(responses)).distinct())
+    wanted = cut_lineage(urls.select("url").unionByName(R.hop_targets(hop_table)).distinct())
     return cut_lineage(ADM.admission(wanted, resolutions).select("url", "host", "status", "reason", "message"))
 
 
@@ -38,10 +38,12 @@ def convert(urls: DataFrame, responses: DataFrame, resolutions: DataFrame,
     tool's default options. Only captures of URLs
     that the cheaper tiers leave to rendering are extracted.
     """
-    table = verdict_table(urls, responses, resolutions)
+    # Headers and next hops, without bodies: targets and edges read them.
+    hop_table = cut_lineage(R.hops(responses))
+    table = verdict_table(urls, hop_table, resolutions)
     verdicts = urls.select("url").distinct().join(table, "url")
     starts = verdicts.where(F.col("status") == "admitted").select("url")
-    walked = cut_lineage(R.follow(starts, responses, resolutions, table))
+    walked = cut_lineage(R.follow(starts, responses, resolutions, table, hop_table))
     # Read by three branches: written once.
     routed = cut_lineage(R.route(walked, responses))
     queue = routed.where(F.col("route") == "render").select("url")

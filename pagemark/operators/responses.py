@@ -47,21 +47,21 @@ def hops(responses: DataFrame) -> DataFrame:
                         ).drop("location")
 
 
-def hop_targets(responses: DataFrame) -> DataFrame:
-    """Distinct next-hop URLs of all captured redirects (column ``url``)."""
-    return hops(responses).where(F.col("next_url").isNotNull()).select(F.col("next_url").alias("url")).distinct()
+def hop_targets(hop_table: DataFrame) -> DataFrame:
+    """Distinct next-hop URLs of all captured redirects (column ``url``) of ``hops``."""
+    return hop_table.where(F.col("next_url").isNotNull()).select(F.col("next_url").alias("url")).distinct()
 
 
-def edges(responses: DataFrame, resolutions: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
-    """C4 per captured response: the next hop with its admission verdict.
+def edges(hop_table: DataFrame, resolutions: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """C4 per captured response of ``hops``: the next hop with its admission verdict.
 
     ``verdicts`` (url, status, message) may already hold the hop targets
     (one materialized verdict table for start URLs and hops); otherwise the
     distinct targets are vetted here and materialized once.
     """
-    h = hops(responses)
+    h = hop_table
     if verdicts is None:
-        verdicts = cut_lineage(ADM.admission(hop_targets(responses), resolutions).select(
+        verdicts = cut_lineage(ADM.admission(hop_targets(h), resolutions).select(
             "url", "status", "message"))
     v = verdicts.select(F.col("url").alias("next_url"), F.col("status").alias("next_status"),
                         F.col("message").alias("next_message"))
@@ -77,15 +77,15 @@ def edges(responses: DataFrame, resolutions: DataFrame, verdicts: DataFrame | No
 
 
 def follow(starts: DataFrame, responses: DataFrame, resolutions: DataFrame,
-           verdicts: DataFrame | None = None) -> DataFrame:
+           verdicts: DataFrame | None = None, hop_table: DataFrame | None = None) -> DataFrame:
     """Walk at most five redirects from each distinct start URL.
 
     One frontier passes through six left joins; a walk that has ended carries
     its outcome along. Output per start: start_url, hops, final_url, path
     (`a -> b -> c`), outcome (`response` | `refused` | `fetch_failed`),
-    http_status, message.
+    http_status, message. ``hop_table``: ``hops`` of the responses, if it is at hand.
     """
-    e = edges(responses, resolutions, verdicts)
+    e = edges(hops(responses) if hop_table is None else hop_table, resolutions, verdicts)
     walk = starts.select(F.col("url").alias("start_url")).distinct().select(
         "start_url", F.lit(0).alias("hops"), F.col("start_url").alias("final_url"), F.col("start_url").alias("path"),
         F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("int").alias("http_status"),

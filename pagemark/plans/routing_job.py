@@ -17,14 +17,15 @@ def verdicts(spark, sf_dir):
     """Verdict table for work-list URLs and redirect targets (materialized
     once) and the work list with its verdicts."""
     urls = derived.url_list(spark, sf_dir).select("page_id", "url")
-    table = verdict_table(urls, derived.responses(spark, sf_dir), derived.resolutions(spark, sf_dir))
-    return table, urls.join(table, "url")
+    hop_table = cut_lineage(R.hops(derived.responses(spark, sf_dir)))
+    table = verdict_table(urls, hop_table, derived.resolutions(spark, sf_dir))
+    return table, hop_table, urls.join(table, "url")
 
 
 def walk(spark, sf_dir):
-    table, v = verdicts(spark, sf_dir)
+    table, hop_table, v = verdicts(spark, sf_dir)
     starts = v.where(F.col("status") == "admitted").select("page_id", "url")
-    return starts, R.follow(starts, derived.responses(spark, sf_dir), derived.resolutions(spark, sf_dir), table)
+    return starts, R.follow(starts, derived.responses(spark, sf_dir), derived.resolutions(spark, sf_dir), table, hop_table)
 
 
 def routed(spark, sf_dir):

@@ -173,6 +173,36 @@ def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def typed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with typed parts by fixed rules: two turns in three also carry an image,
+    a recording, a document or something of an unknown type, and a second text."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    slot = F.conv(F.substring(F.md5(F.concat_ws(":", "conv_id", "turn")), 1, 4), 16, 10).cast("int") % 6
+    ref = F.concat_ws("/", F.col("conv_id"), F.col("turn"))
+    part = lambda kind, **v: F.struct(*[v.get(c, F.lit(kind if c == "type" else None)).cast(t).alias(c) for c, t in (
+        ("type", "string"), ("text", "string"), ("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))])
+    extra = (F.when(slot == 0, part("Image", ref=ref, width=(F.col("turn") + 1) * 28, height=F.lit(57)))
+             .when(slot == 1, part("audio", ref=ref, seconds=F.col("turn") / 2 + 0.5))
+             .when(slot == 2, part("DOCUMENT", ref=ref, pages=F.col("turn") + 1))
+             .when(slot == 3, part("video", ref=ref, text=F.lit("seen"))))
+    said = part("text", text=F.col("text"))
+    return rows.withColumn("parts", F.when(slot < 4, F.array(said, extra, part(None, text=F.lit("|tail")))).otherwise(F.array(said)))
+
+
+def chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 on typed parts: placeholders, attachment references and expanded tokens."""
+    formatted = chat.conversations(chat.format_turns(typed_messages(spark, sf_dir)))
+    listed = F.transform("attachments", lambda a: F.concat_ws(":", a["kind"], a["ref"], a["tokens"].cast("string")))
+    return formatted.select("conv_id", "n_turns", F.length("formatted").cast("long").alias("formatted_chars"),
+                            F.col("expanded_tokens").cast("long").alias("expanded_tokens"), F.array_join(listed, " ").alias("attachments"))
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8's ledger by policy and rule: what fails, what it rejects alone, what all reject."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))).select(
+        "policy", "rule", *[F.col(c).cast("long").alias(c) for c in ("n_docs", "n_failed", "n_alone", "n_rejected")])
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -182,7 +212,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_toxicity, op3_token_rollup, op4_decontaminate, op5_license_scan, op6_minimax_shards,
     op7_revisits, op8_quality_rules, op9_pack, op10_simhash, op11_whitening, op12_url_rules,
-    op13_structure_repair, pipeline)}
+    op13_structure_repair, chat_parts, quality_ablations, pipeline)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -274,3 +304,23 @@ f AS (SELECT *, CAST(
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, failed = 0 AS kept, failed FROM f""",
 }
+
+ORACLE["chat_parts"] = """
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, conv_id || '/' || turn AS ref,
+    ('0x' || md5(conv_id || ':' || turn)[:4])::BIGINT % 6 AS slot FROM conversations),
+parts AS (
+  SELECT *, CASE slot WHEN 0 THEN 'image' WHEN 1 THEN 'audio' WHEN 2 THEN 'document' WHEN 3 THEN 'video' END AS kind,
+    CASE slot WHEN 0 THEN (turn + 1) * 3 WHEN 1 THEN ceil((turn / 2 + 0.5) * 25)::BIGINT WHEN 2 THEN (turn + 1) * 512 ELSE 0 END AS tokens,
+    CASE slot WHEN 0 THEN '<|image|>' WHEN 1 THEN '<|audio|>' WHEN 2 THEN '<|document|>' WHEN 3 THEN '<|attachment|>seen' ELSE '' END AS shown FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  CAST(sum(24 + length(role) + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) + length(shown) + CASE WHEN slot < 4 THEN 6 ELSE 0 END) AS BIGINT) AS formatted_chars,
+  CAST(sum(tokens) AS BIGINT) AS expanded_tokens,
+  coalesce(string_agg(kind || ':' || ref || ':' || tokens, ' ' ORDER BY turn, role, text) FILTER (kind IS NOT NULL), '') AS attachments
+FROM parts GROUP BY conv_id"""
+
+_RULE_BITS = [(policy, rule, quality.mask([rule]), quality.mask(rules)) for policy, rules in quality.POLICIES.items() for rule in rules]
+ORACLE["quality_ablations"] = f"""
+SELECT policy, rule, count(*) AS n_docs, count(*) FILTER ((failed & bit) <> 0) AS n_failed, count(*) FILTER ((failed & mask) = bit) AS n_alone,
+  count(*) FILTER ((failed & mask) <> 0) AS n_rejected
+FROM ({ORACLE["op8_quality_rules"]}) CROSS JOIN (VALUES {", ".join(map(str, _RULE_BITS))}) t(policy, rule, bit, mask) GROUP BY ALL"""

@@ -149,3 +149,46 @@ def test_spans_of_many_places(spark):
             else:
                 want.append([k, k + 1])
         assert [[s["start"], s["stop"]] for s in r["spans"]] == want
+
+
+CHANGES = "seq long, op string, doc_id long, source string, lang string, tokenizer string, tokens long"
+
+
+def test_two_writers_of_one_state(spark, monkeypatch):
+    """A second writer commits between the first one's reading and its claim: the first
+    computes its batch again against the new state."""
+    state = rollup.Rollup(spark)
+    frame = lambda *rows: spark.createDataFrame([(0, op, d, "s", "en", "t", n) for op, d, n in rows], CHANGES)
+    state.commit(1, frame(("insert", 1, 10), ("insert", 2, 20)))
+    other = rollup.Rollup(spark, state.path)
+    real, calls = rollup.Rollup._append, []
+
+    def late(self, log, batch, rows):
+        calls.append(batch)
+        if calls == [2]:
+            assert other.commit(3, frame(("revise", 1, 11)))
+        return real(self, log, batch, rows)
+
+    monkeypatch.setattr(rollup.Rollup, "_append", late)
+    assert state.commit(2, frame(("delete", 1, 0), ("revise", 2, 21)))
+    assert calls == [2, 3, 2] and state.committed() == [1, 2, 3]
+    assert [tuple(r) for r in state.totals().collect()] == [("s", "en", "t", 1, 21)]
+    assert not state.commit(2, frame(("insert", 9, 9)))
+
+
+def test_compaction_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(rollup, "COMPACT", 3)
+    rnd, state, want = random.Random(6), rollup.Rollup(spark), {}
+    for batch in range(8):
+        rows = []
+        for d in rnd.sample(range(12), 5):
+            op, n = rnd.choice(["insert", "revise", "delete"]), rnd.randrange(50)
+            rows.append((0, op, d, "s", "en", "t", n))
+            want.pop(d, None)
+            if op != "delete":
+                want[d] = n
+        state.commit(batch, spark.createDataFrame(rows, CHANGES))
+    assert sum(r["batch"] is None for r in state._log()) > 1 and state.committed() == list(range(8))
+    assert {int(r["doc_id"]): r["tokens"] for r in state.current().collect()} == want
+    assert [tuple(r)[3:] for r in state.totals().collect()] == [(len(want), sum(want.values()))]
+    assert not state.commit(3, spark.createDataFrame([], CHANGES))

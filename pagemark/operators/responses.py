@@ -127,14 +127,17 @@ def route(walked: DataFrame, responses: DataFrame) -> DataFrame:
     # the requested URL (note 7), not the final one.
     cand = base.where(F.col("kind") == "extract").select(F.col("url").alias("page_id"), "url", F.col("body").alias("html"))
     md = M.page_markdown(cand).select("url", F.col("markdown").alias("extracted"))
+    # Beyond extraction only a native body is carried on.
+    base = base.select("url", "outcome", "http_status", "message", "kind", F.length("body").alias("body_chars"),
+                       F.when(F.col("kind") == "native", F.col("body")).alias("native_body"))
     b = base.join(md, "url", "left")
     md_len = F.length("extracted")
     b = b.withColumns({
         "md_chars": md_len.cast("long"),
-        "raw_chars": F.length("body").cast("long"),
+        "raw_chars": F.col("body_chars").cast("long"),
         "js_stub": F.coalesce((md_len < MIN_EXTRACTED_CHARS) & F.lower("extracted").contains("javascript"),
                               F.lit(False)),
-        "sparse": F.coalesce((md_len < MIN_EXTRACTED_CHARS) & (F.length("body") > MIN_RAW_CHARS),
+        "sparse": F.coalesce((md_len < MIN_EXTRACTED_CHARS) & (F.col("body_chars") > MIN_RAW_CHARS),
                              F.lit(False))})
     accepted = (F.col("kind") == "extract") & F.coalesce(F.col("extracted") != "", F.lit(False)) \
         & ~F.col("js_stub") & ~F.col("sparse")
@@ -150,5 +153,5 @@ def route(walked: DataFrame, responses: DataFrame) -> DataFrame:
     return b.select(
         "url", routed.alias("route"),
         F.when(routed == "native", 1).when(routed == "extract", 2).cast("long").alias("tier"),
-        F.when(routed == "native", F.col("body")).when(routed == "extract", F.col("extracted")).alias("markdown"),
+        F.when(routed == "native", F.col("native_body")).when(routed == "extract", F.col("extracted")).alias("markdown"),
         reason.alias("reason"), "kind", "md_chars", "raw_chars", "js_stub", "sparse", "accepted")

@@ -35,7 +35,7 @@ BLOCK = 2048
 FAN = 32
 CLOSE = 1e-3
 EPS = 2.0 ** -53
-_LIMIT = 2.0 ** 62
+_LIMIT = 2.0 ** 61
 
 
 # ---- the solver, on one small triangle
@@ -324,10 +324,10 @@ def _project(x: np.ndarray, model: Fit) -> np.ndarray:
 
 def _exact_deviation(x: np.ndarray, model: Fit) -> list[int | None]:
     """Sum over dimensions of (n x - S)^2, in integers; null beyond a long."""
-    bound = max(int(np.abs(x).max(initial=0)) * model.n, max(abs(s) for s in model.sums)) * 2
-    if bound * bound * x.shape[1] < 2 ** 63:
+    if max(int(np.abs(x).max(initial=0)) * model.n, max(abs(s) for s in model.sums)) < 2 ** 62:
         away = x * model.n - np.array(model.sums, dtype=np.int64)
-        return (away * away).sum(axis=1).tolist()
+        if int(np.abs(away).max(initial=0)) ** 2 * x.shape[1] < 2 ** 63:
+            return (away * away).sum(axis=1).tolist()
     exact = [sum((int(v) * model.n - s) ** 2 for v, s in zip(row, model.sums)) for row in x]
     return [v if v < 2 ** 63 else None for v in exact]
 

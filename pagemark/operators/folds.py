@@ -22,7 +22,7 @@ Integer units keep the folds exact and order-free: tokens are counted in
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np

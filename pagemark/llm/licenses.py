@@ -112,7 +112,7 @@ TEXTS = (
     ("psf", "nonexclusive", "psf hereby grants licensee a nonexclusive royalty free world wide license"),
     ("openssl", "toolkit", "this product includes software developed by the openssl project for use in the openssl toolkit"),
     ("json", "evil", "the software shall be used for good not evil"),
-    ("beerware", "beer", "as long as you retain this notice you can do whatever you want with this stuff"),
+    ("beerware", "retain", "as long as you retain this notice you can do whatever you want with this stuff"),
     ("as-is", "warranty", "the software is provided as is without warranty of any kind"),
     ("proprietary", "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited"),
     ("proprietary", "trade", "contains (proprietary|confidential) information and trade secrets"),

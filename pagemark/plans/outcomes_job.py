@@ -18,7 +18,7 @@ from pagemark.sources.files import write_outcomes
 def outcomes(spark, sf_dir):
     return convert(derived.url_list(spark, sf_dir).select("page_id", "url"),
                    derived.responses(spark, sf_dir), derived.resolutions(spark, sf_dir),
-                   derived.snapshot_pages(spark, sf_dir), derived.render_requests(spark, sf_dir))
+                   derived.snapshot_pages(spark, sf_dir), derived.some_render_requests(spark, sf_dir))
 
 
 def q_tier_cascade(spark, sf_dir):

@@ -36,9 +36,9 @@ QUERIES = {
     "render_eligibility": q_render_eligibility,
 }
 
-def snapshots_sql(body: str, flicker: str, headed: str, unasked: str = "") -> str:
-    """CTEs down to ``polls``; ``md`` is what a capture holds. ``unasked``: more rows of
-    render requests."""
+def snapshots_sql(body: str, flicker: str, headed: str, unasked: str = "", asked: str = " WHERE page_id % 17 <> 6 ") -> str:
+    """CTEs down to ``polls``; ``md`` is what a capture holds. ``asked``: which pages have a
+    render request of their own; ``unasked``: more rows of render requests."""
     return f"""
 caps_base AS (
   SELECT page_id, url, poll, poll * 250 AS elapsed_ms, 'headless' AS capture_mode,
@@ -54,7 +54,7 @@ req AS (
   SELECT page_id, url,
     ['load', 'domcontentloaded', 'networkidle', 'commit'][(page_id % 4 + 1)::INT] AS wait_until,
     30000 AS timeout_ms, true AS headless, 250 * (page_id % 7 + 2) AS poll_budget_ms, 250 AS poll_interval_ms,
-    (page_id * 131) % 20000 AS n FROM pages WHERE page_id % 17 <> 6 {unasked}),
+    (page_id * 131) % 20000 AS n FROM pages{asked}{unasked}),
 moded AS (
   SELECT c.*, r.poll_budget_ms, r.poll_interval_ms FROM captures c JOIN req r
     ON c.url = r.url AND c.capture_mode = CASE WHEN r.headless THEN 'headless' ELSE 'headed' END),
@@ -64,7 +64,7 @@ polls AS (
     FROM moded) WHERE rn = 1)"""
 
 
-SNAPSHOTS_SQL = snapshots_sql("regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g')", "'flicker ' || poll", "' (headed)'")
+SNAPSHOTS_SQL = snapshots_sql("regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g')", "'flicker ' || poll", "' (headed)'", asked="")
 
 ORACLE = {
     "snapshot_cadence": "WITH " + SNAPSHOTS_SQL.strip() + """

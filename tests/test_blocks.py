@@ -101,3 +101,16 @@ def test_tables(spark):
                        "| A | B |  |\n| --- | --- | --- |\n\n|  | c | d |\n\n| e | f |  |",
                        "x\n\n| one two | [l](http://h/q) |\n| --- | --- |\n\n- o", "loose\n\ny"]
     assert got[4].startswith("| w |") and got[4].split("\n")[1].count("---") == 1000
+
+
+def test_long_table_of_cells_that_reach_to_its_end(spark):
+    """A line holds what it shows, not the columns that earlier rows still span."""
+    n = 400
+    rows = [[(f"r{i}", 1, 65534), ("", 2, 1)] for i in range(n)]
+    df = spark.createDataFrame([(1, rows)], "id long, rows array<array<struct<text:string,cols:int,rows:int>>>")
+    r = df.select(B.table_lines(F.col("rows")).alias("lines"), B.table_rows_markdown(F.col("rows")).alias("md"),
+                  B.table_grid(F.col("rows")).alias("grid")).first()
+    assert [(x["width"], [tuple(c) for c in x["cells"]]) for x in r["lines"]] == [(i + 3, [(i, f"r{i}")]) for i in range(n)]
+    assert [list(x) for x in r["grid"]] == [[""] * i + [f"r{i}", "", ""] for i in range(n)]
+    assert r["md"][0] == "| r0 |  |  |\n| --- | --- | --- |"
+    assert r["md"][3] == "|  |  |  | r3 |  |  |" and len(r["md"]) == n

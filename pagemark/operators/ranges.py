@@ -3,8 +3,8 @@ built-in classes, which compile into one CASE).
 
 A range is a CIDR block; an address belongs to the longest block that holds it. For
 each prefix length that the table has (129 at most) a distinct address has one
-prefix, and (length, prefix) meets the table by an equi-join: no range join, no
-broadcast, work in proportion to addresses times lengths. IPv4 addresses are
+prefix, two longs, and (length, prefix) meets the table by an equi-join: no range join,
+no broadcast, work in proportion to addresses times lengths. IPv4 addresses are
 matched as mapped IPv6 ones, so one table may hold both.
 """
 from __future__ import annotations
@@ -21,16 +21,19 @@ def address_hex(v4: Column, hex32: Column) -> Column:
     return F.coalesce(F.concat(F.lit(A.MAPPED_PREFIX), F.lpad(F.lower(F.hex(v4)), 8, "0")), hex32)
 
 
-def _prefix(hex32: Column, length: Column) -> Column:
-    """The first ``length`` bits: whole hex digits, then what is left of the next one."""
-    whole, bits = F.floor(length / 4).cast("int"), length % 4
-    digit = F.conv(hex32.substr(whole + 1, F.lit(1)), 16, 10).cast("int")
-    rest = F.when(bits == 1, F.shiftright(digit, 3)).when(bits == 2, F.shiftright(digit, 2)).when(bits == 3, F.shiftright(digit, 1))
-    return F.concat(hex32.substr(F.lit(1), whole), F.lit("/"), F.coalesce(rest.cast("string"), F.lit("")))
+def _halves(hex32: Column) -> tuple[Column, Column]:
+    """The upper and lower 64 bits of an address as longs."""
+    word = lambda i: F.conv(hex32.substr(1 + 8 * i, 8), 16, 10).cast("long")
+    return F.shiftleft(word(0), 32).bitwiseOR(word(1)), F.shiftleft(word(2), 32).bitwiseOR(word(3))
+
+
+# The first ``length`` bits of both halves (a shift by 64 would change nothing).
+UPPER = "hi & CASE WHEN length >= 64 THEN -1L WHEN length <= 0 THEN 0L ELSE shiftleft(-1L, 64 - length) END"
+LOWER = "lo & CASE WHEN length >= 128 THEN -1L WHEN length <= 64 THEN 0L ELSE shiftleft(-1L, 128 - length) END"
 
 
 def range_table(ranges: DataFrame, cidr_col: str = "cidr", label_col: str = "label") -> DataFrame:
-    """``length, prefix, label``, one row a block: bits below the length do not count, of
+    """``length, hi, lo, label`` (the block's bits as two longs), one row a block: bits below the length do not count, of
     several labels of one block the smallest holds. Texts that are no CIDR are left out."""
     text = F.split(F.col(cidr_col), "/")
     d = ranges.select(text[0].alias("_base"), F.try_element_at(text, F.lit(2)).try_cast("int").alias("_bits"), F.col(label_col).alias("label"))
@@ -39,16 +42,20 @@ def range_table(ranges: DataFrame, cidr_col: str = "cidr", label_col: str = "lab
     d = d.withColumn("_hex", address_hex(F.col("_quad"), F.col("_v6"))).withColumn("length", F.col("_bits") + F.when(v4, 96).otherwise(0))
     # Written out: the prefix uses the parsed address several times.
     d = cut_lineage(d.where(F.col("_hex").isNotNull() & (F.col("_bits") >= 0) & (F.col("length") <= 128)).select("_hex", "length", "label"))
-    return d.groupBy("length", _prefix(F.col("_hex"), F.col("length")).alias("prefix")).agg(F.min("label").alias("label"))
+    hi, lo = _halves(F.col("_hex"))
+    d = d.select("length", "label", hi.alias("hi"), lo.alias("lo"))
+    return d.groupBy(F.expr(LOWER).alias("lo"), F.expr(UPPER).alias("hi"), "length").agg(F.min("label").alias("label"))
 
 
 def longest_prefix(addresses: DataFrame, table: DataFrame, hex_col: str) -> DataFrame:
     """``addresses`` with ``label`` and ``length`` of the longest block of ``table`` (as
     ``range_table`` gives it) that holds ``hex_col``; null when none does."""
     lengths = table.agg(F.array_sort(F.collect_set("length")).alias("_lengths"))  # one row, 129 numbers at most
-    once = cut_lineage(addresses.select(F.col(hex_col).alias("_hex")).distinct()).where("_hex IS NOT NULL")
-    keyed = once.crossJoin(F.broadcast(lengths)).select("_hex", F.explode("_lengths").alias("length"))
-    keyed = keyed.withColumn("prefix", _prefix(F.col("_hex"), F.col("length")))
-    found = keyed.join(table, ["length", "prefix"]).groupBy("_hex").agg(F.max(F.struct("length", "label")).alias("_r"))
-    return (addresses.join(found, F.col(hex_col) == F.col("_hex"), "left")
-            .withColumns({"label": F.col("_r.label"), "length": F.col("_r.length")}).drop("_hex", "_r"))
+    hi, lo = _halves(F.col(hex_col))
+    once = cut_lineage(addresses.where(F.col(hex_col).isNotNull()).select(hi.alias("hi"), lo.alias("lo")).distinct())
+    keyed = once.crossJoin(F.broadcast(lengths)).select("hi", "lo", F.explode("_lengths").alias("length"))
+    keyed = keyed.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "length", F.expr(UPPER).alias("hi"), F.expr(LOWER).alias("lo"))
+    # Numbers throughout, the most selective key first: rows are narrow and sort by it.
+    found = keyed.join(table, ["lo", "hi", "length"]).groupBy("_lo", "_hi").agg(F.max(F.struct("length", "label")).alias("_r"))
+    return (addresses.join(found, (lo == F.col("_lo")) & (hi == F.col("_hi")), "left")
+            .withColumns({"label": F.col("_r.label"), "length": F.col("_r.length")}).drop("_hi", "_lo", "_r"))

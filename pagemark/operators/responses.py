@@ -126,7 +126,7 @@ def route(walked: DataFrame, responses: DataFrame) -> DataFrame:
     # Tier 2: extraction of 2xx non-Markdown bodies; links resolve against
     # the requested URL (note 7), not the final one.
     cand = base.where(F.col("kind") == "extract").select(F.col("url").alias("page_id"), "url", F.col("body").alias("html"))
-    md = M.page_markdown(cand).select("url", F.col("markdown").alias("extracted"))
+    md = M.page_markdown(cut_lineage(cand)).select("url", F.col("markdown").alias("extracted"))
     # Beyond extraction only a native body is carried on.
     base = base.select("url", "outcome", "http_status", "message", "kind", F.length("body").alias("body_chars"),
                        F.when(F.col("kind") == "native", F.col("body")).alias("native_body"))

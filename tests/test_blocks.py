@@ -114,3 +114,12 @@ def test_long_table_of_cells_that_reach_to_its_end(spark):
     assert [list(x) for x in r["grid"]] == [[""] * i + [f"r{i}", "", ""] for i in range(n)]
     assert r["md"][0] == "| r0 |  |  |\n| --- | --- | --- |"
     assert r["md"][3] == "|  |  |  | r3 |  |  |" and len(r["md"]) == n
+
+
+def test_partitions_grow_with_the_pages(spark):
+    """A task's share of the pages is bounded: twice the HTML, twice the tasks."""
+    from pagemark.session import TASK_CHARS
+    def parts(n):
+        df = spark.range(n).select(F.col("id").alias("page_id"), F.lit("http://h/").alias("url"), F.lit("y" * (TASK_CHARS // 2)).alias("html"))
+        return B.page_tokens(df).rdd.getNumPartitions()
+    assert (parts(40), parts(80)) == (20, 40)

@@ -123,3 +123,22 @@ def test_partitions_grow_with_the_pages(spark):
         df = spark.range(n).select(F.col("id").alias("page_id"), F.lit("http://h/").alias("url"), F.lit("y" * (TASK_CHARS // 2)).alias("html"))
         return B.page_tokens(df).rdd.getNumPartitions()
     assert (parts(40), parts(80)) == (20, 40)
+
+
+def test_page_queries_take_the_bounded_step(spark, tmp_path, monkeypatch):
+    """The widest step of each page query has a task for each TASK_CHARS of its HTML."""
+    from pagemark import session
+    from pagemark.plans import pages_job as P
+    from pagemark.sources.derived import nested_pages
+    monkeypatch.setattr(session, "TASK_CHARS", 1000)
+    seen = []
+    for module in (P, M):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: seen.append(df.rdd.getNumPartitions()) or df)
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("http://h/").alias("url"), F.lit("<p>" + "y" * 497).alias("html"))
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    for query in (P.q_kept_blocks, P.q_kept_by_host, P.q_page_markdown, P.q_size_saving):
+        query(spark, str(tmp_path))
+    assert seen == [20] * 4
+    assert P.q_block_features(spark, str(tmp_path)).rdd.getNumPartitions() == 20
+    chars = nested_pages(spark, str(tmp_path)).agg(F.sum(F.length("html"))).first()[0]
+    assert P.q_nested_markdown(spark, str(tmp_path)).rdd.getNumPartitions() == -(-chars // 1000)

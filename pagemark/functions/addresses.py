@@ -105,16 +105,19 @@ def v6_class(hex32: str) -> Column:
 # --- literal parsing -------------------------------------------------------
 OCTET = "(0|[1-9][0-9]{0,2})"
 QUAD_RE = "^" + "\\.".join([OCTET] * 4) + "$"
+BYTE = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+VALID_QUAD_RE = "^" + "\\.".join([BYTE] * 4) + "$"
 
 
 def v4_from_quad(s: Column) -> Column:
-    """Dotted quad without leading zeros, each part <= 255, else null."""
-    parts = [F.regexp_extract(s, QUAD_RE, i).try_cast("long") for i in range(1, 5)]
-    ok = s.rlike(QUAD_RE)
-    for p in parts:
-        ok = ok & (p <= 255)
-    val = parts[0] * 16777216 + parts[1] * 65536 + parts[2] * 256 + parts[3]
-    return F.when(ok, val)
+    """Dotted quad without leading zeros, each part <= 255, else null: one match, then
+    each part cut out once."""
+    a, b = F.substring_index(s, ".", 2), F.substring_index(s, ".", -2)
+    parts = [F.substring_index(a, ".", 1), F.substring_index(a, ".", -1), F.substring_index(b, ".", 1)]
+    # The pattern's end allows a line end after the last part, which not every cast does.
+    last = F.coalesce(F.substring_index(b, ".", -1).try_cast("long"), F.regexp_extract(s, QUAD_RE, 4).try_cast("long"))
+    parts = [p.try_cast("long") for p in parts]
+    return F.when(s.rlike(VALID_QUAD_RE), parts[0] * 16777216 + parts[1] * 65536 + parts[2] * 256 + last)
 
 
 def _hex8(v4: Column) -> Column:
@@ -125,7 +128,8 @@ def with_v6_hex(df: DataFrame, src: str, out: str) -> DataFrame:
     """IPv6 text (with `::`, an optional dotted-quad tail and an optional
     `%zone`) to 32 hex digits in ``out``; null when it is not valid IPv6."""
     empty = F.array().cast("array<string>")
-    d = df.withColumn("_t", F.split(F.col(src), "%").getItem(0))
+    # Without a colon all that follows is null and costs nothing.
+    d = df.withColumn("_t", F.when(F.col(src).contains(":"), F.split(F.col(src), "%").getItem(0)))
     d = d.withColumns({"_has_v4": F.col("_t").rlike(":[0-9]*\\.[0-9.]*$"),
                        "_tail": F.regexp_extract("_t", ":([0-9.]+)$", 1)})
     d = d.withColumn("_v4", v4_from_quad(F.col("_tail")))
@@ -156,8 +160,9 @@ def with_int_literal(df: DataFrame, host: str, v4_out: str, v6_out: str) -> Data
     """All-digit or `0x` host as an integer address: ``v4_out`` when
     below 2^32, ``v6_out`` (32 hex digits) when below 2^128, else nulls.
 
-    Decimal hosts use DECIMAL(38,0): n = 10a + d, split at 2^64 into
-    hi = 10 * (a div 2^64) + carry and lo, each converted with conv().
+    Decimal hosts of up to 18 digits are longs; longer ones use DECIMAL(38,0):
+    n = 10a + d, split at 2^64 into hi = 10 * (a div 2^64) + carry and lo, each
+    converted with conv().
     """
     dec38 = "decimal(38,0)"
     two64 = F.lit(str(TWO_64)).cast(dec38)
@@ -165,15 +170,14 @@ def with_int_literal(df: DataFrame, host: str, v4_out: str, v6_out: str) -> Data
     d = df.withColumns({
         "_is_hex": h.rlike("^0x[0-9a-f]+$"),
         "_is_dec": h.rlike("^[0-9]+$"),
-        "_hx": F.regexp_replace(F.substring(h, 3, 1 << 30), "^0+", ""),
-        "_dec": F.regexp_replace(h, "^0+", "")})
+        "_digits": F.ltrim(F.when(h.startswith("0x"), F.substring(h, 3, 1 << 30)).otherwise(h), F.lit("0"))})
+    d = d.withColumn("_digits", F.when(F.col("_digits") == "", F.lit("0")).otherwise(F.col("_digits")))
     d = d.withColumns({
-        "_hx": F.when(F.col("_hx") == "", F.lit("0")).otherwise(F.col("_hx")),
-        "_dec": F.when(F.col("_dec") == "", F.lit("0")).otherwise(F.col("_dec"))})
-    d = d.withColumn("_dec", F.when(F.col("_is_dec") & (F.length("_dec") <= 39), F.col("_dec")))
+        "_hx": F.when(F.col("_is_hex"), F.col("_digits")),
+        "_n": F.when(F.col("_is_dec") & (F.length("_digits") <= 18), F.col("_digits").try_cast("long")),
+        "_dec": F.when(F.col("_is_dec") & (F.length("_digits") > 18) & (F.length("_digits") <= 39), F.col("_digits"))})
     d = d.withColumns({
-        "_a": F.when(F.length("_dec") > 1, F.col("_dec").substr(F.lit(1), F.length("_dec") - 1)
-                     .cast(dec38)).otherwise(F.lit(0).cast(dec38)),
+        "_a": F.col("_dec").substr(F.lit(1), F.length("_dec") - 1).cast(dec38),
         "_d": F.col("_dec").substr(F.length("_dec"), F.lit(1)).cast(dec38)})
     # `div` is exact integral division (plain `/` on DECIMAL(38,0) rounds).
     t64 = f"CAST('{TWO_64}' AS DECIMAL(38,0))"
@@ -183,15 +187,14 @@ def with_int_literal(df: DataFrame, host: str, v4_out: str, v6_out: str) -> Data
     d = d.withColumns({"_hi": (F.col("_a_hi") * 10 + F.col("_carry")).cast(dec38),
                        "_lo": (F.col("_low") - F.col("_carry") * two64).cast(dec38)})
     fits = F.col("_dec").isNotNull() & (F.col("_hi") <= F.lit(MAX_U64).cast(dec38))
-    small = (F.col("_hi") == 0) & (F.col("_lo") <= MAX_V4)
-    hex_v4 = F.when(F.col("_is_hex") & (F.length("_hx") <= 8), F.conv("_hx", 16, 10).cast("long"))
-    hex_v6 = F.when(F.col("_is_hex") & (F.length("_hx") > 8) & (F.length("_hx") <= 32), F.lpad("_hx", 32, "0"))
+    hex_v4 = F.when(F.length("_hx") <= 8, F.conv("_hx", 16, 10).cast("long"))
+    hex_v6 = F.when((F.length("_hx") > 8) & (F.length("_hx") <= 32), F.lpad("_hx", 32, "0"))
     dec_hex = F.concat(F.lpad(F.lower(F.conv(F.col("_hi").cast("string"), 10, 16)), 16, "0"),
                        F.lpad(F.lower(F.conv(F.col("_lo").cast("string"), 10, 16)), 16, "0"))
     d = d.withColumns({
-        v4_out: F.coalesce(hex_v4, F.when(fits & small, F.col("_lo").cast("long"))),
-        v6_out: F.coalesce(hex_v6, F.when(fits & ~small, dec_hex))})
-    return d.drop("_is_hex", "_is_dec", "_hx", "_dec", "_a", "_d", "_a_hi", "_low", "_carry", "_hi", "_lo")
+        v4_out: F.coalesce(hex_v4, F.when(F.col("_n") <= MAX_V4, F.col("_n"))),
+        v6_out: F.coalesce(hex_v6, F.when(F.col("_n") > MAX_V4, F.lpad(F.lower(F.hex("_n")), 32, "0")), F.when(fits, dec_hex))})
+    return d.drop("_is_hex", "_is_dec", "_digits", "_hx", "_n", "_dec", "_a", "_d", "_a_hi", "_low", "_carry", "_hi", "_lo")
 
 
 def with_literal(df: DataFrame, host: str, v4_out: str = "lit_v4", v6_out: str = "lit_v6") -> DataFrame:
@@ -199,11 +202,11 @@ def with_literal(df: DataFrame, host: str, v4_out: str = "lit_v4", v6_out: str =
     Text forms first (dotted quad, IPv6), then hex, then decimal."""
     d = df.withColumn("_q4", v4_from_quad(F.col(host)))
     d = with_v6_hex(d, host, "_q6")
-    d = with_int_literal(d, host, "_i4", "_i6")
-    text_hit = F.col("_q4").isNotNull() | F.col("_q6").isNotNull()
-    d = d.withColumns({v4_out: F.when(text_hit, F.col("_q4")).otherwise(F.col("_i4")),
-                       v6_out: F.when(text_hit, F.col("_q6")).otherwise(F.col("_i6"))})
-    return d.drop("_q4", "_q6", "_i4", "_i6")
+    # Only what is no text form is looked at as a number.
+    d = d.withColumn("_rest", F.when(F.col("_q4").isNull() & F.col("_q6").isNull(), F.col(host)))
+    d = with_int_literal(d, "_rest", "_i4", "_i6")
+    d = d.withColumns({v4_out: F.coalesce("_q4", "_i4"), v6_out: F.coalesce("_q6", "_i6")})
+    return d.drop("_q4", "_q6", "_rest", "_i4", "_i6")
 
 
 def embedded_v4(hex32: Column) -> Column:

@@ -27,7 +27,7 @@ def q_address_classes(spark, sf_dir):
 def q_address_ranges(spark, sf_dir):
     """B9 against a range table of any size: the longest block of each sampled address."""
     s = derived.address_samples(spark, sf_dir).where("form <> 'v6'")
-    s = A.with_literal(s, "text", "v4", "h6").withColumn("hex", R.address_hex(F.col("v4"), F.col("h6")))
+    s = A.with_literal(s, "text", "v4", "h6").select("event_id", "form", "text", R.address_hex(F.col("v4"), F.col("h6")).alias("hex"))
     found = R.longest_prefix(s, R.range_table(derived.address_ranges(spark, sf_dir)), "hex")
     return found.select("event_id", "form", "text", (F.col("length") - 96).cast("long").alias("bits"), "label")
 
